@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Encoded pre-tokens that a worker remembers.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 CACHE_KEY_CHARS = 48
 
 
@@ -124,6 +124,32 @@ class _Words(dict):
         return packed
 
 
+class _Irregular(Exception):
+    """A piece of a line that borders on further white space."""
+
+
+class _Pieces(dict):
+    """What stands between two single spaces, with lead before it, to its packed ids; bounded.
+
+    A pre-token never crosses from a visible character over one space to another: the space belongs to what follows.
+    So such pieces can be encoded, and remembered, each for itself.
+    """
+
+    def __init__(self, lead: str, split, words: _Words):
+        super().__init__()
+        self.lead, self.split, self.words = lead, split, words
+
+    def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Irregular
+        packed = b"".join(map(self.words.__getitem__, self.split(self.lead + piece)))
+        if len(piece) <= CACHE_KEY_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 @dataclass
 class Codec:
     """Encodes to packed little-endian unsigned 32-bit ids, and decodes them."""
@@ -134,17 +160,30 @@ class Codec:
     def __post_init__(self):
         self.words = _Words(self.vocab)
         self.split = regex.compile(self.vocab.pattern).findall
+        self.heads, self.pieces = _Pieces("", self.split, self.words), _Pieces(" ", self.split, self.words)
+        self.newline = self.words["\n"]
         self.specials = regex.compile("|".join(f"({regex.escape(x)})" for x in sorted(self.vocab.added, key=len, reverse=True))) if self.vocab.added else None
 
+    def plain(self, text: str) -> bytes:
+        """Of a text without added tokens. Lines that begin and end with visible characters are cut at their spaces."""
+        try:
+            lines = []
+            for line in text.split("\n"):
+                head, *rest = line.split(" ")
+                lines.append(self.heads[head] + b"".join(map(self.pieces.__getitem__, rest)))
+            return self.newline.join(lines)
+        except _Irregular:
+            return b"".join(map(self.words.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> bytes:
         if self.specials is None or not any(x in text for x in self.vocab.added):
-            return b"".join(map(self.words.__getitem__, self.split(text)))
+            return self.plain(text)
         out = []
         for part in self.specials.splititer(text):
             if part in self.vocab.added:
                 out.append(array("I", [self.vocab.added[part]]).tobytes())
             elif part:
-                out.append(b"".join(map(self.words.__getitem__, self.split(part))))
+                out.append(self.plain(part))
         return b"".join(out)
 
     def decode(self, packed: bytes) -> bytes:

@@ -5,15 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandlake.llm.bpe import encode_documents
-from strandlake.llm.spark_io import table, tuned
+from strandlake.llm import langid_ppm
+from strandlake.llm.spark_io import crc_mod, table, tuned
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(tuned(spark), sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tuned(spark), sf_dir, "documents")
+    model = langid_ppm.fit(docs.where(crc_mod("doc_id", 4) != 2))
+    out = langid_ppm.predict(docs, model)
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.col("code_bits"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
