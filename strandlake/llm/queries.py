@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.bpe import encode_documents
-from strandlake.llm import langid_ppm
+from strandlake.llm import langid_ppm, minhash_join
 from strandlake.llm.spark_io import crc_mod, table, tuned
 
 
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(tuned(spark), sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(tuned(spark), sf_dir, "documents"), width=2)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents")
     model = langid_ppm.fit(docs.where(crc_mod("doc_id", 4) != 2))
