@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.bpe import encode_documents
-from strandlake.llm import langid_ppm, minhash_join
+from strandlake.llm import decontam, langid_ppm, minhash_join, substring_dedup
 from strandlake.llm.spark_io import crc_mod, table, tuned
 
 
@@ -16,6 +16,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(tuned(spark), sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row by document and benchmark item found in it; clean documents have none."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row by document that repeats an earlier passage: its spans, and the text without them."""
+    docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
+    spans = substring_dedup.durable(substring_dedup.repeated_spans(docs), "spans")
+    found = substring_dedup.cut(docs, spans, how="inner").join(spans, "doc_id")
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["n_words"])
+    return found.select("doc_id", F.size("spans").alias("n_spans"), words.alias("removed_words"), "spans", "text")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(tuned(spark), sf_dir, "documents"), width=2)
 
@@ -32,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontaminate": decontam.oracle()}
