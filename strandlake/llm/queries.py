@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.bpe import encode_documents
-from strandlake.llm import decontam, langid_ppm, minhash_join, substring_dedup
-from strandlake.llm.spark_io import crc_mod, table, tuned
+from strandlake.llm import decontam, embedding_dedup, langid_ppm, minhash_join, quality_nbsvm, substring_dedup, token_rollup
+from strandlake.llm.spark_io import crc_mod, shared_dir, table, tuned
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(tuned(spark), sf_dir, "documents"))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a corpus's batches, each sent twice."""
+    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    history = token_rollup.corpus_history(table(spark, sf_dir, "documents"))
+    for name, changes in [*history, *history]:
+        rollup.commit(name, changes)
+    return rollup.totals()
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row by document and benchmark item found in it; clean documents have none."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(tuned(spark), sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row by document that repeats an earlier passage: its spans, and the text without them."""
     docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
@@ -34,6 +48,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(tuned(spark), sf_dir, "documents"), width=2)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_nbsvm.fit(docs, labels.where(crc_mod("doc_id", 3) != 1).select("doc_id", "quality"))
+    out = quality_nbsvm.score(docs, model)
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents")
     model = langid_ppm.fit(docs.where(crc_mod("doc_id", 4) != 2))
@@ -46,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontam.oracle()}
+    return {"op2_token_rollup": token_rollup.ORACLE, "op4_decontaminate": decontam.oracle()}
