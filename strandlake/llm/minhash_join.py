@@ -6,13 +6,15 @@
    or more but for a chance of about 5e-6, so (prefix principle) they meet among the COORDS - MATCHES + 1 rarest
    postings of each: postings are ordered by how many classes they hold, and only that prefix is kept. Frequent values,
    and with them long lists, drop out; a class whose prefix holds no shared posting is skipped altogether.
-3. Links are needed for components only, so a list's classes first meet a few representatives of the list (least by
-   hashes, found by pre-aggregated minima). Pairs with MATCHES agreeing coordinates are confirmed on the full sets.
-4. Lists whose classes are still in different components are merged exhaustively: blocks of a list against blocks of
-   it, as arrays inside a task, skipping classes whose sizes exclude the threshold, pairs already connected, and
-   pairs that met in an earlier list. Only pairs with enough collisions leave the task; they are confirmed too.
-
-A link is 100 * intersection >= threshold * union on the full sets of 64-bit shingle hashes.
+3. Lists with the same classes count once. A list's classes meet as arrays inside a task, in blocks: collisions of the
+   whole signatures are counted, and pairs with MATCHES or more, of sizes that allow a link, are confirmed at once on
+   the full sets, which travel with the rows (40 bits a shingle). Pairs already connected are skipped, and a task
+   returns links that span what it found, never all pairs: a group of copies gives as many rows as it has members.
+4. First each class goes to its longest list only, whose blocks share a few representatives. This connects large
+   groups without comparing block with block. Then the lists whose classes are still in different components are
+   merged exhaustively, every block with every other.
+
+A link is 100 * intersection >= threshold * union of the full sets.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ WIDTH = 5
 THRESHOLD = 80
 COORDS = 48
 MATCHES = 26
-REPRESENTATIVES = 4
-BLOCK = 2048
+REPRESENTATIVES = 8
+BLOCK = 512
 _A = splitmix(COORDS, 101) | U(1)
 _B = splitmix(COORDS, 202)
 
@@ -79,15 +81,16 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, shingles): the whole sets, of the few documents that a candidate pair names."""
+    """(id, shingles): whole sets as sorted 40-bit numbers, of the documents that share a posting."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in texts(batch.column(1)):
                 sets, offs = shingle_sets(t, width)
+                raw = np.ascontiguousarray((sets >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[t.first : t.first + t.n], pa.array([sets[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())],
+                    [batch.column(0)[t.first : t.first + t.n], pa.array([raw[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())],
                     ["id", "shingles"],
                 )
 
@@ -112,105 +115,96 @@ def postings(classes: DataFrame) -> DataFrame:
     return mine.where(prefix > 0).select("id", F.explode(F.slice("p", 1, prefix)).alias("p")).select("id", "p.key", "p.held")
 
 
-def _agree(pairs: DataFrame) -> DataFrame:
-    """Keeps the pairs whose signatures sig_a, sig_b agree in MATCHES coordinates and whose sizes allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COORDS) for i in (2, 3))
-            ok = (a == b).sum(axis=1) >= MATCHES
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
-
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+def span_block(ids: np.ndarray, component: np.ndarray, sig: np.ndarray, sets: list[bytes], left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links that span what the pairs left x right of a block connect."""
+    n = np.array([len(x) // 5 for x in sets])
+    offs = np.concatenate([[0], np.cumsum(n)])
+    wide = np.zeros((offs[-1], 8), np.uint8)
+    wide[:, :5] = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, 5)
+    values, dense = np.unique(wide.view(U).ravel(), return_inverse=True)
+    flag = np.zeros(len(values), bool)
+    label, found = component.copy(), []
+    right = right[np.argsort(n[right], kind="stable")]
+    sizes = n[right]
+    for x in left.tolist():
+        lo = np.searchsorted(sizes, -(-threshold * n[x] // 100))
+        hi = np.searchsorted(sizes, n[x] * 100 // threshold, "right")
+        y = right[lo:hi]
+        y = y[label[y] != label[x]]
+        if len(y):
+            y = y[(sig[y] == sig[x]).sum(axis=1) >= MATCHES]
+        if not len(y):
+            continue
+        flag[dense[offs[x] : offs[x + 1]]] = True
+        for one in y.tolist():
+            if label[one] == label[x]:
+                continue
+            both = int(np.count_nonzero(flag[dense[offs[one] : offs[one + 1]]]))
+            if 100 * both >= threshold * (n[x] + n[one] - both):
+                found.append((int(ids[x]), int(ids[one])))
+                label[label == label[one]] = label[x]
+        flag[dense[offs[x] : offs[x + 1]]] = False
+    return found
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, threshold: int) -> DataFrame:
-    """The (a, b) whose full sets pass; sets are made anew for the named documents only."""
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    some = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(named, "id", "left_semi")
-    sets = durable(full_sets(some, "id", "text", width), "sets")
+def spanning_links(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) from rows (key, i, j, block, id, component, sig, shingles); block i of a list meets block j."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= threshold * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
-
-    got = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return got.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def star_pairs(posted: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): classes of a list against the list's representatives, where signatures agree."""
-    reps = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("r"))).alias(f"r{k}") for k in range(REPRESENTATIVES - 1)]
-    per = posted.groupBy("key").agg(F.min("id").alias("least"), *reps)
-    per = per.select("key", F.array_distinct(F.array("least", *[F.col(f"r{k}.r") for k in range(REPRESENTATIVES - 1)])).alias("reps"))
-    pairs = posted.join(per, "key").select("id", F.explode("reps").alias("rep")).where("id != rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-    own = classes.select("id", "n_shingles", "sig")
-    left, right = (own.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    near = F.expr(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
-    return _agree(pairs.join(left, "a").join(right, "b").where(near))
-
-
-def rest_pairs(posted: DataFrame, classes: DataFrame, comp: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): every further pair of a list with agreeing signatures in different components."""
-    posted = posted.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    torn = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = posted.join(torn.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int"))
-    rows = rows.join(classes.select("id", "n_shingles", "sig"), "id")
-    # block i meets every block j >= i: the row goes to (min, max) of each
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "sig")
-
-    def meet(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, COORDS)
-        ids, comp_, n, block = (g[c].to_numpy() for c in ("id", "component", "n_shingles", "block"))
+    def meet(g: pd.DataFrame) -> pa.RecordBatch:
+        g = g.drop_duplicates("id")
         i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        right = right[np.argsort(n[right], kind="stable")]
-        found_a, found_b = [], []
-        for x in left.tolist():
-            lo = np.searchsorted(n[right], -(-threshold * n[x] // 100))
-            hi = np.searchsorted(n[right], n[x] * 100 // threshold, "right")
-            y = right[lo:hi]
-            y = y[comp_[y] != comp_[x]]
-            if i == j:
-                y = y[ids[y] > ids[x]]
-            if len(y):
-                y = y[(sig[y] == sig[x]).sum(axis=1) >= MATCHES]
-                found_a.append(np.full(len(y), ids[x]))
-                found_b.append(ids[y])
-        if not found_a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return np.minimum(a, b), np.maximum(a, b)
+        block = g["block"].to_numpy()
+        # block -1: the list's representatives, which every block meets
+        left, right = (np.arange(len(g)), np.arange(len(g))) if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
+        sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, COORDS)
+        got = span_block(g["id"].to_numpy(), g["component"].to_numpy(), sig, g["shingles"].tolist(), left, right, threshold)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []
+        mark = None
         for batch in batches:
             part = batch.to_pandas()
-            held = part if held is None else pd.concat([held, part], ignore_index=True)
-            mark = held[["key", "i", "j"]].to_numpy()
-            cut = np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1
-            if not len(cut):
-                continue
-            for a, b in zip([0, *cut[:-1]], cut, strict=True):
-                x, y = meet(held.iloc[a:b])
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
-            held = held.iloc[cut[-1] :].reset_index(drop=True)
-        if held is not None and len(held):
-            x, y = meet(held)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+            at = part[["key", "i", "j"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(part)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                now = tuple(at[a].tolist())
+                if held and now != mark:
+                    yield meet(pd.concat(held, ignore_index=True))
+                    held = []
+                mark = now
+                held.append(part.iloc[a:b])
+        if held:
+            yield meet(pd.concat(held, ignore_index=True))
 
     parted = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return parted.mapInArrow(run, "a long, b long").distinct()
 
 
+def near_links(posted: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): links that span the components of classes."""
+    lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("f")).where("n > 1")
+    lists = lists.groupBy("n", "f").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    posted = durable(posted.select("id", "key").join(lists, "key"), "lists")
+    payload = durable(classes.join(sets, "id").select("id", "sig", "shingles"), "payload")
+    block = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int")
+
+    longest = posted.groupBy("id").agg(F.max(F.struct("n", "key", "blocks")).alias("x")).select("id", "x.key", "x.blocks")
+    reps = posted.where("blocks > 1").groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("r"))).alias(f"r{k}") for k in range(REPRESENTATIVES)], F.first("blocks").alias("blocks"))
+    reps = reps.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.array_distinct(F.array(*[F.col(f"r{k}.r") for k in range(REPRESENTATIVES)])).alias("r")).select(F.explode("r").alias("id"), "key", "i")
+    own = longest.select("id", "key", block.alias("i"), block.alias("block"))
+    rows = own.union(reps.select("id", "key", "i", F.lit(-1).alias("block"))).join(payload, "id")
+    first = durable(spanning_links(rows.select("key", "i", F.col("i").alias("j"), "block", "id", F.col("id").alias("component"), "sig", "shingles"), threshold), "links")
+    comp = durable(components(first, "a", "b"), "components")
+
+    placed = posted.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    torn = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    rows = placed.join(torn, "key", "left_semi").withColumn("block", block)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(payload, "id")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sig", "shingles")
+    return first.union(durable(spanning_links(rows, threshold), "links"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id reachable by links), kept (id = component_id).
 
@@ -224,12 +218,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = base.join(classes, ["d1", "d2", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
     single = durable(worded.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n_shingles", "sig").dropDuplicates(["id"]), "classes")
     posted = durable(postings(single.where("n_shingles > 3")), "postings")  # smaller sets can be linked to equal sets only
-    first = durable(confirm(durable(star_pairs(posted, single, threshold), "stars"), docs, id_col, text_col, width, threshold), "confirmed")
-    comp = durable(components(first, "a", "b"), "components")
-    more = durable(rest_pairs(posted, single, comp, threshold), "pairs")
-    if not more.isEmpty():
-        second = durable(confirm(more, docs, id_col, text_col, width, threshold), "confirmed")
-        comp = durable(components(first.union(second), "a", "b"), "components")
+    texts_of = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(posted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    comp = durable(components(near_links(posted, single, full_sets(texts_of, "id", "text", width), threshold), "a", "b"), "components")
     out = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = F.coalesce("component", "rep")
     return out.select(F.col("id").alias(id_col), "n_shingles", found.alias("component_id"), (F.col("id") == found).alias("kept"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.bpe import encode_documents
-from strandlake.llm import decontam, embedding_dedup, langid_ppm, minhash_join, quality_nbsvm, substring_dedup, token_rollup
+from strandlake.llm import decontam, embedding_dedup, html_template, langid_ppm, minhash_join, quality_nbsvm, substring_dedup, token_rollup
 from strandlake.llm.spark_io import crc_mod, shared_dir, table, tuned
 
 
@@ -26,6 +26,10 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(tuned(spark), sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row by document and benchmark item found in it; clean documents have none."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
