@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.bpe import encode_documents
-from strandlake.llm import decontam, embedding_dedup, html_template, langid_ppm, minhash_join, quality_nbsvm, substring_dedup, token_rollup
+from strandlake.llm import decontam, embedding_dedup, html_template, langid_ppm, minhash_join, pitman_yor, quality_nbsvm, substring_dedup, token_rollup
 from strandlake.llm.spark_io import crc_mod, shared_dir, table, tuned
 
 
@@ -59,6 +59,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tuned(spark), sf_dir, "documents")
+    out = pitman_yor.score(docs, crc_mod("doc_id", 7) != 2)
+    return out.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents")
     model = langid_ppm.fit(docs.where(crc_mod("doc_id", 4) != 2))
