@@ -1,0 +1 @@
+"""Left empty: alignments come as finished files, and no plan here keeps state over a stream."""
