@@ -6,13 +6,13 @@
    or more but for a chance of about 5e-6, so (prefix principle) they meet among the COORDS - MATCHES + 1 rarest
    postings of each: postings are ordered by how many classes they hold, and only that prefix is kept. Frequent values,
    and with them long lists, drop out; a class whose prefix holds no shared posting is skipped altogether.
-3. Lists with the same classes count once. A list's classes meet as arrays inside a task, in blocks: collisions of the
-   whole signatures are counted, and pairs with MATCHES or more, of sizes that allow a link, are confirmed at once on
-   the full sets, which travel with the rows (40 bits a shingle). Pairs already connected are skipped, and a task
-   returns links that span what it found, never all pairs: a group of copies gives as many rows as it has members.
-4. First each class goes to its longest list only, whose blocks share a few representatives. This connects large
-   groups without comparing block with block. Then the lists whose classes are still in different components are
-   merged exhaustively, every block with every other.
+3. Lists with the same classes count once. Classes whose longest list is a large one meet there first, in blocks that
+   share a few representatives of the list: that connects large groups without comparing block with block.
+4. Then all lists whose classes are not all connected are merged: within a task, block against block, collisions of the
+   whole signatures are counted (one byte a coordinate) for classes in different components whose longest common list
+   is this one, so that a pair is counted once. Only classes with MATCHES collisions or more go on, with their full
+   sets (40 bits a shingle), to the same blocks, where the pairs are confirmed. A task returns links that span what it
+   found, never all pairs: a group of copies gives as many rows as it has members.
 
 A link is 100 * intersection >= threshold * union of the full sets.
 """
@@ -36,7 +36,7 @@ THRESHOLD = 80
 COORDS = 48
 MATCHES = 26
 REPRESENTATIVES = 8
-BLOCK = 512
+BLOCK = 1024
 _A = splitmix(COORDS, 101) | U(1)
 _B = splitmix(COORDS, 202)
 
@@ -147,6 +147,60 @@ def span_block(ids: np.ndarray, component: np.ndarray, sig: np.ndarray, sets: li
     return found
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Sorted batches as one frame for each run of equal (key, i, j)."""
+    held: list[pd.DataFrame] = []
+    mark = None
+    for batch in batches:
+        part = batch.to_pandas()
+        at = part[["key", "i", "j"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(part)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(at[a].tolist())
+            if held and now != mark:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            mark = now
+            held.append(part.iloc[a:b])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def colliding(rows: DataFrame) -> DataFrame:
+    """Of rows (key, i, j, block, id, component, short, mine) those with MATCHES collisions in the other block.
+
+    short has a byte of each coordinate, mine the class's lists from the longest on, as 32-bit numbers. The full sets of
+    no other classes are needed. At most the rows given come back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in runs(batches):
+            block, comp = g["block"].to_numpy(), g["component"].to_numpy()
+            here = np.int64(g["key"].iloc[0]).astype(np.int32)
+            sig = np.frombuffer(b"".join(g["short"]), np.uint8).reshape(-1, COORDS)
+            size = g["mine"].map(len).to_numpy()
+            lists = np.zeros((len(g), int(size.max())), np.int32)
+            lists[np.arange(lists.shape[1]) < size[:, None]] = np.concatenate(g["mine"].to_numpy())
+            within = np.arange(lists.shape[1]) < size[:, None]
+            hit = np.zeros(len(g), bool)
+            i, j = g["i"].iloc[0], g["j"].iloc[0]
+            right = np.flatnonzero(block == j)
+            for x in np.flatnonzero(block == i).tolist():
+                y = right[comp[right] != comp[x]]
+                if i == j:
+                    y = y[y > x]
+                y = y[(sig[y] == sig[x]).sum(axis=1) >= MATCHES]
+                longer = lists[x, : np.flatnonzero(lists[x] == here)[0]]
+                if len(y) and len(longer):
+                    y = y[~(np.isin(lists[y], longer) & within[y]).any(axis=1)]
+                if len(y):
+                    hit[x] = hit[y] = True
+            yield pa.RecordBatch.from_pandas(g.loc[hit, ["key", "i", "j", "block", "id", "component"]], preserve_index=False)
+
+    parted = rows.select("key", "i", "j", "block", "id", "component", "short", "mine").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return parted.mapInArrow(run, "key long, i int, j int, block int, id long, component long")
+
+
 def spanning_links(rows: DataFrame, threshold: int) -> DataFrame:
     """(a, b) from rows (key, i, j, block, id, component, sig, shingles); block i of a list meets block j."""
 
@@ -161,48 +215,51 @@ def spanning_links(rows: DataFrame, threshold: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pd.DataFrame] = []
-        mark = None
-        for batch in batches:
-            part = batch.to_pandas()
-            at = part[["key", "i", "j"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(part)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                now = tuple(at[a].tolist())
-                if held and now != mark:
-                    yield meet(pd.concat(held, ignore_index=True))
-                    held = []
-                mark = now
-                held.append(part.iloc[a:b])
-        if held:
-            yield meet(pd.concat(held, ignore_index=True))
+        yield from map(meet, runs(batches))
 
     parted = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return parted.mapInArrow(run, "a long, b long").distinct()
 
 
+def short_signatures(classes: DataFrame) -> DataFrame:
+    """(id, short): the lowest byte of each coordinate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], ["id", "short"])
+
+    return classes.select("id", "sig").mapInArrow(run, "id long, short binary")
+
+
 def near_links(posted: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(a, b): links that span the components of classes."""
     lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("f")).where("n > 1")
     lists = lists.groupBy("n", "f").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    posted = durable(posted.select("id", "key").join(lists, "key"), "lists")
+    member = durable(posted.select("id", "key").join(lists, "key"), "lists")
+    # a class has COORDS lists at most
+    own = durable(member.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "key", "blocks"))).alias("l")).join(short_signatures(classes), "id"), "own")
     payload = durable(classes.join(sets, "id").select("id", "sig", "shingles"), "payload")
     block = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int")
 
-    longest = posted.groupBy("id").agg(F.max(F.struct("n", "key", "blocks")).alias("x")).select("id", "x.key", "x.blocks")
-    reps = posted.where("blocks > 1").groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("r"))).alias(f"r{k}") for k in range(REPRESENTATIVES)], F.first("blocks").alias("blocks"))
-    reps = reps.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.array_distinct(F.array(*[F.col(f"r{k}.r") for k in range(REPRESENTATIVES)])).alias("r")).select(F.explode("r").alias("id"), "key", "i")
-    own = longest.select("id", "key", block.alias("i"), block.alias("block"))
-    rows = own.union(reps.select("id", "key", "i", F.lit(-1).alias("block"))).join(payload, "id")
-    first = durable(spanning_links(rows.select("key", "i", F.col("i").alias("j"), "block", "id", F.col("id").alias("component"), "sig", "shingles"), threshold), "links")
-    comp = durable(components(first, "a", "b"), "components")
-
-    placed = posted.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    longest = own.select("id", F.get("l", F.lit(0)).alias("x")).select("id", "x.key", "x.blocks").where("blocks > 1")
+    first = None
+    comp = classes.sparkSession.createDataFrame([], "node long, component long")
+    if not longest.isEmpty():
+        reps = longest.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("r"))).alias(f"r{k}") for k in range(REPRESENTATIVES)], F.first("blocks").alias("blocks"))
+        reps = reps.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.array_distinct(F.array(*[F.col(f"r{k}.r") for k in range(REPRESENTATIVES)])).alias("r")).select(F.explode("r").alias("id"), "key", "i")
+        rows = longest.select("id", "key", block.alias("i"), block.alias("block")).union(reps.select("id", "key", "i", F.lit(-1).alias("block"))).join(payload, "id")
+        first = durable(spanning_links(rows.select("key", "i", F.col("i").alias("j"), "block", "id", F.col("id").alias("component"), "sig", "shingles"), threshold), "links")
+        comp = durable(components(first, "a", "b"), "components")
+    placed = member.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     torn = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     rows = placed.join(torn, "key", "left_semi").withColumn("block", block)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(payload, "id")
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sig", "shingles")
-    return first.union(durable(spanning_links(rows, threshold), "links"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
+    mine = own.select("id", "short", F.transform("l", lambda x: F.shiftright(F.shiftleft(x["key"], 32), 32).cast("int")).alias("mine"))
+    met = durable(colliding(rows.join(mine, "id")), "colliding")
+    second = durable(spanning_links(met.join(payload, "id").select("key", "i", "j", "block", "id", "component", "sig", "shingles"), threshold), "links")
+    return second if first is None else first.union(second)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
