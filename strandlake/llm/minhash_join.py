@@ -9,10 +9,10 @@
 3. Lists with the same classes count once. Classes whose longest list is a large one meet there first, in blocks that
    share a few representatives of the list: that connects large groups without comparing block with block.
 4. Then all lists whose classes are not all connected are merged: within a task, block against block, collisions of the
-   whole signatures are counted (one byte a coordinate) for classes in different components whose longest common list
-   is this one, so that a pair is counted once. Only classes with MATCHES collisions or more go on, with their full
-   sets (40 bits a shingle), to the same blocks, where the pairs are confirmed. A task returns links that span what it
-   found, never all pairs: a group of copies gives as many rows as it has members.
+   whole signatures are counted (one byte a coordinate). Links that span the pairs with MATCHES collisions or more
+   join the classes to families, and each class goes once, with its full set (40 bits a shingle), to its family, where
+   the pairs are confirmed. A task returns links that span what it found, never all pairs: a group of copies gives as
+   many rows as it has members.
 
 A link is 100 * intersection >= threshold * union of the full sets.
 """
@@ -167,38 +167,29 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
 
 
 def colliding(rows: DataFrame) -> DataFrame:
-    """Of rows (key, i, j, block, id, component, short, mine) those with MATCHES collisions in the other block.
+    """(a, b) from rows (key, i, j, block, id, short): links that span the pairs with MATCHES collisions or more.
 
-    short has a byte of each coordinate, mine the class's lists from the longest on, as 32-bit numbers. The full sets of
-    no other classes are needed. At most the rows given come back.
+    short has a byte of each coordinate. A block gives fewer links than it has rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in runs(batches):
-            block, comp = g["block"].to_numpy(), g["component"].to_numpy()
-            here = np.int64(g["key"].iloc[0]).astype(np.int32)
+            block, ids = g["block"].to_numpy(), g["id"].to_numpy()
             sig = np.frombuffer(b"".join(g["short"]), np.uint8).reshape(-1, COORDS)
-            size = g["mine"].map(len).to_numpy()
-            lists = np.zeros((len(g), int(size.max())), np.int32)
-            lists[np.arange(lists.shape[1]) < size[:, None]] = np.concatenate(g["mine"].to_numpy())
-            within = np.arange(lists.shape[1]) < size[:, None]
-            hit = np.zeros(len(g), bool)
-            i, j = g["i"].iloc[0], g["j"].iloc[0]
-            right = np.flatnonzero(block == j)
-            for x in np.flatnonzero(block == i).tolist():
-                y = right[comp[right] != comp[x]]
-                if i == j:
-                    y = y[y > x]
+            label, found = np.arange(len(g)), []
+            right = np.flatnonzero(block == g["j"].iloc[0])
+            for x in np.flatnonzero(block == g["i"].iloc[0]).tolist():
+                y = right[label[right] != label[x]]
                 y = y[(sig[y] == sig[x]).sum(axis=1) >= MATCHES]
-                longer = lists[x, : np.flatnonzero(lists[x] == here)[0]]
-                if len(y) and len(longer):
-                    y = y[~(np.isin(lists[y], longer) & within[y]).any(axis=1)]
-                if len(y):
-                    hit[x] = hit[y] = True
-            yield pa.RecordBatch.from_pandas(g.loc[hit, ["key", "i", "j", "block", "id", "component"]], preserve_index=False)
-
-    parted = rows.select("key", "i", "j", "block", "id", "component", "short", "mine").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return parted.mapInArrow(run, "key long, i int, j int, block int, id long, component long")
+                old, one = np.unique(label[y], return_index=True)
+                if len(old):
+                    found.append((np.full(len(one), ids[x]), ids[y[one]]))
+                    label[np.isin(label, old)] = label[x]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
+
+    parted = rows.select("key", "i", "j", "block", "id", "short").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return parted.mapInArrow(run, "a long, b long").distinct()
 
 
 def spanning_links(rows: DataFrame, threshold: int) -> DataFrame:
@@ -237,12 +228,10 @@ def near_links(posted: DataFrame, classes: DataFrame, sets: DataFrame, threshold
     lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("f")).where("n > 1")
     lists = lists.groupBy("n", "f").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     member = durable(posted.select("id", "key").join(lists, "key"), "lists")
-    # a class has COORDS lists at most
-    own = durable(member.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "key", "blocks"))).alias("l")).join(short_signatures(classes), "id"), "own")
     payload = durable(classes.join(sets, "id").select("id", "sig", "shingles"), "payload")
     block = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int")
 
-    longest = own.select("id", F.get("l", F.lit(0)).alias("x")).select("id", "x.key", "x.blocks").where("blocks > 1")
+    longest = member.groupBy("id").agg(F.max(F.struct("n", "key", "blocks")).alias("x")).select("id", "x.key", "x.blocks").where("blocks > 1")
     first = None
     comp = classes.sparkSession.createDataFrame([], "node long, component long")
     if not longest.isEmpty():
@@ -253,15 +242,22 @@ def near_links(posted: DataFrame, classes: DataFrame, sets: DataFrame, threshold
         comp = durable(components(first, "a", "b"), "components")
     placed = member.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     torn = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    rows = placed.join(torn, "key", "left_semi").withColumn("block", block)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
-    mine = own.select("id", "short", F.transform("l", lambda x: F.shiftright(F.shiftleft(x["key"], 32), 32).cast("int")).alias("mine"))
-    met = durable(colliding(rows.join(mine, "id")), "colliding")
-    second = durable(spanning_links(met.join(payload, "id").select("key", "i", "j", "block", "id", "component", "sig", "shingles"), threshold), "links")
+    rows = placed.join(torn, "key", "left_semi").select("key", "id", "blocks", block.alias("block"))
+    met = colliding(_against_blocks(rows).join(short_signatures(classes), "id"))
+    family = durable(components(met, "a", "b"), "families").select(F.col("node").alias("id"), F.col("component").alias("key"))
+    size = family.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = _against_blocks(family.join(size, "key").select("key", "id", "blocks", block.alias("block")))
+    rows = rows.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(payload, "id")
+    second = durable(spanning_links(rows.select("key", "i", "j", "block", "id", "component", "sig", "shingles"), threshold), "links")
     return second if first is None else first.union(second)
 
 
+def _against_blocks(rows: DataFrame) -> DataFrame:
+    """(key, i, j, block, id) from (key, id, blocks, block): every block of a group against every other and itself."""
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id reachable by links), kept (id = component_id).
 
