@@ -42,7 +42,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        x = np.full(max(n, SLICE_BYTES + 1024), base, U)
+        x = np.full(max(2 * n, 1 << 16), base, U)
         x[0] = 1
         have = np.cumprod(x)
         if n <= 4 * SLICE_BYTES:
