@@ -16,8 +16,10 @@ by dish. Restaurants that share their last context symbol form a subtree, and th
 Spark tasks, given the root's probabilities. The predictive probabilities of SAMPLES samples are averaged.
 
 Counts cover every training text and grow with them: words are counted by a shuffle over all tokens; so are pairs of
-classes and letters. What is broadcast has a fixed size: class pairs, letter contexts (SYMBOLS ** (DENSE + 1) and KEPT) and the
-HOT most frequent words. Tokens beyond those get their word's counts and probability by a join.
+classes and letters. Letter contexts of every level stay in Spark: a task samples whole subtrees and writes the probability
+of each code of the vocabulary, seen in training or not, as a + b * (the root's probability); words are spelled by joins to
+that table. What is broadcast has a fixed size: class pairs and the HOT most frequent words. Tokens beyond those get their
+word's counts and probability by a join.
 
 Null texts are empty: they consist of one end. Ties among frequent words go by the word. Without training texts every
 count is 0 and the probabilities are those of the uniform bases.
@@ -40,11 +42,8 @@ from strandlake.llm.spark_io import durable
 CLASSES = 512
 SYMBOLS = 48
 DEPTH = 4
-#: Deepest level whose probabilities are kept for every context and symbol; deeper ones are kept where they were seen.
-DENSE = 2
-#: Deepest contexts with a symbol of their own that are kept, the most frequent; the others' customers sit in a shared
-#: room of the dense level's context and count for the levels above.
-KEPT = 300_000
+#: Words that are spelled together.
+BUCKET = 50_000
 HOT = 100_000
 DISCOUNT = 0.75
 STRENGTH = 1.0
@@ -146,27 +145,20 @@ def sample_subtrees(code: np.ndarray, count: np.ndarray, symbols: int, depth: in
     return [(c, s.c, s.t) for c, s in zip(levels, seats, strict=True)]
 
 
-@dataclass
-class Sample:
-    """Predictive probabilities of one sampled seating: a table up to the dense level, seen contexts and dishes below."""
-
-    dense: np.ndarray
-    deep: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-
-def probabilities(samples: list[Sample], code: np.ndarray, symbols: int, dense: int) -> np.ndarray:
-    """Of each code's dish in its context, averaged over the samples."""
-    out = np.zeros(len(code))
-    for s in samples:
-        p = s.dense[code % symbols ** (dense + 1)].astype(np.float64)
-        for k, (rooms, back, dishes, own) in enumerate(s.deep, start=dense + 1):
-            if not len(rooms):
-                continue
-            at = code % symbols ** (k + 1)
-            i, j = np.minimum(np.searchsorted(rooms, at // symbols), len(rooms) - 1), np.minimum(np.searchsorted(dishes, at), len(dishes) - 1)
-            p = np.where(rooms[i] == at // symbols, np.where(dishes[j] == at, own[j], 0.0) + back[i] * p, p)
-        out += p / len(samples)
-    return out
+def affine(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """a, b of the first level's codes: their predictive probability is a + b * (the root's probability of the dish)."""
+    a, b, above = np.zeros(0), np.zeros(0), None
+    for level, (codes, c, t) in enumerate(reversed(levels), start=1):
+        rooms, room = np.unique(codes // symbols, return_inverse=True)
+        people, tables = np.bincount(room, c, len(rooms))[room], np.bincount(room, t, len(rooms))[room]
+        back, own = (STRENGTH + DISCOUNT * tables) / (STRENGTH + people), (c - DISCOUNT * t) / (STRENGTH + people)
+        if above is None:
+            a, b = own, back
+        else:
+            up = np.searchsorted(above, codes % symbols**level)
+            a, b = own + back * a[up], back * b[up]
+        above = codes
+    return a, b
 
 
 #: Rows of a few long arrays reach the driver as bytes.
@@ -181,21 +173,13 @@ def unpacked(row) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int64) for x in row]
 
 
-def folded(counts: DataFrame, symbols: int, depth: int, dense: int) -> DataFrame:
-    """(code, n) with KEPT codes at most besides those of the dense level; the rest under a context no text has."""
-    if depth <= dense or (many := counts.count()) <= KEPT:
-        return counts
-    least = counts.agg(F.percentile_approx("n", F.lit(1 - KEPT / many), F.lit(100_000))).first()[0]
-    nowhere = (symbols - 1) * sum(symbols**k for k in range(dense + 1, depth + 1))
-    code = F.when(F.col("n") > least, F.col("code")).otherwise(F.col("code") % F.lit(symbols ** (dense + 1)) + F.lit(nowhere))
-    return counts.select(code.alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n"))
+def sample_tree(counts: DataFrame, symbols: int, depth: int, seed: int, samples: int = SAMPLES) -> DataFrame:
+    """(code, p): each code's predictive probability, averaged over samples of seatings of (code, n); n may be 0.
 
-
-def sample_tree(counts: DataFrame, symbols: int, depth: int, seed: int, dense: int = DENSE, samples: int = SAMPLES) -> list[Sample]:
-    """Samples of seatings of (code, n); what comes back is bounded by symbols ** (dense + 1) and KEPT."""
+    Only the root's customers, one number by dish, reach the driver.
+    """
     spark = counts.sparkSession
-    dense = min(dense, depth)
-    counts = durable(folded(counts, symbols, depth, dense), "customers")
+    counts = durable(counts, "customers")
     root, out = np.full(symbols, 1.0 / symbols), []
     for sample in range(samples + 1):
         shared = spark.sparkContext.broadcast(root)
@@ -210,37 +194,33 @@ def sample_tree(counts: DataFrame, symbols: int, depth: int, seed: int, dense: i
                 return
             order = np.argsort(code)
             rng = np.random.default_rng([seed, sample, int(code.min())])
-            for level, (codes, c, t) in enumerate(sample_subtrees(code[order], n[order], symbols, depth, shared.value, rng)):
-                yield packed([np.array([depth - level]), codes, c, t])
+            levels = sample_subtrees(code[order], n[order], symbols, depth, shared.value, rng)
+            top, _, t = levels[-1]
+            people = np.bincount(top % symbols, t, symbols)
+            names = ["top", "code", "a", "b"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(symbols, bool)), pa.array(np.arange(symbols)), pa.array(people), pa.array(np.zeros(symbols))], names)
+            if sample:  # the first sample is burn-in and only gives the root
+                a, b = affine(levels, symbols)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(levels[0][0]), pa.array(a), pa.array(b)], names)
 
         by_last = F.col("code").cast("decimal(20,0)")
         by_last = F.pmod(F.floor(by_last / F.lit(symbols)).cast("long"), F.lit(symbols))
-        got = counts.withColumn("last", by_last).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "last").select("code", "n").mapInArrow(run, PACKED)
-        got = [unpacked(r) for r in got.collect()]
-        code, c, t = (np.concatenate([r[k] for r in got if r[0][0] == 1] or [np.zeros(0, np.int64)]) for k in (1, 2, 3))
-        people = np.bincount(code % symbols, t, symbols).astype(np.int64)
+        dealt = counts.withColumn("last", by_last).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "last").select("code", "n")
+        got = durable(dealt.mapInArrow(run, "top boolean, code long, a double, b double"), "seating")
+        people = np.zeros(symbols, np.int64)
+        for r in got.where("top").groupBy("code").agg(F.sum("a").cast("long").alias("n")).collect():
+            people[r["code"]] = r["n"]
         top = Seats(people, np.zeros(symbols, np.int64), np.full(symbols, 1.0 / symbols), np.random.default_rng([seed, sample]))
         for _ in range(SWEEPS):
             top.sweep()
         root = top.predictive()
-        if sample == 0:
-            continue  # burn-in: the first sample only gives the root
-        p, deep = root.reshape(1, symbols), []
-        for level in range(1, depth + 1):
-            code, c, t = (np.concatenate([r[k] for r in got if r[0][0] == level] or [np.zeros(0, np.int64)]) for k in (1, 2, 3))
-            order = np.argsort(code)
-            code, c, t = code[order], c[order], t[order]
-            rooms, room = np.unique(code // symbols, return_inverse=True)
-            people, tables = np.bincount(room, c, len(rooms)), np.bincount(room, t, len(rooms))
-            back, own = (STRENGTH + DISCOUNT * tables) / (STRENGTH + people), (c - DISCOUNT * t) / (STRENGTH + people[room])
-            if level > dense:
-                deep.append((rooms, back.astype(np.float32), code, own.astype(np.float32)))
-                continue
-            p = np.tile(p, (symbols, 1))
-            p[rooms] *= back[:, None]
-            p[code // symbols, code % symbols] += own
-        out.append(Sample(p.astype(np.float32).ravel(), deep))
-    return out
+        if sample:
+            of_dish = F.get(F.array(*[F.lit(float(x)) for x in root]), F.pmod("code", F.lit(symbols)).cast("int"))
+            out.append(got.where("not top").select("code", (F.col("a") + F.col("b") * of_dish).alias("p")))
+    every = out[0]
+    for more in out[1:]:
+        every = every.union(more)
+    return every.groupBy("code").agg((F.sum("p") / F.lit(samples)).alias("p"))
 
 
 @dataclass
@@ -354,7 +334,7 @@ def count_classes(docs: DataFrame, frequent: Lookup) -> DataFrame:
 
 
 def count_letters(vocabulary: DataFrame, letters: Alphabet, weight: str) -> DataFrame:
-    """(code, n): letters in context, over the words with a positive weight."""
+    """(code, n): letters in context with the sum of their words' weights; a code of weightless words has 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,41 +343,47 @@ def count_letters(vocabulary: DataFrame, letters: Alphabet, weight: str) -> Data
                 codes, to = np.unique(code, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.bincount(to, np.repeat(batch.column(1).to_numpy(), np.diff(at))).astype(np.int64))], ["code", "n"])
 
-    return vocabulary.select("word", F.expr(weight).cast("long").alias("n")).where("n > 0").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return vocabulary.select("word", F.expr(weight).cast("long").alias("n")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def spell(data: np.ndarray, offs: np.ndarray, letters: Alphabet, samples: list[Sample]) -> np.ndarray:
-    """log10 probability of each word's spelling."""
-    code, at = letters.codes(data, offs)
-    if not len(code):
-        return np.zeros(0)
-    codes, to = np.unique(code, return_inverse=True)
-    lp = np.log10(np.maximum(probabilities(samples, codes, SYMBOLS, DENSE), 1e-300)) - np.where(codes % SYMBOLS == 1, math.log10(max(1, letters.shared)), 0)
-    return np.add.reduceat(lp[to], at[:-1])
+def spell_words(vocabulary: DataFrame, letters: Alphabet, table: DataFrame) -> DataFrame:
+    """(word, h, c, spelling): every word's hash and log10 spelling probability; table holds all codes of the words.
 
+    The words are dealt into buckets; each bucket's distinct codes are joined to the table and come back to its words.
+    """
+    buckets = max(1, -(-vocabulary.count() // BUCKET))
+    lot = SYMBOLS ** (DEPTH + 1)
+    dealt = vocabulary.select("word", "c", F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("b")).repartition("b")
 
-def spell_words(vocabulary: DataFrame, letters: Alphabet, samples: list[Sample]) -> DataFrame:
-    """(word, h, c, spelling): every word's hash and log10 spelling probability."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast(samples)
+    def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list[np.ndarray]) -> np.ndarray:
+            return np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            batch = pa.Table.from_batches(held).combine_chunks()
-            data, offs = binary_parts(batch.column(0).combine_chunks())
-            lp = spell(data, offs, letters, shared.value)
-            return pa.RecordBatch.from_arrays([batch.column(0).combine_chunks(), pa.array(span_hashes(data, offs[:-1], offs[1:]).view(np.int64)), batch.column(1).combine_chunks(), pa.array(lp)], ["word", "h", "c", "spelling"])
-
-        held: list[pa.RecordBatch] = []
+        held: list[np.ndarray] = []
         for batch in batches:
             if len(batch):
-                held.append(batch)
-            if sum(map(len, held)) >= 50_000:
-                yield done(held)
-                held = []
-        if held:
-            yield done(held)
-
-    return vocabulary.select("word", "c").mapInArrow(run, "word string, h long, c long, spelling double")
+                code, at = letters.codes(*binary_parts(batch.column(0)))
+                held.append(np.unique(code + lot * np.repeat(batch.column(1).to_numpy(), np.diff(at))))
+            if sum(map(len, held)) >= 1_000_000:
+                held = [done(held)]
+                if len(held[0]) >= 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0] // lot), pa.array(held[0] % lot)], ["b", "code"])
+                    held = []
+        rest = done(held)
+        yield pa.RecordBatch.from_arrays([pa.array(rest // lot), pa.array(rest % lot)], ["b", "code"])
+
+    def spelled(left: pa.Table, right: pa.Table) -> pa.Table:
+        data, offs = binary_parts(left["word"])
+        code, at = letters.codes(data, offs)
+        known, lp = right["code"].to_numpy(), right["lp"].to_numpy()
+        order = np.argsort(known)
+        each = lp[order][np.searchsorted(known[order], code)]
+        return pa.table({"word": left["word"], "h": span_hashes(data, offs[:-1], offs[1:]).view(np.int64), "c": left["c"], "spelling": np.add.reduceat(each, at[:-1])})
+
+    rare = F.when(F.col("code") % SYMBOLS == 1, math.log10(max(1, letters.shared))).otherwise(0.0)
+    lp = table.select("code", (F.log10(F.greatest("p", F.lit(1e-300))) - rare).alias("lp"))
+    answers = dealt.select("word", "b").mapInArrow(codes_of, "b long, code long").distinct().join(lp, "code").select("b", "code", "lp")
+    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(spelled, "word string, h long, c long, spelling double")
 
 
 def seat_words(spelled: DataFrame, tables: float) -> DataFrame:
@@ -431,7 +417,17 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
     hot = vocabulary.where("c > 0").orderBy(F.desc("c"), "word").limit(CLASSES - 1).collect()
     frequent = Lookup.of([r["word"] for r in hot], [np.arange(1, len(hot) + 1)])
-    chain = np.log10(np.maximum(sum(x.dense.astype(np.float64) for x in sample_tree(count_classes(base, frequent), CLASSES + 1, 1, 21)) / SAMPLES, 1e-300))
+    chain = np.zeros((CLASSES + 1) ** 2)
+    every = spark.range((CLASSES + 1) ** 2).select(F.col("id").alias("code"), F.lit(0).cast("long").alias("n"))
+    pairs = count_classes(base, frequent).union(every).groupBy("code").agg(F.sum("n").alias("n"))
+
+    def pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield packed([batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.int64), np.zeros(0), np.zeros(0)])
+
+    for r in sample_tree(pairs, CLASSES + 1, 1, 21).mapInArrow(pack_pairs, PACKED).collect():
+        code, p, _, _ = unpacked(r)
+        chain[code] = np.log10(np.maximum(p.view(np.float64), 1e-300))
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(256, np.int64)
@@ -441,19 +437,23 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(n)], ["byte", "n"])
 
     # words below the shared class: all but the frequent ones
-    rare = vocabulary.join(F.broadcast(spark.createDataFrame([(r["word"],) for r in hot] or [(None,)], "word string")), "word", "left_anti")
+    marked = spark.createDataFrame([(r["word"], True) for r in hot] or [(None, True)], "word string, hot boolean")
+    vocabulary = vocabulary.join(F.broadcast(marked), "word", "left").select("word", "c", F.coalesce("hot", F.lit(False)).alias("hot"))
+    rare = vocabulary.where("not hot")
     seen = {r["byte"]: r["n"] for r in rare.where("c > 0").select("word").mapInArrow(histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
     letters = Alphabet.of(sorted((b for b in seen if seen[b]), key=lambda b: (-seen[b], b)))
-    first = sample_tree(count_letters(rare, letters, "least(c, 1)"), SYMBOLS, DEPTH, 22, samples=1)
-    guess = rare.where("c > 0").count()
-    seated = durable(seat_words(spell_words(rare, letters, first), float(guess)), "seats")
-    table = sample_tree(count_letters(seated, letters, "t"), SYMBOLS, DEPTH, 23)
+    first = sample_tree(count_letters(vocabulary, letters, "if(hot, 0, least(c, 1))"), SYMBOLS, DEPTH, 22, samples=1)
+    learned = rare.where("c > 0")
+    guess = learned.count()
+    seated = durable(seat_words(spell_words(learned, letters, first), float(guess)), "seats")
+    customers = vocabulary.join(seated.select("word", "t"), "word", "left")
+    table = durable(sample_tree(count_letters(customers, letters, "coalesce(t, 0)"), SYMBOLS, DEPTH, 23), "letters")
     tables, people = (float(x or 0) for x in seated.agg(F.sum("t"), F.sum("c")).first())
-    named = [r["word"].encode() for r in hot]
-    taken = sum(10.0 ** spell(np.frombuffer(b"".join(named), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in named])]), letters, table)) if named else 0.0
+    spelled = durable(spell_words(vocabulary, letters, table), "spelled")
+    taken = spelled.join(F.broadcast(marked), "word").agg(F.sum(F.pow(F.lit(10.0), F.col("spelling")))).first()[0] or 0.0
     back = math.log10(STRENGTH + DISCOUNT * tables) - math.log10(STRENGTH + people) - math.log10(max(1e-12, 1 - taken))
     own = F.coalesce((F.col("c") - DISCOUNT * F.col("t")) / (STRENGTH + people), F.lit(0.0))
-    spelled = spell_words(rare, letters, table).join(seated.select("word", "t"), "word", "left")
+    spelled = spelled.join(F.broadcast(marked), "word", "left_anti").join(seated.select("word", "t"), "word", "left")
     known = durable(spelled.select("h", "c", F.log10(own + F.pow(F.lit(10.0), F.col("spelling") + back)).alias("lp"), F.log10(F.col("c") + 1.0).alias("lc")), "lexicon")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

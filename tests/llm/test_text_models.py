@@ -127,3 +127,16 @@ def test_template_line_goes(spark):
     html = "<html><body><article><p>Story {i} begins here.<p>Subscribe to our letter<p>Story {i} ends.</article></body></html>"
     pages = spark.createDataFrame([(i, "http://c.example/", html.format(i=i)) for i in range(12)], "page_id long, url string, html string")
     assert {r["text"] for r in html_template.extract(pages).collect()} == {f"Story {i} begins here.\n\nStory {i} ends." for i in range(12)}
+
+
+def test_every_letter_context_is_kept(spark, monkeypatch):
+    """However many contexts there are, each keeps its letters, and its probabilities sum to one over all dishes."""
+    monkeypatch.setattr(pitman_yor, "KEPT", 5, raising=False)
+    symbols, depth, context = 6, 4, [(5, 4, 3, 2), (1, 4, 3, 2), (2, 2, 2, 2)]
+    code = lambda room, dish: sum(x * symbols ** (depth - k) for k, x in enumerate(room)) + dish
+    rows = [(code(room, dish), 400 if dish == 1 + r else 0) for r, room in enumerate(context) for dish in range(symbols)]
+    found = pitman_yor.sample_tree(spark.createDataFrame(rows, "code long, n long"), symbols, depth, 7)
+    got = {r["code"]: r["p"] for r in found.collect()}
+    assert set(got) == {c for c, _ in rows}
+    for r, room in enumerate(context):
+        assert sum(got[code(room, d)] for d in range(symbols)) == pytest.approx(1) and got[code(room, 1 + r)] > 0.9
