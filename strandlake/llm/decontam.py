@@ -1,26 +1,30 @@
-"""Benchmark decontamination by spaced seeds, in DataFrame functions only.
-
-Texts become tokens: runs of letters and digits, lower-cased. Each fixed mask picks some token places of a window and
-ignores the others; the picked tokens are hashed. A substituted token spoils the masks that pick it, not those that
-ignore it. Hashes of the corpus are joined to those of the benchmark; a hit proposes an alignment of an item to a
-document. Each alignment is then verified token by token: an item counts as leaked if some WINDOW aligned tokens (the
-whole item where it is shorter) agree in SHARE of their places at least.
-
-Defined cases: null and empty texts and items have no tokens and match nothing; items or documents shorter than the
-shortest mask match nothing; repeated rows give one row by document and item.
+"""Benchmark decontamination by short exact seeds, in DataFrame functions only.
+
+Texts become tokens: runs of letters and digits, lower-cased. An item counts as leaked if some WINDOW aligned tokens (the
+whole item where it is shorter) agree in SHARE of their places at least. The places that disagree part such a window into
+runs, and the longest run has a length that follows from the window's: four tokens for 20 (16 agree, in five runs at
+most). Every run of that many tokens is a seed. Hashes of the corpus's seeds are joined to those of the benchmark; a hit
+proposes an alignment of an item to a document, so that no leak goes without one. Each alignment is then verified token
+by token.
+
+Defined cases: null and empty texts and items have no tokens and match nothing; an item of fewer than five tokens must
+stand in the document as it is; a document with fewer tokens than the window matches nothing; repeated rows give one row
+by document and item.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.spark_io import durable
 
-#: Places picked in a window, counted from its first token.
-MASKS = [(0, 1, 2, 4, 5, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 6, 7, 8)]
 WINDOW = 20
 SHARE = 0.8
+#: Masks of the oracle's SQL, which proposes fewer alignments than the seeds do.
+ORACLE_MASKS = [(0, 1, 2, 4, 5, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 6, 7, 8)]
 #: Seeds of the benchmark up to which its side of the join is broadcast (about 40 bytes each); beyond, both are shuffled.
 BROADCAST_SEEDS = 500_000
 
@@ -34,16 +38,23 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _mask_hashes(t: Column, m: int) -> Column:
-    """The hash of mask m's tokens at every place where it fits."""
-    mask, n = MASKS[m], F.size(t)
-    places = F.when(n > mask[-1], F.sequence(F.lit(0), n - 1 - mask[-1])).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.lit(m), *[F.get(t, i + p) for p in mask]))
+def seed_length(n: int) -> int:
+    """Tokens of the longest run of equal ones that every leak of an item of n tokens has."""
+    compared = min(n, WINDOW)
+    least = next(k for k in range(compared + 1) if k >= compared * SHARE)
+    return -(-least // (compared - least + 1))
+
+
+def _run_hashes(t: Column, q: int) -> Column:
+    """The hash of the q tokens at every place where they fit."""
+    n = F.size(t)
+    places = F.when(n >= q, F.sequence(F.lit(0), n - q)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(F.lit(q), *[F.get(t, i + p) for p in range(q)]))
 
 
-def _seeds(df: DataFrame, key: str, value: Column) -> DataFrame:
-    """(key, pos, h): the hashes of every mask at every place of the token array value."""
-    hashes = _let(value, lambda t: F.array(*[_mask_hashes(t, m) for m in range(len(MASKS))]))
+def _seeds(df: DataFrame, key: str, value: Column, lengths: list[int]) -> DataFrame:
+    """(key, pos, h): the hashes of every run of the lengths at every place of the token array value."""
+    hashes = _let(value, lambda t: F.array(*[_run_hashes(t, q) for q in lengths]))
     return df.select(key, F.explode(hashes).alias("s")).select(key, F.posexplode("s").alias("pos", "h"))
 
 
@@ -54,11 +65,14 @@ def _benchmark(bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
 def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc id, item_id, matched, compared, start_token): the best window of each leaked item in each document."""
     items = _benchmark(bench, item_col, item_text)
-    theirs = _seeds(items, "item_id", F.col("t")).select("item_id", F.col("pos").alias("item_pos"), "h")
+    sized = items.withColumn("q", F.element_at(F.array(*[F.lit(seed_length(n)) for n in range(1, WINDOW + 1)]), F.least(F.size("t"), F.lit(WINDOW))))
+    lengths = sorted(r["q"] for r in sized.select("q").distinct().collect())
+    theirs = [_seeds(sized.where(F.col("q") == q), "item_id", F.col("t"), [q]) for q in lengths] or [_seeds(items, "item_id", F.col("t"), [seed_length(WINDOW)])]
+    theirs = reduce(DataFrame.union, theirs).select("item_id", F.col("pos").alias("item_pos"), "h")
     if theirs.count() <= BROADCAST_SEEDS:
         theirs = F.broadcast(theirs)
     corpus = docs.where(docs[text_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    ours = _seeds(corpus, "id", tokens(F.col("text")))
+    ours = _seeds(corpus, "id", tokens(F.col("text")), lengths or [seed_length(WINDOW)])
     hits = durable(ours.join(theirs, "h").select("id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "hits")
     texts = corpus.join(hits.select("id").distinct(), "id", "left_semi").distinct().select("id", tokens(F.col("text")).alias("t"))
     lo, hi = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("b"), F.size("t") - F.col("shift"))
@@ -83,9 +97,9 @@ def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def oracle() -> str:
-    """The same in DuckDB: seeds as lists of tokens instead of hashes."""
+    """In DuckDB, with spaced seeds as lists of tokens: a leak that none of ORACLE_MASKS hits is not among its rows."""
     masks = " union all ".join(
-        f"select k, i - 1 as pos, [{m}::varchar, {', '.join(f't[i + {p}]' for p in mask)}] as h from src, lateral (select unnest(range(1, len(t) - {mask[-1]} + 1)) as i)" for m, mask in enumerate(MASKS)
+        f"select k, i - 1 as pos, [{m}::varchar, {', '.join(f't[i + {p}]' for p in mask)}] as h from src, lateral (select unnest(range(1, len(t) - {mask[-1]} + 1)) as i)" for m, mask in enumerate(ORACLE_MASKS)
     )
     tok = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     return f"""

@@ -1,6 +1,7 @@
 """Decontamination, language, quality, language model, rollups, main text."""
 
 import collections
+import itertools
 import math
 import random
 
@@ -140,3 +141,35 @@ def test_every_letter_context_is_kept(spark, monkeypatch):
     assert set(got) == {c for c, _ in rows}
     for r, room in enumerate(context):
         assert sum(got[code(room, d)] for d in range(symbols)) == pytest.approx(1) and got[code(room, 1 + r)] > 0.9
+
+
+def test_every_leak_has_a_seed():
+    """All patterns of places that disagree, for every length of an item."""
+    for n in range(1, decontam.WINDOW + 1):
+        wrong = next(k for k in range(n, -1, -1) if n - k >= n * decontam.SHARE)
+        for places in itertools.combinations(range(n), wrong):
+            edges = [-1, *places, n]
+            assert max(b - a - 1 for a, b in itertools.pairwise(edges)) >= decontam.seed_length(n)
+
+
+def test_leaks_against_all_alignments(spark):
+    """Short items and substitutions that spaced seeds miss, against every alignment of every item to every document."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = {n: [word() for _ in range(n)] for n in (1, 2, 4, 5, 7, 8, 10, 12, 15, 20, 31)}
+    spoilt = [(n, ()) for n in items] + [(5, (2,)), (8, (3,)), (8, (2, 5)), (10, (3, 6)), (12, (4, 8)), (15, (3, 7, 11)), (20, (4, 8, 12, 16)), (20, (3, 7, 11, 15, 19)), (31, (6, 10, 14, 18, 22))]
+    texts = []
+    for n, places in spoilt:
+        body = [word() if k in places else x for k, x in enumerate(items[n])]
+        texts.append([word() for _ in range(rng.randrange(5))] + body + [word() for _ in range(rng.randrange(5))])
+    want = {}
+    for i, t in enumerate(texts):
+        for n, b in items.items():
+            w = min(n, decontam.WINDOW)
+            matched = max((sum(x == y for x, y in zip(b[p : p + w], t[q : q + w], strict=True)) for p in range(n - w + 1) for q in range(len(t) - w + 1)), default=0)
+            if matched * 5 >= w * 4:
+                want[i, n] = (matched, w)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(b)) for n, b in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): (r["matched"], r["compared"]) for r in decontam.leaks(docs, bench).collect()} == want
+    assert len(want) == len(spoilt) - 2
