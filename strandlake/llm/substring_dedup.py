@@ -3,8 +3,9 @@
 A gear rolling hash runs over the words of a text (lower-cased A-Z, white space ignored): for each word the hash is
 shifted by SHIFT bits and the word's own 64-bit value is added, so that after 64 / SHIFT words nothing of an earlier
 word is left. A chunk begins before each word whose hash is the strict minimum among the RADIUS words on either side.
-Cuts thus depend on nearby words only: after an insertion they fall as before within a few words, and chunks have
-RADIUS + 1 words at least. Runs without a minimum (one word over and over) are cut every LONGEST words.
+Only words of the text itself count, so equal texts have equal cuts. Cuts thus depend on nearby words only: after an
+insertion they fall as before within a few words, and chunks have RADIUS + 1 words at least, but for those at either
+end of a text. Runs without a minimum (one word over and over) are cut every LONGEST words.
 
 Chunks are compared by a 96-bit digest of their words. The first occurrence by (document id, place) stays. Adjoining
 repeated chunks form a span; spans of MIN_WORDS words or more are removed, shorter ones are chance and stay.
@@ -33,11 +34,11 @@ _BASE = 0x9FB21C651E98DF25
 _BASE_BACK = pow(_BASE, -1, 1 << 64)
 
 
-def gear(h: np.ndarray) -> np.ndarray:
-    """The rolling hash after each word, from the words' values."""
+def gear(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The rolling hash after each word, from the values of its text's words; place: of each word in its text."""
     out = h.copy()
     for k in range(1, 64 // SHIFT):
-        out[k:] += h[:-k] << U(SHIFT * k)
+        out[k:] += np.where(place[k:] >= k, h[:-k] << U(SHIFT * k), U(0))
     return out
 
 
@@ -46,11 +47,13 @@ def chunk_starts(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = len(h)
     if not n:
         return np.zeros(0, np.int64)
-    g = mix(gear(h))
+    place = np.arange(n) - np.repeat(offs[:-1], np.diff(offs))
+    g = mix(gear(h, place))
     least = np.ones(n, bool)
     for k in range(1, RADIUS + 1):
-        least[k:] &= g[k:] < g[:-k]
-        least[:-k] &= g[:-k] < g[k:]
+        apart = place[k:] < k  # words of two texts are not compared
+        least[k:] &= (g[k:] < g[:-k]) | apart
+        least[:-k] &= (g[:-k] < g[k:]) | apart
     least[offs[:-1][np.diff(offs) > 0]] = True
     at = np.flatnonzero(least)
     size = np.diff(np.append(at, n))
@@ -67,7 +70,6 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for t in texts(batch.column(1)):
                 w = words(t)
                 h = word_hashes(t, w)
-                # a word's place in its text, not in the batch, must not matter at a text's beginning
                 start = chunk_starts(h, w.offs)
                 end = np.append(start[1:], len(h))
                 acc = np.zeros(len(h) + 1, U)

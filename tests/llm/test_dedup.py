@@ -125,3 +125,23 @@ def test_gear_forgets():
     b = {x - 37 for x in substring_dedup.chunk_starts(moved, np.array([0, 337])).tolist()}
     assert {x for x in a if x > 12} == {x for x in b if x > 12}
     assert len(substring_dedup.chunk_starts(np.full(200, 7, np.uint64), np.array([0, 200]))) == 4
+
+
+def test_cuts_do_not_depend_on_neighbouring_texts():
+    rng = np.random.default_rng(5)
+    lengths = [0, 1, 3, 17, 24, 35, 0, 60, 9]
+    each = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in lengths]
+    for order in ([0, 1, 2, 3, 4, 5, 6, 7, 8], [8, 3, 1, 7, 0, 5, 6, 4, 2]):
+        offs = np.concatenate([[0], np.cumsum([lengths[i] for i in order])])
+        got = substring_dedup.chunk_starts(np.concatenate([each[i] for i in order]), offs)
+        for i, a, b in zip(order, offs[:-1], offs[1:], strict=True):
+            alone = substring_dedup.chunk_starts(each[i], np.array([0, lengths[i]]))
+            assert (got[(got >= a) & (got < b)] - a).tolist() == alone.tolist()
+
+
+def test_exact_copies_become_empty(spark):
+    rng = random.Random(12)
+    texts = [sentence(rng, n) for n in range(16, 40)]
+    rows = list(enumerate(texts)) + [(100 + i, texts[i]) for i in rng.sample(range(len(texts)), len(texts))]
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert all(out[i] == t and out[100 + i] == "" for i, t in enumerate(texts))
