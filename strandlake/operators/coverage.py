@@ -46,9 +46,15 @@ def quartiles(segs: DataFrame, keys: list[str]) -> DataFrame:
     return walk.groupBy(*keys).agg(F.first("n").alias("covbases"), place(F.floor(F.col("n") / 4)).alias("q1"), place(F.floor(3 * F.col("n") / 4)).alias("q3"))
 
 
+def cube_root(n: Column) -> Column:
+    """Exact where n is a cube, so that a bin's edge never hangs on the last bit of a library's power function."""
+    near = F.round(F.cbrt(n))
+    return F.when(near * near * near == n, near).otherwise(F.cbrt(n))
+
+
 def bin_width(q1: Column, q3: Column, n: Column, ref_len: Column) -> Column:
     """Freedman-Diaconis; Sturges below 100 bases; 100 where that is under one base."""
-    wide = 2.0 * (q3 - q1) * F.pow(n.cast("double"), F.lit(-1.0 / 3.0))
+    wide = 2.0 * (q3 - q1) / cube_root(n.cast("double"))
     return F.when(ref_len < 100, ref_len / F.ceil(F.log2(n.cast("double")) + 1)).when(wide < 1, 100.0).otherwise(wide)
 
 

@@ -36,10 +36,10 @@ def alnfilt(df: DataFrame, mode: str = "ALLTOP", minani: float = 90.0, maxani: f
 
 
 def reassign_weights(df: DataFrame) -> DataFrame:
-    """weight: shifted score by aligned base, scaled to sum 1 within a read."""
+    """weight: shifted score by aligned base, scaled to sum 1 within a read, to 12 digits (sums depend on the order of rows)."""
     w = Window.partitionBy("qname")
     raw = (F.col("as_score") - F.min("as_score").over(w) + 1) / F.nullif(F.col("end_pos") - F.col("pos"), F.lit(0))
-    return df.withColumn("raw", raw).withColumn("weight", F.col("raw") / F.sum("raw").over(w)).drop("raw")
+    return df.withColumn("raw", raw).withColumn("weight", F.round(F.col("raw") / F.sum("raw").over(w), 12)).drop("raw")
 
 
 def keep_references(df: DataFrame, survivors: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ _SQL: dict[str, str] = {}
 
 
 def r6(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Figures to six digits, ties decided on the product, as the SQL engine does."""
+    return df.select(*[(F.round(F.col(c) * 1e6) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def query(sql: str | None):
@@ -96,7 +97,7 @@ round(mdust, 6) as mdust, round(stdev_dust, 6) as stdev_dust from fin"""
 
 
 PRELUDE = """
-with recursive dna as (select doc_id, upper(translate(regexp_replace(lower(substr(text, 1, 600)), '[^a-z.]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz.', 'acgtacgtacgtacgtacgtacgtacn')) as dna from documents),
+with recursive dna as (select doc_id, upper(translate(regexp_replace(lower(text), '[^a-z.]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz.', 'acgtacgtacgtacgtacgtacgtacn')) as dna from documents),
 base as (select cast(row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) as bigint) as ord, l_orderkey as qname, case when (l_orderkey + l_linenumber) % 53 = 0 then 4 else 0 end as flag, l_partkey as tid, 40 * cast(p_size as bigint) as ref_len,
   (l_orderkey * 7919 + l_suppkey * 613 + l_linenumber * 31) % (40 * cast(p_size as bigint)) as pos, 30 + (l_orderkey * 13) % 271 as qlen, cast(round(l_discount * 100) as bigint) as nm,
   case when l_linenumber = 7 then null else cast(round(l_tax * 100) as bigint) - cast(round(l_discount * 100) as bigint) end as as_score from lineitem join part on l_partkey = p_partkey),
@@ -126,7 +127,7 @@ seg as (select tid, p, length, depth from (select tid, p, lead(p) over w - p as
 cb as (select tid, cast(sum(length) as bigint) as covbases, cast(sum(length * depth) as bigint) as depthsum, cast(sum(length * depth * depth) as bigint) as sumsq from seg group by tid),
 cum as (select *, sum(length) over (partition by tid order by p) as upto, sum(length) over (partition by tid) as n from seg),
 qr as (select tid, cast(max(n) as bigint) as covbases, cast(min(case when upto >= n // 4 then p + n // 4 - (upto - length) end) as bigint) as q1, cast(min(case when upto >= 3 * n // 4 then p + 3 * n // 4 - (upto - length) end) as bigint) as q3 from cum group by tid),
-wi as (select *, 2.0 * (q3 - q1) * pow(covbases, -1.0 / 3.0) as fd from qr join reference using (tid)),
+wi as (select *, 2.0 * (q3 - q1) / case when round(cbrt(covbases)) ** 3 = covbases then round(cbrt(covbases)) else cbrt(covbases) end as fd from qr join reference using (tid)),
 bn as (select tid, ref_len, covbases, q1, q3, case when ref_len < 100 then ref_len / ceil(log2(covbases) + 1) when fd < 1 then 100.0 else fd end as width from wi),
 bi as (select *, cast(ceil(ref_len / width) as bigint) as n_bins from bn),
 bp as (select tid, least(floor(p / width), n_bins - 1) as b from (select tid, unnest(range(p, p + length)) as p from seg) join bi using (tid)),
@@ -419,7 +420,7 @@ def alnfilt_summary(s, d):
     return selection.alnfilt_summary(a, selection.alnfilt(a))
 
 
-@query("select qname, tid, pos, as_score, round((as_score - lo + 1) / len / sum((as_score - lo + 1) / len) over (partition by qname), 6) as weight from (select *, min(as_score) over (partition by qname) as lo, nullif(end_pos - pos, 0) as len from mapd)")
+@query("select qname, tid, pos, as_score, round(round((as_score - lo + 1) / len / sum((as_score - lo + 1) / len) over (partition by qname), 12), 6) as weight from (select *, min(as_score) over (partition by qname) as lo, nullif(end_pos - pos, 0) as len from mapd)")
 def aln_weights(s, d):
     return selection.reassign_weights(_mapped(s, d)).select("qname", "tid", "pos", "as_score", "weight")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The longest read of the view: a read is the first qlen bases of its document's whole text.
+LONGEST = 300
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz.", "acgtacgtacgtacgtacgtacgtacn"
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
@@ -21,8 +23,8 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord is a tuple that orders the records of a read; no numbering over all rows is needed."""
     docs = _table(spark, sf_dir, "documents")
-    plain = F.regexp_replace(F.lower(F.substring("text", 1, 600)), "[^a-z.]", "")
-    dna = docs.select("doc_id", F.upper(F.translate(plain, LETTERS, BASES)).alias("dna"))
+    plain = F.regexp_replace(F.lower("text"), "[^a-z.]", "")
+    dna = docs.select("doc_id", F.upper(F.translate(F.substring(plain, 1, LONGEST), LETTERS, BASES)).alias("dna"))
     ref_len = F.lit(40).cast("long") * F.col("p_size")
     nm = F.round(F.col("l_discount") * 100).cast("long")
     line = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))

@@ -1,6 +1,7 @@
 """A few registered queries against DuckDB; the driver compares them all."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -15,7 +16,7 @@ def test_same_rows(spark, name):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = entry.queries()[name](spark, SF).toPandas()
     want = c.execute(entry.oracle_sql()[name]).df()[list(got.columns)]
-    key = lambda df: sorted(tuple("-" if x != x or x is None else round(float(x), 6) if not isinstance(x, str) else x for x in r) for r in df.astype(object).itertuples(index=False, name=None))
+    key = lambda df: sorted(tuple("-" if pd.isna(x) else round(float(x), 6) if not isinstance(x, str) else x for x in r) for r in df.astype(object).itertuples(index=False, name=None))
     assert key(got) == key(want)
 
 
