@@ -21,9 +21,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Encoded pre-tokens that a worker remembers.
-CACHE_ENTRIES = 400_000
+#: What a worker remembers of encoded pre-tokens, and of pieces between spaces: bytes of keys, ids and dictionary entries.
+CACHE_BYTES = 24 << 20
 CACHE_KEY_CHARS = 48
+#: Bytes that an entry takes beside its characters and ids.
+ENTRY_BYTES = 200
 
 
 def default_path() -> str:
@@ -108,19 +110,25 @@ def merge_word(word: bytes, first: list[int], merges: dict[int, tuple[int, int]]
     return [x for x in ids if x >= 0]
 
 
+def remember(cache, key: str, packed: bytes) -> None:
+    cache.held += ENTRY_BYTES + len(key) + len(packed)
+    if cache.held > CACHE_BYTES:
+        cache.clear()
+        cache.held = ENTRY_BYTES + len(key) + len(packed)
+    cache[key] = packed
+
+
 class _Words(dict):
-    """Pre-token to its packed ids, computed on first use; bounded."""
+    """Pre-token to its packed ids, computed on first use; emptied when it holds CACHE_BYTES."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
-        self.vocab = vocab
+        self.vocab, self.held = vocab, 0
 
     def __missing__(self, word: str) -> bytes:
         packed = array("I", merge_word(word.encode(), self.vocab.first, self.vocab.merges)).tobytes()
         if len(word) <= CACHE_KEY_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = packed
+            remember(self, word, packed)
         return packed
 
 
@@ -137,16 +145,14 @@ class _Pieces(dict):
 
     def __init__(self, lead: str, split, words: _Words):
         super().__init__()
-        self.lead, self.split, self.words = lead, split, words
+        self.lead, self.split, self.words, self.held = lead, split, words, 0
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Irregular
         packed = b"".join(map(self.words.__getitem__, self.split(self.lead + piece)))
         if len(piece) <= CACHE_KEY_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = packed
+            remember(self, piece, packed)
         return packed
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that one round of numpy works on.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def splitmix(n: int, seed: int) -> np.ndarray:
@@ -35,19 +35,35 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _VALUE = splitmix(256, 11)
 _STEP = 0xD1342543DE82EF95
-_BACK = pow(_STEP, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Powers of a base are kept for this many places; those of further places are products of two kept ones.
+RUN = 1 << 16
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        x = np.full(max(2 * n, 1 << 16), base, U)
+class Spans:
+    """Hashes of spans of a sequence of numbers, equal for equal spans wherever they stand."""
+
+    def __init__(self, step: int):
+        self.step, self.back = step, pow(step, -1, 1 << 64)
+        self.steps, self.backs = self._powers(step), self._powers(self.back)
+
+    @staticmethod
+    def _powers(base: int) -> np.ndarray:
+        x = np.full(RUN, base, U)
         x[0] = 1
-        have = np.cumprod(x)
-        if n <= 4 * SLICE_BYTES:
-            _powers[base] = have
-    return have[:n]
+        return np.cumprod(x)
+
+    def hashes(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The sum of values[i] * step ** (i - start) over start <= i < end, modulo 2 ** 64; not yet mixed."""
+        acc = np.zeros(len(values) + 1, U)
+        for k, at in enumerate(range(0, len(values), RUN)):
+            part = values[at : at + RUN]
+            acc[at + 1 : at + 1 + len(part)] = part * self.steps[: len(part)] * U(pow(self.step, k * RUN, 1 << 64))
+        np.cumsum(acc, out=acc)
+        far = np.array([pow(self.back, k * RUN, 1 << 64) for k in range(len(values) // RUN + 1)], U)
+        return (acc[end] - acc[start]) * self.backs[start % RUN] * far[start // RUN]
+
+
+_BYTES = Spans(_STEP)
 
 
 @dataclass
@@ -106,9 +122,7 @@ def words(t: Texts) -> Words:
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
-    acc = np.zeros(len(data) + 1, U)
-    np.cumsum(_VALUE[data] * powers(_STEP, len(data)), out=acc[1:])
-    h = (acc[end] - acc[start]) * powers(_BACK, len(data) + 1)[start]
+    h = _BYTES.hashes(_VALUE[data], start, end)
     return mix(h + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to a Python worker. Texts may be long, so batches stay small.
-ARROW_ROWS = 1000
+#: Bytes and rows of one Arrow batch handed to a Python worker; a text longer than that is a batch of its own.
+ARROW_BYTES = 4 << 20
+ARROW_ROWS = 2000
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,18 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Keeps Arrow batches small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds Arrow batches in bytes and rows, so that a worker's memory does not follow the length of texts.
+
+    Only the registered queries call it, on the session they are given; tighter settings of the session stay.
+    """
+    for key, most in ((_BYTES, ARROW_BYTES), (_ROWS, ARROW_ROWS)):
+        have = spark.conf.get(key, None)
+        if have is None or not have.isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session of one machine (tests) gets a temporary folder; a cluster gets an error, because its
+    executors would each write to a disk of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        found = "file://" + tempfile.mkdtemp(prefix="run-", dir="/tmp/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
@@ -39,7 +52,17 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that durable() wrote and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.durable_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def crc_mod(doc_id: str, modulus: int):

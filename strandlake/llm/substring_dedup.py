@@ -23,15 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.bytesets import U, mix, powers, texts, word_hashes, words
+from strandlake.llm.bytesets import Spans, U, mix, texts, word_hashes, words
 from strandlake.llm.spark_io import durable
 
 SHIFT = 16
 RADIUS = 4
 LONGEST = 64
 MIN_WORDS = 16
-_BASE = 0x9FB21C651E98DF25
-_BASE_BACK = pow(_BASE, -1, 1 << 64)
+_WORDS = Spans(0x9FB21C651E98DF25)
 
 
 def gear(h: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -72,11 +71,8 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 h = word_hashes(t, w)
                 start = chunk_starts(h, w.offs)
                 end = np.append(start[1:], len(h))
-                acc = np.zeros(len(h) + 1, U)
-                np.cumsum(h * powers(_BASE, len(h)), out=acc[1:])
-                d = mix((acc[end] - acc[start]) * powers(_BASE_BACK, len(h) + 1)[start] + (end - start).astype(U))
-                np.cumsum(mix(h) * powers(_BASE, len(h)), out=acc[1:])
-                d2 = mix((acc[end] - acc[start]) * powers(_BASE_BACK, len(h) + 1)[start])
+                d = mix(_WORDS.hashes(h, start, end) + (end - start).astype(U))
+                d2 = mix(_WORDS.hashes(mix(h), start, end))
                 doc = np.searchsorted(w.offs, start, "right") - 1
                 ids = batch.column(0)[t.first : t.first + t.n].take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(

@@ -7,6 +7,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 
@@ -45,14 +46,70 @@ def test_substitutions(spark):
 def test_language(spark):
     rows = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * (1 + i % 5), "en" if i % 2 else "de") for i in range(60)]
     model = langid_ppm.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    table = model.table()
-    assert np.allclose((2.0**-table.astype(float)).reshape(-1, model.symbols, len(model.languages)).sum(axis=1), 1, atol=1e-3)  # each context's probabilities sum to one
     more = spark.createDataFrame([(1, "the dog"), (2, "die katze"), (3, None), (4, ""), (5, "123 ..."), (5, "der hund " * 20_000)], "doc_id long, text string")
     got = [tuple(r) for r in langid_ppm.predict(more, model).select("doc_id", "lang_pred", "score").collect()]
     assert [g[1] for g in got] == ["en", "de", "und", "und", "und", "de"] and all(0 <= g[2] <= 1 for g in got) and got[2][2] == 0
     assert langid_ppm.predict(more, langid_ppm.fit(more.selectExpr("text", "null as lang"))).where("lang_pred != 'und'").count() == 0
 
 
+def ppm(samples, order):
+    """Code length of a text by plain recursion over dictionaries."""
+    seen = collections.defaultdict(collections.Counter)
+    for s in samples:
+        line = b" " * order + s
+        for i in range(order, len(line)):
+            for k in range(order + 1):
+                seen[line[i - k : i]][line[i]] += 1
+
+    def p(context, byte):
+        shorter = lambda b: p(context[1:], b) if context else 1 / 256
+        here = seen.get(context)
+        if not here:
+            return shorter(byte)
+        total, q = sum(here.values()), len(here)
+        if q == 256:
+            return here[byte] / total
+        if byte in here:
+            return here[byte] / (total + q)
+        return q / (total + q) * shorter(byte) / (1 - sum(shorter(b) for b in here))
+
+    return p, lambda s: sum(-math.log2(p((b" " * order + s)[i : i + order], s[i])) for i in range(len(s)))
+
+
+@pytest.mark.parametrize("order", [0, 1, 3])
+def test_code_lengths_against_plain_recursion(order):
+    rng = random.Random(3)
+    samples = {"a": [bytes(rng.choices(b"abc ", k=40)) for _ in range(4)], "b": ["žluťoučký kůň pěl".encode(), b"abab"]}
+    plain = {k: ppm(v, order) for k, v in samples.items()}
+    column = lambda xs: next(langid_ppm.texts(pa.array([x.decode() for x in xs]), 1 << 20))
+    counts = []
+    for v in samples.values():
+        code, n = np.unique(langid_ppm.codes(column(v), order), return_counts=True)
+        counts.append((code, n.astype(float)))
+    model = langid_ppm.Model.of(list(samples), counts, order)
+    for probe in [b"abcabc", "kůň ab".encode(), b"zzz", b"c", "漢".encode()]:
+        got = model.lengths(langid_ppm.codes(column([probe]), order)).sum(axis=0)
+        assert got == pytest.approx([plain[k][1](probe) for k in samples], rel=1e-5)
+    for context in [b"abc"[:order], b" \xc5\xaf"[:order], b"qqq"[:order]]:
+        code = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
+        assert (2.0 ** -model.lengths(code).astype(float)).sum(axis=0) == pytest.approx([1, 1], abs=1e-4)
+
+
+def test_language_edges(spark):
+    """Repeated rows, clashing columns, a long text in several pieces, an empty table, one language only."""
+    rows = [(i % 7, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 9, "en" if i % 2 else "de", "x", 1.5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    model = langid_ppm.fit(docs)
+    got = langid_ppm.predict(docs, model).collect()
+    assert len(got) == 40 and all(r["lang_pred"] in ("en", "de") for r in got) and langid_ppm.predict(docs.limit(0), model).count() == 0
+    long = "the dog " * 400_000
+    text = next(langid_ppm.texts(pa.array([long])))
+    r = langid_ppm.predict(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).first()
+    assert r["lang_pred"] == "en" and r["code_bits"] == pytest.approx(model.lengths(langid_ppm.codes(text, model.order)).sum(axis=0, dtype=float).min(), rel=1e-6)
+    one = langid_ppm.fit(docs.where("lang = 'de'"))
+    assert {r["lang_pred"] for r in langid_ppm.predict(docs, one).collect()} == {"de"}
+
+
 def test_quality(spark):
     rng = random.Random(5)
     good = lambda: " ".join(rng.choice(["stone", "river", "walks", "slowly", "over", "green", "hills"]) for _ in range(30)).capitalize() + "."
