@@ -1,15 +1,17 @@
-"""Benchmark decontamination by short exact seeds, in DataFrame functions only.
+"""Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
 Texts become tokens: runs of letters and digits, lower-cased. An item counts as leaked if some WINDOW aligned tokens (the
-whole item where it is shorter) agree in SHARE of their places at least. The places that disagree part such a window into
-runs, and the longest run has a length that follows from the window's: four tokens for 20 (16 agree, in five runs at
-most). Every run of that many tokens is a seed. Hashes of the corpus's seeds are joined to those of the benchmark; a hit
-proposes an alignment of an item to a document, so that no leak goes without one. Each alignment is then verified token
-by token.
+whole item where it is shorter) agree in SHARE of their places at least. A fixed mask picks some places of a window, one
+in every STRIDE, and ignores those between; the picked tokens are hashed. Where m places of a window may disagree, the
+stride is m + 1: m substitutions spoil at most m of the m + 1 masks that begin at the window's first places, so that each
+leak has a hit (a test enumerates all patterns). For 20 tokens that is every fifth token, four in all. Hashes of the
+corpus are joined to those of the benchmark; a hit proposes an alignment of an item to a document, which is then verified
+token by token.
 
 Defined cases: null and empty texts and items have no tokens and match nothing; an item of fewer than five tokens must
 stand in the document as it is; a document with fewer tokens than the window matches nothing; repeated rows give one row
-by document and item.
+by document and item, an empty table none; extra columns are ignored by leaks() and kept by clean(); a document
+with a null id is not looked at by leaks() and stays in clean(); ties between windows go to the first.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ from strandlake.llm.spark_io import durable
 
 WINDOW = 20
 SHARE = 0.8
-#: Masks of the oracle's SQL, which proposes fewer alignments than the seeds do.
-ORACLE_MASKS = [(0, 1, 2, 4, 5, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 6, 7, 8)]
 #: Seeds of the benchmark up to which its side of the join is broadcast (about 40 bytes each); beyond, both are shuffled.
 BROADCAST_SEEDS = 500_000
 
@@ -38,23 +38,25 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def seed_length(n: int) -> int:
-    """Tokens of the longest run of equal ones that every leak of an item of n tokens has."""
+def mask(n: int) -> tuple[int, ...]:
+    """The places picked in a window of an item of n tokens, counted from the first that is picked."""
     compared = min(n, WINDOW)
     least = next(k for k in range(compared + 1) if k >= compared * SHARE)
-    return -(-least // (compared - least + 1))
+    stride = compared - least + 1
+    return tuple(range(0, compared // stride * stride, stride))
 
 
-def _run_hashes(t: Column, q: int) -> Column:
-    """The hash of the q tokens at every place where they fit."""
-    n = F.size(t)
-    places = F.when(n >= q, F.sequence(F.lit(0), n - q)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.lit(q), *[F.get(t, i + p) for p in range(q)]))
+def _mask_hashes(h: Column, picked: tuple[int, ...]) -> Column:
+    """The hash of the picked tokens at every place where the mask fits; h: hashes of the tokens."""
+    n = F.size(h)
+    places = F.when(n > picked[-1], F.sequence(F.lit(0), n - 1 - picked[-1])).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(F.lit(str(picked)), *[F.get(h, i + p) for p in picked]))
 
 
-def _seeds(df: DataFrame, key: str, value: Column, lengths: list[int]) -> DataFrame:
-    """(key, pos, h): the hashes of every run of the lengths at every place of the token array value."""
-    hashes = _let(value, lambda t: F.array(*[_run_hashes(t, q) for q in lengths]))
+def _seeds(df: DataFrame, key: str, value: Column, masks: list[tuple[int, ...]]) -> DataFrame:
+    """(key, pos, h): the hashes of every mask at every place of the token array value."""
+    tokens_ = F.transform(value, lambda x: F.xxhash64(x))
+    hashes = _let(tokens_, lambda h: F.array(*[_mask_hashes(h, m) for m in masks]))
     return df.select(key, F.explode(hashes).alias("s")).select(key, F.posexplode("s").alias("pos", "h"))
 
 
@@ -65,14 +67,14 @@ def _benchmark(bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
 def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc id, item_id, matched, compared, start_token): the best window of each leaked item in each document."""
     items = _benchmark(bench, item_col, item_text)
-    sized = items.withColumn("q", F.element_at(F.array(*[F.lit(seed_length(n)) for n in range(1, WINDOW + 1)]), F.least(F.size("t"), F.lit(WINDOW))))
-    lengths = sorted(r["q"] for r in sized.select("q").distinct().collect())
-    theirs = [_seeds(sized.where(F.col("q") == q), "item_id", F.col("t"), [q]) for q in lengths] or [_seeds(items, "item_id", F.col("t"), [seed_length(WINDOW)])]
+    sized = items.withColumn("n", F.least(F.size("t"), F.lit(WINDOW)))
+    masks = sorted({mask(r["n"]) for r in sized.select("n").distinct().collect()}) or [mask(WINDOW)]
+    theirs = [_seeds(sized.where(F.col("n").isin([n for n in range(1, WINDOW + 1) if mask(n) == m])), "item_id", F.col("t"), [m]) for m in masks]
     theirs = reduce(DataFrame.union, theirs).select("item_id", F.col("pos").alias("item_pos"), "h")
     if theirs.count() <= BROADCAST_SEEDS:
         theirs = F.broadcast(theirs)
     corpus = docs.where(docs[text_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    ours = _seeds(corpus, "id", tokens(F.col("text")), lengths or [seed_length(WINDOW)])
+    ours = _seeds(corpus, "id", tokens(F.col("text")), masks)
     hits = durable(ours.join(theirs, "h").select("id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "hits")
     texts = corpus.join(hits.select("id").distinct(), "id", "left_semi").distinct().select("id", tokens(F.col("text")).alias("t"))
     lo, hi = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("b"), F.size("t") - F.col("shift"))
@@ -97,17 +99,14 @@ def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def oracle() -> str:
-    """In DuckDB, with spaced seeds as lists of tokens: a leak that none of ORACLE_MASKS hits is not among its rows."""
-    masks = " union all ".join(
-        f"select k, i - 1 as pos, [{m}::varchar, {', '.join(f't[i + {p}]' for p in mask)}] as h from src, lateral (select unnest(range(1, len(t) - {mask[-1]} + 1)) as i)" for m, mask in enumerate(ORACLE_MASKS)
-    )
+    """In DuckDB, without seeds: every alignment with enough equal tokens is looked at window by window."""
     tok = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     return f"""
 with d as (select doc_id as k, {tok} as t from documents where text is not null),
 b as (select distinct item_id as k, {tok} as t from benchmark where item_id is not null),
-ds as (with src as (select * from d) {masks}),
-bs as (with src as (select * from b) {masks}),
-hits as (select distinct ds.k as doc_id, bs.k as item_id, ds.pos - bs.pos as shift from ds join bs on ds.h = bs.h),
+dt as (select k, unnest(t) as w, unnest(range(len(t))) as p from d),
+bt as (select k, unnest(t) as w, unnest(range(len(t))) as p, len(t) as n from b),
+hits as (select dt.k as doc_id, bt.k as item_id, dt.p - bt.p as shift from dt join bt using (w) group by all having count(*) >= min(least({WINDOW}, bt.n)) * {SHARE}),
 al as (select doc_id, item_id, shift, d.t as t, b.t as b, greatest(0, -shift) as lo, least(len(b.t), len(d.t) - shift) as hi, least({WINDOW}, len(b.t)) as compared
        from hits join d on d.k = doc_id join b on b.k = item_id),
 places as (select *, unnest(range(lo, hi - compared + 1)) as p from al where hi - lo >= compared),

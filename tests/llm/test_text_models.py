@@ -201,12 +201,24 @@ def test_every_letter_context_is_kept(spark, monkeypatch):
 
 
 def test_every_leak_has_a_seed():
-    """All patterns of places that disagree, for every length of an item."""
+    """All patterns of places that disagree, for every length of an item: some place of the mask meets none of them."""
     for n in range(1, decontam.WINDOW + 1):
-        wrong = next(k for k in range(n, -1, -1) if n - k >= n * decontam.SHARE)
+        wrong, picked = next(k for k in range(n, -1, -1) if n - k >= n * decontam.SHARE), decontam.mask(n)
+        assert len(picked) > 1 or n < 2
         for places in itertools.combinations(range(n), wrong):
-            edges = [-1, *places, n]
-            assert max(b - a - 1 for a, b in itertools.pairwise(edges)) >= decontam.seed_length(n)
+            assert any(not {a + p for p in picked} & set(places) for a in range(n - picked[-1]))
+    assert decontam.mask(20) == (0, 5, 10, 15)
+
+
+def test_leak_edges(spark):
+    """Repeated rows, an empty table of documents, clashing columns, a very long text, words that repeat."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi"
+    rows = [(1, item, 1, "h"), (1, item, 1, "h"), (2, "word " * 200_000 + item, 2, "t"), (3, "alpha " * 300, 3, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long, t string")
+    bench = spark.createDataFrame([(9, item), (9, item), (8, "alpha " * 25)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["matched"], r["start_token"]) for r in decontam.leaks(docs, bench).collect())
+    assert got == [(1, 9, 20, 0), (2, 9, 20, 200_000), (3, 8, 20, 0)]
+    assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.clean(docs, bench).columns == docs.columns
 
 
 def test_leaks_against_all_alignments(spark):
