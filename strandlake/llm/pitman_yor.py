@@ -1,407 +1,419 @@
-"""Language-model scores from hierarchical Pitman-Yor restaurants.
-
-The model of a text is a chain of word classes with words under it. The CLASSES - 1 most frequent training words and the
-end of a text are classes of their own; all other words share one class and are told apart below it.
-
-* Class chain: a restaurant for each previous class, whose parent is the restaurant without context, over a uniform base.
-* Words of the shared class: one restaurant over all of them, whose base is a spelling model.
-* Spelling: restaurants for the last DEPTH letters, each with the restaurant of one letter less as parent, down to no
-  letter over a uniform base. Letters are bytes; the rare ones share a symbol. A word ends with a symbol of its own. The
-  strings of the frequent words are left out of the spelling distribution, so that everything sums to one.
-
-Seating follows the Chinese restaurant process: a customer's dish at an old table with weight size - discount, at a new
-table with weight (strength + discount * tables) * parent probability; each table is a customer of the parent. Seatings
-are sampled by Gibbs sweeps: customers leave their tables and are seated again. Tables are kept as a histogram of sizes
-by dish. Restaurants that share their last context symbol form a subtree, and the subtrees are sampled in parallel by
-Spark tasks, given the root's probabilities. The predictive probabilities of SAMPLES samples are averaged.
-
-Counts cover every training text and grow with them: words are counted by a shuffle over all tokens; so are pairs of
-classes and letters. Letter contexts of every level stay in Spark: a task samples whole subtrees and writes the probability
-of each code of the vocabulary, seen in training or not, as a + b * (the root's probability); words are spelled by joins to
-that table. What is broadcast has a fixed size: class pairs and the HOT most frequent words. Tokens beyond those get their
-word's counts and probability by a join.
-
-Null texts are empty: they consist of one end. Ties among frequent words go by the word. Without training texts every
-count is 0 and the probabilities are those of the uniform bases.
+"""Language-model scores from a hierarchical Pitman-Yor model of words.
+
+A text is its words and one end. A restaurant stands for a context: the two tokens before, the one before, or none; a
+text begins after two ends. The parent of a restaurant is the one whose context is one word shorter, so that all contexts
+with the same last word share a parent, and the parent of the restaurant without context is uniform over the V + 1 types
+that the training texts hold or don't hold. A dish is a token, a customer one of its occurrences in training texts;
+each table of a dish is a customer for that dish in the parent restaurant.
+
+Seating (Chinese restaurant process): the state of a dish is its customers c and tables t. Given the tables of the rest of
+its restaurant and the parent's probability p, t of c customers has the weight
+S(c, t) * prod_{j < t} (strength + discount * (other tables + j)) * p, with the generalised Stirling number S of the
+discount: every way to seat c customers at t tables. A Gibbs sweep takes all customers of every dish from their tables
+and draws t from these weights, restaurant by restaurant upwards (the tables become the parent's customers) and, in the
+next sweep, with the parents' new probabilities. All dishes of a restaurant are drawn at once, given its tables before.
+The numbers S follow their recursion up to FOLLOWED customers and longer steps of it beyond; only a dish whose weights
+have not fallen off by WINDOW tables is seated otherwise, its further customers one after another. Discount and strength
+of each level are drawn from their weights over a grid given the seating. Predictive probabilities are averaged over SAMPLES
+seatings.
+
+On Spark: each occurrence goes, once, to a group of about GROUP occurrences that holds a share of the last words of
+contexts: whole subtrees of restaurants, as packed arrays, written as a bucketed table, so that both rounds read it
+without a shuffle. A last word with more occurrences than half a group is split by the dish. Round one seats each group's
+customers; tables are then summed over groups by dish, customers and tables by context for the split words, and go back
+to the groups that asked. The restaurant without context depends on a dish by its customers only, so its seating is
+sampled from the histogram of customers. Round two seats again, with the others' sums, and scores all occurrences,
+training or not. No part of the counts is dropped: what is gathered grows with the texts.
+
+Words are told apart by 64-bit hashes. Null texts are empty: they consist of one end. Repeated rows count and are scored
+as often as they occur; extra columns are ignored; an empty table gives an empty result. Without training texts every
+count is 0 and the only type is the unseen one. A long text is cut into pieces that keep their contexts.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import math
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.bytesets import LOWER, Texts, Words, span_hashes, texts, word_hashes, words
-from strandlake.llm.spark_io import durable
-
-CLASSES = 512
-SYMBOLS = 48
-DEPTH = 4
-#: Words that are spelled together.
-BUCKET = 50_000
-HOT = 100_000
-DISCOUNT = 0.75
-STRENGTH = 1.0
-SAMPLES = 2
-SWEEPS = 12
-SIZES = 6
-END = 0
-
-
-class Seats:
-    """Seatings of many dishes in many restaurants, updated together."""
-
-    def __init__(self, customers: np.ndarray, room: np.ndarray, base: np.ndarray, rng: np.random.Generator):
-        self.c, self.room, self.base, self.rng = customers.astype(np.int64), room, base, rng
-        self.rooms = int(room.max()) + 1 if len(room) else 0
-        n = np.minimum(self.c, 1)
-        self.t = n.copy()
-        while (open_ := np.flatnonzero(n < self.c)).size:  # customers arrive in growing groups
-            group = np.minimum(np.maximum(1, n[open_] // 8), self.c[open_] - n[open_])
-            new = self.new_weight()[open_]
-            old = n[open_] - DISCOUNT * self.t[open_]
-            self.t[open_] += rng.binomial(group, new / (old + new))
-            n[open_] += group
-        # tables of size 1..SIZES by number; larger ones by number and customers
-        self.small = np.zeros((len(self.c), SIZES + 1), np.int64)
-        self.small[:, 1] = np.maximum(self.t - 1, 0)
-        rest = self.c - self.small[:, 1]
-        fits = np.flatnonzero((rest <= SIZES) & (self.c > 0))
-        np.add.at(self.small, (fits, rest[fits]), 1)
-        self.big = ((rest > SIZES) & (self.c > 0)).astype(np.int64)
-        self.in_big = np.where(self.big > 0, rest, 0)
-
-    def tables(self) -> np.ndarray:
-        return np.bincount(self.room, self.t, self.rooms)
-
-    def new_weight(self) -> np.ndarray:
-        return (STRENGTH + DISCOUNT * self.tables()[self.room]) * self.base
-
-    def sweep(self) -> None:
-        """One customer of each dish that has two or more leaves and is seated again."""
-        at = np.flatnonzero(self.c > 1)
-        if not len(at):
-            return
-        size = np.arange(SIZES + 1)
-        line = np.cumsum(np.concatenate([self.small[at] * size, self.in_big[at, None]], axis=1), axis=1)
-        pick = (line <= (self.rng.random(len(at)) * self.c[at])[:, None]).sum(axis=1)
-        is_small = pick <= SIZES
-        i, k = at[is_small], pick[is_small]
-        self.small[i, k] -= 1
-        self.small[i[k > 1], k[k > 1] - 1] += 1
-        self.t[i[k == 1]] -= 1
-        i = at[~is_small]
-        self.in_big[i] -= 1
-        i = i[self.in_big[i] < self.big[i] * (SIZES + 1)]
-        self.big[i] -= 1
-        self.small[i, SIZES] += 1
-        self.in_big[i] -= SIZES
-        old = np.concatenate([self.small[at] * np.maximum(size - DISCOUNT, 0), (self.in_big[at] - DISCOUNT * self.big[at])[:, None]], axis=1)
-        line = np.cumsum(np.concatenate([old, self.new_weight()[at, None]], axis=1), axis=1)
-        pick = np.minimum((line <= (self.rng.random(len(at)) * line[:, -1])[:, None]).sum(axis=1), SIZES + 2)
-        i, k = at[pick <= SIZES], pick[pick <= SIZES]
-        self.small[i, k] -= 1
-        self.small[i[k < SIZES], k[k < SIZES] + 1] += 1
-        grown = i[k == SIZES]
-        self.big[grown] += 1
-        self.in_big[grown] += SIZES + 1
-        self.in_big[at[pick == SIZES + 1]] += 1
-        new = at[pick == SIZES + 2]
-        self.small[new, 1] += 1
-        self.t[new] += 1
-
-    def predictive(self) -> np.ndarray:
-        people = np.bincount(self.room, self.c, self.rooms)[self.room]
-        return (self.c - DISCOUNT * self.t + self.new_weight()) / (STRENGTH + people)
-
-
-def sample_subtrees(code: np.ndarray, count: np.ndarray, symbols: int, depth: int, root: np.ndarray, rng: np.random.Generator, rounds: int = 2) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(codes, customers, tables) of the levels depth..1 of whole subtrees; a code's digits are its context's symbols and the dish."""
-    levels, up = [code], []
-    for k in range(depth, 1, -1):
-        codes, to = np.unique(levels[-1] % symbols**k, return_inverse=True)
-        levels.append(codes)
-        up.append(to)
-    rooms = [np.unique(c // symbols, return_inverse=True)[1] for c in levels]
-    base = [root[c % symbols] for c in levels]
-    seats: list[Seats] = []
-    for _ in range(rounds):
-        seats, customers = [], count
-        for k in range(depth):
-            s = Seats(customers, rooms[k], base[k], rng)
-            for _ in range(SWEEPS):
-                s.sweep()
-            seats.append(s)
-            if k < depth - 1:
-                customers = np.bincount(up[k], s.t, len(levels[k + 1])).astype(np.int64)
-        for k in range(depth - 2, -1, -1):
-            seats[k + 1].base = base[k + 1]
-            base[k] = seats[k + 1].predictive()[up[k]]
-    return [(c, s.c, s.t) for c, s in zip(levels, seats, strict=True)]
-
-
-def affine(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """a, b of the first level's codes: their predictive probability is a + b * (the root's probability of the dish)."""
-    a, b, above = np.zeros(0), np.zeros(0), None
-    for level, (codes, c, t) in enumerate(reversed(levels), start=1):
-        rooms, room = np.unique(codes // symbols, return_inverse=True)
-        people, tables = np.bincount(room, c, len(rooms))[room], np.bincount(room, t, len(rooms))[room]
-        back, own = (STRENGTH + DISCOUNT * tables) / (STRENGTH + people), (c - DISCOUNT * t) / (STRENGTH + people)
-        if above is None:
-            a, b = own, back
-        else:
-            up = np.searchsorted(above, codes % symbols**level)
-            a, b = own + back * a[up], back * b[up]
-        above = codes
-    return a, b
-
-
-#: Rows of a few long arrays reach the driver as bytes.
-PACKED = "w binary, x binary, y binary, z binary"
-
-
-def packed(arrays: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(a, np.int64).tobytes()], pa.binary()) for a in arrays], ["w", "x", "y", "z"])
-
-
-def unpacked(row) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int64) for x in row]
-
-
-def sample_tree(counts: DataFrame, symbols: int, depth: int, seed: int, samples: int = SAMPLES) -> DataFrame:
-    """(code, p): each code's predictive probability, averaged over samples of seatings of (code, n); n may be 0.
-
-    Only the root's customers, one number by dish, reach the driver.
+from strandlake.llm.bytesets import Texts, U, mix, splitmix, texts, word_hashes, words
+from strandlake.llm.spark_io import discard, durable, shared_dir
+
+#: Occurrences in a group, about; a task holds one group at a time.
+GROUP = 1_500_000
+#: Bytes of text that are packed together.
+SLICE = 4 << 20
+#: The most frequent words, whose two-byte numbers stand for them in the packed arrays.
+HOT = 60_000
+#: Customers up to which all Stirling numbers are tabulated, and tables up to which they are known at all.
+EXACT = 256
+WINDOW = 1024
+FOLLOWED = 4 * WINDOW
+SWEEPS = 2
+SAMPLES = 3
+START = ((0.8, 1.0), (0.8, 1.0), (0.8, 1.0))
+DISCOUNTS = np.arange(1, 20) / 20
+STRENGTHS = np.array([0.05, 0.2, 0.5, 1, 2, 5, 10, 20, 50, 200, 1000])
+END = U(0x2545F4914F6CDD1D)
+_FAR = splitmix(4, 909)
+
+
+class Stirling:
+    """log S(c, t) of one discount: S(c + 1, t) = S(c, t - 1) + (c - t * discount) S(c, t).
+
+    Up to FOLLOWED customers the rows follow the recursion; of those beyond EXACT a geometric grid is kept. From there a
+    step takes 1 / FOLLOWED of the customers at once, with the ratio S(c, t - 1) / S(c, t) from both of its ends.
     """
-    spark = counts.sparkSession
-    counts = durable(counts, "customers")
-    root, out = np.full(symbols, 1.0 / symbols), []
-    for sample in range(samples + 1):
-        shared = spark.sparkContext.broadcast(root)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, sample=sample) -> Iterator[pa.RecordBatch]:
-            code, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for batch in batches:
-                code.append(batch.column(0).to_numpy())
-                n.append(batch.column(1).to_numpy())
-            code, n = np.concatenate(code), np.concatenate(n)
-            if not len(code):
-                return
-            order = np.argsort(code)
-            rng = np.random.default_rng([seed, sample, int(code.min())])
-            levels = sample_subtrees(code[order], n[order], symbols, depth, shared.value, rng)
-            top, _, t = levels[-1]
-            people = np.bincount(top % symbols, t, symbols)
-            names = ["top", "code", "a", "b"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(symbols, bool)), pa.array(np.arange(symbols)), pa.array(people), pa.array(np.zeros(symbols))], names)
-            if sample:  # the first sample is burn-in and only gives the root
-                a, b = affine(levels, symbols)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(levels[0][0]), pa.array(a), pa.array(b)], names)
-
-        by_last = F.col("code").cast("decimal(20,0)")
-        by_last = F.pmod(F.floor(by_last / F.lit(symbols)).cast("long"), F.lit(symbols))
-        dealt = counts.withColumn("last", by_last).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "last").select("code", "n")
-        got = durable(dealt.mapInArrow(run, "top boolean, code long, a double, b double"), "seating")
-        people = np.zeros(symbols, np.int64)
-        for r in got.where("top").groupBy("code").agg(F.sum("a").cast("long").alias("n")).collect():
-            people[r["code"]] = r["n"]
-        top = Seats(people, np.zeros(symbols, np.int64), np.full(symbols, 1.0 / symbols), np.random.default_rng([seed, sample]))
-        for _ in range(SWEEPS):
-            top.sweep()
-        root = top.predictive()
-        if sample:
-            of_dish = F.get(F.array(*[F.lit(float(x)) for x in root]), F.pmod("code", F.lit(symbols)).cast("int"))
-            out.append(got.where("not top").select("code", (F.col("a") + F.col("b") * of_dish).alias("p")))
-    every = out[0]
-    for more in out[1:]:
-        every = every.union(more)
-    return every.groupBy("code").agg((F.sum("p") / F.lit(samples)).alias("p"))
-
-
-@dataclass
-class Alphabet:
-    """Byte to letter symbol: 0 ends a word, 1 stands for every byte without a symbol of its own."""
-
-    symbol: np.ndarray
-    shared: int
-
-    @classmethod
-    def of(cls, frequent: list[int]) -> Alphabet:
-        symbol = np.ones(256, np.int64)
-        symbol[frequent[: SYMBOLS - 3]] = np.arange(2, 2 + len(frequent[: SYMBOLS - 3]))  # the last symbol is no letter
-        return cls(symbol, int((symbol == 1).sum()))
-
-    def codes(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Code of every letter and end of the words data[offs[i]:offs[i+1]], and each word's offset among them."""
-        n = np.diff(offs) + 1
-        at = np.concatenate([[0], np.cumsum(n)])
-        line = np.zeros(at[-1] + DEPTH, np.int64)
-        inside = np.arange(len(data)) + np.repeat(np.arange(len(n)), n - 1)
-        line[inside + DEPTH] = self.symbol[data]
-        place = np.arange(at[-1]) - np.repeat(at[:-1], n)
-        code = np.zeros(at[-1], np.int64)
-        for k in range(DEPTH, 0, -1):
-            code = code * SYMBOLS + np.where(place >= k, line[DEPTH - k : len(line) - k], 0)
-        return code * SYMBOLS + line[DEPTH:], at
-
-
-def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    t = next(texts(column, 1 << 62))
-    return t.data, t.offs
-
-
-def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The byte spans as a string column."""
-    size = end - start
-    offs = np.concatenate([[0], np.cumsum(size)])
-    raw = data[np.arange(offs[-1]) - np.repeat(offs[:-1], size) + np.repeat(start, size)]
-    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))).cast(pa.string())
 
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) from (text, train): every distinct word, with its count in training texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            train = batch.column(1).to_numpy(zero_copy_only=False)
-            for t in texts(batch.column(0), 1 << 23):
-                w = words(t)
-                h = word_hashes(t, w)
-                _, first, to = np.unique(h, return_index=True, return_inverse=True)
-                mine = np.repeat(train[t.first : t.first + t.n], np.diff(w.offs))
-                n = np.bincount(to, mine, len(first)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([gathered(LOWER[t.data], w.start[first], w.end[first]), pa.array(n)], ["word", "c"])
-
-    return docs.select("text", "train").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-@dataclass
-class Lookup:
-    """Sorted word hashes with what belongs to them."""
-
-    hashes: np.ndarray
-    values: list[np.ndarray]
-
-    @classmethod
-    def of(cls, words_: list[str], values: list[np.ndarray]) -> Lookup:
-        raw = [x.encode() for x in words_]
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        end = np.cumsum([len(x) for x in raw], dtype=np.int64)
-        h = span_hashes(data, end - np.array([len(x) for x in raw], np.int64), end) if raw else np.zeros(0, np.uint64)
-        order = np.argsort(h)
-        return cls(h[order], [np.asarray(v)[order] for v in values])
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each hash and whether it is there."""
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return at, self.hashes[at] == h
-
-
-def class_chain(t: Texts, w: Words, h: np.ndarray, frequent: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes previous * (CLASSES + 1) + own for all tokens including ends, offsets by text, and each word's class."""
-    at, there = frequent.find(h)
-    own = np.where(there, frequent.values[0][at] if len(frequent.hashes) else 0, CLASSES)
+    def __init__(self, discount: float):
+        self.discount, self.t = discount, np.arange(WINDOW + 1)
+        self.small = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        self.small[0, 0] = 0
+        for c in range(EXACT):
+            self.small[c + 1] = self._next(self.small[c], c)
+        self.grid: list[int] = []
+        self.rows: list[np.ndarray] = []
+
+    def _next(self, row: np.ndarray, c: int) -> np.ndarray:
+        out = np.logaddexp(np.append(-np.inf, row[:-1]), row + np.log(np.maximum(c - self.t[: len(row)] * self.discount, 1e-300)))
+        out[c + 2 :] = -np.inf
+        return out
+
+    def _follow(self) -> None:
+        row = np.full(WINDOW + 1, -np.inf)
+        row[: EXACT + 1] = self.small[EXACT]
+        wanted = EXACT
+        for c in range(EXACT, FOLLOWED + 1):
+            if c == wanted or c == FOLLOWED:
+                self.grid.append(c)
+                self.rows.append(row)
+                wanted = c + c // 64
+            row = self._next(row, c)
+
+    def _after(self, row: np.ndarray, c: int, to: int) -> np.ndarray:
+        """The row of to customers from that of c; the steps are short against c / ratio, which keeps them stable."""
+        while c < to:
+            step = min(max(1, c // FOLLOWED), to - c)
+            ratio = self._ratio(row)
+            for _ in range(2):
+                out = row + step * np.log(np.maximum(c + (step - 1) / 2 - self.t * self.discount + ratio, 1e-300))
+                ratio = (self._ratio(row) + self._ratio(out)) / 2
+            row, c = out, c + step
+        return row
+
+    @staticmethod
+    def _ratio(row: np.ndarray) -> np.ndarray:
+        before = np.append(-np.inf, row[:-1])
+        return np.where(np.isfinite(row), np.exp(np.minimum(before - np.where(np.isfinite(row), row, 0), 600)), 0)
+
+    def row(self, c: int) -> np.ndarray:
+        """log S(c, 1), log S(c, 2), ... up to c or WINDOW tables."""
+        if c <= EXACT:
+            return self.small[c, 1 : c + 1]
+        if not self.rows:
+            self._follow()
+        while self.grid[-1] < c:
+            step = self.grid[-1] // 64
+            self.rows.append(self._after(self.rows[-1], self.grid[-1], self.grid[-1] + step))
+            self.grid.append(self.grid[-1] + step)
+        at = bisect.bisect_right(self.grid, c) - 1
+        row = self.rows[at]
+        if c > FOLLOWED:
+            row = self._after(row, self.grid[at], c)
+        else:
+            for k in range(self.grid[at], c):
+                row = self._next(row, k)
+        return row[1 : min(c, WINDOW) + 1]
+
+
+@functools.lru_cache(maxsize=32)
+def stirling(discount: float) -> Stirling:
+    return Stirling(discount)
+
+
+def draw(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish, drawn given its customers, the other tables of its restaurant and the parent's probability."""
+    numbers = stirling(discount)
+    tables = np.minimum(customers, 1)
+    many = np.flatnonzero(customers > 1)
+    many = many[np.argsort(customers[many], kind="stable")]
+    size = customers[many]
+    edge = np.flatnonzero(np.append(True, size[1:] != size[:-1])) if len(size) else np.zeros(0, np.int64)
+    beyond: list[np.ndarray] = []
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(size)], strict=True):
+        weights = numbers.row(int(size[a]))
+        step = max(1, (1 << 20) // len(weights))
+        for i in range(a, b, step):
+            at = many[i : min(i + step, b)]
+            line = np.log(strength + discount * (others[at, None] + np.arange(len(weights)))) + np.log(base[at, None])
+            np.cumsum(line, axis=1, out=line)
+            line += weights
+            line -= line.max(axis=1, keepdims=True)
+            if size[a] > WINDOW:
+                beyond.append(at[line[:, -1] > -12])
+            np.cumsum(np.exp(line, out=line), axis=1, out=line)
+            pick = (line <= (rng.random(len(at)) * line[:, -1])[:, None]).sum(axis=1)
+            tables[at] = np.minimum(pick, len(weights) - 1) + 1
+    at = np.concatenate(beyond) if beyond else np.zeros(0, np.int64)
+    seated = np.full(len(at), WINDOW, np.int64)
+    while len(at):  # dishes that may have more tables than the window
+        new = (strength + discount * (others[at] + tables[at])) * base[at]
+        group = np.minimum(seated // 64, customers[at] - seated)
+        tables[at] += rng.binomial(group, new / (new + seated - discount * tables[at]))
+        seated += group
+        left = seated < customers[at]
+        at, seated = at[left], seated[left]
+    return tables
+
+
+def predictive(c: np.ndarray, t: np.ndarray, people: np.ndarray, tables: np.ndarray, base: np.ndarray, discount: float, strength: float) -> np.ndarray:
+    """A dish's probability in its restaurant (people, tables: of the whole restaurant), given the parent's."""
+    return (c - discount * t + (strength + discount * tables) * base) / (strength + people)
+
+
+def binned(x: np.ndarray) -> np.ndarray:
+    """Numbers to within 3 %: what depends on them only through a logarithm may be grouped so."""
+    return np.where(x < 64, x, np.round(np.exp2(np.round(np.log2(np.maximum(x, 1)) * 24) / 24))).astype(np.int64)
+
+
+def sample_level(seen: list[tuple[int, int, int, int]], discount: float, strength: float, rng: np.random.Generator) -> tuple[float, float]:
+    """Discount and strength given a level's seating, as rows (kind, a, b, n): n dishes with a customers and b tables
+    (kind 0), n restaurants with a tables (1), n restaurants with a customers (2)."""
+    dishes, tables, people = ([r[1:] for r in seen if r[0] == k] for k in range(3))
+    if not tables:
+        return discount, strength
+
+    def rooms(d: float, s: float) -> float:
+        got = sum(n * ((a - 1) * math.log(d) + math.lgamma(s / d + a) - math.lgamma(s / d + 1)) for a, _, n in tables if a)
+        return got - sum(n * (math.lgamma(s + a) - math.lgamma(s + 1)) for a, _, n in people if a)
+
+    def choose(weights: np.ndarray) -> int:
+        p = np.exp(weights - weights.max())
+        return int(rng.choice(len(p), p=p / p.sum()))
+
+    c, t, n = (np.array(x) for x in zip(*dishes, strict=True)) if dishes else (np.zeros(0, int),) * 3
+    seats = np.array([float((n * stirling(d).small[c, t]).sum()) for d in DISCOUNTS])
+    for _ in range(4):
+        discount = float(DISCOUNTS[choose(seats + [rooms(d, strength) for d in DISCOUNTS])])
+        strength = float(STRENGTHS[choose(np.array([rooms(discount, s) for s in STRENGTHS]))])
+    return discount, strength
+
+
+class Root:
+    """The restaurant without context, from the histogram of customers by dish: (customers, dishes) pairs."""
+
+    def __init__(self, customers: np.ndarray, dishes: np.ndarray, types: int, rng: np.random.Generator, sweeps: int = 6):
+        order = np.argsort(customers)
+        self.customers, n = customers[order], dishes[order]
+        self.people, self.base = int((self.customers * n).sum()), 1.0 / (types + 1)
+        self.discount, self.strength = START[0]
+        tables, total = np.zeros(len(n)), float(n.sum())
+        total_sum, kept = 0.0, 0
+        for sweep in range(sweeps + SAMPLES if len(n) else 0):
+            now, seen = np.zeros(len(n)), []
+            for i, (c, m) in enumerate(zip(self.customers.tolist(), n.tolist(), strict=True)):
+                dishes_ = min(m, 2000)  # dishes with the same customers are alike: more than that many are drawn by their shares
+                t = draw(np.full(dishes_, c), np.full(dishes_, total - total / max(1, n.sum())), np.full(dishes_, self.base), self.discount, self.strength, rng)
+                now[i] = t.mean()
+                if c <= EXACT:
+                    seen += [(0, c, int(k), m * int(x) / dishes_) for k, x in zip(*np.unique(t, return_counts=True), strict=True)]
+            total = float((now * n).sum())
+            if sweep >= sweeps:
+                tables, total_sum, kept = tables + now, total_sum + total, kept + 1
+            else:
+                seen += [(1, int(round(total)), 0, 1), (2, self.people, 0, 1)]
+                self.discount, self.strength = sample_level(seen, self.discount, self.strength, rng)
+        self.tables, self.total = tables / max(1, kept), total_sum / max(1, kept)
+
+    def probability(self, customers: np.ndarray) -> np.ndarray:
+        """Of dishes by their customers; 0 customers: an unseen one."""
+        t = self.tables[np.minimum(np.searchsorted(self.customers, customers), len(self.customers) - 1)] if len(self.customers) else np.zeros(len(customers))
+        t = np.where(customers > 0, t, 0)
+        return predictive(customers, t, self.people, self.total, self.base, self.discount, self.strength)
+
+
+class Subtrees:
+    """The restaurants of one group, from its occurrences: hashes by number, and numbers of (second, first, dish) words."""
+
+    def __init__(self, hashes: np.ndarray, second: np.ndarray, first: np.ndarray, dish: np.ndarray, train: np.ndarray):
+        many = len(hashes)
+        self.hashes = hashes
+        pair, self.pair_of = np.unique(first * many + dish, return_inverse=True)
+        self.first, self.dish = pair // many, pair % many
+        triple, self.of = np.unique(second * len(pair) + self.pair_of, return_inverse=True)
+        self.parent, second = triple % len(pair), triple // len(pair)
+        context, self.room = np.unique(second * many + self.first[self.parent], return_inverse=True)
+        self.context = context // many, context % many
+        self.c2 = np.bincount(self.of, train, len(triple)).astype(np.int64)
+        self.people2, self.more_people2, self.more_tables2 = np.bincount(self.room, self.c2, len(context)), 0, 0
+        self.more_people1, self.more_tables1 = 0, 0
+        self.t2 = np.minimum(self.c2, 1)
+        self._count()
+        self.t1 = np.minimum(self.c1, 1)
+
+    def _count(self) -> None:
+        self.c1 = np.bincount(self.parent, self.t2, len(self.first)).astype(np.int64)
+
+    def rooms1(self) -> tuple[np.ndarray, np.ndarray]:
+        many = len(self.hashes)
+        return np.bincount(self.first, self.c1, many) + self.more_people1, np.bincount(self.first, self.t1, many) + self.more_tables1
+
+    def rooms2(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.people2 + self.more_people2, np.bincount(self.room, self.t2, len(self.people2)) + self.more_tables2
+
+    def probabilities(self, root: np.ndarray, levels) -> tuple[np.ndarray, np.ndarray]:
+        """Predictive probability of each pair and each triple; root: of each word."""
+        people, tables = self.rooms1()
+        p1 = predictive(self.c1, self.t1, people[self.first], tables[self.first], root[self.dish], *levels[1])
+        people, tables = self.rooms2()
+        return p1, predictive(self.c2, self.t2, people[self.room], tables[self.room], p1[self.parent], *levels[2])
+
+    def sweep(self, root: np.ndarray, levels, rng: np.random.Generator) -> None:
+        """All customers of the longer contexts, then of the shorter."""
+        p1, _ = self.probabilities(root, levels)
+        _, tables = self.rooms2()
+        self.t2 = draw(self.c2, tables[self.room] - self.t2, p1[self.parent], *levels[2], rng)
+        self._count()
+        _, tables = self.rooms1()
+        self.t1 = np.minimum(self.t1, self.c1)
+        self.t1 = draw(self.c1, np.maximum(tables[self.first] - self.t1, 0), root[self.dish], *levels[1], rng)
+
+    def local_root(self, types: int) -> np.ndarray:
+        """A guess of the root's probabilities from the group's own tables."""
+        c = np.bincount(self.dish, self.t1, len(self.hashes))
+        return predictive(c, np.minimum(c, 1), c.sum(), np.count_nonzero(c), 1.0 / (types + 1), *START[0])
+
+    def context_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the shorter contexts (one for each word) and of the longer."""
+        second, first = self.context
+        return mix(self.hashes ^ _FAR[1]), mix(mix(self.hashes[second] ^ _FAR[2]) + self.hashes[first])
+
+    def seating(self) -> list[tuple[int, int, int, int, int]]:
+        """(level, kind, a, b, n), as sample_level takes them."""
+        out = []
+        for level, c, t, people, tables in ((1, self.c1, self.t1, *self.rooms1()), (2, self.c2, self.t2, *self.rooms2())):
+            for kind, a, b in ((0, c[(c > 0) & (c <= EXACT)], t[(c > 0) & (c <= EXACT)]), (1, binned(tables[people > 0]), None), (2, binned(people[people > 0]), None)):
+                key, n = np.unique(a.astype(np.int64) * (EXACT + 1) + (0 if b is None else b), return_counts=True)
+                out += [(level, kind, k // (EXACT + 1), k % (EXACT + 1), m) for k, m in zip(key.tolist(), n.tolist(), strict=True)]
+        return out
+
+
+def lines(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of texts, ends included, and their offsets by text."""
+    w = words(t)
     n = np.diff(w.offs) + 1
     offs = np.concatenate([[0], np.cumsum(n)])
-    line = np.full(offs[-1], END, np.int64)
-    line[np.arange(len(own)) + np.repeat(np.arange(t.n), n - 1)] = own
-    before = np.concatenate([[END], line[:-1]])
-    return before * (CLASSES + 1) + line, offs, own
+    line = np.full(offs[-1], END, U)
+    line[np.arange(len(w.start)) + np.repeat(np.arange(t.n), n - 1)] = word_hashes(t, w)
+    return line, offs
 
 
-def count_classes(docs: DataFrame, frequent: Lookup) -> DataFrame:
-    """(code, n): pairs of neighbouring classes in training texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def count_words(docs: DataFrame) -> DataFrame:
+    """(h, c, n) from (text, train): every distinct token with its occurrences in training texts and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((CLASSES + 1) ** 2, np.int64)
         for batch in batches:
-            for t in texts(batch.column(0)):
-                w = words(t)
-                code, _, _ = class_chain(t, w, word_hashes(t, w), shared.value)
-                n += np.bincount(code, minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["code", "n"])
-
-    return docs.where("train").select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def count_letters(vocabulary: DataFrame, letters: Alphabet, weight: str) -> DataFrame:
-    """(code, n): letters in context with the sum of their words' weights; a code of weightless words has 0."""
+            train = batch.column(1).to_numpy(zero_copy_only=False)
+            for t in texts(batch.column(0), SLICE):
+                line, offs = lines(t)
+                h, to, n = np.unique(line, return_inverse=True, return_counts=True)
+                c = np.bincount(to, np.repeat(train[t.first : t.first + t.n], np.diff(offs)), len(h)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(n.astype(np.int64))], ["h", "c", "n"])
+
+    return docs.select("text", "train").mapInArrow(run, "h long, c long, n long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Unsigned numbers of several arrays, each in the least width that holds it, compressed together."""
+    parts, head = [], [len(arrays)]
+    for a in arrays:
+        width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << (8 * w))
+        head += [width, len(a)]
+        parts.append(np.ascontiguousarray(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())  # byte planes compress better
+    raw = np.array(head, "<u4").tobytes() + b"".join(parts)
+    return np.uint32(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[4:], int(np.frombuffer(data, "<u4", 1)[0]), "zstd", asbytes=True)
+    many = int(np.frombuffer(raw, "<u4", 1)[0])
+    head, at, out = np.frombuffer(raw, "<u4", 2 * many, 4).tolist(), 4 + 8 * many, []
+    for width, n in zip(head[::2], head[1::2], strict=True):
+        planes = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
+        at += width * n
+    return out
+
+
+def dealt(docs: DataFrame, kind: str, groups: int, hot: np.ndarray, split: np.ndarray, shares: np.ndarray) -> DataFrame:
+    """(bucket, base, ids, data) from (id, text, train): the occurrences of a slice of texts by group, packed, and, with a
+    bucket below 0, the slice's ids with their numbers of tokens. hot and split are sorted hashes."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, split, shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_, split_, shares_ = shared.value
+        base = TaskContext.get().partitionId() << 33
         for batch in batches:
-            if len(batch):
-                code, at = letters.codes(*binary_parts(batch.column(0)))
-                codes, to = np.unique(code, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.bincount(to, np.repeat(batch.column(1).to_numpy(), np.diff(at))).astype(np.int64))], ["code", "n"])
-
-    return vocabulary.select("word", F.expr(weight).cast("long").alias("n")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def spell_words(vocabulary: DataFrame, letters: Alphabet, table: DataFrame) -> DataFrame:
-    """(word, h, c, spelling): every word's hash and log10 spelling probability; table holds all codes of the words.
-
-    The words are dealt into buckets; each bucket's distinct codes are joined to the table and come back to its words.
-    """
-    buckets = max(1, -(-vocabulary.count() // BUCKET))
-    lot = SYMBOLS ** (DEPTH + 1)
-    dealt = vocabulary.select("word", "c", F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("b")).repartition("b")
+            train = batch.column(2).to_numpy(zero_copy_only=False)
+            for t in texts(batch.column(1), SLICE):
+                line, offs = lines(t)
+                n = np.diff(offs)
+                doc = np.repeat(np.arange(t.n), n)
+                first = np.concatenate([[END], line[:-1]])
+                second = np.concatenate([[END, END], line[:-2]])[: len(line)]
+                second[offs[:-1][n > 1] + 1] = END
+                second[offs[:-1]] = END
+                share = np.zeros(len(line), U)
+                if len(split_):
+                    at = np.minimum(np.searchsorted(split_, first), len(split_) - 1)
+                    share = np.where(split_[at] == first, mix(line ^ _FAR[3]) % shares_[at], U(0))
+                bucket = (mix(first + share * _FAR[0]) % U(groups)).astype(np.int64)
+                names, number = np.unique(line, return_inverse=True)
+                end = int(np.searchsorted(names, END))
+                one = np.concatenate([[end], number[:-1]])
+                two = np.concatenate([[end, end], number[:-2]])[: len(line)]
+                two[offs[:-1][n > 1] + 1] = end
+                two[offs[:-1]] = end
+                order = np.lexsort((number, two, one, bucket))
+                bucket, one, two, number, doc = (x[order] for x in (bucket, one, two, number, doc))
+                code = np.minimum(np.searchsorted(hot_, names), max(0, len(hot_) - 1))
+                is_hot = hot_[code] == names if len(hot_) else np.zeros(len(names), bool)
+                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                rows = []
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+                    used, to = np.unique(np.concatenate([one[a:b], two[a:b], number[a:b]]), return_inverse=True)
+                    rank = np.argsort(~is_hot[used], kind="stable")  # hot words first
+                    place = np.empty(len(used), np.int64)
+                    place[rank] = np.arange(len(used))
+                    used, to = used[rank], place[to].reshape(3, -1)
+                    few = int(is_hot[used].sum())
+                    rows.append(pack([code[used[:few]].astype(U), names[used[few:]], to[0].astype(U), to[1].astype(U), to[2].astype(U), (doc[a:b] * 2 + train[t.first : t.first + t.n][doc[a:b]]).astype(U)]))
+                ids = batch.column(0)[t.first : t.first + t.n]
+                of_docs = pa.ListArray.from_arrays(pa.array([0, t.n], pa.int32()), ids)
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(rows) + 1), pa.int32()), ids[:0])
+                buckets = pa.array(np.append(bucket[cuts], -1 - base % groups).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([buckets, pa.array(np.full(len(rows) + 1, base)), pa.concat_arrays([none, of_docs]), pa.array([*rows, pack([n.astype(U)])], pa.binary())], ["bucket", "base", "ids", "data"])
+                base += 1
 
-    def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: list[np.ndarray]) -> np.ndarray:
-            return np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+    return docs.select("id", "text", "train").mapInArrow(run, f"bucket int, base long, ids array<{kind}>, data binary")
 
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if len(batch):
-                code, at = letters.codes(*binary_parts(batch.column(0)))
-                held.append(np.unique(code + lot * np.repeat(batch.column(1).to_numpy(), np.diff(at))))
-            if sum(map(len, held)) >= 1_000_000:
-                held = [done(held)]
-                if len(held[0]) >= 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0] // lot), pa.array(held[0] % lot)], ["b", "code"])
-                    held = []
-        rest = done(held)
-        yield pa.RecordBatch.from_arrays([pa.array(rest // lot), pa.array(rest % lot)], ["b", "code"])
-
-    def spelled(left: pa.Table, right: pa.Table) -> pa.Table:
-        data, offs = binary_parts(left["word"])
-        code, at = letters.codes(data, offs)
-        known, lp = right["code"].to_numpy(), right["lp"].to_numpy()
-        order = np.argsort(known)
-        each = lp[order][np.searchsorted(known[order], code)]
-        return pa.table({"word": left["word"], "h": span_hashes(data, offs[:-1], offs[1:]).view(np.int64), "c": left["c"], "spelling": np.add.reduceat(each, at[:-1])})
-
-    rare = F.when(F.col("code") % SYMBOLS == 1, math.log10(max(1, letters.shared))).otherwise(0.0)
-    lp = table.select("code", (F.log10(F.greatest("p", F.lit(1e-300))) - rare).alias("lp"))
-    answers = dealt.select("word", "b").mapInArrow(codes_of, "b long, code long").distinct().join(lp, "code").select("b", "code", "lp")
-    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(spelled, "word string, h long, c long, spelling double")
-
-
-def seat_words(spelled: DataFrame, tables: float) -> DataFrame:
-    """(word, c, t): the shared class's restaurant, given about how many tables it has in all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
-            c = batch.column(1).to_numpy()
-            base = 10.0 ** batch.column(2).to_numpy()
-            rng = np.random.default_rng([9, k, len(c), int(c.sum())])
-            # a room for each dish: what all dishes share, the number of tables, comes from outside
-            s = Seats(c, np.arange(len(c)), base * (STRENGTH + DISCOUNT * tables) / STRENGTH, rng)
-            s.new_weight = lambda s=s: STRENGTH * s.base
-            for _ in range(SWEEPS):
-                s.sweep()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.t)], ["word", "c", "t"])
-
-    return spelled.where("c > 0").select("word", "c", "spelling").mapInArrow(run, "word string, c long, t long")
+def gathered(blobs: list[bytes], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(hashes, second, first, dish, document and mark by blob) of a group's packed occurrences."""
+    parts = [unpack(x) for x in blobs]
+    own = [np.concatenate([hot[p[0].astype(np.int64)], p[1].astype(U)]) for p in parts]
+    hashes, number = np.unique(np.concatenate(own), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+    first, second, dish = (np.concatenate([number[at[i] : at[i + 1]][p[k].astype(np.int64)] for i, p in enumerate(parts)]) for k in (2, 3, 4))
+    return hashes, second, first, dish, [p[5].astype(np.int64) for p in parts]
 
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,111 +422,109 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     vocabulary = durable(count_words(base), "words")
-    ends = base.where("train").count()
-    total, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    total, types = total + ends, types + (ends > 0)
+    total, types, every = (int(x or 0) for x in vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("n")).first())
+    groups = max(1, -(-every // GROUP))
+    # at most two words a group have more than half a group's occurrences
+    most = vocabulary.where(F.col("n") > GROUP // 2).select("h", "n").toPandas().sort_values("h", key=lambda x: x.to_numpy().view(np.uint64))
+    split, shares = most["h"].to_numpy(np.int64).view(U), (1 + most["n"].to_numpy(np.int64) // (GROUP // 2)).astype(U)
+    hot = np.sort(vocabulary.orderBy(F.desc("n"), "h").limit(HOT).select("h").toPandas()["h"].to_numpy(np.int64).view(U))
+
+    name, path = f"occurrences_{uuid.uuid4().hex}", f"{shared_dir(spark)}/occurrences-{uuid.uuid4().hex}"
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt(base, kind, groups, hot, split, shares).repartition(files, "bucket").write.option("path", path).bucketBy(files, "bucket").sortBy("bucket").saveAsTable(name)
+    table = spark.table(name)
+    table.durable_path = path
+    shared = spark.sparkContext.broadcast((hot, split))
+
+    def seat(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        hot_, split_ = shared.value
+        hashes, second, first, dish, marks = gathered(group["data"].to_pylist(), hot_)
+        tree = Subtrees(hashes, second, first, dish, np.concatenate(marks) & 1)
+        rng = np.random.default_rng([7, key[0].as_py()])
+        for _ in range(SWEEPS):
+            tree.sweep(tree.local_root(types), START, rng)
+        here = np.unique(tree.dish)
+        tables = np.bincount(tree.dish, tree.t1, len(hashes))[here].astype(np.int64)
+        keys, x, y, kinds = [hashes[here]], [tables], [np.zeros(len(here), np.int64)], [np.zeros(len(here), np.int32)]
+        short, long = tree.context_keys()
+        for k, own, (people, seats) in ((short, np.isin(hashes, split_), tree.rooms1()), (long, np.isin(hashes[tree.context[1]], split_), tree.rooms2())):
+            at = np.flatnonzero(own)
+            for column, value in zip((keys, x, y, kinds), (k[at], people[at].astype(np.int64), seats[at].astype(np.int64), np.ones(len(at), np.int32)), strict=True):
+                column.append(value)
+        seen = np.array(tree.seating(), np.int64).reshape(-1, 5)
+        keys.append(((seen[:, 0] * 3 + seen[:, 1]) << 48 | seen[:, 2] << 10 | seen[:, 3]).view(U))
+        x.append(seen[:, 4])
+        y.append(np.zeros(len(seen), np.int64))
+        kinds.append(np.full(len(seen), 2, np.int32))
+        return pa.table({"bucket": pa.array(np.full(sum(map(len, keys)), key[0].as_py(), np.int32)), "kind": np.concatenate(kinds), "key": np.concatenate(keys).view(np.int64), "x": np.concatenate(x), "y": np.concatenate(y)})
+
+    seats = durable(table.where("bucket >= 0").groupBy("bucket").applyInArrow(seat, "bucket int, kind int, key long, x long, y long"), "seats")
+    sums = durable(seats.groupBy("kind", "key").agg(F.sum("x").alias("x"), F.sum("y").alias("y")), "sums")
+    hist = sums.where("kind = 0 and x > 0").groupBy("x").agg(F.count("*").alias("n")).toPandas()
+    rng = np.random.default_rng(8)
+    root = Root(hist["x"].to_numpy(np.int64), hist["n"].to_numpy(np.int64), types, rng)
+    levels = [(root.discount, root.strength)]
+    seen = [(r["key"] >> 48, r["key"] >> 10 & (1 << 38) - 1, r["key"] & 1023, r["x"]) for r in sums.where("kind = 2").collect()]
+    for level in (1, 2):
+        levels.append(sample_level([(k - 3 * level, a, b, n) for k, a, b, n in seen if k // 3 == level], *START[level], rng))
+
+    known = sums.where("kind < 2").join(vocabulary.select(F.lit(0).alias("kind"), F.col("h").alias("key"), "c"), ["kind", "key"], "left")
+    answers = seats.where("kind < 2").select("bucket", "kind", "key", F.col("x").alias("own_x"), F.col("y").alias("own_y")).join(known, ["kind", "key"])
+    answers = answers.select("bucket", "kind", "key", F.when(F.col("kind") == 0, F.col("x")).otherwise(F.col("x") - F.col("own_x")).alias("x"), (F.col("y") - F.col("own_y")).alias("y"), F.coalesce("c", F.lit(0)).alias("c"))
+    final = spark.sparkContext.broadcast((root, levels))
+
+    def rate(key: tuple[pa.Scalar, ...], group: pa.Table, told: pa.Table) -> pa.Table:
+        (hot_, _), (root_, levels_) = shared.value, final.value
+        hashes, second, first, dish, marks = gathered(group["data"].to_pylist(), hot_)
+        mark = np.concatenate(marks)
+        tree = Subtrees(hashes, second, first, dish, mark & 1)
+        del second, first, dish
+        word, k, x, y, c = (told[n].to_numpy() for n in ("kind", "key", "x", "y", "c"))
+
+        def value(keys: np.ndarray, of_words: bool, column: np.ndarray) -> np.ndarray:
+            some = (word == 0) == of_words
+            have = k[some].view(U)
+            order = np.argsort(have)
+            out = np.zeros(len(keys), column.dtype)
+            if len(have):
+                at = np.minimum(np.searchsorted(have[order], keys), len(have) - 1)
+                out = np.where(have[order][at] == keys, column[some][order][at], 0)
+            return out
+
+        p0, count = root_.probability(value(hashes, True, x)), value(hashes, True, c)
+        short, long = tree.context_keys()
+        tree.more_people1, tree.more_tables1, tree.more_people2, tree.more_tables2 = value(short, False, x), value(short, False, y), value(long, False, x), value(long, False, y)
+        rng_ = np.random.default_rng([9, key[0].as_py()])
+        p = np.zeros(len(tree.parent))
+        for sweep in range(SWEEPS + SAMPLES):
+            tree.sweep(p0, levels_, rng_)
+            if sweep >= SWEEPS:
+                p += tree.probabilities(p0, levels_)[1]
+        lp = np.log10(p / SAMPLES)[tree.of]
+        count = count[tree.dish[tree.parent]][tree.of]
+        lc, out, at = np.log10(count + 1.0), [], 0
+        for m in marks:
+            docs_, to = np.unique(m >> 1, return_inverse=True)
+            part = slice(at, at + len(m))
+            at += len(m)
+            sums_ = [np.bincount(to, v[part], len(docs_)) for v in ((count > 0).astype(float), lc, lp)]
+            out.append(np.concatenate([docs_.astype(float), *sums_]).tobytes())
+        return pa.table({"base": group["base"], "sums": pa.array(out, pa.binary())})
+
+    parts = durable(table.where("bucket >= 0").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(rate, "base long, sums binary"), "parts")
+    about = durable(table.where("bucket < 0").select("base", "ids", "data"), "about")
+    discard(seats, sums, vocabulary, table)
+    spark.sql(f"drop table {name}")
     floor = math.log10(total + types + 1)
 
-    hot = vocabulary.where("c > 0").orderBy(F.desc("c"), "word").limit(CLASSES - 1).collect()
-    frequent = Lookup.of([r["word"] for r in hot], [np.arange(1, len(hot) + 1)])
-    chain = np.zeros((CLASSES + 1) ** 2)
-    every = spark.range((CLASSES + 1) ** 2).select(F.col("id").alias("code"), F.lit(0).cast("long").alias("n"))
-    pairs = count_classes(base, frequent).union(every).groupBy("code").agg(F.sum("n").alias("n"))
-
-    def pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield packed([batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.int64), np.zeros(0), np.zeros(0)])
-
-    for r in sample_tree(pairs, CLASSES + 1, 1, 21).mapInArrow(pack_pairs, PACKED).collect():
-        code, p, _, _ = unpacked(r)
-        chain[code] = np.log10(np.maximum(p.view(np.float64), 1e-300))
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(256, np.int64)
-        for batch in batches:
-            for t in texts(batch.column(0)):
-                n += np.bincount(t.data, minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(n)], ["byte", "n"])
-
-    # words below the shared class: all but the frequent ones
-    marked = spark.createDataFrame([(r["word"], True) for r in hot] or [(None, True)], "word string, hot boolean")
-    vocabulary = vocabulary.join(F.broadcast(marked), "word", "left").select("word", "c", F.coalesce("hot", F.lit(False)).alias("hot"))
-    rare = vocabulary.where("not hot")
-    seen = {r["byte"]: r["n"] for r in rare.where("c > 0").select("word").mapInArrow(histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
-    letters = Alphabet.of(sorted((b for b in seen if seen[b]), key=lambda b: (-seen[b], b)))
-    first = sample_tree(count_letters(vocabulary, letters, "if(hot, 0, least(c, 1))"), SYMBOLS, DEPTH, 22, samples=1)
-    learned = rare.where("c > 0")
-    guess = learned.count()
-    seated = durable(seat_words(spell_words(learned, letters, first), float(guess)), "seats")
-    customers = vocabulary.join(seated.select("word", "t"), "word", "left")
-    table = durable(sample_tree(count_letters(customers, letters, "coalesce(t, 0)"), SYMBOLS, DEPTH, 23), "letters")
-    tables, people = (float(x or 0) for x in seated.agg(F.sum("t"), F.sum("c")).first())
-    spelled = durable(spell_words(vocabulary, letters, table), "spelled")
-    taken = spelled.join(F.broadcast(marked), "word").agg(F.sum(F.pow(F.lit(10.0), F.col("spelling")))).first()[0] or 0.0
-    back = math.log10(STRENGTH + DISCOUNT * tables) - math.log10(STRENGTH + people) - math.log10(max(1e-12, 1 - taken))
-    own = F.coalesce((F.col("c") - DISCOUNT * F.col("t")) / (STRENGTH + people), F.lit(0.0))
-    spelled = spelled.join(F.broadcast(marked), "word", "left_anti").join(seated.select("word", "t"), "word", "left")
-    known = durable(spelled.select("h", "c", F.log10(own + F.pow(F.lit(10.0), F.col("spelling") + back)).alias("lp"), F.log10(F.col("c") + 1.0).alias("lc")), "lexicon")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield packed([batch.column(0).to_numpy(), batch.column(1).to_numpy(), *(batch.column(k).to_numpy().view(np.int64) for k in (2, 3))])
-
-    top = [unpacked(r) for r in known.orderBy(F.desc("c"), "h").limit(HOT).select("h", "c", "lp", "lc").mapInArrow(pack, PACKED).collect()]
-    hashes, c, lp, lc = (np.concatenate([r[k] for r in top] or [np.zeros(0, np.int64)]) for k in range(4))
-    order = np.argsort(hashes.view(np.uint64))
-    lexicon = Lookup(hashes.view(np.uint64)[order], [c[order], lp.view(np.float64)[order], lc.view(np.float64)[order]])
-    frequent.values.append(np.array([hot[k - 1]["c"] for k in frequent.values[0].tolist()], np.int64))
-    shared = spark.sparkContext.broadcast((frequent, lexicon, chain.astype(np.float32)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent_, lexicon_, chain_ = shared.value
-        by_class = np.zeros(CLASSES + 1)
-        by_class[frequent_.values[0]] = np.log10(frequent_.values[1] + 1.0)
-        for batch in batches:
-            for t in texts(batch.column(1)):
-                w = words(t)
-                h = word_hashes(t, w)
-                code, offs, own_ = class_chain(t, w, h, frequent_)
-                lp = np.add.reduceat(chain_[code], offs[:-1], dtype=np.float64)
-                doc = np.repeat(np.arange(t.n), np.diff(w.offs))
-                add = lambda x, d: np.bincount(d, x, t.n)
-                is_rare = own_ == CLASSES
-                lc = add(np.where(is_rare, 0, by_class[own_]), doc) + math.log10(ends + 1)
-                n_known = add(~is_rare, doc) + (ends > 0)
-                rh, rd = h[is_rare], doc[is_rare]
-                at, there = lexicon_.find(rh)
-                if len(lexicon_.hashes):
-                    c, p, q = (v[at[there]] for v in lexicon_.values)
-                    lp += add(p, rd[there])
-                    lc += add(q, rd[there])
-                    n_known += add(c > 0, rd[there])
-                n_tokens = np.diff(w.offs) + 1
-                row = batch.column(2)[t.first : t.first + t.n]
-                ids = batch.column(0)[t.first : t.first + t.n]
-                yield pa.RecordBatch.from_arrays(
-                    [row, ids, pa.nulls(t.n, pa.int64()), pa.array(np.ones(t.n, np.int64)), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(lc - n_tokens * floor), pa.array(lp)], NAMES
-                )
-                order_ = np.lexsort((rh[~there], rd[~there]))
-                ch, cd = rh[~there][order_], rd[~there][order_]
-                if len(ch):
-                    new = np.ones(len(ch), bool)
-                    new[1:] = (ch[1:] != ch[:-1]) | (cd[1:] != cd[:-1])
-                    begin = np.flatnonzero(new)
-                    many = np.diff(np.append(begin, len(ch)))
-                    pick = pa.array(cd[begin])
-                    none = pa.nulls(len(begin), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [row.take(pick), pa.nulls(len(begin), ids.type), pa.array(ch[begin].view(np.int64)), pa.array(many), none, none, pa.nulls(len(begin), pa.float64()), pa.nulls(len(begin), pa.float64())], NAMES
-                    )
-
-    schema = f"row long, id {kind}, h long, many long, n_tokens long, n_known long, base_score double, score double"
-    parts = durable(base.select("id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, schema), "parts")
-    cold = parts.where("h is not null").select("row", "h", "many").join(known, "h", "left")
-    cold = cold.select("row", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("many")).otherwise(0).alias("n_known"), (F.col("many") * F.col("lc")).alias("base_score"), (F.col("many") * F.col("lp")).alias("score"))
-    every = parts.where("h is null").select("row", "id", "n_tokens", "n_known", "base_score", "score").union(cold)
-    out = every.groupBy("row").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-NAMES = ["row", "id", "h", "many", "n_tokens", "n_known", "base_score", "score"]
+    def add(key: tuple[pa.Scalar, ...], of_docs: pa.Table, found: pa.Table) -> pa.Table:
+        n = unpack(of_docs["data"][0].as_py())[0].astype(np.int64)
+        sums_ = np.zeros((3, len(n)))
+        for raw in found["sums"].to_pylist():
+            x = np.frombuffer(raw).reshape(4, -1)
+            sums_[:, x[0].astype(np.int64)] += x[1:]
+        ids = of_docs["ids"].combine_chunks().flatten()
+        return pa.table({id_col: ids, "n_tokens": n, "n_known": sums_[0].round().astype(np.int64), "train_tokens": np.full(len(n), total), "base_score": sums_[1] - n * floor, "score": sums_[2]})
+
+    schema = f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return about.groupBy("base").cogroup(parts.groupBy("base")).applyInArrow(add, schema)

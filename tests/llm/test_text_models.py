@@ -138,15 +138,110 @@ def test_language_model(spark):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
-def test_seats_stay_consistent():
-    rng = np.random.default_rng(0)
-    s = pitman_yor.Seats(np.array([0, 1, 2, 5, 40, 3000]), np.array([0, 0, 0, 1, 1, 1]), np.full(6, 1 / 6), rng)
-    for _ in range(200):
-        s.sweep()
-        assert ((s.small * np.arange(s.small.shape[1])).sum(axis=1) + s.in_big == s.c).all() and (s.small.sum(axis=1) + s.big == s.t).all()
-        assert (s.small >= 0).all() and (s.t <= s.c).all() and (s.t[1:] > 0).all()
-    p = s.predictive()
-    assert (p > 0).all() and p[:3].sum() <= 1 + 1e-9
+def partitions(n):
+    """All ways to seat customers 0..n-1 at tables, as lists of table sizes."""
+    def grow(sizes, left):
+        if not left:
+            yield sizes
+            return
+        for k in range(len(sizes)):
+            yield from grow([*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]], left - 1)
+        yield from grow([*sizes, 1], left - 1)
+
+    return list(grow([1], n - 1))
+
+
+@pytest.mark.parametrize("discount", [0.1, 0.5, 0.9])
+def test_table_counts_against_all_seatings(discount):
+    """The drawn number of tables follows the weights of all seatings of the Chinese restaurant process."""
+    strength, base, others = 1.5, 0.2, 3
+    for c in (2, 3, 6):
+        weight = collections.Counter()
+        for sizes in partitions(c):
+            w = 1.0
+            for j, n in enumerate(sizes):
+                w *= (strength + discount * (others + j)) * base * math.prod(k - discount for k in range(1, n))
+            weight[len(sizes)] += w
+        want = np.array([weight[t] for t in range(1, c + 1)])
+        many = 40_000
+        got = pitman_yor.draw(np.full(many, c), np.full(many, others), np.full(many, base), discount, strength, np.random.default_rng(c))
+        assert np.bincount(got, minlength=c + 1)[1:] / many == pytest.approx(want / want.sum(), abs=0.01)
+
+
+@pytest.mark.parametrize(("discount", "c", "base"), [(0.6, 300, 0.4), (0.6, 2000, 0.05), (0.8, 9000, 0.1), (0.3, 30_000, 0.3)])
+def test_many_customers(discount, c, base):
+    """Beyond EXACT and beyond WINDOW the weights are those of the full recursion, and so is the mean number of tables."""
+    t, row = np.arange(pitman_yor.WINDOW + 1), np.full(pitman_yor.WINDOW + 1, -np.inf)
+    row[0] = 0
+    for k in range(c):
+        row = np.logaddexp(np.append(-np.inf, row[:-1]), np.where(t <= k, np.log(np.maximum(k - t * discount, 1e-300)) + row, -np.inf))
+    strength, others = 2.0, 50
+    line = np.append(0, np.cumsum(np.log(strength + discount * (others + t[:-1])) + np.log(base)))
+    weight = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    want, got = weight((row + line)[1 : c + 1]), weight(pitman_yor.stirling(discount).row(c) + line[1 : c + 1])
+    assert abs(want - got).sum() < 0.02
+    drawn = pitman_yor.draw(np.full(400, c), np.full(400, others), np.full(400, base), discount, strength, np.random.default_rng(1))
+    assert drawn.mean() == pytest.approx((want * t[1 : len(want) + 1]).sum(), rel=0.05)
+
+
+def test_predictive_against_plain_restaurants():
+    """Given the seating, every probability follows from dictionaries of customers and tables; each context sums to one."""
+    rng = np.random.default_rng(4)
+    hashes = np.sort(rng.integers(1, 1 << 60, 5).astype(np.uint64))
+    second, first, dish = rng.integers(0, 5, (3, 300))
+    all_ = np.stack(np.meshgrid(range(5), range(5), range(5), indexing="ij")).reshape(3, -1)  # every triple, without training
+    second, first, dish = (np.concatenate([x, y]) for x, y in zip((second, first, dish), all_, strict=True))
+    train = np.concatenate([np.ones(300, int), np.zeros(125, int)])
+    tree = pitman_yor.Subtrees(hashes, second, first, dish, train)
+    levels, root = [(0.5, 1.0), (0.6, 2.0), (0.7, 0.5)], np.array([0.1, 0.2, 0.3, 0.15, 0.15])
+    for _ in range(3):
+        tree.sweep(root, levels, rng)
+        assert (tree.t2 <= tree.c2).all() and (tree.t1 <= tree.c1).all() and ((tree.t2 > 0) == (tree.c2 > 0)).all() and ((tree.t1 > 0) == (tree.c1 > 0)).all()
+    _, p = tree.probabilities(root, levels)
+    c2, t2, c1, t1 = (collections.Counter() for _ in range(4))
+    for i in range(len(tree.parent)):
+        u1, w = int(tree.first[tree.parent[i]]), int(tree.dish[tree.parent[i]])
+        u2 = int(tree.context[0][tree.room[i]])
+        c2[u2, u1, w], t2[u2, u1, w] = int(tree.c2[i]), int(tree.t2[i])
+        c1[u1, w] += int(tree.t2[i])
+        t1[u1, w] = int(tree.t1[tree.parent[i]])
+
+    def plain(u2, u1, w):
+        below = lambda x: (c1[u1, x] - 0.6 * t1[u1, x] + (2.0 + 0.6 * sum(t1[u1, y] for y in range(5))) * root[x]) / (2.0 + sum(c1[u1, y] for y in range(5)))
+        return (c2[u2, u1, w] - 0.7 * t2[u2, u1, w] + (0.5 + 0.7 * sum(t2[u2, u1, y] for y in range(5))) * below(w)) / (0.5 + sum(c2[u2, u1, y] for y in range(5)))
+
+    got = p[tree.of]
+    for i in range(300, 425):
+        assert got[i] == pytest.approx(plain(int(second[i]), int(first[i]), int(dish[i])))
+    assert got[300:].reshape(25, 5).sum(axis=1) == pytest.approx(np.ones(25))
+
+
+def test_root_sums_to_one():
+    customers, dishes = np.array([1, 2, 7, 400]), np.array([50, 20, 5, 2])
+    root = pitman_yor.Root(customers, dishes, 77, np.random.default_rng(3))
+    assert (root.probability(customers) * dishes).sum() + root.probability(np.array([0]))[0] == pytest.approx(1)
+    assert pitman_yor.Root(np.zeros(0, int), np.zeros(0, int), 0, np.random.default_rng(3)).probability(np.array([0]))[0] == pytest.approx(1)
+
+
+def test_packed_arrays_come_back():
+    arrays = [np.zeros(0, np.uint64), np.array([255], np.uint64), np.array([0, 256, 70_000], np.uint64), np.array([1 << 63, 5], np.uint64)]
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(arrays, pitman_yor.unpack(pitman_yor.pack(arrays)), strict=True))
+
+
+def test_language_model_groups(spark, monkeypatch):
+    """Many small groups, with split words: the same counts, nearly the same scores. Repeated rows, clashing columns, no rows, no training."""
+    rng = random.Random(7)
+    rows = [(i % 150, " ".join(rng.choice(["the", "the", "of", "stone", "river", "hill"]) for _ in range(rng.randrange(60))), i % 5 > 0, 1.0, 2) for i in range(200)] + [(900, "the river " * 3000, True, 0.0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean, score double, bucket int")
+    key = lambda df: sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), r["score"]) for r in df.collect())
+    whole = key(pitman_yor.score(docs, docs["train"]))
+    monkeypatch.setattr(pitman_yor, "GROUP", 700)
+    parts = key(pitman_yor.score(docs, docs["train"]))
+    assert len(whole) == len(rows) and [x[:5] for x in whole] == [x[:5] for x in parts]
+    assert sum(x[5] for x in parts) == pytest.approx(sum(x[5] for x in whole), rel=0.03)
+    assert pitman_yor.score(docs.limit(0), docs["train"]).count() == 0
+    none = pitman_yor.score(docs, docs["train"] & False).collect()
+    assert all(r["train_tokens"] == r["n_known"] == 0 and r["score"] == pytest.approx(0) and r["base_score"] == pytest.approx(0) for r in none)
 
 
 def test_rollup(spark, tmp_path):
@@ -187,19 +282,6 @@ def test_template_line_goes(spark):
     assert {r["text"] for r in html_template.extract(pages).collect()} == {f"Story {i} begins here.\n\nStory {i} ends." for i in range(12)}
 
 
-def test_every_letter_context_is_kept(spark, monkeypatch):
-    """However many contexts there are, each keeps its letters, and its probabilities sum to one over all dishes."""
-    monkeypatch.setattr(pitman_yor, "KEPT", 5, raising=False)
-    symbols, depth, context = 6, 4, [(5, 4, 3, 2), (1, 4, 3, 2), (2, 2, 2, 2)]
-    code = lambda room, dish: sum(x * symbols ** (depth - k) for k, x in enumerate(room)) + dish
-    rows = [(code(room, dish), 400 if dish == 1 + r else 0) for r, room in enumerate(context) for dish in range(symbols)]
-    found = pitman_yor.sample_tree(spark.createDataFrame(rows, "code long, n long"), symbols, depth, 7)
-    got = {r["code"]: r["p"] for r in found.collect()}
-    assert set(got) == {c for c, _ in rows}
-    for r, room in enumerate(context):
-        assert sum(got[code(room, d)] for d in range(symbols)) == pytest.approx(1) and got[code(room, 1 + r)] > 0.9
-
-
 def test_every_leak_has_a_seed():
     """All patterns of places that disagree, for every length of an item: some place of the mask meets none of them."""
     for n in range(1, decontam.WINDOW + 1):
