@@ -2,8 +2,8 @@
 
 Alternates large-star and small-star steps until the links no longer change: every node then points at the least node
 of its component. A hub's neighbours are never gathered in one group: a hub's minimum is pre-aggregated before the
-shuffle and joined back, a join whose skewed partitions Spark splits. The links after each round are written to the
-shared folder.
+shuffle, and the few hubs with more than a fixed share of all links are joined back by broadcast. The links after each
+round are written to the shared folder; those of the round before are deleted.
 """
 
 from __future__ import annotations
@@ -11,21 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.spark_io import durable
+from strandlake.llm.spark_io import discard, durable, join_counted
 
 #: Rounds grow with the logarithm of the longest path; this many mean something is wrong.
 MOST_ROUNDS = 40
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, total: int) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.expr("v > u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_counted(both.where("v > u"), least, ["u"], total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(e: DataFrame, total: int) -> DataFrame:
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_counted(e, least, ["u"], total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -44,7 +44,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     before = mark(e)
     if before[0]:
         for _ in range(MOST_ROUNDS):
-            e = durable(_small_star(_large_star(e)), "links")
+            old, e = e, durable(_small_star(_large_star(e, before[0]), before[0]), "links")
+            discard(old)
             now = mark(e)
             if now == before:
                 break

@@ -10,9 +10,9 @@
    share a few representatives of the list: that connects large groups without comparing block with block.
 4. Then all lists whose classes are not all connected are merged: within a task, block against block, collisions of the
    whole signatures are counted (one byte a coordinate). Links that span the pairs with MATCHES collisions or more
-   join the classes to families, and each class goes once, with its full set (40 bits a shingle), to its family, where
+   join the classes to families, and each class goes once, with its full set (64 bits a shingle), to its family, where
    the pairs are confirmed. A task returns links that span what it found, never all pairs: a group of copies gives as
-   many rows as it has members.
+   many rows as it has members. Full sets are made only of the texts that go to a family, in the task that sends them.
 
 A link is 100 * intersection >= threshold * union of the full sets.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.bytesets import U, mix, shingle_sets, splitmix, texts
 from strandlake.llm.components import components
-from strandlake.llm.spark_io import durable
+from strandlake.llm.spark_io import discard, durable, join_counted
 
 WIDTH = 5
 THRESHOLD = 80
@@ -37,6 +37,7 @@ COORDS = 48
 MATCHES = 26
 REPRESENTATIVES = 8
 BLOCK = 1024
+PLACE = ["key", "i", "j", "block"]
 _A = splitmix(COORDS, 101) | U(1)
 _B = splitmix(COORDS, 202)
 
@@ -80,21 +81,29 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"id {kind}, n_shingles long, d1 long, d2 long, sig binary")
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, shingles): whole sets as sorted 40-bit numbers, of the documents that share a posting."""
-    kind = dict(docs.dtypes)[id_col]
+def with_sets(rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """rows (key, i, j, block, id, component) with short, a byte of each coordinate, and shingles, the text's whole set
+    as sorted 64-bit numbers. docs is (id, text); each text is read once, however many rows it has."""
+    mine = rows.groupBy("id").agg(F.collect_list(F.struct("key", "i", "j", "block", "component")).alias("to"))  # at most a row for each block of a list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in texts(batch.column(1)):
                 sets, offs = shingle_sets(t, width)
-                raw = np.ascontiguousarray((sets >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[t.first : t.first + t.n], pa.array([raw[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())],
-                    ["id", "shingles"],
-                )
-
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"id {kind}, shingles binary")
+                short = signatures(sets, offs).astype(np.uint8)
+                to = batch.column(2)[t.first : t.first + t.n]
+                of = pa.array(np.repeat(np.arange(t.n), np.diff(to.offsets.to_numpy())))
+                raw = pa.array([sets[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.large_binary())
+                small = pa.array([x.tobytes() for x in short], pa.binary())
+                where, ids = to.flatten(), batch.column(0)[t.first : t.first + t.n].take(of)
+                for k in range(0, len(of), 512):  # sets may be long
+                    part = slice(k, k + 512)
+                    fields = [where.field(x)[part] for x in range(4)]
+                    yield pa.RecordBatch.from_arrays([*fields, ids[part], where.field(4)[part], small.take(of[part]), raw.take(of[part]).cast(pa.binary())], [*PLACE, "id", "component", "short", "shingles"])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*PLACE, "id", "component"]) + ", short binary, shingles binary"
+    return docs.join(mine, "id").select("id", "text", "to").mapInArrow(run, schema)
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -117,11 +126,9 @@ def postings(classes: DataFrame) -> DataFrame:
 
 def span_block(ids: np.ndarray, component: np.ndarray, sig: np.ndarray, sets: list[bytes], left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links that span what the pairs left x right of a block connect."""
-    n = np.array([len(x) // 5 for x in sets])
+    n = np.array([len(x) // 8 for x in sets])
     offs = np.concatenate([[0], np.cumsum(n)])
-    wide = np.zeros((offs[-1], 8), np.uint8)
-    wide[:, :5] = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, 5)
-    values, dense = np.unique(wide.view(U).ravel(), return_inverse=True)
+    values, dense = np.unique(np.frombuffer(b"".join(sets), U), return_inverse=True)
     flag = np.zeros(len(values), bool)
     label, found = component.copy(), []
     right = right[np.argsort(n[right], kind="stable")]
@@ -193,7 +200,7 @@ def colliding(rows: DataFrame) -> DataFrame:
 
 
 def spanning_links(rows: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) from rows (key, i, j, block, id, component, sig, shingles); block i of a list meets block j."""
+    """(a, b) from rows (key, i, j, block, id, component, short, shingles); block i of a list meets block j."""
 
     def meet(g: pd.DataFrame) -> pa.RecordBatch:
         g = g.drop_duplicates("id")
@@ -201,7 +208,7 @@ def spanning_links(rows: DataFrame, threshold: int) -> DataFrame:
         block = g["block"].to_numpy()
         # block -1: the list's representatives, which every block meets
         left, right = (np.arange(len(g)), np.arange(len(g))) if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, COORDS)
+        sig = np.frombuffer(b"".join(g["short"]), np.uint8).reshape(-1, COORDS)
         got = span_block(g["id"].to_numpy(), g["component"].to_numpy(), sig, g["shingles"].tolist(), left, right, threshold)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], ["a", "b"])
 
@@ -223,32 +230,33 @@ def short_signatures(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, "id long, short binary")
 
 
-def near_links(posted: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): links that span the components of classes."""
-    lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("f")).where("n > 1")
+def near_links(posted: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(a, b): links that span the components of classes; docs is (id, text)."""
+    lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("f")).where("n > 1")
     lists = lists.groupBy("n", "f").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     member = durable(posted.select("id", "key").join(lists, "key"), "lists")
-    payload = durable(classes.join(sets, "id").select("id", "sig", "shingles"), "payload")
     block = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int")
 
-    longest = member.groupBy("id").agg(F.max(F.struct("n", "key", "blocks")).alias("x")).select("id", "x.key", "x.blocks").where("blocks > 1")
+    longest = member.where(F.col("blocks") > 1).groupBy("id").agg(F.max(F.struct("n", "key", "blocks")).alias("x")).select("id", "x.key", "x.blocks")
     first = None
     comp = classes.sparkSession.createDataFrame([], "node long, component long")
     if not longest.isEmpty():
         reps = longest.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("r"))).alias(f"r{k}") for k in range(REPRESENTATIVES)], F.first("blocks").alias("blocks"))
         reps = reps.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.array_distinct(F.array(*[F.col(f"r{k}.r") for k in range(REPRESENTATIVES)])).alias("r")).select(F.explode("r").alias("id"), "key", "i")
-        rows = longest.select("id", "key", block.alias("i"), block.alias("block")).union(reps.select("id", "key", "i", F.lit(-1).alias("block"))).join(payload, "id")
-        first = durable(spanning_links(rows.select("key", "i", F.col("i").alias("j"), "block", "id", F.col("id").alias("component"), "sig", "shingles"), threshold), "links")
+        rows = longest.select("id", "key", block.alias("i"), block.alias("block")).union(reps.select("id", "key", "i", F.lit(-1).alias("block")))
+        rows = rows.select("key", "i", F.col("i").alias("j"), "block", "id", F.col("id").alias("component"))
+        first = durable(spanning_links(with_sets(rows, docs, width), threshold), "links")
         comp = durable(components(first, "a", "b"), "components")
     placed = member.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     torn = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     rows = placed.join(torn, "key", "left_semi").select("key", "id", "blocks", block.alias("block"))
-    met = colliding(_against_blocks(rows).join(short_signatures(classes), "id"))
+    met = durable(colliding(_against_blocks(rows).join(short_signatures(classes), "id")), "met")
     family = durable(components(met, "a", "b"), "families").select(F.col("node").alias("id"), F.col("component").alias("key"))
-    size = family.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = _against_blocks(family.join(size, "key").select("key", "id", "blocks", block.alias("block")))
-    rows = rows.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(payload, "id")
-    second = durable(spanning_links(rows.select("key", "i", "j", "block", "id", "component", "sig", "shingles"), threshold), "links")
+    size = family.groupBy("key").agg(F.count("*").alias("n")).select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = _against_blocks(join_counted(family, size, ["key"], family.count()).select("key", "id", "blocks", block.alias("block")))
+    rows = rows.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    second = durable(spanning_links(with_sets(rows.select("key", "i", "j", "block", "id", "component"), docs, width), threshold), "links")
+    discard(member, met)
     return second if first is None else first.union(second)
 
 
@@ -262,17 +270,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, n_shingles, component_id (least id reachable by links), kept (id = component_id).
 
     Ids are distinct integers. Texts without words have n_shingles 0 and stand alone; a repeated id with the same text
-    gives a repeated row.
+    gives a repeated row; a document without id is linked with nothing and kept, its component_id null. Extra columns are
+    ignored, an empty table gives an empty result; texts of any length are compared by their whole sets.
     """
-    base = durable(sketch(docs.where(docs[id_col].isNotNull()), id_col, text_col, width), "sketch")
-    worded = base.where("n_shingles > 0")
+    base = durable(sketch(docs, id_col, text_col, width), "sketch")
+    worded = base.where("n_shingles > 0 and id is not null")
+    digest = ["d1", "d2", "n_shingles"]
     # equal sets: one class, whose representative is the least id
-    classes = worded.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"))
-    member = base.join(classes, ["d1", "d2", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    single = durable(worded.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n_shingles", "sig").dropDuplicates(["id"]), "classes")
+    classes = durable(worded.groupBy(*digest).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min_by("sig", "id").alias("sig")), "classes")
+    single = classes.select(F.col("rep").alias("id"), "n_shingles", "sig")
     posted = durable(postings(single.where("n_shingles > 3")), "postings")  # smaller sets can be linked to equal sets only
-    texts_of = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(posted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    comp = durable(components(near_links(posted, single, full_sets(texts_of, "id", "text", width), threshold), "a", "b"), "components")
-    out = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    found = F.coalesce("component", "rep")
-    return out.select(F.col("id").alias(id_col), "n_shingles", found.alias("component_id"), (F.col("id") == found).alias("kept"))
+    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id is not null")
+    found = found.join(posted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    comp = durable(components(near_links(posted, single, found, width, threshold), "a", "b"), "components")
+    of_class = classes.select(*digest, "rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*digest, "n", F.coalesce("component", "rep").alias("component"))
+    placed = join_counted(worded.select("id", *digest), of_class, digest, worded.count()).select("id", "n_shingles", "component")
+    out = placed.unionByName(base.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component")))
+    discard(posted)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))

@@ -65,6 +65,25 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: A join key with more than 1 / HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE of them.
+HOT_SHARE = 1000
+LEAST_HOT = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
+    """left joined to right (inner), whose key is unique and whose column n says how many of total rows of left have it.
+
+    Rows with a hot key stay where they are: their part of right, fewer than HOT_SHARE rows, is broadcast. So no task
+    gets more than 1 / HOT_SHARE of left by one key. Nulls in the key join nothing.
+    """
+    least = max(LEAST_HOT, total // HOT_SHARE)
+    more = [c for c in right.columns if c not in on and c != "n"]
+    hot = F.broadcast(right.where(F.col("n") > least).select(*on, *more, F.lit(True).alias("__hot")))
+    tried = left.join(hot, on, "left")
+    cold = tried.where("__hot is null").select(left.columns).join(right.where(F.col("n") <= least).select(*on, *more), on)
+    return tried.where("__hot").select(*left.columns, *more).unionByName(cold.select(*left.columns, *more))
+
+
 def crc_mod(doc_id: str, modulus: int):
     """crc32 of the id written as text, modulo: the stated train and held-out split."""
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(modulus)

@@ -145,3 +145,23 @@ def test_exact_copies_become_empty(spark):
     rows = list(enumerate(texts)) + [(100 + i, texts[i]) for i in rng.sample(range(len(texts)), len(texts))]
     out = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
     assert all(out[i] == t and out[100 + i] == "" for i, t in enumerate(texts))
+
+
+def test_minhash_edges(spark):
+    """Null ids, repeated rows, clashing columns, a long text and its near copy."""
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " " + sentence(rng, 100)), (3, "a b c"), (3, "a b c"), (None, "a b c"), (None, None), (7, long[: len(long) // 2])]
+    docs = spark.createDataFrame([(i, t, 5, 6) for i, t in rows], "doc_id long, text string, id long, n_shingles long")
+    got = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in minhash_join.near_duplicates(docs, width=2).collect())
+    assert got == [("1", 1, True), ("2", 1, False), ("3", 3, True), ("3", 3, True), ("7", 7, True), ("None", None, True), ("None", None, True)]
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    """A hub above the share is joined by broadcast; the result is the same."""
+    from strandlake.llm import spark_io
+
+    monkeypatch.setattr(spark_io, "LEAST_HOT", 3)
+    links = [(500, i) for i in range(400, 460)] + [(i, i + 1) for i in range(600, 640)] + [(460, 459), (640, 500)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert set(got.values()) == {400} and len(got) == 103
