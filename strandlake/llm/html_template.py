@@ -1,18 +1,25 @@
 """Main text of web pages by template deduction.
 
-A page is a sequence of tokens: block tags by their path (names, classes and ids of the open blocks) and text blocks by
-their path and wording. Over the pages of one host a token has an occurrence vector, how often it stands in each page.
-Tokens with equal vectors form an equivalence class; a class is valid if it spans MIN_PAGES different pages and holds a
-tag, and its place in the template is under the classes of the tags on its path. Text of a valid class is part of the
-template. What remains are slots; the article is the slot of the host's template that holds the article element, or
-main element, or else the container with most of the host's slot text. Slots under navigation, page headers, footers,
-sidebars, forms, notices, adverts, comments and the like are none of the article's.
-
-Vectors are compared by sums over pages of the count times two numbers of the page's digest, so that Spark can
-aggregate them before a shuffle: no host's pages are ever gathered. Pages of equal html count once.
-
-Text: character references decoded, white space inside a block one space, blocks joined by two newlines. Null, empty
-and article-less pages give an empty text; a page without a url has the host ''; repeated rows are repeated.
+A page is a sequence of tokens: tags by their path (names, classes and ids of the open blocks) and text blocks by their
+path and wording. Over the different pages of one host a token has an occurrence vector, how often it stands in each.
+Tokens with equal vectors form an equivalence class; a class is valid if it spans MIN_PAGES pages or more, holds a tag,
+and has MIN_TOKENS tokens. Valid classes nest by the paths of their tags: that is the host's template, one tree for each
+layout, as tags of different layouts have different vectors. Text of a valid class is part of the template and dropped.
+Every other text block fills a slot: the innermost container of a valid class that stands once in each of its pages.
+
+The article is found by the template: of the slots that a page has, the one with the most text that is no link over the
+whole host, template text and the semantic elements outside an article (nav, aside, footer, form and the like) not
+counted. Its region is that slot with all that nests in it, or the article or main element around it; a heading before a
+region without one belongs to it. Elements of the region whose class or id names adverts, comments, sharing and the like
+are left out, but never the region itself or what is around it. Where a host has no valid class (fewer pages than
+MIN_PAGES), the page's own containers that stand once are its template and the text lengths its own.
+
+Vectors are compared by sums over pages of the count times two numbers of the page's digest, so that Spark can aggregate
+them before a shuffle: no host's pages are ever gathered. Copies of a page on a host count once.
+
+Text: character references decoded, white space inside a block one space, blocks joined by two newlines. Null and empty
+html gives an empty text; text outside any element is a block like others; a page without a url has the host ''; repeated
+rows are repeated, extra columns ignored; an empty table gives an empty result; ties go to the path that sorts first.
 """
 
 from __future__ import annotations
@@ -31,8 +38,9 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.spark_io import durable
 
-#: Different pages that a valid class spans at least.
-MIN_PAGES = 8
+#: Pages that a valid class spans at least, and tokens that it has at least.
+MIN_PAGES = 5
+MIN_TOKENS = 2
 #: Bytes of templates up to which they are broadcast; beyond, pages are joined to them by host and salt.
 BROADCAST_BYTES = 8_000_000
 SALTS = 16
@@ -50,55 +58,66 @@ CLOSES = {
 SCOPES = frozenset("ul ol dl table article section main div body td th blockquote form nav aside header footer".split())
 OUTSIDE = frozenset("head nav aside form footer dialog menu search button fieldset".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations footer masthead toolbar pagination pager copyright".split())
+HEADING = re.compile(r"/h1[^/]*$")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre figcaption blockquote summary address".split())
 
 
 @dataclass
 class Block:
-    """One text block: its path, the path of its container, where it stands, and its wording."""
+    """One text block: its path, its containers' paths from outside in, and its wording.
+
+    outside: by a semantic element or because it is hidden; marked: the outermost path that a class or id marks.
+    """
 
     path: str
-    container: str
+    around: tuple[str, ...]
     outside: bool
-    article: int
-    main: bool
+    marked: str
     text: str
+    links: int
 
 
 @dataclass
 class _Open:
     name: str
     path: str
-    container: str
+    around: tuple[str, ...]
     outside: bool
-    article: int
-    main: bool
+    marked: str
+    inside: bool
 
 
 @dataclass
 class Page:
+    """Tag counts by path (the page itself has the path ''), paths of containers, of article and main elements, blocks."""
+
+    tags: Counter
+    containers: set[str]
+    regions: set[str] = field(default_factory=set)
     blocks: list[Block] = field(default_factory=list)
-    tags: Counter = field(default_factory=Counter)
 
 
 def parse(html: str) -> Page:
     """Blocks and tag counts of a page; end tags may be missing, inline tags are no boundary."""
-    page, articles, words = Page(), 0, []
-    stack = [_Open("", "", "", False, 0, False)]
+    page, words, links, in_link = Page(Counter({"": 1}), {""}), [], 0, False
+    stack = [_Open("", "", ("",), False, "", False)]
 
     def flush() -> None:
+        nonlocal links
         if words:
             text = " ".join(entities.unescape("".join(words)).split())
             words.clear()
             if text:
                 top = stack[-1]
-                page.blocks.append(Block(top.path, top.container, top.outside, top.article, top.main, text))
+                page.blocks.append(Block(top.path, top.around, top.outside, top.marked, text, min(links, len(text))))
+            links = 0
 
     for found in TOKEN.finditer(html):
         piece = found.group()
         if piece[0] != "<" or piece == "<":
             words.append(piece)
+            links += len(piece) if in_link else 0
             continue
         name = found.group(3)
         if not name:
@@ -106,6 +125,9 @@ def parse(html: str) -> Page:
                 words.append(" ")
             continue
         name = name.lower()
+        if name == "a":
+            in_link = not found.group(2)
+            continue
         if name in ("br", "img", "input", "wbr"):
             if name != "wbr":
                 words.append(" ")
@@ -119,6 +141,7 @@ def parse(html: str) -> Page:
                     del stack[k:]
                     break
             continue
+        in_link = False
         shut = CLOSES.get(name, {"p"})
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in shut:
@@ -129,23 +152,34 @@ def parse(html: str) -> Page:
             if stack[k].name in SCOPES:
                 break
         attrs = {a.lower(): (x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(found.group(4))} if found.group(4).strip() else {}
-        marks = " ".join(sorted(re.split(r"[^a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())))
+        marks = " ".join(sorted(re.split(r"[^a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))).strip()
         up = stack[-1]
-        article = up.article
-        if name == "article" and not article:
-            articles += 1
-            article = articles
-        main = up.main or name == "main" or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-        outside = up.outside or name in OUTSIDE or (name == "header" and not article and not main) or not MARKS.isdisjoint(marks.split())
-        outside = outside or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style", ""))) or attrs.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog")
-        path = f"{up.path}/{name}" + (f".{marks.strip()}" if marks.strip() else "")
+        main = name in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
+        outside = up.outside or name in OUTSIDE or (name == "header" and not up.inside) or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+        outside = outside or bool(HIDDEN.search(attrs.get("style", ""))) or attrs.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog")
+        path = f"{up.path}/{name}" + (f".{marks}" if marks else "")
+        marked = up.marked or ("" if main or name in ("html", "body") or MARKS.isdisjoint(marks.split()) else path)
         page.tags[path] += 1
+        if name not in LEAVES:
+            page.containers.add(path)
+            if main:
+                page.regions.add(path)
         if name != "hr":
-            stack.append(_Open(name, path, up.container if name in LEAVES else path, outside, article, main))
+            stack.append(_Open(name, path, up.around if name in LEAVES else (*up.around, path), outside, marked, up.inside or main))
     flush()
     return page
 
 
+def masses(page: Page) -> Counter:
+    """Characters of text that is no link, by every container around it."""
+    out: Counter = Counter()
+    for b in page.blocks:
+        if not b.outside:
+            for path in b.around:
+                out[path] += len(b.text) - b.links
+    return out
+
+
 def token(kind: str, path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{kind}\0{path}\0{text}") - (1 << 63)
 
@@ -156,64 +190,121 @@ def host_of(url):
     return F.lower(F.regexp_replace(F.regexp_replace(rest, r"^.*@", ""), r":\d*$", ""))
 
 
+SEEN = "host string, token long, kind int, name string, pages long, total long, s1 long, s2 long, low long, high long, mass long"
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, page, token, kind, n) of (host, html): kind 0 the page itself, 1 a tag, 2 a text block, 3 slot text of a container."""
+    """Occurrence vectors' sums by host and token, of (host, html, digest): kind 1 a tag with its path and the text under
+    it, kind 2 a text block with its container. Added up in the task first, then by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                digest, page = xxhash.xxh64_intdigest(html) - (1 << 63), parse(html)
-                rows = [(0, 0, 1, "")]
-                rows += [(token("tag", p), 1, n, "") for p, n in page.tags.items()]
-                rows += [(token("text", p, x), 2, n, "") for (p, x), n in Counter((b.path, b.text) for b in page.blocks).items()]
-                mass: Counter = Counter()
-                for b in page.blocks:
-                    if not b.outside:
-                        mass[b.container] += len(b.text)
-                rows += [(token("slot", c), 3, n, c) for c, n in mass.items()]
-                for t, kind, n, name in rows:
-                    for column, x in zip(out, (host, digest, t, kind, n, name), strict=True):
-                        column.append(x)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["host", "page", "token", "kind", "n", "name"])
-
-    return pages.select("host", "html").mapInArrow(run, "host string, page long, token long, kind int, n long, name string")
+            sums: dict[tuple, list] = {}
+            for host, html, digest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                page, low, high = parse(html), digest & 0x7FFFFFFF, (digest >> 33) & 0x7FFFFFFF
+                mass = masses(page)
+                rows = [(token("tag", p), 1, p if p in page.containers else None, n, mass[p]) for p, n in page.tags.items()]
+                texts = Counter((b.path, b.text, b.around[-1]) for b in page.blocks)
+                rows += [(token("text", p, x), 2, c, n, n * len(x)) for (p, x, c), n in texts.items()]
+                for t, kind, name, n, m in rows:
+                    got = sums.get((host, t))
+                    if got is None:
+                        sums[host, t] = [kind, name, 1, n, n * low, n * high, digest, digest, m]
+                    else:
+                        got[2] += 1
+                        got[3] += n
+                        got[4] += n * low
+                        got[5] += n * high
+                        got[6], got[7] = min(got[6], digest), max(got[7], digest)
+                        got[8] += m
+            keys = list(zip(*sums, strict=True)) if sums else [(), ()]
+            values = list(zip(*sums.values(), strict=True)) if sums else [()] * 9
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 7)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([*keys, *values], kinds, strict=True)], [x.split()[0] for x in SEEN.split(", ")])
+
+    added = [F.sum(c).alias(c) for c in ("pages", "total", "s1", "s2", "mass")]
+    seen = pages.select("host", "html", "digest").mapInArrow(run, SEEN)
+    return seen.groupBy("host", "token", "kind").agg(F.min("name").alias("name"), F.min("low").alias("low"), F.max("high").alias("high"), *added)
+
+
+def first_copies(pages: DataFrame) -> DataFrame:
+    """(host, html, digest): copies of a page on its host once. The copied pages are broadcast if they are few."""
+    copied = pages.groupBy("host", "digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("host", "digest", "first")
+    copied = durable(copied, "copies")
+    if copied.count() * 64 <= BROADCAST_BYTES:
+        copied = F.broadcast(copied)
+    return pages.join(copied, ["host", "digest"], "left").where("first is null or id = first").select("host", "html", "digest")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed, container): the text tokens of the host's template, and the container with most slot text."""
-    seen = occurrences(pages).distinct()
-    low, high = F.col("page").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned("page", 33)
-    vectors = seen.where("kind < 3").groupBy("host", "token", "kind").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum(F.col("n") * low).alias("s1"), F.sum(F.col("n") * high).alias("s2"))
-    vectors = vectors.where(F.col("pages") >= MIN_PAGES)
-    same = ["host", "pages", "total", "s1", "s2"]
-    valid = vectors.groupBy(*same).agg(F.max(F.col("kind") < 2).alias("tag"), F.collect_list(F.when(F.col("kind") == 2, F.col("token"))).alias("fixed")).where("tag and size(fixed) > 0")
-    fixed = valid.groupBy("host").agg(F.flatten(F.collect_list("fixed")).alias("fixed"))
-    mass = seen.where("kind = 3").groupBy("host", "name").agg(F.sum("n").alias("n")).groupBy("host").agg(F.max_by("name", F.struct("n", "name")).alias("container"))
-    return mass.join(fixed, "host", "left")
-
-
-def main_text(html: str, fixed: frozenset, container: str) -> str:
-    blocks = [b for b in parse(html).blocks if not b.outside]
-    size: Counter = Counter()
-    for b in blocks:
-        size[b.article] += len(b.text) if b.article else 0
-    if any(size.values()):
-        best = max(size, key=lambda k: (size[k], -k))
-        blocks = [b for b in blocks if b.article == best]
-    elif any(b.main for b in blocks):
-        blocks = [b for b in blocks if b.main]
-    else:
-        blocks = [b for b in blocks if container and (b.container == container or b.container.startswith(container + "/"))]
-    return "\n\n".join(b.text for b in blocks if not fixed or token("text", b.path, b.text) not in fixed)
+    """(host, slots, fixed) of (id, host, html, digest): the host's slots (path, mass) and its template's text tokens
+    (token, container, mass)."""
+    vector = ["host", "pages", "total", "s1", "s2"]
+    seen = durable(occurrences(first_copies(pages)).where((F.col("pages") >= MIN_PAGES) & (F.col("low") != F.col("high"))), "tokens")
+    valid = seen.groupBy(*vector).agg(F.max(F.col("kind") == 1).alias("tag"), F.count("*").alias("n")).where((F.col("n") >= MIN_TOKENS) & F.col("tag")).select(vector)
+    kept = seen.join(valid, vector)
+    slots = kept.where("kind = 1 and total = pages and name is not null").groupBy("host").agg(F.collect_list(F.struct("name", "mass")).alias("slots"))
+    fixed = kept.where("kind = 2").groupBy("host").agg(F.collect_list(F.struct("token", "name", "mass")).alias("fixed"))
+    return slots.join(fixed, "host", "left")
+
+
+def under(path: str, top: str) -> bool:
+    return path == top or not top or path.startswith(top + "/")
+
+
+class Template:
+    """Slots of a host with the mass of their own, and the template's text."""
+
+    def __init__(self, slots: list[tuple[str, int]], fixed: list[tuple[int, str, int]]):
+        mass = {"": 0} | dict(slots)
+        self.fixed = {t for t, _, _ in fixed}
+        for _, container, m in fixed:
+            for path in mass:
+                if under(container, path):
+                    mass[path] -= m
+        self.own = dict(mass)
+        for path, m in mass.items():
+            if path:
+                self.own[self.slot_of(path.rpartition("/")[0])] -= m
+
+    def slot_of(self, path: str) -> str:
+        """The innermost slot at or around a path."""
+        while path and path not in self.own:
+            path = path.rpartition("/")[0]
+        return path
+
+
+def main_text(html: str, template: Template | None) -> str:
+    page = parse(html)
+    if template is None:
+        mass = masses(page)
+        template = Template([(p, mass[p]) for p in page.containers if page.tags[p] == 1], [])
+    blocks = [(b, template.slot_of(b.around[-1])) for b in page.blocks if not b.outside and (not template.fixed or token("text", b.path, b.text) not in template.fixed)]
+    open_ = [slot for b, slot in blocks if not b.marked or under(slot, b.marked)]
+    if not open_:
+        return ""
+    best = min(set(open_), key=lambda x: (-template.own[x], x))
+    around = [p for p in page.regions if under(best, p) and any(under(b.around[-1], p) for b, _ in blocks)]
+    region = min(around, key=len) if around else best
+    out, head = [], []
+    for b, _ in blocks:
+        if under(b.around[-1], region):
+            if not b.marked or under(region, b.marked):
+                out.append(b)
+        elif not out and not b.marked and HEADING.search(b.path):
+            head.append(b)
+    if not any(HEADING.search(b.path) for b in out):
+        out = [*head, *out]
+    return "\n\n".join(b.text for b in out)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars."""
-    base = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).alias("html"), host_of(pages[url_col]).alias("host"))
-    found = durable(templates(base).withColumn("fixed", F.coalesce("fixed", F.array().cast("array<long>"))), "templates")
-    weight = found.agg(F.sum(F.size("fixed") * 8 + F.length("container") + F.length("host") + 64)).first()[0] or 0
+    html = F.coalesce(pages[html_col], F.lit(""))
+    base = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), html.alias("html"), host_of(pages[url_col]).alias("host"), F.xxhash64(html).alias("digest"))
+    found = durable(templates(base), "templates")
+    weight = found.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    base = base.drop("digest")
     if weight <= BROADCAST_BYTES:
         joined = base.join(F.broadcast(found), "host", "left")
     else:
@@ -223,7 +314,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [main_text(h, frozenset(f or ()), c or "") if h else "" for h, f, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            text, known = [], {}
+            host, html, slots, fixed = (batch.column(i) for i in (2, 3, 4, 5))
+            for i, (h, x) in enumerate(zip(host.to_pylist(), html.to_pylist(), strict=True)):
+                if h not in known:
+                    known[h] = Template([(s["name"], s["mass"]) for s in slots[i].as_py()], [(f["token"], f["name"], f["mass"]) for f in fixed[i].as_py() or ()]) if slots[i].is_valid else None
+                text.append(main_text(x, known[h]) if x else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(np.array([len(x) for x in text], np.int64))], [id_col, url_col, "text", "n_chars"])
 
-    return joined.select("id", "url", "html", "fixed", "container").mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
+    return joined.select("id", "url", "host", "html", "slots", "fixed").mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")

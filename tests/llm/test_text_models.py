@@ -265,16 +265,53 @@ PAGE = """<html><head><title>T{i}</title><script>var a="<p>no</p>";</script></he
 def test_main_text(spark):
     marked = [(i, f"http://a.example/{i}", PAGE.format(i=i, open="<article>", close="</article>")) for i in range(20)]
     plain = [(100 + i, f"http://b.example/{i}", PAGE.format(i=i, open="<div class=body>", close="</div>")) for i in range(20)]
-    pages = spark.createDataFrame([*marked, *plain, (500, None, None), (501, "http://a.example/x", ""), (502, "bad", "plain words")], "page_id long, url string, html string")
+    odd = [(500, None, None), (501, "http://a.example/x", ""), (502, "bad", "plain words"), (503, "bad", "<h1>Title</h1><p>Some words</p>"), (504, "http://s.example/", "<body><nav>Menu</nav><article class=share>Own text</article></body>")]
+    pages = spark.createDataFrame([*marked, *plain, *odd], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in html_template.extract(pages).collect()}
     for i in range(20):
         want = f"Title {i} & more\n\nFirst {i} line\n\nSecond bold {i} text é"
         assert got[i]["text"] == want and got[i]["n_chars"] == len(want)
         assert got[100 + i]["text"] == want
-    assert got[500]["text"] == got[501]["text"] == "" and len(got) == 43
+    assert got[500]["text"] == got[501]["text"] == "" and len(got) == 45
+    assert got[502]["text"] == "plain words" and got[503]["text"] == "Title\n\nSome words" and got[504]["text"] == "Own text"
     assert html_template.extract(pages.limit(0)).count() == 0
 
 
+def words_of(i, n):
+    rng = random.Random(i)
+    return " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+
+
+def test_template_finds_what_tags_do_not(spark):
+    """Teasers are article elements on this host, the story is a plain container; a page alone would be read by its largest article."""
+    html = "<html><body><div id=story><h2>Story {i}</h2>{p}</div><article><p>{teaser}</article><footer>x</footer></body></html>"
+    rows = [(i, "http://t.example/", html.format(i=i, p="".join(f"<p>{words_of(100 * i + k, 30)}" for k in range(4 if i % 4 else 1)), teaser=words_of(9000 + i, 20 if i % 4 else 60))) for i in range(24)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(24):
+        assert got[i] == "\n\n".join([f"Story {i}", *(words_of(100 * i + k, 30) for k in range(4 if i % 4 else 1))])
+    alone = html_template.main_text(rows[0][2], None)
+    assert alone == words_of(9000, 60) and alone != got[0]
+
+
+def test_two_layouts_and_copies(spark):
+    """The rarer layout of a host has its own slots; pages that are copies of one page are no template; repeated rows stay."""
+    one = "<body><div class=a><h1>One {i}</h1><p>{t}</div><div class=z>Side {i}</div></body>"
+    two = "<body><div class=wide><div class=inner><h1>Two {i}</h1><p>{t}</div></div><div class=z>Side {i}</div></body>"
+    rows = [(i, "http://l.example/", (two if i % 5 == 0 else one).format(i=i, t=words_of(i, 20))) for i in range(40)]
+    rows += [(100 + i, "http://c.example/", "<body><article><p>Same text on every copy</article></body>") for i in range(9)] + [rows[0]]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, host long")
+    got = [(r["page_id"], r["text"]) for r in html_template.extract(pages).collect()]
+    assert len(got) == len(rows)
+    for i, text in got:
+        assert text == ("Same text on every copy" if i >= 100 else f"{'Two' if i % 5 == 0 else 'One'} {i}\n\n{words_of(i, 20)}")
+
+
+def test_very_long_page(spark):
+    html = "<body><article><h1>Long</h1>" + "".join(f"<p>part {i} {words_of(i, 10)}" for i in range(20_000)) + "</article></body>"
+    text = html_template.extract(spark.createDataFrame([(1, "http://x.example/", html)], "page_id long, url string, html string")).first()["text"]
+    assert text.startswith("Long\n\npart 0 ") and text.count("\n\n") == 20_000
+
+
 def test_template_line_goes(spark):
     """A line that stands on every page of a host is template, also inside the article."""
     html = "<html><body><article><p>Story {i} begins here.<p>Subscribe to our letter<p>Story {i} ends.</article></body></html>"
