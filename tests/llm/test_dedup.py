@@ -83,6 +83,34 @@ def test_embeddings(spark, monkeypatch, block):
     assert {i: r["n_links"] for i, r in got.items()} == {i: sum(i in p for p in links) for i in range(len(table))}
 
 
+def test_embedding_edges(spark):
+    """Repeated rows and no rows; integer and float components; clashing columns."""
+    rows = [(1, [1.0, 2.0], 0, 0), (1, [1.0, 2.0], 0, 0), (2, [2.0, 4.0001], 0, 0), (3, [-1.0, 0.5], 0, 0), (4, [0.0, 0.0], 0, 0)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id long, links long")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(v).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+    assert embedding_dedup.near_duplicates(v.limit(0)).count() == 0
+
+
+def test_sketch_bounds_hold():
+    """Sure pairs are links, no link is dropped by the strict bound, and pieces don't depend on the batch."""
+    rng = np.random.default_rng(6)
+    raw = np.repeat(rng.standard_normal((40, 64)), 6, axis=0) + rng.standard_normal((240, 64)) * rng.uniform(0.05, 0.4, (240, 1))
+    unit = embedding_dedup.unit_vectors(raw)
+    s = embedding_dedup.Sketches.unpacked(embedding_dedup.Sketches.of(unit).packed())
+    every = np.arange(240)
+    x, y, sure = embedding_dedup.block_links(s, 0, 10, every, every, True, 0.95)
+    true = {(a, b) for a, b in itertools.combinations(range(240), 2) if unit[a] @ unit[b] >= 0.95}
+    got = set(zip(x.tolist(), y.tolist(), strict=True))
+    assert true <= got and set(zip(x[sure].tolist(), y[sure].tolist(), strict=True)) <= true and 0 < sure.sum() and len(got) < 3 * len(true)
+    one = embedding_dedup.Sketches(s.q[7:8], s.scale[7:8], s.rest[7:8], s.factor[7:8])
+    assert (one.pieces(13, 9) == s.pieces(13, 9)[7:8]).all()
+    exact = unit @ unit.T
+    estimate = (s.q * s.scale[:, None]) @ (np.where(s.q >= 0, 1, -1) / 8).T / s.factor
+    slack = embedding_dedup.SIGMAS * np.sqrt((1 - s.factor**2) / (s.factor**2 * 63)) + s.rest[:, None] / s.factor
+    assert (np.abs(estimate - exact) <= slack).mean() > 0.9999
+
+
 def test_unbiased_estimate():
     rng = np.random.default_rng(0)
     a = rng.standard_normal(64)
