@@ -107,16 +107,103 @@ def kmer_codes(column: pa.Array, k: int, longest: int, most: int) -> tuple[np.nd
     return np.nonzero(ok)[0], code[ok]
 
 
-def kmers(reads: DataFrame, keys: list[str], k: int, longest: int = 255, most: int = 1 << 30, seq: str = "seq") -> DataFrame:
-    """(keys, kmer, n): the k-mers of the reads by group."""
+#: K-mers that a task combines before it sends them, and lots of codes for each shuffle partition.
+COMBINED = 2_000_000
+LOTS = 4
+
+
+def _rows(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the number of each row among them."""
+    if values.shape[1] == 1:
+        names, number = np.unique(values[:, 0], return_inverse=True)
+        return names[:, None], number
+    names, number = np.unique(values, axis=0, return_inverse=True)
+    return names, number.ravel()
+
+
+def _distinct(group: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (group, code), sorted by group."""
+    bits = 2 * k + 1
+    if int(group.max(initial=0)) < 1 << (63 - bits):
+        both = np.unique(group << bits | (code + 1))
+        return both >> bits, (both & ((1 << bits) - 1)) - 1
+    order = np.lexsort((code, group))
+    group, code = group[order], code[order]
+    new = np.append(True, (group[1:] != group[:-1]) | (code[1:] != code[:-1]))[: len(group)]
+    return group[new], code[new]
+
+
+def kmer_counts(reads: DataFrame, keys: list[str], k: int, longest: int = 255, most: int = 1 << 30, seq: str = "seq") -> DataFrame:
+    """(keys, distinct_kmers, total_kmers) by group of integer keys, which are not null; groups without a k-mer are absent.
+
+    A task combines its k-mers and deals them, packed, into lots by a hash of k-mer and group: a lot holds a share of every
+    group, so that no group is too large for a task. Lots are as many as shuffle partitions times LOTS. Distinct k-mers
+    are counted lot by lot and added up.
+    """
+    spark = reads.sparkSession
+    lots = LOTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = dict(reads.dtypes)
 
+    def dealt(held: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        at = np.concatenate([[0], np.cumsum([len(h[0][0]) for h in held])])
+        values = np.stack([np.concatenate([h[0][c] for h in held]) for c in range(len(keys))], axis=1)
+        names, number = _rows(values)
+        group = np.concatenate([number[at[i] + h[1]] for i, h in enumerate(held)])
+        code = np.concatenate([h[2] for h in held])
+        total = np.bincount(group, minlength=len(names))
+        group, code = _distinct(group, code, k)
+        mixed = code.astype(np.uint64)
+        for c in range(len(keys)):
+            mixed = (mixed ^ names[group, c].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        lot = (mixed % np.uint64(lots)).astype(np.int64)
+        order = np.argsort(lot, kind="stable")
+        cut = np.searchsorted(lot[order], np.arange(lots + 1))
+        rows = []
+        for i in range(lots):
+            part = order[cut[i] : cut[i + 1]]
+            if i:
+                some, to = np.unique(group[part], return_inverse=True)
+                counted = np.zeros(len(some), np.int64)
+            else:  # totals go with the first lot
+                some, to, counted = np.arange(len(names)), group[part], total
+            rows.append(np.array([len(some), len(part)], np.int64).tobytes() + names[some].astype(np.int64).tobytes() + counted.tobytes() + code[part].tobytes() + to.astype(np.int32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(lots, dtype=np.int32)), pa.array(rows, pa.binary())], ["lot", "packed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
                 row, code = kmer_codes(part.column(len(keys)), k, longest, most)
-                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(row)) for i in range(len(keys))), pa.array(code)], [*keys, "kmer"])
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", kmer long"
-    return reads.select(*keys, seq).mapInArrow(run, schema).groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
+                held.append(([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(len(keys))], row, code))
+                size += len(code)
+                if size >= COMBINED:
+                    yield dealt(held)
+                    held, size = [], 0
+        if size:
+            yield dealt(held)
+
+    def count(key: tuple[pa.Scalar, ...], lot: pa.Table) -> pa.Table:
+        names, totals, codes, groups = [], [], [], []
+        at = 0
+        for raw in lot["packed"].to_pylist():
+            some, many = np.frombuffer(raw, np.int64, 2).tolist()
+            place = 16
+            names.append(np.frombuffer(raw, np.int64, some * len(keys), place).reshape(some, len(keys)))
+            place += 8 * some * len(keys)
+            totals.append(np.frombuffer(raw, np.int64, some, place))
+            codes.append(np.frombuffer(raw, np.int64, many, place + 8 * some))
+            groups.append(np.frombuffer(raw, np.int32, many, place + 8 * some + 8 * many).astype(np.int64) + at)
+            at += some
+        every, number = _rows(np.concatenate(names))
+        group, _ = _distinct(number[np.concatenate(groups)], np.concatenate(codes), k)
+        found = np.bincount(group, minlength=len(every))
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, number, np.concatenate(totals))
+        return pa.table({**{c: pa.array(every[:, i]) for i, c in enumerate(keys)}, "d": found.astype(np.int64), "t": total})
+
+    packed = reads.select(*keys, seq).mapInArrow(run, "lot int, packed binary")
+    counted = packed.groupBy("lot").applyInArrow(count, ", ".join(f"`{c}` long" for c in keys) + ", d long, t long")
+    out = counted.groupBy(*keys).agg(F.sum("d").alias("distinct_kmers"), F.sum("t").alias("total_kmers"))
+    return out.select(*[F.col(c).cast(kinds[c]) for c in keys], "distinct_kmers", "total_kmers")

@@ -37,13 +37,22 @@ def basic(segs: DataFrame, keys: list[str]) -> DataFrame:
     return segs.groupBy(*keys).agg(F.sum(length).alias("covbases"), F.sum(length * depth).alias("depthsum"), F.sum(length * depth * depth).alias("sumsq"))
 
 
-def quartiles(segs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, covbases, q1, q3): where the covered bases reach a quarter and three quarters of their number."""
+def quartiles(segs: DataFrame, keys: list[str], stripe: int = STRIPE) -> DataFrame:
+    """(keys, covbases, q1, q3): where the covered bases reach a quarter and three quarters of their number.
+
+    Sums by stripe tell the stripes that hold the two places; only those are walked through, each for itself.
+    """
+    striped = segs.withColumn("stripe", F.floor(F.col("p") / stripe))
+    sums = striped.groupBy(*keys, "stripe").agg(F.sum("length").alias("own"))
     w = Window.partitionBy(*keys)
-    upto = F.sum("length").over(w.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
-    walk = segs.withColumn("upto", upto).withColumn("n", F.sum("length").over(w))
+    sums = sums.withColumn("before", F.coalesce(F.sum("own").over(w.orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("own").over(w))
+    t1, t3 = F.floor(F.col("n") / 4), F.floor(3 * F.col("n") / 4)
+    holds = lambda t: ((F.col("before") < t) | ((t == 0) & (F.col("before") == 0))) & (F.col("before") + F.col("own") >= t)
+    walk = striped.join(sums.where(holds(t1) | holds(t3)).select(*keys, "stripe", "before", "n"), [*keys, "stripe"])
+    upto = F.sum("length").over(Window.partitionBy(*keys, "stripe").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    walk = walk.withColumn("upto", F.col("before") + upto)
     place = lambda t: F.min(F.when(F.col("upto") >= t, F.struct("upto", (F.col("p") + t - (F.col("upto") - F.col("length"))).alias("q"))))["q"]
-    return walk.groupBy(*keys).agg(F.first("n").alias("covbases"), place(F.floor(F.col("n") / 4)).alias("q1"), place(F.floor(3 * F.col("n") / 4)).alias("q3"))
+    return walk.groupBy(*keys).agg(F.first("n").alias("covbases"), place(t1).alias("q1"), place(t3).alias("q3"))
 
 
 def cube_root(n: Column) -> Column:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import ani, kmers
+from strandlake.functions.sequence import ani, kmer_counts
 
 CLIP = 255
 
 
-def first_records(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, qname, qlen, seq) of the first record, by ord, of each read in a group. Combined before the shuffle."""
-    return df.groupBy(*keys, "qname").agg(F.min_by(F.struct("qlen", "seq"), "ord").alias("r")).select(*keys, "qname", "r.qlen", "r.seq")
+def first_records(df: DataFrame, keys: list[str], seq: bool = False) -> DataFrame:
+    """(keys, qname, qlen) of the first record, by ord, of each read in a group, with seq if asked for. Combined before the shuffle."""
+    value = F.struct("qlen", "seq") if seq else F.struct("qlen")
+    first = df.groupBy(*keys, "qname").agg(F.min_by(value, "ord").alias("r"))
+    return first.select(*keys, "qname", "r.*")
 
 
 def length_histogram(reads: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,9 +44,16 @@ def alignment_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     d = df.withColumn("ani", ani(F.col("nm"), F.col("qlen")))
     sd = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
     dust = [F.avg("dust").alias("mdust"), sd("dust").alias("stdev_dust")] if "dust" in df.columns else []
-    return d.groupBy(*keys).agg(F.count("*").alias("num_alns"), F.avg("nm").alias("mean_alnnm"), F.avg("ani").alias("mean_alnani"), sd("ani").alias("stdev_alnani"), F.percentile("ani", F.lit(0.5)).alias("median_alnani"), *dust)
+    plain = d.groupBy(*keys).agg(F.count("*").alias("num_alns"), F.avg("nm").alias("mean_alnnm"), F.avg("ani").alias("mean_alnani"), sd("ani").alias("stdev_alnani"), *dust)
+    return plain.join(median_identity(d, keys), keys, "left")
+
+
+def median_identity(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, median_alnani): from the number of alignments of each identity, so that a group is a few rows."""
+    few = df.where("ani is not null").groupBy(*keys, "ani").agg(F.count("*").alias("n"))
+    return few.groupBy(*keys).agg(F.percentile("ani", F.lit(0.5), F.col("n")).alias("median_alnani"))
 
 
 def duplicity(reads: DataFrame, keys: list[str], k: int, most: int = 1 << 30) -> DataFrame:
     """(keys, duplicity): distinct canonical k-mers over all; groups without a k-mer are absent (their figure is 0)."""
-    return kmers(reads, keys, k, CLIP, most).groupBy(*keys).agg((F.count("*") / F.sum("n")).alias("duplicity"))
+    return kmer_counts(reads, keys, k, CLIP, most).select(*keys, (F.col("distinct_kmers") / F.col("total_kmers")).alias("duplicity"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandlake.functions.sequence import ani
 
@@ -42,15 +43,25 @@ def reassign_weights(df: DataFrame) -> DataFrame:
     return df.withColumn("raw", raw).withColumn("weight", F.round(F.col("raw") / F.sum("raw").over(w), 12)).drop("raw")
 
 
-def keep_references(df: DataFrame, survivors: DataFrame) -> DataFrame:
-    """Alignments of the surviving references."""
-    return df.join(survivors.select("tid"), "tid", "left_semi")
+#: References numbered in one task.
+RANGE = 1 << 16
 
 
 def renumber(df: DataFrame, by: str = "tid") -> DataFrame:
-    """(tid, new_tid): dense numbers from 0 in the order of tid, or of the first alignment by ord. One row by reference is numbered."""
-    refs = df.groupBy("tid").agg(F.min("ord").alias("first"))
-    return refs.select("tid", (F.row_number().over(Window.orderBy("tid" if by == "tid" else "first")) - 1).cast("long").alias("new_tid"))
+    """(tid, new_tid): dense numbers from 0 in the order of tid, or (by="first") of the first alignment by ord.
+
+    References are numbered within ranges of RANGE values of tid, or of ord (of its first field, if it is a struct); what
+    stands before a range comes from the counts of ranges, the only rows that one task orders.
+    """
+    refs = df.select("tid").distinct() if by == "tid" else df.groupBy("tid").agg(F.min("ord").alias("ord"))
+    name = "tid" if by == "tid" else "ord"
+    order, kind = F.col(name), refs.schema[name].dataType
+    lead = order.getField(kind.names[0]) if isinstance(kind, StructType) else order
+    ranged = refs.withColumn("range", F.floor(lead / RANGE))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    return ranged.withColumn("place", place).join(before, "range").select("tid", (F.col("before") + F.col("place")).cast("long").alias("new_tid"))
 
 
 def alnfilt_summary(df: DataFrame, kept: DataFrame) -> DataFrame:

@@ -1 +1,24 @@
-"""Whole tables: statistics by reference, by taxon and by file."""
+"""Plans that put the operators together.
+
+A plan that reads its filtered alignments several times keeps them (persist); release(result) frees them once the result
+is written.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def holding(df: DataFrame, *kept: DataFrame) -> DataFrame:
+    df.kept = kept
+    return df
+
+
+def held(df: DataFrame) -> tuple[DataFrame, ...]:
+    return getattr(df, "kept", ())
+
+
+def release(df: DataFrame) -> None:
+    """Frees what the plan of df keeps on the executors."""
+    for one in held(df):
+        one.unpersist()

@@ -10,6 +10,7 @@ from strandlake.operators import coverage as cov
 from strandlake.operators import reads as rd
 from strandlake.operators.filters import alignment_filter
 from strandlake.operators.taxonomy import accessions
+from strandlake.plans import held, holding
 from strandlake.schema import REFSTATS
 
 
@@ -20,7 +21,7 @@ def refstats(alns: DataFrame, cfg: StatConfig | None = None) -> DataFrame:
     """
     cfg = cfg or StatConfig()
     keys = ["tid"]
-    base = alignment_filter(alns, cfg).persist()  # four aggregations read it
+    base = alignment_filter(alns, cfg).persist()  # several aggregations read it; release() frees it
     first = rd.first_records(base, keys)
     lengths = base.groupBy("tid").agg(F.first("ref_len").alias("ref_len"))
     segs = cov.segments(base, keys)
@@ -28,18 +29,18 @@ def refstats(alns: DataFrame, cfg: StatConfig | None = None) -> DataFrame:
     out = rd.read_lengths(first, keys).where(F.col("num_reads") >= cfg.minreads)
     for part in (rd.median_mode(first, keys), rd.alignment_stats(base, keys), lengths):
         out = out.join(part, keys)
-    for part in (cov.basic(segs, keys), cov.shape(cov.bin_histogram(segs, bins, keys), keys), rd.duplicity(first, keys, cfg.ksize)):
+    for part in (cov.basic(segs, keys), cov.shape(cov.bin_histogram(segs, bins, keys), keys), rd.duplicity(rd.first_records(base, keys, seq=True), keys, cfg.ksize)):
         out = out.join(part, keys, "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("covbases", "depthsum", "sumsq")} | {"duplicity": F.coalesce("duplicity", F.lit(0.0))}
     zero |= {c: F.coalesce(c, F.lit(0.0)) for c in ("entropy", "gini", "norm_entropy", "norm_gini")}
     out = out.withColumns(zero).withColumns(cov.figures(F.col("ref_len"))).withColumn("Length", F.col("ref_len"))
-    return out.select("tid", *REFSTATS)
+    return holding(out.select("tid", *REFSTATS), base)
 
 
 def with_taxid(stats: DataFrame, reference: DataFrame, acc2tax: DataFrame) -> DataFrame:
     """Adds Id, the reference's name, and taxID, 0 where the accession is unknown."""
     names = reference.select("tid", F.col("rname").alias("Id")).join(accessions(acc2tax).withColumnRenamed("accession", "Id"), "Id", "left")
-    return stats.join(names.select("tid", "Id", F.coalesce("taxid", F.lit(0)).alias("taxID")), "tid").select("Id", "taxID", *REFSTATS)
+    return holding(stats.join(names.select("tid", "Id", F.coalesce("taxid", F.lit(0)).alias("taxID")), "tid").select("Id", "taxID", *REFSTATS), *held(stats))
 
 
 def summary(alns: DataFrame, stats: DataFrame, cfg: StatConfig | None = None) -> DataFrame:

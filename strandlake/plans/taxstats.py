@@ -10,13 +10,14 @@ from strandlake.operators import coverage as cov
 from strandlake.operators import reads as rd
 from strandlake.operators.filters import alignment_filter
 from strandlake.operators.taxonomy import resolve
+from strandlake.plans import holding
 from strandlake.schema import TAXSTATS
 
 
 def by_taxon(alns: DataFrame, names: DataFrame, cfg: StatConfig) -> DataFrame:
     """alns has taxid; null taxids take no part. Coverage is summed over the references of a taxon."""
     keys = ["taxid"]
-    base = alignment_filter(alns.where("taxid is not null"), StatConfig(minreflen=max(cfg.minreflen, 1), minalnas=cfg.minalnas, maxdust=cfg.maxdust)).persist()  # four aggregations read it
+    base = alignment_filter(alns.where("taxid is not null"), StatConfig(minreflen=max(cfg.minreflen, 1), minalnas=cfg.minalnas, maxdust=cfg.maxdust)).persist()  # several aggregations read it; release() frees it
     first = rd.first_records(base, keys)
     refs = base.groupBy("taxid", "tid").agg(F.first("ref_len").alias("ref_len"))
     refs = refs.groupBy("taxid").agg(F.count("*").alias("num_accessions"), F.sum("ref_len").alias("total_length"))
@@ -25,11 +26,11 @@ def by_taxon(alns: DataFrame, names: DataFrame, cfg: StatConfig) -> DataFrame:
     out = rd.read_lengths(first, keys, 3).where(F.col("num_reads") >= cfg.minreads).join(alone, keys)
     for part in (rd.median_mode(first, keys), refs):
         out = out.join(part, keys)
-    for part in (pooled, rd.duplicity(first, keys, cfg.ksize, rd.CLIP - cfg.ksize), names.select("taxid", "name")):
+    for part in (pooled, rd.duplicity(rd.first_records(base, keys, seq=True), keys, cfg.ksize, rd.CLIP - cfg.ksize), names.select("taxid", "name")):
         out = out.join(part, keys, "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("covbases", "depthsum", "sumsq")} | {"duplicity": F.coalesce("duplicity", F.lit(0.0))}
     length = F.col("total_length")
-    return out.withColumns(zero).withColumns(cov.figures(length, F.col("covbases") / length)).select(*TAXSTATS)
+    return holding(out.withColumns(zero).withColumns(cov.figures(length, F.col("covbases") / length)).select(*TAXSTATS), base)
 
 
 def taxstats(alns: DataFrame, reference: DataFrame, acc2tax: DataFrame, nodes: DataFrame, names: DataFrame, cfg: StatConfig | None = None) -> DataFrame:

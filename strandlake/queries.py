@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.config import StatConfig
-from strandlake.functions.sequence import with_dust
+from strandlake.functions.sequence import kmer_counts, with_dust
 from strandlake.operators import compare, coverage, reads, selection, taxonomy
 from strandlake.operators.filters import alignment_filter, mapped
 from strandlake.plans import bamstats as bam
@@ -46,7 +46,7 @@ def _mapped(s, d):
 
 
 def _first(s, d):
-    return reads.first_records(_mapped(s, d), ["tid"])
+    return reads.first_records(_mapped(s, d), ["tid"], seq=True)
 
 
 def _segs(s, d):
@@ -267,9 +267,7 @@ _KM = _FR + ", ke as (select tid, substr(seq, i::int, 17) as k from (select tid,
 
 @query(_KM + "select tid, count(distinct k) as distinct_kmers, count(*) as total_kmers from kc group by tid")
 def seq_kmers(s, d):
-    from strandlake.functions.sequence import kmers
-
-    return kmers(_first(s, d), ["tid"], 17, 255).groupBy("tid").agg(F.count("*").alias("distinct_kmers"), F.sum("n").alias("total_kmers"))
+    return kmer_counts(_first(s, d), ["tid"], 17, 255)
 
 
 @query(_KM + "select tid, round(count(distinct k) / count(*), 6) as duplicity from kc group by tid")
