@@ -144,9 +144,11 @@ def draw(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount:
     numbers = stirling(discount)
     tables = np.minimum(customers, 1)
     many = np.flatnonzero(customers > 1)
+    if not len(many):
+        return tables
     many = many[np.argsort(customers[many], kind="stable")]
     size = customers[many]
-    edge = np.flatnonzero(np.append(True, size[1:] != size[:-1])) if len(size) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.append(True, size[1:] != size[:-1]))
     beyond: list[np.ndarray] = []
     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(size)], strict=True):
         weights = numbers.row(int(size[a]))

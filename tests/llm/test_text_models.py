@@ -220,6 +220,7 @@ def test_root_sums_to_one():
     customers, dishes = np.array([1, 2, 7, 400]), np.array([50, 20, 5, 2])
     root = pitman_yor.Root(customers, dishes, 77, np.random.default_rng(3))
     assert (root.probability(customers) * dishes).sum() + root.probability(np.array([0]))[0] == pytest.approx(1)
+    assert (pitman_yor.draw(np.array([0, 1, 1]), np.zeros(3), np.full(3, 0.5), 0.5, 1.0, np.random.default_rng(3)) == [0, 1, 1]).all()
     assert pitman_yor.Root(np.zeros(0, int), np.zeros(0, int), 0, np.random.default_rng(3)).probability(np.array([0]))[0] == pytest.approx(1)
 
 
