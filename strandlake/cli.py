@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import argparse
-from functools import reduce
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from strandlake.config import StatConfig
 from strandlake.operators import selection, taxonomy
 from strandlake.operators.compare import cmpstat, unmatched
 from strandlake.plans import bamstats as bam
+from strandlake.plans import release
 from strandlake.plans import refstats as ref
 from strandlake.plans import taxstats as tax
 from strandlake.sources import files, sinks
@@ -25,6 +26,9 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--filelist")
     common.add_argument("-o", "--outbam")
     common.add_argument("--outstat")
+    common.add_argument("-t", "--threads", type=int, help="accepted; Spark sets the number of tasks")
+    common.add_argument("--qsize", type=int, help="accepted; Spark sets the size of batches")
+    common.add_argument("--verbose", action="store_true")
     stats = argparse.ArgumentParser(add_help=False)
     stats.add_argument("-k", "--ksize", type=int, default=17)
     stats.add_argument("--minreflen", "--minrefl", type=int)
@@ -36,7 +40,9 @@ def parser() -> argparse.ArgumentParser:
     stats.add_argument("-d", "--nodes")
     stats.add_argument("-a", "--acc2tax")
     stats.add_argument("--rank", default="genus")
-    stats.add_argument("--onlypresent", "--dumpacc2tax", dest="present")
+    stats.add_argument("--withtaxid", action="store_true", help="accepted; with a taxonomy the taxid is always given")
+    stats.add_argument("--onlypresent", dest="present", help="write the accessions of the input's references; .parquet for fast reloading")
+    stats.add_argument("--dumpacc2tax", dest="dump", help="write the whole accession table; .parquet for fast reloading")
     sub.add_parser("refstats", parents=[common, stats])
     sub.add_parser("taxstats", parents=[common, stats])
     sub.add_parser("bamstats", parents=[common]).add_argument("--printdists")
@@ -46,6 +52,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--maxani", type=float, default=100.0)
     f.add_argument("--pct", type=float, default=0.9)
     f.add_argument("--strictbounds", action="store_true")
+    f.add_argument("--seed", type=int, help="RNDTOP: another choice among the best for each seed")
     c = sub.add_parser("cmpstat")
     c.add_argument("-1", dest="one", required=True)
     c.add_argument("-2", dest="two", required=True)
@@ -59,6 +66,22 @@ def _emit(df: DataFrame, path: str | None) -> None:
     sinks.write_tsv(df, path) if path else df.show(1000, truncate=False)
 
 
+def _say(text: str) -> None:
+    print(f"[strandlake] {text}", file=sys.stderr)
+
+
+def _share(name: str, every: int, passed: int) -> None:
+    _say(f"{every} {name}, {passed} passed filters ({passed / every if every else 0:f})")
+
+
+def _write(spark: SparkSession, df: DataFrame, paths: list[str], out: str, tags: list[str], more: list[str]) -> None:
+    kinds = {p.endswith(".bam") for p in paths}
+    if len(kinds) > 1:
+        raise SystemExit("SAM and BAM inputs are written separately")
+    write = sinks.write_bam if kinds == {True} else sinks.write_sam
+    write(df, out, files.header_lines(spark, paths[0]), tags, more)
+
+
 def run(spark: SparkSession, argv: list[str]) -> None:
     a = parser().parse_args(argv)
     if a.command == "cmpstat":
@@ -69,23 +92,28 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     paths = a.bam + (files.file_list(spark, a.filelist) if a.filelist else [])
     if not paths:
         raise SystemExit("no input file")
-    alns = reduce(DataFrame.unionByName, (files.read_alignments(spark, p) for p in paths))
+    alns = files.read_alignments(spark, paths, raw=bool(a.outbam) and a.command != "bamstats")
+    if a.verbose:
+        _say(f"{a.command}: {len(paths)} files")
     if a.command == "bamstats":
         _emit(bam.bamstats(alns), a.outstat or a.outbam)
         if a.printdists:
             sinks.write_distributions(bam.read_length_distribution(alns), bam.ani_distribution(alns), a.printdists)
         return
     if a.command == "alnfilt":
-        kept = selection.alnfilt(alns, a.mode, a.minani, a.maxani, a.pct, a.strictbounds)
-        selection.alnfilt_summary(alns.where(F.col("flag").bitwiseAND(4) == 0), kept).show()
+        kept = selection.alnfilt(alns, a.mode, a.minani, a.maxani, a.pct, a.strictbounds, a.seed)
+        n = selection.alnfilt_summary(alns.where(F.col("flag").bitwiseAND(4) == 0), kept).first()
+        for name, k in (("alignments", "alns"), ("queries", "queries"), ("references", "refs")):
+            _share(name, n[k], n[f"passed_{k}"])
         if a.outbam:
-            sinks.write_sam(kept, a.outbam)
+            _write(spark, kept, paths, a.outbam, [], [])
         return
     given = [a.acc2tax, a.names, a.nodes]
     if any(given) and not all(given):
         raise SystemExit("--acc2tax, --names and --nodes go together")
     cfg = StatConfig(a.minreads, (1 if a.command == "taxstats" else 0) if a.minreflen is None else a.minreflen, a.minmani, a.minalnas, a.maxdust, a.ksize, a.rank)
     reference = alns.where("tid >= 0").select("tid", "rname", "ref_len").distinct()
+    more: list[str] = []
     if not all(given):
         if a.command == "taxstats":
             raise SystemExit("taxstats needs --acc2tax, --names and --nodes")
@@ -93,20 +121,35 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         _emit(reference.select("tid", F.col("rname").alias("Id")).join(stats, "tid").drop("tid"), a.outstat)
     else:
         acc2tax, nodes, names = files.load_taxonomy(spark, a.acc2tax, a.names, a.nodes)
+        if a.dump:
+            sinks.write_accessions(taxonomy.accession_table(acc2tax), a.dump)
         if a.present:
             sinks.write_accessions(taxonomy.present_accessions(reference, acc2tax.select("accession", "taxid")), a.present)
         first = taxonomy.accessions(acc2tax, "ord")
         if a.command == "taxstats":
-            _emit(tax.taxstats(alns, reference, first, nodes, names, cfg), a.outstat)
+            stats = tax.taxstats(alns, reference, first, nodes, names, cfg)
+            _emit(stats, a.outstat)
+            n = tax.summary(alns, taxonomy.resolve(reference, first, nodes, cfg.rank), stats, cfg).first()
+            _share("alignments", n["alns"], n["passed_alns"])
+            _share("reads", n["reads"], n["passed_reads"])
+            _say(f"{n['passed_taxa']} taxa out of {n['passed_refs']} references")
+            release(stats)
             return
         stats = ref.refstats(alns, cfg)
         _emit(ref.with_taxid(stats, reference, first), a.outstat)
+        absent, every = taxonomy.missing_references(reference, first).count(), reference.count()
+        _say(f"Warning: {absent} of {every} references ({absent / every if every else 0:f}) were not found in the accession table")
         alns = taxonomy.tagged(alns, taxonomy.resolve(reference, first, nodes, cfg.rank))
+        more = [f"@CO\tstrandlake:tax-tags\tXR=rank_taxid\trank={cfg.rank}"]
+    sorted_ = any("SO:coordinate" in x for x in files.header_lines(spark, paths[0])[:1])
+    n = ref.summary(alns, stats, cfg, every_record=sorted_).first()
+    _share("alignments", n["alns"], n["passed_alns"])
+    _share("reads", n["reads"], n["passed_reads"])
+    _share("references", reference.count(), n["passed_refs"])
     if a.outbam:
-        sinks.write_sam(ref.filter_alignments(alns, stats, cfg), a.outbam, f"rank={cfg.rank}" if all(given) else None)
+        _write(spark, ref.filter_alignments(alns, stats, cfg), paths, a.outbam, ["xt", "xr"] if all(given) else [], more)
+    release(stats)
 
 
 if __name__ == "__main__":
-    import sys
-
     run(SparkSession.builder.appName("strandlake").getOrCreate(), sys.argv[1:])

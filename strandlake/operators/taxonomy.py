@@ -51,6 +51,11 @@ def accessions(acc2tax: DataFrame, order: str | None = None) -> DataFrame:
     return acc2tax.groupBy("accession").agg((F.min_by("taxid", order) if order else F.min("taxid")).alias("taxid"))
 
 
+def accession_table(acc2tax: DataFrame) -> DataFrame:
+    """(accession, accession_version, taxid): the whole map, one row an accession, as the writers take it."""
+    return accessions(acc2tax, "ord").select("accession", F.col("accession").alias("accession_version"), "taxid")
+
+
 def conflicts(acc2tax: DataFrame) -> DataFrame:
     """(conflicts): rows whose taxid differs from the first of their accession."""
     first = F.first("taxid").over(Window.partitionBy("accession").orderBy("ord"))

@@ -43,10 +43,15 @@ def with_taxid(stats: DataFrame, reference: DataFrame, acc2tax: DataFrame) -> Da
     return holding(stats.join(names.select("tid", "Id", F.coalesce("taxid", F.lit(0)).alias("taxID")), "tid").select("Id", "taxID", *REFSTATS), *held(stats))
 
 
-def summary(alns: DataFrame, stats: DataFrame, cfg: StatConfig | None = None) -> DataFrame:
-    """alns and reads that pass the row filters (reads summed over references), and the same of the surviving references."""
+def summary(alns: DataFrame, stats: DataFrame, cfg: StatConfig | None = None, every_record: bool = False) -> DataFrame:
+    """alns and reads that pass the row filters (reads summed over references), and the same of the surviving references.
+
+    every_record: alns counts all records instead, as for input sorted by coordinate.
+    """
     base = alignment_filter(alns, cfg or StatConfig())
     every = base.agg(F.count("*").alias("alns"), F.countDistinct("tid", "qname").alias("reads"))
+    if every_record:
+        every = every.drop("alns").join(alns.agg(F.count("*").alias("alns")))
     return every.join(stats.agg(F.coalesce(F.sum("num_alns"), F.lit(0)).alias("passed_alns"), F.coalesce(F.sum("num_reads"), F.lit(0)).alias("passed_reads"), F.count("*").alias("passed_refs")))
 
 

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-ALIGNMENT = "file string, ord long, qname string, flag int, tid int, rname string, pos long, end_pos long, qlen int, seq string, nm int, as_score int, xt int, xr int"
-REFERENCE = "tid int, rname string, ref_len long"
-TAXNODE = "taxid long, parent long, rank string, level int"
-TAXNAME = "taxid long, name string"
-ACC2TAX = "accession string, taxid long"
+#: Alignments of files. mate: the mate's reference; raw: the record's own bytes (a SAM line or a BAM record), null unless asked for.
+ALIGNMENT = "file string, ord long, qname string, flag int, tid int, rname string, ref_len long, pos long, end_pos long, qlen int, seq string, nm int, as_score int, xt int, xr int, mate int, raw binary"
 
 #: Output columns in order, spelled as users of such tables know them.
 REFSTATS = "Length num_alns num_reads mean_readl stdev_readl median_readl mode_readl readl_min readl_max mean_alnnm mean_alnani stdev_alnani median_alnani num_covbases mean_cov breath_cov exp_breath breath_ratio mean_covcovered stdev_covcovered evenness_cov site_density duplicity entropy gini norm_entropy norm_gini tad80 mdust stdev_dust".split()

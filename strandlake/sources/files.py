@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-import struct
-from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from strandlake.schema import ALIGNMENT
-
-BAM_SCHEMA = ALIGNMENT.replace("rname string", "rname string, ref_len long")
-BASES = "=ACMGRSVTWYHKDBN"
+from strandlake.sources.bam import BamDataSource, read_header
 
 
 def _reference_bases(cigar: Column) -> Column:
@@ -28,7 +22,7 @@ def _tag(name: str) -> Column:
     return F.when(value != "", value.cast("int"))
 
 
-def sam_header(spark: SparkSession, path: str) -> DataFrame:
+def sam_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line_no, value): header lines; compressed files are read by their suffix."""
     lines = spark.read.text(path).where(F.col("value").startswith("@"))
     return lines.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
@@ -36,8 +30,6 @@ def sam_header(spark: SparkSession, path: str) -> DataFrame:
 
 def sam_references(spark: SparkSession, path: str) -> DataFrame:
     """(file, tid, rname, ref_len) from the @SQ lines; tid counts a file's lines from 0."""
-    from pyspark.sql import Window
-
     sq = sam_header(spark, path).where(F.col("value").startswith("@SQ"))
     sq = sq.select("file", "line_no", F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("rname"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("long").alias("ref_len"))
     return sq.withColumn("tid", F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1).select("file", "tid", "rname", "ref_len")
@@ -50,101 +42,47 @@ def sort_order(spark: SparkSession, path: str) -> DataFrame:
     return hd.select("file", part("SO"), part("GO"), part("SS"))
 
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments with ref_len of one or more SAM files (path may be a pattern). Order within a file is that of the lines."""
+def read_sam(spark: SparkSession, path: str | list[str], raw: bool = False) -> DataFrame:
+    """Alignments of one or more SAM files (path may be a pattern). Order within a file is that of the lines."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), "value").where(~F.col("value").startswith("@") & (F.col("value") != ""))
     f = F.split("value", "\t")
     get = lambda i: F.get(f, F.lit(i))
     seq = F.when(get(9) == "*", "").otherwise(get(9))
     pos = get(3).cast("long") - 1
     cigar = _reference_bases(get(5))
+    rname = F.nullif(get(2), F.lit("*"))
     out = lines.select(
-        "file", "ord", get(0).alias("qname"), get(1).cast("int").alias("flag"), F.nullif(get(2), F.lit("*")).alias("rname"), pos.alias("pos"), (pos + F.greatest(cigar, F.lit(1))).alias("end_pos"),
-        F.length(seq).alias("qlen"), seq.alias("seq"), _tag("NM").alias("nm"), _tag("AS").alias("as_score"), _tag("XT").alias("xt"), _tag("XR").alias("xr"),
+        "file", "ord", get(0).alias("qname"), get(1).cast("int").alias("flag"), rname.alias("rname"), pos.alias("pos"), (pos + F.greatest(cigar, F.lit(1))).alias("end_pos"),
+        F.length(seq).cast("int").alias("qlen"), seq.alias("seq"), _tag("NM").alias("nm"), _tag("AS").alias("as_score"), _tag("XT").alias("xt"), _tag("XR").alias("xr"),
+        F.when(get(6) == "=", rname).otherwise(F.nullif(get(6), F.lit("*"))).alias("mate_name"), (F.encode("value", "UTF-8") if raw else F.lit(None).cast("binary")).alias("raw"),
     )
     refs = sam_references(spark, path)
-    return out.join(refs, ["file", "rname"], "left").withColumn("tid", F.coalesce("tid", F.lit(-1)))
-
-
-class _Bam(DataSourceReader):
-    """One partition by file. Records follow the public SAM/BAM specification; blocks are gzip members."""
-
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = partition.value
-        with gzip.open(path.removeprefix("file://"), "rb") as f:
-
-            def take(kind: str):
-                return struct.unpack("<" + kind, f.read(struct.calcsize("<" + kind)))
-
-            if f.read(4) != b"BAM\1":
-                raise ValueError(f"{path} is no BAM file")
-            f.read(take("i")[0])
-            refs = []
-            for _ in range(take("i")[0]):
-                name = f.read(take("i")[0])[:-1].decode()
-                refs.append((name, take("i")[0]))
-            ord_ = 0
-            while head := f.read(4):
-                raw = f.read(struct.unpack("<i", head)[0])
-                yield record(path, ord_, raw, refs)
-                ord_ += 1
-
-
-def record(path: str, ord_: int, raw: bytes, refs: list[tuple[str, int]]) -> tuple:
-    """A row of BAM_SCHEMA from an alignment block."""
-    tid, pos, l_name, _, _, n_cigar, flag, l_seq, _, _, _ = struct.unpack_from("<iiBBHHHiiii", raw)
-    at = 32
-    qname = raw[at : at + l_name - 1].decode()
-    at += l_name
-    aligned = sum(x >> 4 for x in struct.unpack_from(f"<{n_cigar}I", raw, at) if x & 15 in (0, 2, 3, 7, 8))
-    at += 4 * n_cigar
-    packed = raw[at : at + (l_seq + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq]
-    at += (l_seq + 1) // 2 + l_seq
-    tags = {}
-    sizes = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-    codes = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I"}
-    while at < len(raw):
-        name, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
-        at += 3
-        if kind in "ZH":
-            at = raw.index(0, at) + 1
-        elif kind == "B":
-            at += 5 + sizes[chr(raw[at])] * struct.unpack_from("<i", raw, at + 1)[0]
-        else:
-            if kind in codes:
-                tags[name] = struct.unpack_from("<" + codes[kind], raw, at)[0]
-            at += sizes[kind]
-    rname, ref_len = refs[tid] if tid >= 0 else (None, None)
-    return (path, ord_, qname, flag, tid, rname, ref_len, pos, pos + max(1, aligned), l_seq, seq, *(tags.get(k) for k in ("NM", "AS", "XT", "XR")))
-
-
-class BamDataSource(DataSource):
-    """spark.read.format("bam").option("paths", "a.bam,b.bam").load(); files must be visible to the executors."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return BAM_SCHEMA
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Bam([p for p in (self.options.get("paths") or self.options.get("path", "")).split(",") if p])
-
-
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """SAM text or BAM, by suffix."""
-    if path.endswith(".bam"):
+    mates = refs.select("file", F.col("rname").alias("mate_name"), F.col("tid").alias("mate"))
+    out = out.join(refs, ["file", "rname"], "left").join(mates, ["file", "mate_name"], "left")
+    out = out.withColumns({"tid": F.coalesce("tid", F.lit(-1)), "mate": F.coalesce("mate", F.lit(-1))})
+    return out.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in ALIGNMENT.split(", ")])
+
+
+def read_alignments(spark: SparkSession, path: str | list[str], raw: bool = False) -> DataFrame:
+    """SAM text or BAM files, by suffix; all files of a kind are one scan. raw keeps each record's own bytes."""
+    paths = [path] if isinstance(path, str) else list(path)
+    bams, rest = [p for p in paths if p.endswith(".bam")], [p for p in paths if not p.endswith(".bam")]
+    out = [read_sam(spark, rest, raw)] if rest else []
+    if bams:
         spark.dataSource.register(BamDataSource)
-        return spark.read.format("bam").option("paths", path).load()
-    return read_sam(spark, path)
+        out.append(spark.read.format("bam").option("paths", "\n".join(bams)).option("raw", str(raw).lower()).load())
+    return reduce(DataFrame.unionByName, out)
+
+
+def header_lines(spark: SparkSession, path: str) -> list[str]:
+    """The header of a SAM or BAM file; it is as large as its reference dictionary."""
+    if path.endswith(".bam"):
+        head = read_header(path)
+        lines = [x for x in head.text.split("\n") if x]
+        if not any(x.startswith("@SQ") for x in lines):
+            lines += [f"@SQ\tSN:{n}\tLN:{size}" for n, size in zip(head.names, head.lengths, strict=True)]
+        return lines
+    return [r["value"] for r in sam_header(spark, path).orderBy("line_no").collect()]
 
 
 def file_list(spark: SparkSession, path: str) -> list[str]:
@@ -170,10 +108,16 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_acc2tax(spark: SparkSession, path: str) -> DataFrame:
-    """(accession, taxid, ord): second and third word of each line after the first; blank lines are skipped."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.split(F.trim("value"), r"[ \t]+").alias("f"))
-    first = rows.agg(F.min("ord")).first()[0]
-    return rows.where((F.col("ord") != F.lit(first)) & (F.size("f") > 2)).select(F.get("f", F.lit(1)).alias("accession"), F.get("f", F.lit(2)).cast("long").alias("taxid"), "ord")
+    """(accession, taxid, ord): second and third word of each line after a file's first; blank lines are skipped.
+
+    A path that ends in .parquet is a table that write_accessions made: it is read as it is, for fast reloading.
+    """
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path).select("accession", F.col("taxid").cast("long").alias("taxid"), F.monotonically_increasing_id().alias("ord"))
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), F.split(F.trim("value"), r"[ \t]+").alias("f"))
+    heads = F.broadcast(rows.groupBy("file").agg(F.min("ord").alias("head")))  # one row a file
+    rows = rows.join(heads, "file").where((F.col("ord") != F.col("head")) & (F.size("f") > 2))
+    return rows.select(F.get("f", F.lit(1)).alias("accession"), F.get("f", F.lit(2)).cast("long").alias("taxid"), "ord")
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:

@@ -1,10 +1,16 @@
-"""Writers: statistics tables, distributions, SAM text, accession tables."""
+"""Writers: statistics tables, distributions, SAM and BAM records as they came, accession tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions.sequence import ani
+from strandlake.operators.selection import renumber
+from strandlake.sources.bam import BamDataSource, Squeezer, header_bytes, local
+
 
 def write_tsv(df: DataFrame, path: str, digits: int = 6) -> None:
     """Tab-separated parts with a header; doubles with digits decimals."""
@@ -17,28 +23,68 @@ def write_distributions(lengths: DataFrame, anis: DataFrame, base: str) -> None:
     write_tsv(anis, f"{base}.ani.dists.txt", 1)
 
 
-def sam_lines(df: DataFrame) -> DataFrame:
-    """SAM text of alignments. Mapping quality, mate fields and qualities, which the table has not, are their defaults;
-    the CIGAR is the aligned length as one match."""
-    tag = lambda c, name: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"\t{name}:i:"), F.col(c).cast("string"))).otherwise("") if c in df.columns else F.lit("")
-    fields = [F.col("qname").cast("string"), F.col("flag").cast("string"), F.coalesce("rname", F.lit("*")), (F.col("pos") + 1).cast("string"), F.lit("255"), F.concat((F.col("end_pos") - F.col("pos")).cast("string"), F.lit("M")), F.lit("*"), F.lit("0"), F.lit("0"), F.coalesce(F.nullif("seq", F.lit("")), F.lit("*")), F.lit("*")]
-    return df.select(F.concat(F.concat_ws("\t", *fields), tag("nm", "NM"), tag("as_score", "AS"), tag("xt", "XT"), tag("xr", "XR"), tag("an", "AN")).alias("value"))
+def with_ani(df: DataFrame) -> DataFrame:
+    """Adds an, the identity as a float; write_sam and write_bam make it the tag AN."""
+    return df.withColumn("an", ani(F.col("nm"), F.col("qlen")).cast("float"))
+
+
+def kept_header(df: DataFrame, header: list[str], more: list[str]) -> tuple[list[str], list[int]]:
+    """The header's lines without the references that df has lost, and their numbers. A header is one dictionary of the
+    references, so it is made on the driver; more: lines put before the program's own."""
+    tids = {r["tid"] for r in df.where("tid >= 0").select("tid").distinct().collect()}
+    sq = [x for x in header if x.startswith("@SQ")]
+    rest = {k: [x for x in header if x.startswith(k)] for k in ("@HD", "@RG", "@PG", "@CO")}
+    before = {f for x in rest["@PG"] for f in x.split("\t") if f.startswith("PP:")}
+    last = [f[3:] for x in rest["@PG"] for f in x.split("\t") if f.startswith("ID:") and f"PP:{f[3:]}" not in before]
+    program = "@PG\tID:strandlake\tPN:strandlake" + (f"\tPP:{last[-1]}" if last else "")
+    numbers = sorted(tids)
+    return [*rest["@HD"], *(sq[t] for t in numbers), *rest["@RG"], *rest["@PG"], program, *rest["@CO"], *more], numbers
+
+
+def _tags(df: DataFrame, tags: list[str]) -> dict:
+    return {t: F.col(t).cast("float" if t == "an" else "int") for t in tags}
+
+
+def sam_lines(df: DataFrame, tags: list[str]) -> DataFrame:
+    """The records' own lines, in order; the columns in tags (xt, xr, an) take the place of those tags."""
+    line = F.decode("raw", "UTF-8")
+    for t, c in _tags(df, tags).items():
+        name = t.upper()
+        value = F.concat(F.lit(f"\t{name}:{'f' if t == 'an' else 'i'}:"), c.cast("string"))
+        line = F.when(c.isNull(), line).otherwise(F.concat(F.regexp_replace(line, f"\t{name}:[^\t]*", ""), value))
+    return df.orderBy("file", "ord").select(line.alias("value"))
 
 
-def sam_header_lines(df: DataFrame, comment: str | None = None) -> DataFrame:
-    """@SQ lines of the references that df still has, by tid, after @HD; then @PG and a comment."""
-    sq = df.where("tid >= 0").groupBy("tid").agg(F.first("rname").alias("rname"), F.first("ref_len").alias("ref_len"))
-    body = sq.select(F.lit(1).alias("part"), F.col("tid").cast("long").alias("tid"), F.concat(F.lit("@SQ\tSN:"), "rname", F.lit("\tLN:"), F.col("ref_len").cast("string")).alias("value"))
-    extra = [(0, 0, "@HD\tVN:1.6\tSO:unsorted"), (2, 0, "@PG\tID:strandlake\tPN:strandlake")] + ([(3, 0, f"@CO\t{comment}")] if comment else [])
-    return df.sparkSession.createDataFrame(extra, "part int, tid long, value string").unionByName(body.select("part", "tid", "value"), allowMissingColumns=True).orderBy("part", "tid").select("value")
+def write_sam(df: DataFrame, path: str, header: list[str], tags: list[str] | None = None, more: list[str] | None = None) -> None:
+    """path/header and path/records as text; records stay distributed and are the input's lines."""
+    lines, _ = kept_header(df, header, more or [])
+    df.sparkSession.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    sam_lines(df, tags or []).write.mode("overwrite").text(f"{path}/records")
 
 
-def write_sam(df: DataFrame, path: str, comment: str | None = None) -> None:
-    """path/header and path/records as text; records stay distributed."""
-    sam_header_lines(df, comment).coalesce(1).write.mode("overwrite").text(f"{path}/header")
-    sam_lines(df).write.mode("overwrite").text(f"{path}/records")
+def write_bam(df: DataFrame, path: str, header: list[str], tags: list[str] | None = None, more: list[str] | None = None) -> None:
+    """One BAM file of the records' own bytes, in order, with dense reference numbers; a mate's reference that is gone
+    becomes none. The columns in tags (xt, xr, an) take the place of those tags. Tasks write parts; path is a folder's
+    that they and the driver share."""
+    df.sparkSession.dataSource.register(BamDataSource)
+    lines, numbers = kept_header(df, header, more or [])
+    part = lambda x, k: next(f[3:] for f in x.split("\t") if f.startswith(k))
+    references = [(part(x, "SN:"), int(part(x, "LN:"))) for x in lines if x.startswith("@SQ")]
+    head = f"{local(path)}.head-{uuid.uuid4().hex}"
+    with open(head, "wb") as f:
+        out = Squeezer(f)
+        out.write(header_bytes("\n".join(lines) + "\n", references))
+        out.flush()
+    dense = renumber(df.where("tid >= 0"))
+    rows = df.join(dense, "tid", "left").join(dense.select(F.col("tid").alias("mate"), F.col("new_tid").alias("new_mate")), "mate", "left").orderBy("file", "ord")
+    none = F.lit(-1).cast("long")
+    rows = rows.select("raw", F.coalesce("new_tid", none).cast("int").alias("new_tid"), F.coalesce("new_mate", none).cast("int").alias("new_mate"), *[c.alias(t) for t, c in _tags(df, tags or []).items()])
+    rows.write.format("bam").mode("overwrite").option("path", path).option("head", head).save()
 
 
 def write_accessions(df: DataFrame, path: str) -> None:
-    """The accession table with a header line, so that it can be read again."""
-    write_tsv(df, path)
+    """The accession table: Parquet where path ends in .parquet, else text with a header line; either can be read again."""
+    if path.rstrip("/").endswith(".parquet"):
+        df.write.mode("overwrite").parquet(path)
+    else:
+        write_tsv(df, path)

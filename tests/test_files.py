@@ -1,11 +1,14 @@
 import gzip
+import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.cli import run
 from strandlake.operators import taxonomy
-from strandlake.sources import files
+from strandlake.sources import bam as bam_files
+from strandlake.sources import files, sinks
 
 SAM = [
     "@HD\tVN:1.6\tSO:queryname", "@SQ\tSN:A1\tLN:200", "@SQ\tSN:A2\tLN:90",
@@ -43,6 +46,77 @@ def test_sam_and_bam_agree(spark, inputs):
     assert files.sort_order(spark, str(inputs / "x.sam")).first()["so"] == "queryname"
 
 
+def bam_records(n):
+    """Random records with all kinds of tags, some longer than a block."""
+    rng = random.Random(5)
+    out = []
+    for i in range(n):
+        size, name = (rng.randrange(0, 200) if i % 500 else 90_000), f"read{i // 2}".encode() + b"\0"
+        cigar = [(size, 0)] if size else []
+        tags = [b"NMC" + bytes([rng.randrange(9)]), b"ASs" + struct.pack("<h", rng.randrange(-300, 300)), b"ZZZ" + b"x" * rng.randrange(9) + b"\0", b"BBBs" + struct.pack("<ihh", 2, 1, 2), b"XTi" + struct.pack("<i", i), b"FFf" + struct.pack("<f", 0.5)]
+        rng.shuffle(tags)
+        tid = rng.randrange(-1, 3)
+        raw = struct.pack("<iiBBHHHiiii", tid, rng.randrange(100) if tid >= 0 else -1, len(name), 60, 0, len(cigar), 0 if tid >= 0 else 4, size, rng.randrange(-1, 3), -1, 0) + name
+        raw += b"".join(struct.pack("<I", a << 4 | b) for a, b in cigar) + bytes(rng.choice((0x11, 0x22, 0x48, 0x84)) for _ in range((size + 1) // 2)) + b"\x20" * size + b"".join(tags[: rng.randrange(7)])
+        out.append(raw)
+    return out
+
+
+@pytest.fixture(scope="module")
+def long_bam(tmp_path_factory):
+    path, records = tmp_path_factory.mktemp("bam") / "long.bam", bam_records(3000)
+    with open(path, "wb") as f:
+        out = bam_files.Squeezer(f)
+        out.write(bam_files.header_bytes("@HD\tVN:1.6\tSO:queryname\n@SQ\tSN:A1\tLN:200\tM5:ab\n@SQ\tSN:A2\tLN:90\n@SQ\tSN:A3\tLN:70\n@RG\tID:g\n@PG\tID:p\n", [("A1", 200), ("A2", 90), ("A3", 70)]))
+        out.flush()
+        for raw in records:
+            out.write(struct.pack("<i", len(raw)) + raw)
+        out.flush()
+        f.write(bam_files.END_OF_FILE)
+    return str(path), records
+
+
+@pytest.mark.parametrize("split", [1 << 30, 50_000, 3_000])
+def test_ranges_of_a_file(spark, long_bam, split):
+    """However a file is cut, each record is read once, in order, with its own bytes."""
+    path, records = long_bam
+    spark.dataSource.register(bam_files.BamDataSource)
+    df = spark.read.format("bam").option("paths", path).option("raw", "true").option("split", split).load()
+    rows = df.orderBy("ord").collect()
+    assert [bytes(r["raw"]) for r in rows] == records
+    assert df.rdd.getNumPartitions() > (1 if split < 1 << 20 else 0)
+    for r, raw in list(zip(rows, records, strict=True))[:600]:
+        tags = {n: raw[a:b] for n, a, b in bam_files.tag_spans(raw, 32 + raw[8] + 4 * struct.unpack_from("<H", raw, 12)[0] + (r["qlen"] + 1) // 2 + r["qlen"])}
+        assert r["nm"] == (tags[b"NM"][3] if b"NM" in tags else None) and r["as_score"] == (struct.unpack("<h", tags[b"AS"][3:])[0] if b"AS" in tags else None)
+        assert r["xt"] == (struct.unpack("<i", tags[b"XT"][3:])[0] if b"XT" in tags else None) and r["mate"] == struct.unpack_from("<i", raw, 20)[0]
+        assert r["rname"] == (None if r["tid"] < 0 else f"A{r['tid'] + 1}") and len(r["seq"]) == r["qlen"] and r["end_pos"] == r["pos"] + max(1, r["qlen"])
+
+
+def test_bam_comes_back(spark, long_bam, tmp_path):
+    """A filtered file holds the input's records byte for byte, but for reference numbers and new tags."""
+    path, records = long_bam
+    df = files.read_alignments(spark, path, raw=True).where("tid in (0, 2)")
+    sinks.write_bam(df, str(tmp_path / "out.bam"), files.header_lines(spark, path))
+    head = bam_files.read_header(str(tmp_path / "out.bam"))
+    assert head.names == ["A1", "A3"] and "@SQ\tSN:A1\tLN:200\tM5:ab" in head.text and "@RG\tID:g" in head.text and "PP:p" in head.text
+    new = {-1: -1, 0: 0, 1: -1, 2: 1}
+    number = lambda raw, at: struct.unpack_from("<i", raw, at)[0]
+    want = [struct.pack("<i", new[number(x, 0)]) + x[4:20] + struct.pack("<i", new[number(x, 20)]) + x[24:] for x in records if number(x, 0) in (0, 2)]
+    got = [bytes(r["raw"]) for r in files.read_alignments(spark, str(tmp_path / "out.bam"), raw=True).orderBy("ord").collect()]
+    assert got == want and not [p for p in tmp_path.iterdir() if p.name != "out.bam"]
+    tagged = df.limit(50).withColumn("xt", F.lit(77)).withColumn("nm", F.lit(1))
+    sinks.write_bam(sinks.with_ani(tagged), str(tmp_path / "tags.bam"), files.header_lines(spark, path), ["xt", "an"])
+    back = files.read_alignments(spark, str(tmp_path / "tags.bam"), raw=True).collect()
+    assert {r["xt"] for r in back} == {77} and all(bytes(r["raw"]).count(b"XTi") == 1 for r in back) and sum(b"ANf" in bytes(r["raw"]) for r in back) == sum(r["qlen"] > 0 for r in back)
+
+
+def test_accession_map_as_parquet(spark, inputs):
+    acc = files.read_acc2tax(spark, str(inputs / "acc.tsv"))
+    sinks.write_accessions(taxonomy.accession_table(acc), str(inputs / "acc.parquet"))
+    again = files.read_acc2tax(spark, str(inputs / "acc.parquet"))
+    assert {tuple(r) for r in taxonomy.accessions(again, "ord").collect()} == {tuple(r) for r in taxonomy.accessions(acc, "ord").collect()}
+
+
 def test_taxonomy_files(spark, inputs):
     acc, nodes, names = files.load_taxonomy(spark, *(str(inputs / f) for f in ("acc.tsv", "names.dmp", "nodes.dmp")))
     assert {tuple(r) for r in taxonomy.accessions(acc, "ord").collect()} == {("A1", 5), ("A3", 7)} and taxonomy.conflicts(acc).first()[0] == 1
@@ -54,13 +128,22 @@ def test_commands(spark, inputs):
     run(spark, ["refstats", "-b", f"{inputs}/x.sam", *tables, "-k", "3", "--outstat", f"{inputs}/ref", "-o", f"{inputs}/out", "--onlypresent", f"{inputs}/present"])
     stats = {r["Id"]: r for r in files.read_stats(spark, f"{inputs}/ref").collect()}
     assert stats["A1"]["taxID"] == 5 and stats["A2"]["taxID"] == 0 and stats["A1"]["num_covbases"] == 12
-    assert spark.read.text(f"{inputs}/out/records").count() == 2 and "XR:i:9" in "".join(r[0] for r in spark.read.text(f"{inputs}/out/records").collect())
+    lines = [r[0] for r in spark.read.text(f"{inputs}/out/records").collect()]
+    assert lines[0].startswith(SAM[3].rsplit("\tNM", 1)[0]) and "8M2D2M" in lines[0] and lines[0].endswith("XT:i:5\tXR:i:9")
+    assert len(lines) == 2 and "XR:i:9" in "".join(r[0] for r in spark.read.text(f"{inputs}/out/records").collect())
     run(spark, ["taxstats", "-b", f"{inputs}/x.sam", *tables, "-k", "3", "--outstat", f"{inputs}/tax"])
     assert [(r["taxid"], r["name"], r["num_alns"]) for r in files.read_stats(spark, f"{inputs}/tax").collect()] == [(9, "g", 1)]
     run(spark, ["bamstats", "-b", f"{inputs}/x.bam", "--outstat", f"{inputs}/bam", "--printdists", f"{inputs}/d"])
     assert files.read_stats(spark, f"{inputs}/bam").first()["aln"] == 2
     run(spark, ["alnfilt", "-b", f"{inputs}/x.sam", "-o", f"{inputs}/f"])
-    assert spark.read.text(f"{inputs}/f/records").count() == 1
+    assert [r[0] for r in spark.read.text(f"{inputs}/f/records").collect()] == [SAM[5]]
+    (inputs / "list").write_text(f"{inputs}/x.sam\n\n")
+    run(spark, ["alnfilt", "--filelist", f"{inputs}/list", "--mode", "RNDTOP", "--seed", "3", "-t", "4", "--verbose", "-o", f"{inputs}/g"])
+    assert [r[0] for r in spark.read.text(f"{inputs}/g/records").collect()] == [SAM[5]]
+    run(spark, ["taxstats", "-b", f"{inputs}/x.sam", *tables, "-k", "3", "--minmani", "99", "--qsize", "9", "--outstat", f"{inputs}/none"])
+    assert files.read_stats(spark, f"{inputs}/none").count() == 0
+    run(spark, ["refstats", "-b", f"{inputs}/x.bam", "-k", "3", "--outstat", f"{inputs}/r2", "-o", f"{inputs}/y.bam"])
+    assert files.read_alignments(spark, f"{inputs}/y.bam").count() == 2
     run(spark, ["cmpstat", "-1", f"{inputs}/ref", "-2", f"{inputs}/ref", "-p", "3", "-q", "4", "--outstat", f"{inputs}/cmp"])
     assert files.read_stats(spark, f"{inputs}/cmp").count() == 2
     with pytest.raises(SystemExit):
