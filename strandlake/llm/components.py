@@ -1,32 +1,43 @@
-"""Connected components of a link table, as joins and grouped minima only.
+"""Connected components of a link table, as grouped minima only.
 
 Alternates large-star and small-star steps until the links no longer change: every node then points at the least node
 of its component. A hub's neighbours are never gathered in one group: a hub's minimum is pre-aggregated before the
-shuffle, and the few hubs with more than a fixed share of all links are joined back by broadcast. The links after each
+shuffle, and the few hubs with more than a fixed share of all links get theirs by broadcast. The links after each
 round are written to the shared folder; those of the round before are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.spark_io import discard, durable, join_counted
+from strandlake.llm import spark_io
+from strandlake.llm.spark_io import discard, durable
 
 #: Rounds grow with the logarithm of the longest path; this many mean something is wrong.
 MOST_ROUNDS = 40
 
 
+def _with_least(rows: DataFrame, total: int) -> DataFrame:
+    """rows (u, v) with m, the least v of each u. Hubs, fewer than HOT_SHARE, get theirs by broadcast; the others' rows
+    meet in a window."""
+    own = F.min("v").over(Window.partitionBy("u"))
+    if total <= spark_io.LEAST_HOT:
+        return rows.withColumn("m", own)
+    hubs = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where(F.col("n") > max(spark_io.LEAST_HOT, total // spark_io.HOT_SHARE))
+    tried = rows.join(F.broadcast(hubs.select("u", "m")), "u", "left")
+    return tried.where("m is not null").unionByName(tried.where("m is null").select("u", "v").withColumn("m", own))
+
+
 def _large_star(e: DataFrame, total: int) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.expr("v > u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return join_counted(both.where("v > u"), least, ["u"], total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _with_least(both, 2 * total).withColumn("m", F.least("u", "m"))
+    return least.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame, total: int) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = join_counted(e, least, ["u"], total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    """Of the rows of u, the least goes on as (u, m), the others as (v, m)."""
+    return _with_least(e, total).select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

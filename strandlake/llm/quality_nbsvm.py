@@ -8,7 +8,9 @@ hinge loss, and its margin becomes a score by a logistic curve fitted to rows th
 
 The model learns from a sample of the labelled rows, drawn by a hash of the id and bounded by TRAIN_ROWS; scoring
 covers every row. Null and empty texts have no n-grams and get the score of the bias alone. Rows with a null label
-teach nothing; with labels of one class only, that class's share decides for every row.
+teach nothing; with labels of one class only, that class's share decides for every row; an id with several labels has the
+greatest. Repeated rows are scored each and, where labelled, learned each; ties of score are left as they are; extra
+columns are ignored, texts of any length are read whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

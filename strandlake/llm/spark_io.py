@@ -67,7 +67,8 @@ def discard(*tables: DataFrame) -> None:
 
 #: A join key with more than 1 / HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
-LEAST_HOT = 1000
+#: Rows of one key that a task may have in any case.
+LEAST_HOT = 20_000
 
 
 def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
@@ -76,6 +77,8 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int) -
     Rows with a hot key stay where they are: their part of right, fewer than HOT_SHARE rows, is broadcast. So no task
     gets more than 1 / HOT_SHARE of left by one key. Nulls in the key join nothing.
     """
+    if total <= LEAST_HOT:
+        return left.join(right.drop("n"), on).select(*left.columns, *[c for c in right.columns if c not in on and c != "n"])
     least = max(LEAST_HOT, total // HOT_SHARE)
     more = [c for c in right.columns if c not in on and c != "n"]
     hot = F.broadcast(right.where(F.col("n") > least).select(*on, *more, F.lit(True).alias("__hot")))

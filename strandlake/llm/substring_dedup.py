@@ -11,11 +11,14 @@ Chunks are compared by a 96-bit digest of their words. The first occurrence by (
 repeated chunks form a span; spans of MIN_WORDS words or more are removed, shorter ones are chance and stay.
 
 Defined cases: null and empty texts have no chunks and stay as they are; a text that is one repetition becomes empty;
-repeated rows of one id count as one row's chunks each at the same place, so neither loses anything to the other.
+repeated rows of one id count as one row's chunks each at the same place, so neither loses anything to the other; a null
+id sorts before all others; extra columns of any name pass unchanged; texts of any length are cut whole; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.bytesets import Spans, U, mix, texts, word_hashes, words
-from strandlake.llm.spark_io import durable
+from strandlake.llm.spark_io import durable, join_counted
 
 SHIFT = 16
 RADIUS = 4
@@ -87,11 +90,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, spans): for each document with repeats its spans (start_word, n_words, first_id), in order.
 
     Chunks are counted after map-side aggregation, so a digest that a third of the corpus holds is a few rows by then;
-    joining the marks back is a join whose skewed partitions Spark splits. Nothing is gathered beyond one document.
+    the marks of such digests are joined back by broadcast, the others by a shuffle. Nothing is gathered beyond one document.
     """
     every = durable(chunks(docs, id_col, text_col), "chunks")
-    first = every.groupBy("d1", "d2").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.struct("id", "at")).alias("last")).where("first != last").select("d1", "d2", "first")
-    marked = every.join(first, ["d1", "d2"]).where("struct(id, at) != first").select("id", "at", "n", F.col("first.id").alias("first_id")).distinct()
+    first = every.groupBy("d1", "d2").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.struct("id", "at")).alias("last"), F.count("*").alias("copies")).where("first != last")
+    first = first.select("d1", "d2", "first", F.col("copies").alias("n"))
+    marked = join_counted(every.withColumnRenamed("n", "words"), first, ["d1", "d2"], every.count()).where("struct(id, at) != first")
+    marked = marked.select("id", "at", F.col("words").alias("n"), F.col("first.id").alias("first_id")).distinct()
     order = Window.partitionBy("id").orderBy("at")
     run = F.sum(F.when(F.lag(F.col("at") + F.col("n")).over(order) == F.col("at"), 0).otherwise(1)).over(order)
     spans = marked.withColumn("run", run).groupBy("id", "run").agg(F.min("at").alias("start_word"), F.sum("n").cast("int").alias("n_words"), F.min("first_id").alias("first_id"))
@@ -103,9 +108,9 @@ def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str
 
     A span goes from its first word to the beginning of the word after it. Further columns of docs pass unchanged.
     """
-    names = docs.columns
-    marks = spans.select(F.col(id_col).alias("__id"), F.col("spans.start_word").alias("__from"), F.col("spans.n_words").alias("__n"))
-    joined = docs.join(marks, docs[id_col] == F.col("__id"), how).drop("__id")
+    names, own = docs.columns, uuid.uuid4().hex  # no column of docs is named like ours
+    marks = spans.select(F.col(id_col).alias(f"id_{own}"), F.col("spans.start_word").alias(f"from_{own}"), F.col("spans.n_words").alias(f"n_{own}"))
+    joined = docs.join(marks, docs[id_col].eqNullSafe(F.col(f"id_{own}")), how).drop(f"id_{own}")
     place = names.index(text_col)
     kinds = docs.schema
 

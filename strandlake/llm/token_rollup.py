@@ -3,10 +3,13 @@
 A batch of changes is rolled up to one row by group (sum of signed documents and tokens), written under a name of its
 own, and committed by one row in the log. Totals are the sum over committed batches. A batch id that is in the log is
 not applied again, and a write that never reached the log is not read, so a batch may be sent any number of times.
+compact() adds the committed batches up under one log entry that covers them; their ids stay known.
 
 Changes are rows (op, source, lang, tokenizer, n_tokens, old_tokens): 'insert' adds a document, 'delete' takes one
-away, 'revise' replaces old_tokens by n_tokens. Null sources and languages are groups of their own; null counts are 0;
-other ops are an error; an empty batch commits and changes nothing. Totals may be negative where deletes precede inserts.
+away, 'revise' replaces old_tokens by n_tokens. Tokenizer names a tokenizer's version: bpe_changes() counts by a
+vocabulary file, corpus_history() by two rules that SQL can check. Null sources and languages are groups of their own;
+null counts are 0; other ops are an error; an empty batch commits and changes nothing. Totals may be negative where
+deletes precede inserts. Repeated rows count as often as they occur; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm.bpe import encode_documents
+from strandlake.llm.spark_io import durable, join_counted
+
 GROUP = ["source", "lang", "tokenizer"]
 DELTAS = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
 
@@ -38,13 +44,24 @@ class TokenRollup:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _log(self) -> DataFrame | None:
+        """(batch_id, folder, covers): a row by batch; of a compaction, one by batch that it covers."""
         try:
-            return self.spark.read.schema("batch_id string, folder string").parquet(f"{self.path}/log/*")
+            return self.spark.read.schema("batch_id string, folder string, covers string").parquet(f"{self.path}/log/*")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
 
+    def _active(self, log: DataFrame) -> DataFrame:
+        """(batch_id, folder) of the entries that no other covers."""
+        return log.select("batch_id", "folder").distinct().join(log.select(F.col("covers").alias("batch_id")).distinct(), "batch_id", "left_anti")
+
+    def _deltas(self, log: DataFrame) -> DataFrame:
+        """Rows of the active entries; what never reached the log is read over."""
+        every = self.spark.read.schema(DELTAS).parquet(f"{self.path}/data/*")
+        folder = F.concat(F.lit("data/"), F.element_at(F.split("_metadata.file_path", "/"), -2))
+        return every.withColumn("folder", folder).join(self._active(log).select("folder"), "folder", "left_semi").drop("folder")
+
     def committed(self, batch_id: str) -> bool:
         log = self._log()
         return log is not None and not log.where(F.col("batch_id") == batch_id).isEmpty()
@@ -58,37 +75,54 @@ class TokenRollup:
         known = F.when(op == "insert", n).when(op == "delete", -n).when(op == "revise", n - old).otherwise(F.raise_error(F.concat(F.lit("unknown op "), F.coalesce(op, F.lit("null")))))
         docs = F.when(op == "insert", 1).when(op == "delete", -1).otherwise(0)
         rolled = changes.select(*GROUP, docs.alias("d"), known.alias("t")).groupBy(*GROUP).agg(F.sum("d").cast("long").alias("d_docs"), F.sum("t").alias("d_tokens"))
+        self._write(batch_id, rolled, self.spark.createDataFrame([(None,)], "covers string"))
+        return True
+
+    def _write(self, batch_id: str, rows: DataFrame, covers: DataFrame) -> None:
         folder = f"data/{uuid.uuid4().hex}"
-        rolled.write.parquet(f"{self.path}/{folder}")
+        rows.write.parquet(f"{self.path}/{folder}")
         name = uuid.uuid5(uuid.NAMESPACE_URL, batch_id).hex  # the same batch always logs under the same name
-        self.spark.createDataFrame([(batch_id, folder)], "batch_id string, folder string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/{name}")
-        return True
+        entry = covers.select(F.lit(batch_id).alias("batch_id"), F.lit(folder).alias("folder"), "covers")
+        entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/{name}")
+
+    def compact(self) -> None:
+        """Adds up what is committed so far under one entry; batches that are committed meanwhile stay beside it."""
+        log = self._log()
+        if log is None:
+            return
+        log = durable(log, "log")  # one state of it for sums and covers
+        rows = self._deltas(log).groupBy(*GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+        self._write(f"compaction {uuid.uuid4().hex}", rows, self._active(log).select(F.col("batch_id").alias("covers")))
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over the committed batches."""
         log = self._log()
-        folders = [r["folder"] for r in log.collect()] if log is not None else []  # one short name by batch
-        deltas = self.spark.read.schema(DELTAS).parquet(*[f"{self.path}/{x}" for x in folders]) if folders else self.spark.createDataFrame([], DELTAS)
+        deltas = self.spark.createDataFrame([], DELTAS) if log is None else self._deltas(log)
         return deltas.groupBy(*GROUP).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
 
 
+def bpe_changes(docs: DataFrame, op: str, path: str | None = None, version: str = "byte_bpe_50k/1") -> DataFrame:
+    """Changes that insert or delete documents (doc_id, text, source, lang) with their tokens by a BPE vocabulary file."""
+    counted = encode_documents(docs.select(F.struct("source", "lang").alias("g"), "text"), id_col="g", path=path)
+    return counted.select(F.lit(op).alias("op"), "g.source", "g.lang", F.lit(version).alias("tokenizer"), "n_tokens", F.lit(0).alias("old_tokens"))
+
+
 def corpus_history(docs: DataFrame) -> list[tuple[str, DataFrame]]:
     """Batches of a corpus's life: counted by words; counted by terms too; exact copies deleted; lines that come again
-    in a document no longer counted as words."""
-    base = docs.select("doc_id", "text", "source", "lang")
-    changes = lambda df, op, tokenizer, n, old=None: df.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), n.alias("n_tokens"), (F.lit(0) if old is None else old).alias("old_tokens"))
-    words, terms = count_words(F.col("text")), count_terms(F.col("text"))
-    first = base.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).agg(F.min("doc_id").alias("first"))
-    copies = base.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).join(first, "digest").where("doc_id != first")
-    kept = base.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).join(first, "digest").where("doc_id = first")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    once = count_words(F.array_join(F.array_distinct(lines), "\n"))
-    again = kept.where(F.size(lines) != F.size(F.array_distinct(lines)))
+    in a document no longer counted as words. Each text is read once; the batches work on its counts and digest."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n", -1)
+    once = F.when(F.size(lines) != F.size(F.array_distinct(lines)), count_words(F.array_join(F.array_distinct(lines), "\n")))
+    base = durable(docs.select("doc_id", "source", "lang", F.unhex(F.sha2(text, 256)).alias("digest"), count_words(text).alias("words"), count_terms(text).alias("terms"), once.alias("once")), "counts")
+    changes = lambda df, op, tokenizer, n, old=None: df.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(n).alias("n_tokens"), (F.col(old) if old else F.lit(0)).alias("old_tokens"))
+    first = base.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    placed = durable(join_counted(base, first, ["digest"], base.count()), "placed")
+    copies, again = placed.where("doc_id != first"), placed.where("doc_id = first and once is not null")
     return [
-        ("words", changes(base, "insert", "words/1", words)),
-        ("terms", changes(base, "insert", "terms/1", terms)),
-        ("copies", changes(copies, "delete", "words/1", words).union(changes(copies, "delete", "terms/1", terms))),
-        ("lines", changes(again, "revise", "words/1", once, words)),
+        ("words", changes(base, "insert", "words/1", "words")),
+        ("terms", changes(base, "insert", "terms/1", "terms")),
+        ("copies", changes(copies, "delete", "words/1", "words").union(changes(copies, "delete", "terms/1", "terms"))),
+        ("lines", changes(again, "revise", "words/1", "once", "words")),
     ]
 
 

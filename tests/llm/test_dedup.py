@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandlake.llm import embedding_dedup, minhash_join, substring_dedup
@@ -193,3 +194,46 @@ def test_components_of_a_hub(spark, monkeypatch):
     links = [(500, i) for i in range(400, 460)] + [(i, i + 1) for i in range(600, 640)] + [(460, 459), (640, 500)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert set(got.values()) == {400} and len(got) == 103
+
+
+def test_passages_against_brute_force(spark):
+    """With the same cuts, plain words and dictionaries find the same spans and leave the same texts."""
+    rng = random.Random(21)
+    stock = [sentence(rng, rng.randrange(20, 70)) for _ in range(6)]
+    texts = []
+    for _ in range(30):
+        parts = [rng.choice(stock) if rng.random() < 0.5 else sentence(rng, rng.randrange(1, 60)) for _ in range(rng.randrange(5))]
+        texts.append((" " if rng.random() < 0.5 else "\n").join(parts))
+    rows = [*enumerate(texts), (40, None), (41, ""), (42, sentence(rng, 40_000)), (7, texts[7]), (None, stock[0])]
+    words = {i: [w.lower() for w in (t or "").split()] for i, t in rows}
+    cuts = {}
+    for i, t in rows:
+        if words[i]:
+            one = next(substring_dedup.texts(pa.array([t]), 1 << 30))
+            w = substring_dedup.words(one)
+            start = substring_dedup.chunk_starts(substring_dedup.word_hashes(one, w), w.offs).tolist()
+            cuts[i] = list(zip(start, [*start[1:], len(words[i])], strict=True))
+    order = lambda i: -1 if i is None else i
+    first = {}
+    for i in sorted(cuts, key=order):
+        for a, b in cuts[i]:
+            first.setdefault(tuple(words[i][a:b]), (i, a))
+    want = {}
+    for i in cuts:
+        spans = []
+        for a, b in cuts[i]:
+            if first[tuple(words[i][a:b])] != (i, a):
+                if spans and spans[-1][1] == a:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+        gone = {k for a, b in spans if b - a >= substring_dedup.MIN_WORDS for k in range(a, b)}
+        want[i] = [w for k, w in enumerate(words[i]) if k not in gone]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, __id int, n int")
+    got = substring_dedup.deduplicate(docs)
+    assert got.columns == docs.columns
+    out = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert len(out) == len(rows) and sum(len(w) for w in want.values()) < sum(len(w) for w in words.values())
+    for i, t in out:
+        assert (t or "").lower().split() == want.get(i, []) and (t is None) == (i == 40)
+    assert substring_dedup.deduplicate(docs.limit(0)).count() == 0

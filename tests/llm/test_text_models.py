@@ -123,6 +123,46 @@ def test_quality(spark):
     assert quality_nbsvm.score(docs, quality_nbsvm.fit(docs, labels.limit(0))).where("score != 0.5").count() == 0
 
 
+def test_hinge_loss_against_plain_descent():
+    """Dual coordinate descent reaches the objective of a long plain subgradient descent; ratios are those of plain counts."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 12, rng.integers(1, 8))).astype(np.int32) for _ in range(40)]
+    y = np.where(np.array([(r < 5).sum() * 2 > len(r) for r in rows]) ^ (rng.random(40) < 0.1), 1.0, -1.0)
+    ratio = np.zeros(quality_nbsvm.DIM)
+    ratio[:12] = rng.standard_normal(12)
+    dense = np.zeros((40, 13))
+    for i, r in enumerate(rows):
+        dense[i, r] = ratio[r] / math.sqrt(len(r))
+    dense[:, 12] = 1
+    loss = lambda v: 0.5 * v @ v + quality_nbsvm.COST * np.maximum(0, 1 - y * (dense @ v)).sum()
+    v, best = np.zeros(13), math.inf
+    for k in range(40_000):
+        wrong = y * (dense @ v) < 1
+        v = v - (v - quality_nbsvm.COST * (y[wrong, None] * dense[wrong]).sum(axis=0)) / (k + 10)
+        best = min(best, loss(v))
+    w, bias = quality_nbsvm.descend(rows, ratio, y)
+    assert loss(np.append(w[:12], bias)) == pytest.approx(best, rel=0.02)
+    model = quality_nbsvm.fit_rows(rows, (y > 0).astype(int))
+    up, down = (1.0 + np.bincount(np.concatenate([r for r, s in zip(rows, y, strict=True) if s == side]), minlength=quality_nbsvm.DIM) for side in (1.0, -1.0))
+    plain = np.log(up / up.sum()) - np.log(down / down.sum())
+    w, bias = quality_nbsvm.descend(rows, plain, y)
+    assert model.weight[:12] == pytest.approx((w * plain)[:12], rel=1e-5) and model.bias == pytest.approx(bias)
+
+
+def test_quality_edges(spark):
+    """Repeated rows, clashing columns, a long text, no rows, labels of one class; the same score wherever a text stands."""
+    rows = [(i % 60, "BUY now!! " * 5 if i % 2 else "the river walks slowly over green hills. " * 3, 3, 0.5) for i in range(80)] + [(200, "word " * 300_000, 1, 0.1), (None, None, 1, 0.1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, score double")
+    labels = spark.createDataFrame([(i, (i + 1) % 2, 7) for i in range(50)] + [(4, None, 7), (None, 1, 7)], "doc_id long, quality int, text int")
+    model = quality_nbsvm.fit(docs, labels)
+    got = [(r["doc_id"], r["score"]) for r in quality_nbsvm.score(docs, model).collect()]
+    assert len(got) == len(rows) and all(0 <= s <= 1 for _, s in got) and len({s for i, s in got if i is not None and i < 60}) == 2
+    assert all((s >= 0.5) == (i % 2 == 0) for i, s in got if i is not None and i < 60)
+    assert quality_nbsvm.score(docs.limit(0), model).count() == 0
+    one = quality_nbsvm.fit(docs, labels.where("quality = 1"))
+    assert {round(r["score"], 2) for r in quality_nbsvm.score(docs, one).collect()} == {1.0}
+
+
 def test_language_model(spark):
     rng = random.Random(6)
     text = lambda: " ".join(rng.choice(["the", "of", "stone", "river"]) if rng.random() < 0.6 else "".join(rng.choice(["ka", "lo", "mi"]) for _ in range(3)) for _ in range(rng.randrange(40)))
@@ -258,6 +298,36 @@ def test_rollup(spark, tmp_path):
     assert not r.committed("d")
 
 
+def test_rollup_compaction(spark, tmp_path):
+    """Sums stay, ids stay known, later batches add up, a folder that never reached the log is not read."""
+    r = token_rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    change = lambda *rows: spark.createDataFrame(list(rows), "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long, extra int")
+    r.compact()
+    for k in range(3):
+        r.commit(f"b{k}", change(("insert", "s", "en", "v1", 10 + k, None, 1), ("insert", "s", "en", "v1", 10 + k, None, 1)))
+    before = r.totals().collect()
+    r.compact()
+    assert r.totals().collect() == before and not r.commit("b1", change(("insert", "s", "en", "v1", 99, None, 1)))
+    assert r.commit("b9", change(("delete", "s", "en", "v1", 10, None, 1)))
+    r.compact()
+    r.totals().withColumnsRenamed({"n_docs": "d_docs", "n_tokens": "d_tokens"}).write.parquet(f"file://{tmp_path}/r/data/lost")
+    assert {tuple(x) for x in r.totals().collect()} == {("s", "en", "v1", 5, 56)} and r.committed("b0")
+
+
+def test_rollup_of_bpe_tokens(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "The stone river", "a", "en"), (2, None, "a", "en"), (3, "žluť  kůň", None, "cs"), (3, "žluť  kůň", None, "cs")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    r = token_rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    r.commit("in", token_rollup.bpe_changes(docs, "insert"))
+    r.commit("out", token_rollup.bpe_changes(docs.where("doc_id = 1"), "delete"))
+    czech = len(library.encode(rows[2][1], add_special_tokens=False).ids)
+    assert {tuple(x) for x in r.totals().collect()} == {("a", "en", "byte_bpe_50k/1", 1, 0), (None, "cs", "byte_bpe_50k/1", 2, 2 * czech)}
+
+
 PAGE = """<html><head><title>T{i}</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li>Home</ul></nav>{open}
 <h1>Title {i} &amp; more</h1><p>First  {i}<br>line<p>Second <b>bold {i}</b> text &eacute;<div class="share">Share this</div>{close}
 <p>Read more on Example</p><aside>Side {i}</aside><section id="comments"><p>Comment {i}</section><form>Name <input></form><footer>&copy; x</footer></body></html>"""
