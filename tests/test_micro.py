@@ -1,17 +1,21 @@
 """Small inputs whose results follow on paper."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandlake.config import StatConfig
+from strandlake.functions import sequence
 from strandlake.functions.sequence import dust_scores, kmer_codes, with_dust
 from strandlake.operators import coverage as cov
 from strandlake.operators import reads, selection, taxonomy
 from strandlake.operators.compare import cmpstat, unmatched
 from strandlake.operators.filters import scored
 from strandlake.plans.bamstats import bamstats, read_length_distribution
-from strandlake.plans.refstats import refstats
+from strandlake.plans import held, release
+from strandlake.plans.refstats import refstats, summary
 from strandlake.plans.taxstats import taxstats_from_tags
 
 ALN = "ord long, qname string, flag int, tid int, ref_len long, pos long, end_pos long, qlen int, nm int, as_score int, seq string, xr long"
@@ -143,3 +147,77 @@ def test_empty(spark):
     none = alns(spark, [{"flag": 4}])
     assert refstats(none).count() == 0 and bamstats(none.withColumn("file", F.lit("x"))).count() == 0
     assert read_length_distribution(none).agg(F.sum("n")).first()[0] == 0
+
+
+def test_width_at_a_cube(spark):
+    """1000 covered bases: the cube root is 10 exactly, so the width is a whole number."""
+    a = intervals(spark, (0, 1000), ref_len=2000)
+    r = cov.bins_of(cov.segments(a, ["tid"]), a.select("tid", "ref_len"), ["tid"]).first()
+    assert (r["q1"], r["q3"], r["width"], r["n_bins"]) == (250, 750, 100.0, 20)
+
+
+@pytest.mark.parametrize("stripe", [1 << 22, 7, 1])
+def test_quartiles_by_stripes(spark, stripe):
+    """The same places however long the stripes are: against a list of the covered bases."""
+    rng = random.Random(3)
+    spans = [(a, a + rng.randrange(1, 9)) for a in rng.sample(range(90), 12)]
+    for k in range(2, len(spans) + 1, 3):
+        bases = sorted({p for a, b in spans[:k] for p in range(a, b)})
+        r = cov.quartiles(cov.segments(intervals(spark, *spans[:k], ref_len=200), ["tid"]), ["tid"], stripe).first()
+        place = lambda t: bases[t - 1] + 1 if t else bases[0]
+        assert (r["covbases"], r["q1"], r["q3"]) == (len(bases), place(len(bases) // 4), place(3 * len(bases) // 4))
+
+
+def test_kmer_counts_against_sets(spark, monkeypatch):
+    """Distinct k-mers by group over many small lots and batches, for one key and for two."""
+    monkeypatch.setattr(sequence, "COMBINED", 50)
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), rng.randrange(2), "".join(rng.choice("ACGTN") for _ in range(rng.randrange(12)))) for _ in range(300)]
+    df = spark.createDataFrame([(a, b, s) for a, b, s in rows], "tid int, part long, seq string")
+    flip = str.maketrans("ACGT", "TGCA")
+    for keys, of in ((["tid"], lambda r: (r[0],)), (["tid", "part"], lambda r: (r[0], r[1]))):
+        want: dict = {}
+        for r in rows:
+            for i in range(len(r[2]) - 3):
+                k = r[2][i : i + 4]
+                want.setdefault(of(r), []).append("N" if "N" in k else min(k, k.translate(flip)[::-1]))
+        got = {tuple(r[c] for c in keys): (r["distinct_kmers"], r["total_kmers"]) for r in sequence.kmer_counts(df, keys, 4).collect()}
+        assert got == {g: (len(set(x)), len(x)) for g, x in want.items()}
+    assert sequence.kmer_counts(df.limit(0), ["tid"], 4).count() == 0
+
+
+@pytest.mark.parametrize("by", ["tid", "first"])
+def test_numbers_of_references(spark, monkeypatch, by):
+    monkeypatch.setattr(selection, "RANGE", 4)
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(1000)) for i in range(60)]
+    got = {r["tid"]: r["new_tid"] for r in selection.renumber(spark.createDataFrame(rows, "ord long, tid int"), by).collect()}
+    order = sorted({t for _, t in rows}) if by == "tid" else list(dict.fromkeys(t for _, t in rows))
+    assert got == {t: k for k, t in enumerate(order)}
+    deep = spark.createDataFrame(rows, "ord long, tid int").select(F.struct("ord", "tid").alias("ord"), "tid")
+    assert {r["tid"]: r["new_tid"] for r in selection.renumber(deep, by).collect()} == got
+
+
+def test_one_of_the_best(spark):
+    """RNDTOP with a seed keeps one of the best of each read; the same seed the same, other seeds others."""
+    rows = [{"qname": f"r{i // 5}", "ord": i, "nm": 0 if i % 5 < 4 else 1, "tid": i % 5} for i in range(200)]
+    a = alns(spark, rows)
+    pick = lambda seed: sorted((r["qname"], r["tid"]) for r in selection.alnfilt(a, "RNDTOP", seed=seed).collect())
+    one, two = pick(1), pick(2)
+    assert one == pick(1) and one != two and len(one) == len({q for q, _ in one}) == 40 and all(t < 4 for _, t in one + two)
+    assert {t for _, t in one} == {0, 1, 2, 3}
+
+
+def test_run_totals(spark):
+    a = alns(spark, [{"qname": "r", "flag": 4}, {"qname": "a"}, {"qname": "a", "tid": 1}, {"qname": "b"}])
+    stats = refstats(a, StatConfig(minreads=2))
+    row = lambda every: tuple(summary(a, stats, StatConfig(minreads=2), every).select("alns", "reads", "passed_alns", "passed_reads", "passed_refs").first())
+    assert row(False) == (3, 3, 2, 2, 1) and row(True) == (4, 3, 2, 2, 1)
+    assert stats.storageLevel == a.storageLevel and len(held(stats)) == 1
+    release(stats)
+    assert not held(stats)[0].is_cached
+
+
+def test_last_of_a_repeated_key(spark):
+    one = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "Id string, n int").coalesce(1)
+    assert {tuple(r) for r in cmpstat(one, spark.createDataFrame([("a", 7), ("a", 8)], "Id string, n int"), 1, 1).collect()} == {("a", 3, 7), ("a", 3, 8)}
