@@ -25,7 +25,8 @@ to the groups that asked. The restaurant without context depends on a dish by it
 sampled from the histogram of customers. Round two seats again, with the others' sums, and scores all occurrences,
 training or not. No part of the counts is dropped: what is gathered grows with the texts.
 
-Words are told apart by 64-bit hashes. Null texts are empty: they consist of one end. Repeated rows count and are scored
+Before that a look at LOOK bytes of text tells which words are frequent; how occurrences are packed and dealt follows
+from it, and nothing else. Words are told apart by 64-bit hashes. Null texts are empty: they consist of one end. Repeated rows count and are scored
 as often as they occur; extra columns are ignored; an empty table gives an empty result. Without training texts every
 count is 0 and the only type is the unseen one. A long text is cut into pieces that keep their contexts.
 """
@@ -37,6 +38,7 @@ import functools
 import math
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -51,14 +53,15 @@ from strandlake.llm.spark_io import discard, durable, shared_dir
 GROUP = 1_500_000
 #: Bytes of text that are packed together.
 SLICE = 4 << 20
-#: The most frequent words, whose two-byte numbers stand for them in the packed arrays.
-HOT = 60_000
+#: Bytes of text looked at for the words whose numbers stand for them in the packed arrays, and how many those are.
+LOOK = 48 << 20
+HOT = 1 << 19
 #: Customers up to which all Stirling numbers are tabulated, and tables up to which they are known at all.
 EXACT = 256
 WINDOW = 1024
 FOLLOWED = 4 * WINDOW
-SWEEPS = 2
-SAMPLES = 3
+SWEEPS = 1
+SAMPLES = 2
 START = ((0.8, 1.0), (0.8, 1.0), (0.8, 1.0))
 DISCOUNTS = np.arange(1, 20) / 20
 STRENGTHS = np.array([0.05, 0.2, 0.5, 1, 2, 5, 10, 20, 50, 200, 1000])
@@ -243,17 +246,21 @@ class Root:
 
 
 class Subtrees:
-    """The restaurants of one group, from its occurrences: hashes by number, and numbers of (second, first, dish) words."""
+    """The restaurants of one group, from its occurrences: hashes by number, and numbers of (second, first, dish) words,
+    sorted by first, second and dish (see in_order)."""
 
     def __init__(self, hashes: np.ndarray, second: np.ndarray, first: np.ndarray, dish: np.ndarray, train: np.ndarray):
         many = len(hashes)
         self.hashes = hashes
-        pair, self.pair_of = np.unique(first * many + dish, return_inverse=True)
+        other = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[: len(dish)]
+        new = np.append(True, other[1:] | (dish[1:] != dish[:-1]))[: len(dish)]
+        self.of = np.cumsum(new) - 1  # each occurrence's triple
+        triple = np.flatnonzero(new)
+        pair, self.parent = np.unique(first[triple].astype(np.int64) * many + dish[triple], return_inverse=True)
         self.first, self.dish = pair // many, pair % many
-        triple, self.of = np.unique(second * len(pair) + self.pair_of, return_inverse=True)
-        self.parent, second = triple % len(pair), triple // len(pair)
-        context, self.room = np.unique(second * many + self.first[self.parent], return_inverse=True)
-        self.context = context // many, context % many
+        self.room = (np.cumsum(other) - 1)[triple]
+        context = np.flatnonzero(other)
+        self.context = second[context], first[context]
         self.c2 = np.bincount(self.of, train, len(triple)).astype(np.int64)
         self.people2, self.more_people2, self.more_tables2 = np.bincount(self.room, self.c2, len(context)), 0, 0
         self.more_people1, self.more_tables1 = 0, 0
@@ -288,10 +295,10 @@ class Subtrees:
         self.t1 = np.minimum(self.t1, self.c1)
         self.t1 = draw(self.c1, np.maximum(tables[self.first] - self.t1, 0), root[self.dish], *levels[1], rng)
 
-    def local_root(self, types: int) -> np.ndarray:
+    def local_root(self) -> np.ndarray:
         """A guess of the root's probabilities from the group's own tables."""
         c = np.bincount(self.dish, self.t1, len(self.hashes))
-        return predictive(c, np.minimum(c, 1), c.sum(), np.count_nonzero(c), 1.0 / (types + 1), *START[0])
+        return predictive(c, np.minimum(c, 1), c.sum(), np.count_nonzero(c), 1.0 / (len(c) + 1), *START[0])
 
     def context_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the shorter contexts (one for each word) and of the longer."""
@@ -319,18 +326,15 @@ def lines(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(h, c, n) from (text, train): every distinct token with its occurrences in training texts and in all."""
+    """(h, n): every distinct token of the texts with its occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            train = batch.column(1).to_numpy(zero_copy_only=False)
             for t in texts(batch.column(0), SLICE):
-                line, offs = lines(t)
-                h, to, n = np.unique(line, return_inverse=True, return_counts=True)
-                c = np.bincount(to, np.repeat(train[t.first : t.first + t.n], np.diff(offs)), len(h)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(n.astype(np.int64))], ["h", "c", "n"])
+                h, n = np.unique(lines(t)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return docs.select("text", "train").mapInArrow(run, "h long, c long, n long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -357,65 +361,117 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 def dealt(docs: DataFrame, kind: str, groups: int, hot: np.ndarray, split: np.ndarray, shares: np.ndarray) -> DataFrame:
     """(bucket, base, ids, data) from (id, text, train): the occurrences of a slice of texts by group, packed, and, with a
-    bucket below 0, the slice's ids with their numbers of tokens. hot and split are sorted hashes."""
+    bucket below 0, the slice's ids with their numbers of tokens. hot: hashes by rank, split: sorted hashes."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, split, shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_, split_, shares_ = shared.value
+        rank = np.argsort(hot_)
+        known = hot_[rank]
         base = TaskContext.get().partitionId() << 33
         for batch in batches:
             train = batch.column(2).to_numpy(zero_copy_only=False)
             for t in texts(batch.column(1), SLICE):
                 line, offs = lines(t)
                 n = np.diff(offs)
-                doc = np.repeat(np.arange(t.n), n)
-                first = np.concatenate([[END], line[:-1]])
-                second = np.concatenate([[END, END], line[:-2]])[: len(line)]
-                second[offs[:-1][n > 1] + 1] = END
-                second[offs[:-1]] = END
-                share = np.zeros(len(line), U)
-                if len(split_):
-                    at = np.minimum(np.searchsorted(split_, first), len(split_) - 1)
-                    share = np.where(split_[at] == first, mix(line ^ _FAR[3]) % shares_[at], U(0))
-                bucket = (mix(first + share * _FAR[0]) % U(groups)).astype(np.int64)
                 names, number = np.unique(line, return_inverse=True)
-                end = int(np.searchsorted(names, END))
-                one = np.concatenate([[end], number[:-1]])
-                two = np.concatenate([[end, end], number[:-2]])[: len(line)]
+                # frequent words first, by rank: neighbours in the sorted arrays then differ little
+                at = np.minimum(np.searchsorted(known, names), max(0, len(known) - 1))
+                is_hot = known[at] == names if len(known) else np.zeros(len(names), bool)
+                code = np.where(is_hot, rank[at] if len(known) else 0, len(known))
+                by_rank = np.argsort(code, kind="stable")
+                new = np.empty(len(names), np.int32)
+                new[by_rank] = np.arange(len(names), dtype=np.int32)
+                names, code, number, few = names[by_rank], code[by_rank], new[number], int(is_hot.sum())
+                many, end = len(names), int(np.flatnonzero(names == END)[0])
+                one = np.concatenate([[end], number[:-1]]).astype(np.int32)
+                two = np.concatenate([[end, end], number[:-2]])[: len(line)].astype(np.int32)
                 two[offs[:-1][n > 1] + 1] = end
                 two[offs[:-1]] = end
-                order = np.lexsort((number, two, one, bucket))
-                bucket, one, two, number, doc = (x[order] for x in (bucket, one, two, number, doc))
-                code = np.minimum(np.searchsorted(hot_, names), max(0, len(hot_) - 1))
-                is_hot = hot_[code] == names if len(hot_) else np.zeros(len(names), bool)
+                mark = (2 * np.arange(t.n) + train[t.first : t.first + t.n]).astype(np.int32)
+                bucket = (mix(names) % U(groups)).astype(np.int64)[one]
+                if len(split_):
+                    at = np.minimum(np.searchsorted(split_, names), len(split_) - 1)
+                    wide = np.where(split_[at] == names, shares_[at], U(1))[one]
+                    some = np.flatnonzero(wide > 1)
+                    share = mix(line[some] ^ _FAR[3]) % wide[some]
+                    bucket[some] = (mix(names[one[some]] + share * _FAR[0]) % U(groups)).astype(np.int64)
+                order = np.argsort((bucket * many + one) * many + two)
+                bucket = bucket[order]
+                both = np.stack([one[order], two[order], number[order]])
+                mark = np.repeat(mark, n)[order]
+                place = np.empty(many, np.int32)
                 cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 rows = []
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
-                    used, to = np.unique(np.concatenate([one[a:b], two[a:b], number[a:b]]), return_inverse=True)
-                    rank = np.argsort(~is_hot[used], kind="stable")  # hot words first
-                    place = np.empty(len(used), np.int64)
-                    place[rank] = np.arange(len(used))
-                    used, to = used[rank], place[to].reshape(3, -1)
-                    few = int(is_hot[used].sum())
-                    rows.append(pack([code[used[:few]].astype(U), names[used[few:]], to[0].astype(U), to[1].astype(U), to[2].astype(U), (doc[a:b] * 2 + train[t.first : t.first + t.n][doc[a:b]]).astype(U)]))
+                    used = np.sort(both[:, a:b].ravel())
+                    used = used[np.append(True, used[1:] != used[:-1])]
+                    place[used] = np.arange(len(used), dtype=np.int32)
+                    to, heads = place[both[:, a:b]], int(np.searchsorted(used, few))
+                    rows.append(pack([np.diff(code[used[:heads]], prepend=0), names[used[heads:]], *(np.diff(x, prepend=0) % len(used) for x in to[:2]), to[2], mark[a:b]]))
                 ids = batch.column(0)[t.first : t.first + t.n]
                 of_docs = pa.ListArray.from_arrays(pa.array([0, t.n], pa.int32()), ids)
                 none = pa.ListArray.from_arrays(pa.array(np.zeros(len(rows) + 1), pa.int32()), ids[:0])
                 buckets = pa.array(np.append(bucket[cuts], -1 - base % groups).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([buckets, pa.array(np.full(len(rows) + 1, base)), pa.concat_arrays([none, of_docs]), pa.array([*rows, pack([n.astype(U)])], pa.binary())], ["bucket", "base", "ids", "data"])
+                yield pa.RecordBatch.from_arrays([buckets, pa.array(np.full(len(rows) + 1, base)), pa.concat_arrays([none, of_docs]), pa.array([*rows, pack([n])], pa.binary())], ["bucket", "base", "ids", "data"])
                 base += 1
 
     return docs.select("id", "text", "train").mapInArrow(run, f"bucket int, base long, ids array<{kind}>, data binary")
 
 
-def gathered(blobs: list[bytes], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(hashes, second, first, dish, document and mark by blob) of a group's packed occurrences."""
-    parts = [unpack(x) for x in blobs]
-    own = [np.concatenate([hot[p[0].astype(np.int64)], p[1].astype(U)]) for p in parts]
-    hashes, number = np.unique(np.concatenate(own), return_inverse=True)
-    at = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-    first, second, dish = (np.concatenate([number[at[i] : at[i + 1]][p[k].astype(np.int64)] for i, p in enumerate(parts)]) for k in (2, 3, 4))
-    return hashes, second, first, dish, [p[5].astype(np.int64) for p in parts]
+def in_order(many: int, second: np.ndarray, first: np.ndarray, dish: np.ndarray) -> np.ndarray:
+    """The order that Subtrees takes occurrences in."""
+    return np.argsort((first.astype(np.int64) * many + second) * many + dish)
+
+
+@dataclass
+class Group:
+    """A group's occurrences: hashes by number (frequent words first, by rank), numbers of words, slice and mark (document
+    and whether it is for training) of each, and the slices' bases."""
+
+    hashes: np.ndarray
+    frequent: np.ndarray
+    second: np.ndarray
+    first: np.ndarray
+    dish: np.ndarray
+    slice: np.ndarray
+    mark: np.ndarray
+    bases: np.ndarray
+
+    @classmethod
+    def of(cls, blobs: list[bytes], bases: np.ndarray, hot: np.ndarray) -> Group:
+        """From what dealt() made, in order."""
+        parts = [unpack(x) for x in blobs]
+        codes, cold = [np.cumsum(p[0], dtype=np.int64) for p in parts], [p[1].astype(U) for p in parts]
+        frequent, rare = np.unique(np.concatenate(codes)), np.unique(np.concatenate(cold))
+        out: list[list] = [[], [], []]
+        for p, code, rest in zip(parts, codes, cold, strict=True):
+            number = np.concatenate([np.searchsorted(frequent, code), len(frequent) + np.searchsorted(rare, rest)]).astype(np.int32)
+            for k in (2, 3):
+                p[k] = np.cumsum(p[k], dtype=np.int64) % max(1, len(number))
+            for column, x in zip(out, p[2:5], strict=True):
+                column.append(number[x.astype(np.int64)])
+        first, second, dish = (np.concatenate(x) for x in out)
+        slice_ = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[5]) for p in parts])
+        mark = np.concatenate([p[5].astype(np.int32) for p in parts])
+        order = in_order(len(frequent) + len(rare), second, first, dish)
+        return cls(np.concatenate([hot[frequent], rare]), frequent, second[order], first[order], dish[order], slice_[order], mark[order], bases)
+
+    def packed(self) -> bytes:
+        step = lambda x: np.diff(x, prepend=0) % len(self.hashes)
+        rare = self.hashes[len(self.frequent) :]
+        return pack([np.diff(self.frequent, prepend=0), rare, step(self.first), step(self.second), step(self.dish), self.slice, self.mark, self.bases])
+
+    @classmethod
+    def unpacked(cls, data: bytes, hot: np.ndarray) -> Group:
+        codes, rare, *numbers, slice_, mark, bases = unpack(data)
+        frequent = np.cumsum(codes, dtype=np.int64)
+        many = len(frequent) + len(rare)
+        first, second, dish = (np.cumsum(x, dtype=np.int64) % many for x in numbers)
+        return cls(np.concatenate([hot[frequent], rare.astype(U)]), frequent, second, first, dish, slice_.astype(np.int64), mark.astype(np.int64), bases.astype(np.int64))
+
+    def tree(self) -> Subtrees:
+        return Subtrees(self.hashes, self.second, self.first, self.dish, self.mark & 1)
 
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -423,45 +479,57 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    vocabulary = durable(count_words(base), "words")
-    total, types, every = (int(x or 0) for x in vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("n")).first())
-    groups = max(1, -(-every // GROUP))
-    # at most two words a group have more than half a group's occurrences
-    most = vocabulary.where(F.col("n") > GROUP // 2).select("h", "n").toPandas().sort_values("h", key=lambda x: x.to_numpy().view(np.uint64))
-    split, shares = most["h"].to_numpy(np.int64).view(U), (1 + most["n"].to_numpy(np.int64) // (GROUP // 2)).astype(U)
-    hot = np.sort(vocabulary.orderBy(F.desc("n"), "h").limit(HOT).select("h").toPandas()["h"].to_numpy(np.int64).view(U))
-
-    name, path = f"occurrences_{uuid.uuid4().hex}", f"{shared_dir(spark)}/occurrences-{uuid.uuid4().hex}"
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt(base, kind, groups, hot, split, shares).repartition(files, "bucket").write.option("path", path).bucketBy(files, "bucket").sortBy("bucket").saveAsTable(name)
-    table = spark.table(name)
-    table.durable_path = path
+    size = base.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    share = min(1.0, LOOK / max(1, size))
+    # how occurrences are packed and dealt follows from a look at some texts; no count or probability hangs on it
+    look = base.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    common = count_words(look).orderBy(F.desc("n"), "h").limit(HOT).toPandas()
+    hashes, n = common["h"].to_numpy(np.int64).view(U), common["n"].to_numpy(np.int64) / share
+    hot, groups = hashes, max(1, -(-int(n.sum()) // GROUP))
+    wide = np.flatnonzero(n > GROUP / 2)
+    wide = wide[np.argsort(hashes[wide])]
+    split, shares = hashes[wide], (1 + n[wide] // (GROUP / 2)).astype(U)
     shared = spark.sparkContext.broadcast((hot, split))
 
     def seat(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        bucket, none = key[0].as_py(), lambda m, k: pa.nulls(m, k)
+        if bucket < 0:  # ids of slices go through
+            many = len(group)
+            return pa.table({"bucket": group["bucket"], "kind": pa.array(np.full(many, 3, np.int32)), "key": group["base"], "x": none(many, pa.int64()), "y": none(many, pa.int64()), "ids": group["ids"], "data": group["data"]})
         hot_, split_ = shared.value
-        hashes, second, first, dish, marks = gathered(group["data"].to_pylist(), hot_)
-        tree = Subtrees(hashes, second, first, dish, np.concatenate(marks) & 1)
+        held = Group.of(group["data"].to_pylist(), group["base"].to_numpy(), hot_)
+        hashes, tree = held.hashes, held.tree()
         rng = np.random.default_rng([7, key[0].as_py()])
         for _ in range(SWEEPS):
-            tree.sweep(tree.local_root(types), START, rng)
+            tree.sweep(tree.local_root(), START, rng)
         here = np.unique(tree.dish)
         tables = np.bincount(tree.dish, tree.t1, len(hashes))[here].astype(np.int64)
-        keys, x, y, kinds = [hashes[here]], [tables], [np.zeros(len(here), np.int64)], [np.zeros(len(here), np.int32)]
+        times = np.bincount(tree.dish[tree.parent], tree.c2, len(hashes))[here].astype(np.int64)
+        keys, x, y, kinds = [hashes[here]], [tables], [times], [np.zeros(len(here), np.int32)]
         short, long = tree.context_keys()
         for k, own, (people, seats) in ((short, np.isin(hashes, split_), tree.rooms1()), (long, np.isin(hashes[tree.context[1]], split_), tree.rooms2())):
             at = np.flatnonzero(own)
             for column, value in zip((keys, x, y, kinds), (k[at], people[at].astype(np.int64), seats[at].astype(np.int64), np.ones(len(at), np.int32)), strict=True):
                 column.append(value)
         seen = np.array(tree.seating(), np.int64).reshape(-1, 5)
-        keys.append(((seen[:, 0] * 3 + seen[:, 1]) << 48 | seen[:, 2] << 10 | seen[:, 3]).view(U))
-        x.append(seen[:, 4])
-        y.append(np.zeros(len(seen), np.int64))
-        kinds.append(np.full(len(seen), 2, np.int32))
-        return pa.table({"bucket": pa.array(np.full(sum(map(len, keys)), key[0].as_py(), np.int32)), "kind": np.concatenate(kinds), "key": np.concatenate(keys).view(np.int64), "x": np.concatenate(x), "y": np.concatenate(y)})
-
-    seats = durable(table.where("bucket >= 0").groupBy("bucket").applyInArrow(seat, "bucket int, kind int, key long, x long, y long"), "seats")
+        keys += [((seen[:, 0] * 3 + seen[:, 1]) << 48 | seen[:, 2] << 10 | seen[:, 3]).view(U), np.zeros(1, U)]
+        x += [seen[:, 4], np.zeros(1, np.int64)]
+        y.append(np.zeros(len(seen) + 1, np.int64))
+        kinds.append(np.append(np.full(len(seen), 2, np.int32), np.int32(4)))
+        many = sum(map(len, keys))
+        data = pa.concat_arrays([none(many - 1, pa.binary()), pa.array([held.packed()], pa.binary())])
+        return pa.table({"bucket": pa.array(np.full(many, bucket, np.int32)), "kind": np.concatenate(kinds), "key": np.concatenate(keys).view(np.int64), "x": np.concatenate(x), "y": np.concatenate(y), "ids": none(many, group.schema.field("ids").type), "data": data})
+
+    # groups are written as a bucketed table: round two reads them without a shuffle
+    name, path = f"occurrences_{uuid.uuid4().hex}", f"{shared_dir(spark)}/occurrences-{uuid.uuid4().hex}"
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seated = dealt(base, kind, groups, hot, split, shares).groupBy("bucket").applyInArrow(seat, f"bucket int, kind int, key long, x long, y long, ids array<{kind}>, data binary")
+    seated.write.option("path", path).bucketBy(files, "bucket").sortBy("bucket").saveAsTable(name)
+    table = spark.table(name)
+    table.durable_path = path
+    seats = table.where("kind < 3").select("bucket", "kind", "key", "x", "y")
     sums = durable(seats.groupBy("kind", "key").agg(F.sum("x").alias("x"), F.sum("y").alias("y")), "sums")
+    total, types = (int(x or 0) for x in sums.where("kind = 0").agg(F.sum("y"), F.count_if(F.col("y") > 0)).first())
     hist = sums.where("kind = 0 and x > 0").groupBy("x").agg(F.count("*").alias("n")).toPandas()
     rng = np.random.default_rng(8)
     root = Root(hist["x"].to_numpy(np.int64), hist["n"].to_numpy(np.int64), types, rng)
@@ -470,18 +538,17 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     for level in (1, 2):
         levels.append(sample_level([(k - 3 * level, a, b, n) for k, a, b, n in seen if k // 3 == level], *START[level], rng))
 
-    known = sums.where("kind < 2").join(vocabulary.select(F.lit(0).alias("kind"), F.col("h").alias("key"), "c"), ["kind", "key"], "left")
-    answers = seats.where("kind < 2").select("bucket", "kind", "key", F.col("x").alias("own_x"), F.col("y").alias("own_y")).join(known, ["kind", "key"])
-    answers = answers.select("bucket", "kind", "key", F.when(F.col("kind") == 0, F.col("x")).otherwise(F.col("x") - F.col("own_x")).alias("x"), (F.col("y") - F.col("own_y")).alias("y"), F.coalesce("c", F.lit(0)).alias("c"))
+    words_ = seats.where("kind = 0").select("bucket", "key").join(sums.where("kind = 0").select("key", "x", "y"), "key").select("bucket", F.lit(0).alias("kind"), "key", "x", "y")
+    contexts = seats.where("kind = 1").select("bucket", "key", F.col("x").alias("own_x"), F.col("y").alias("own_y")).join(sums.where("kind = 1").select("key", "x", "y"), "key")
+    answers = words_.union(contexts.select("bucket", F.lit(1).alias("kind"), "key", F.col("x") - F.col("own_x"), F.col("y") - F.col("own_y"))).toDF("b", "word", "k", "x_", "y_")
     final = spark.sparkContext.broadcast((root, levels))
 
     def rate(key: tuple[pa.Scalar, ...], group: pa.Table, told: pa.Table) -> pa.Table:
         (hot_, _), (root_, levels_) = shared.value, final.value
-        hashes, second, first, dish, marks = gathered(group["data"].to_pylist(), hot_)
-        mark = np.concatenate(marks)
-        tree = Subtrees(hashes, second, first, dish, mark & 1)
-        del second, first, dish
-        word, k, x, y, c = (told[n].to_numpy() for n in ("kind", "key", "x", "y", "c"))
+        held = Group.unpacked(group["data"][0].as_py(), hot_)
+        hashes, tree = held.hashes, held.tree()
+        held.second = held.first = held.dish = np.zeros(0, np.int64)
+        word, k, x, y = (told[n].to_numpy() for n in ("word", "k", "x_", "y_"))
 
         def value(keys: np.ndarray, of_words: bool, column: np.ndarray) -> np.ndarray:
             some = (word == 0) == of_words
@@ -493,7 +560,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 out = np.where(have[order][at] == keys, column[some][order][at], 0)
             return out
 
-        p0, count = root_.probability(value(hashes, True, x)), value(hashes, True, c)
+        p0, count = root_.probability(value(hashes, True, x)), value(hashes, True, y)
         short, long = tree.context_keys()
         tree.more_people1, tree.more_tables1, tree.more_people2, tree.more_tables2 = value(short, False, x), value(short, False, y), value(long, False, x), value(long, False, y)
         rng_ = np.random.default_rng([9, key[0].as_py()])
@@ -504,18 +571,15 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 p += tree.probabilities(p0, levels_)[1]
         lp = np.log10(p / SAMPLES)[tree.of]
         count = count[tree.dish[tree.parent]][tree.of]
-        lc, out, at = np.log10(count + 1.0), [], 0
-        for m in marks:
-            docs_, to = np.unique(m >> 1, return_inverse=True)
-            part = slice(at, at + len(m))
-            at += len(m)
-            sums_ = [np.bincount(to, v[part], len(docs_)) for v in ((count > 0).astype(float), lc, lp)]
-            out.append(np.concatenate([docs_.astype(float), *sums_]).tobytes())
-        return pa.table({"base": group["base"], "sums": pa.array(out, pa.binary())})
-
-    parts = durable(table.where("bucket >= 0").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(rate, "base long, sums binary"), "parts")
-    about = durable(table.where("bucket < 0").select("base", "ids", "data"), "about")
-    discard(seats, sums, vocabulary, table)
+        docs_, to = np.unique(held.slice << 32 | held.mark >> 1, return_inverse=True)
+        of = [docs_ & 0xFFFFFFFF, *(np.bincount(to, v, len(docs_)) for v in ((count > 0).astype(float), np.log10(count + 1.0), lp))]
+        cut = np.searchsorted(docs_ >> 32, np.arange(len(held.bases) + 1)).tolist()
+        out = [np.concatenate([v[a:b].astype(float) for v in of]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table({"base": held.bases, "sums": pa.array(out, pa.binary())})
+
+    parts = durable(table.where("kind = 4").groupBy("bucket").cogroup(answers.groupBy("b")).applyInArrow(rate, "base long, sums binary"), "parts")
+    about = durable(table.where("kind = 3").select(F.col("key").alias("base"), "ids", "data"), "about")
+    discard(sums, table)
     spark.sql(f"drop table {name}")
     floor = math.log10(total + types + 1)
 

@@ -232,8 +232,9 @@ def test_predictive_against_plain_restaurants():
     all_ = np.stack(np.meshgrid(range(5), range(5), range(5), indexing="ij")).reshape(3, -1)  # every triple, without training
     second, first, dish = (np.concatenate([x, y]) for x, y in zip((second, first, dish), all_, strict=True))
     train = np.concatenate([np.ones(300, int), np.zeros(125, int)])
-    tree = pitman_yor.Subtrees(hashes, second, first, dish, train)
-    levels, root = [(0.5, 1.0), (0.6, 2.0), (0.7, 0.5)], np.array([0.1, 0.2, 0.3, 0.15, 0.15])
+    order = pitman_yor.in_order(5, second, first, dish)
+    tree = pitman_yor.Subtrees(hashes, second[order], first[order], dish[order], train[order])
+    levels, root = [(0.5, 1.0), (0.6, 2.0), (0.7, 0.5)], np.array([0.1, 0.2, 0.3, 0.15, 0.25])
     for _ in range(3):
         tree.sweep(root, levels, rng)
         assert (tree.t2 <= tree.c2).all() and (tree.t1 <= tree.c1).all() and ((tree.t2 > 0) == (tree.c2 > 0)).all() and ((tree.t1 > 0) == (tree.c1 > 0)).all()
@@ -250,7 +251,8 @@ def test_predictive_against_plain_restaurants():
         below = lambda x: (c1[u1, x] - 0.6 * t1[u1, x] + (2.0 + 0.6 * sum(t1[u1, y] for y in range(5))) * root[x]) / (2.0 + sum(c1[u1, y] for y in range(5)))
         return (c2[u2, u1, w] - 0.7 * t2[u2, u1, w] + (0.5 + 0.7 * sum(t2[u2, u1, y] for y in range(5))) * below(w)) / (0.5 + sum(c2[u2, u1, y] for y in range(5)))
 
-    got = p[tree.of]
+    got = np.empty(425)
+    got[order] = p[tree.of]
     for i in range(300, 425):
         assert got[i] == pytest.approx(plain(int(second[i]), int(first[i]), int(dish[i])))
     assert got[300:].reshape(25, 5).sum(axis=1) == pytest.approx(np.ones(25))
