@@ -50,7 +50,7 @@ from strandlake.llm.bytesets import Texts, U, mix, splitmix, texts, word_hashes,
 from strandlake.llm.spark_io import discard, durable, shared_dir
 
 #: Occurrences in a group, about; a task holds one group at a time.
-GROUP = 1_500_000
+GROUP = 750_000
 #: Bytes of text that are packed together.
 SLICE = 4 << 20
 #: Bytes of text looked at for the words whose numbers stand for them in the packed arrays, and how many those are.
@@ -254,11 +254,11 @@ class Subtrees:
         self.hashes = hashes
         other = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[: len(dish)]
         new = np.append(True, other[1:] | (dish[1:] != dish[:-1]))[: len(dish)]
-        self.of = np.cumsum(new) - 1  # each occurrence's triple
+        self.of = np.cumsum(new, dtype=np.int32) - 1  # each occurrence's triple
         triple = np.flatnonzero(new)
         pair, self.parent = np.unique(first[triple].astype(np.int64) * many + dish[triple], return_inverse=True)
         self.first, self.dish = pair // many, pair % many
-        self.room = (np.cumsum(other) - 1)[triple]
+        self.room = (np.cumsum(other, dtype=np.int32) - 1)[triple]
         context = np.flatnonzero(other)
         self.context = second[context], first[context]
         self.c2 = np.bincount(self.of, train, len(triple)).astype(np.int64)
@@ -467,8 +467,8 @@ class Group:
         codes, rare, *numbers, slice_, mark, bases = unpack(data)
         frequent = np.cumsum(codes, dtype=np.int64)
         many = len(frequent) + len(rare)
-        first, second, dish = (np.cumsum(x, dtype=np.int64) % many for x in numbers)
-        return cls(np.concatenate([hot[frequent], rare.astype(U)]), frequent, second, first, dish, slice_.astype(np.int64), mark.astype(np.int64), bases.astype(np.int64))
+        first, second, dish = ((np.cumsum(x, dtype=np.int64) % many).astype(np.int32) for x in numbers)
+        return cls(np.concatenate([hot[frequent], rare.astype(U)]), frequent, second, first, dish, slice_.astype(np.int32), mark.astype(np.int32), bases.astype(np.int64))
 
     def tree(self) -> Subtrees:
         return Subtrees(self.hashes, self.second, self.first, self.dish, self.mark & 1)
@@ -571,7 +571,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 p += tree.probabilities(p0, levels_)[1]
         lp = np.log10(p / SAMPLES)[tree.of]
         count = count[tree.dish[tree.parent]][tree.of]
-        docs_, to = np.unique(held.slice << 32 | held.mark >> 1, return_inverse=True)
+        docs_, to = np.unique(held.slice.astype(np.int64) << 32 | held.mark >> 1, return_inverse=True)
         of = [docs_ & 0xFFFFFFFF, *(np.bincount(to, v, len(docs_)) for v in ((count > 0).astype(float), np.log10(count + 1.0), lp))]
         cut = np.searchsorted(docs_ >> 32, np.arange(len(held.bases) + 1)).tolist()
         out = [np.concatenate([v[a:b].astype(float) for v in of]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
