@@ -12,7 +12,7 @@ S(c, t) * prod_{j < t} (strength + discount * (other tables + j)) * p, with the
 discount: every way to seat c customers at t tables. A Gibbs sweep takes all customers of every dish from their tables
 and draws t from these weights, restaurant by restaurant upwards (the tables become the parent's customers) and, in the
 next sweep, with the parents' new probabilities. All dishes of a restaurant are drawn at once, given its tables before.
-The numbers S follow their recursion up to FOLLOWED customers and longer steps of it beyond; only a dish whose weights
+The numbers S follow their recursion up to 4 * WINDOW customers and longer steps of it beyond; only a dish whose weights
 have not fallen off by WINDOW tables is seated otherwise, its further customers one after another. Discount and strength
 of each level are drawn from their weights over a grid given the seating. Predictive probabilities are averaged over SAMPLES
 seatings.
@@ -59,7 +59,8 @@ HOT = 1 << 19
 #: Customers up to which all Stirling numbers are tabulated, and tables up to which they are known at all.
 EXACT = 256
 WINDOW = 1024
-FOLLOWED = 4 * WINDOW
+#: Tables up to which they are known for the restaurant without context, whose dishes have few.
+ROOT_WINDOW = 128
 SWEEPS = 1
 SAMPLES = 2
 START = ((0.8, 1.0), (0.8, 1.0), (0.8, 1.0))
@@ -72,12 +73,13 @@ _FAR = splitmix(4, 909)
 class Stirling:
     """log S(c, t) of one discount: S(c + 1, t) = S(c, t - 1) + (c - t * discount) S(c, t).
 
-    Up to FOLLOWED customers the rows follow the recursion; of those beyond EXACT a geometric grid is kept. From there a
-    step takes 1 / FOLLOWED of the customers at once, with the ratio S(c, t - 1) / S(c, t) from both of its ends.
+    t goes up to window. Up to followed = 4 * window customers the rows follow the recursion; of those beyond EXACT a
+    geometric grid is kept. From there a step takes 1 / followed of the customers at once, with the ratio
+    S(c, t - 1) / S(c, t) from both of its ends.
     """
 
-    def __init__(self, discount: float):
-        self.discount, self.t = discount, np.arange(WINDOW + 1)
+    def __init__(self, discount: float, window: int):
+        self.discount, self.window, self.followed, self.t = discount, window, 4 * window, np.arange(max(window, EXACT) + 1)
         self.small = np.full((EXACT + 1, EXACT + 1), -np.inf)
         self.small[0, 0] = 0
         for c in range(EXACT):
@@ -91,11 +93,11 @@ class Stirling:
         return out
 
     def _follow(self) -> None:
-        row = np.full(WINDOW + 1, -np.inf)
-        row[: EXACT + 1] = self.small[EXACT]
-        wanted = EXACT
-        for c in range(EXACT, FOLLOWED + 1):
-            if c == wanted or c == FOLLOWED:
+        row = np.full(self.window + 1, -np.inf)
+        row[: EXACT + 1] = self.small[EXACT][: self.window + 1]
+        self.t, wanted = self.t[: self.window + 1], EXACT
+        for c in range(EXACT, self.followed + 1):
+            if c == wanted or c == self.followed:
                 self.grid.append(c)
                 self.rows.append(row)
                 wanted = c + c // 64
@@ -104,7 +106,7 @@ class Stirling:
     def _after(self, row: np.ndarray, c: int, to: int) -> np.ndarray:
         """The row of to customers from that of c; the steps are short against c / ratio, which keeps them stable."""
         while c < to:
-            step = min(max(1, c // FOLLOWED), to - c)
+            step = min(max(1, c // self.followed), to - c)
             ratio = self._ratio(row)
             for _ in range(2):
                 out = row + step * np.log(np.maximum(c + (step - 1) / 2 - self.t * self.discount + ratio, 1e-300))
@@ -118,7 +120,7 @@ class Stirling:
         return np.where(np.isfinite(row), np.exp(np.minimum(before - np.where(np.isfinite(row), row, 0), 600)), 0)
 
     def row(self, c: int) -> np.ndarray:
-        """log S(c, 1), log S(c, 2), ... up to c or WINDOW tables."""
+        """log S(c, 1), log S(c, 2), ... up to c or window tables, or all of them up to EXACT customers."""
         if c <= EXACT:
             return self.small[c, 1 : c + 1]
         if not self.rows:
@@ -129,22 +131,22 @@ class Stirling:
             self.grid.append(self.grid[-1] + step)
         at = bisect.bisect_right(self.grid, c) - 1
         row = self.rows[at]
-        if c > FOLLOWED:
+        if c > self.followed:
             row = self._after(row, self.grid[at], c)
         else:
             for k in range(self.grid[at], c):
                 row = self._next(row, k)
-        return row[1 : min(c, WINDOW) + 1]
+        return row[1 : min(c, self.window) + 1]
 
 
 @functools.lru_cache(maxsize=32)
-def stirling(discount: float) -> Stirling:
-    return Stirling(discount)
+def stirling(discount: float, window: int = WINDOW) -> Stirling:
+    return Stirling(discount, window)
 
 
-def draw(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+def draw(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator, window: int = WINDOW) -> np.ndarray:
     """Tables of each dish, drawn given its customers, the other tables of its restaurant and the parent's probability."""
-    numbers = stirling(discount)
+    numbers = stirling(discount, window)
     tables = np.minimum(customers, 1)
     many = np.flatnonzero(customers > 1)
     if not len(many):
@@ -162,13 +164,13 @@ def draw(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount:
             np.cumsum(line, axis=1, out=line)
             line += weights
             line -= line.max(axis=1, keepdims=True)
-            if size[a] > WINDOW:
+            if size[a] > max(window, EXACT):
                 beyond.append(at[line[:, -1] > -12])
             np.cumsum(np.exp(line, out=line), axis=1, out=line)
             pick = (line <= (rng.random(len(at)) * line[:, -1])[:, None]).sum(axis=1)
             tables[at] = np.minimum(pick, len(weights) - 1) + 1
     at = np.concatenate(beyond) if beyond else np.zeros(0, np.int64)
-    seated = np.full(len(at), WINDOW, np.int64)
+    seated = np.full(len(at), window, np.int64)
     while len(at):  # dishes that may have more tables than the window
         new = (strength + discount * (others[at] + tables[at])) * base[at]
         group = np.minimum(seated // 64, customers[at] - seated)
@@ -213,23 +215,27 @@ def sample_level(seen: list[tuple[int, int, int, int]], discount: float, strengt
 
 
 class Root:
-    """The restaurant without context, from the histogram of customers by dish: (customers, dishes) pairs."""
+    """The restaurant without context, from the histogram of customers by dish: (customers, dishes) pairs.
 
-    def __init__(self, customers: np.ndarray, dishes: np.ndarray, types: int, rng: np.random.Generator, sweeps: int = 6):
-        order = np.argsort(customers)
-        self.customers, n = customers[order], dishes[order]
-        self.people, self.base = int((self.customers * n).sum()), 1.0 / (types + 1)
+    Dishes with the same customers are alike, so their tables are drawn together, of many by a share of them; beyond
+    EXACT customers, where the mean number of tables grows slowly, dishes within 3 % are drawn as one size.
+    """
+
+    def __init__(self, customers: np.ndarray, dishes: np.ndarray, types: int, rng: np.random.Generator, sweeps: int = 4):
+        self.people, self.base = int((customers * dishes).sum()), 1.0 / (types + 1)
+        self.customers, to = np.unique(self.size(customers), return_inverse=True)
+        n = np.bincount(to, dishes, len(self.customers))
         self.discount, self.strength = START[0]
         tables, total = np.zeros(len(n)), float(n.sum())
         total_sum, kept = 0.0, 0
         for sweep in range(sweeps + SAMPLES if len(n) else 0):
             now, seen = np.zeros(len(n)), []
             for i, (c, m) in enumerate(zip(self.customers.tolist(), n.tolist(), strict=True)):
-                dishes_ = min(m, 2000)  # dishes with the same customers are alike: more than that many are drawn by their shares
-                t = draw(np.full(dishes_, c), np.full(dishes_, total - total / max(1, n.sum())), np.full(dishes_, self.base), self.discount, self.strength, rng)
+                few = int(min(m, 2000))
+                t = draw(np.full(few, c), np.full(few, total - total / n.sum()), np.full(few, self.base), self.discount, self.strength, rng, ROOT_WINDOW)
                 now[i] = t.mean()
                 if c <= EXACT:
-                    seen += [(0, c, int(k), m * int(x) / dishes_) for k, x in zip(*np.unique(t, return_counts=True), strict=True)]
+                    seen += [(0, c, int(k), m * int(x) / few) for k, x in zip(*np.unique(t, return_counts=True), strict=True)]
             total = float((now * n).sum())
             if sweep >= sweeps:
                 tables, total_sum, kept = tables + now, total_sum + total, kept + 1
@@ -238,9 +244,13 @@ class Root:
                 self.discount, self.strength = sample_level(seen, self.discount, self.strength, rng)
         self.tables, self.total = tables / max(1, kept), total_sum / max(1, kept)
 
+    @staticmethod
+    def size(customers: np.ndarray) -> np.ndarray:
+        return np.where(customers <= EXACT, customers, binned(customers))
+
     def probability(self, customers: np.ndarray) -> np.ndarray:
         """Of dishes by their customers; 0 customers: an unseen one."""
-        t = self.tables[np.minimum(np.searchsorted(self.customers, customers), len(self.customers) - 1)] if len(self.customers) else np.zeros(len(customers))
+        t = self.tables[np.minimum(np.searchsorted(self.customers, self.size(customers)), len(self.customers) - 1)] if len(self.customers) else np.zeros(len(customers))
         t = np.where(customers > 0, t, 0)
         return predictive(customers, t, self.people, self.total, self.base, self.discount, self.strength)
 
