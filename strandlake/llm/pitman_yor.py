@@ -43,7 +43,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.bytesets import Texts, U, mix, splitmix, texts, word_hashes, words
@@ -537,20 +537,25 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     seated.write.option("path", path).bucketBy(files, "bucket").sortBy("bucket").saveAsTable(name)
     table = spark.table(name)
     table.durable_path = path
-    seats = table.where("kind < 3").select("bucket", "kind", "key", "x", "y")
-    sums = durable(seats.groupBy("kind", "key").agg(F.sum("x").alias("x"), F.sum("y").alias("y")), "sums")
-    total, types = (int(x or 0) for x in sums.where("kind = 0").agg(F.sum("y"), F.count_if(F.col("y") > 0)).first())
-    hist = sums.where("kind = 0 and x > 0").groupBy("x").agg(F.count("*").alias("n")).toPandas()
+    # sums over groups come by one shuffle of a key's rows, of which there are no more than groups
+    seats = table.where("kind < 2").select("bucket", "kind", "key", "x", "y")
+    of_key = Window.partitionBy("kind", "key")
+    added = [F.sum(c).over(of_key).alias(f"all_{c}") for c in ("x", "y")]
+    sums = durable(seats.select("*", *added, F.count("*").over(of_key).alias("many"), F.row_number().over(of_key.orderBy("bucket")).alias("nth")), "sums")
+    words_ = sums.where("kind = 0 and nth = 1")
+    total, types = (int(x or 0) for x in words_.agg(F.sum("all_y"), F.count_if(F.col("all_y") > 0)).first())
+    hist = words_.where("all_x > 0").groupBy(F.col("all_x").alias("x")).agg(F.count("*").alias("n")).toPandas()
+    seating = table.where("kind = 2").groupBy("key").agg(F.sum("x").alias("x")).collect()
     rng = np.random.default_rng(8)
     root = Root(hist["x"].to_numpy(np.int64), hist["n"].to_numpy(np.int64), types, rng)
     levels = [(root.discount, root.strength)]
-    seen = [(r["key"] >> 48, r["key"] >> 10 & (1 << 38) - 1, r["key"] & 1023, r["x"]) for r in sums.where("kind = 2").collect()]
+    seen = [(r["key"] >> 48, r["key"] >> 10 & (1 << 38) - 1, r["key"] & 1023, r["x"]) for r in seating]
     for level in (1, 2):
         levels.append(sample_level([(k - 3 * level, a, b, n) for k, a, b, n in seen if k // 3 == level], *START[level], rng))
 
-    words_ = seats.where("kind = 0").select("bucket", "key").join(sums.where("kind = 0").select("key", "x", "y"), "key").select("bucket", F.lit(0).alias("kind"), "key", "x", "y")
-    contexts = seats.where("kind = 1").select("bucket", "key", F.col("x").alias("own_x"), F.col("y").alias("own_y")).join(sums.where("kind = 1").select("key", "x", "y"), "key")
-    answers = words_.union(contexts.select("bucket", F.lit(1).alias("kind"), "key", F.col("x") - F.col("own_x"), F.col("y") - F.col("own_y"))).toDF("b", "word", "k", "x_", "y_")
+    others = lambda c: F.when(F.col("kind") == 0, F.col(f"all_{c}")).otherwise(F.col(f"all_{c}") - F.col(c))
+    # a word of one group only needs no answer: the group knows its customers
+    answers = sums.where("many > 1").select("bucket", "kind", "key", others("x"), others("y")).toDF("b", "word", "k", "x_", "y_")
     final = spark.sparkContext.broadcast((root, levels))
 
     def rate(key: tuple[pa.Scalar, ...], group: pa.Table, told: pa.Table) -> pa.Table:
@@ -570,7 +575,9 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 out = np.where(have[order][at] == keys, column[some][order][at], 0)
             return out
 
-        p0, count = root_.probability(value(hashes, True, x)), value(hashes, True, y)
+        own = np.bincount(tree.dish, tree.t1, len(hashes)).astype(np.int64), np.bincount(tree.dish[tree.parent], tree.c2, len(hashes)).astype(np.int64)
+        told_ = value(hashes, True, np.ones(len(k), np.int64)) > 0
+        p0, count = root_.probability(np.where(told_, value(hashes, True, x), own[0])), np.where(told_, value(hashes, True, y), own[1])
         short, long = tree.context_keys()
         tree.more_people1, tree.more_tables1, tree.more_people2, tree.more_tables2 = value(short, False, x), value(short, False, y), value(long, False, x), value(long, False, y)
         rng_ = np.random.default_rng([9, key[0].as_py()])
