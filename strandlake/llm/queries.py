@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.bpe import encode_documents
-from strandlake.llm import decontam, embedding_dedup, html_template, langid_ppm, minhash_join, pitman_yor, quality_nbsvm, substring_dedup, token_rollup
+from strandlake.llm import decontam, embedding_dedup, fill_middle, filter_audit, html_template, langid_ppm, minhash_join, pitman_yor, quality_nbsvm, secret_scan, substring_dedup, token_rollup
 from strandlake.llm.spark_io import crc_mod, shared_dir, table, tuned
 
 
@@ -72,9 +72,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.col("code_bits"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.marked(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(tuned(spark), sf_dir, "documents")))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.arrange(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_token_rollup": token_rollup.ORACLE, "op4_decontaminate": decontam.oracle()}
+    return {"op2_token_rollup": token_rollup.ORACLE, "op4_decontaminate": decontam.oracle(), "op11_filter_audit": filter_audit.ORACLE, "op13_fill_middle": fill_middle.ORACLE}

@@ -71,19 +71,20 @@ HOT_SHARE = 1000
 LEAST_HOT = 20_000
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
-    """left joined to right (inner), whose key is unique and whose column n says how many of total rows of left have it.
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """left joined to right (inner or left), whose key is unique and whose column n says how many of total rows of left
+    have it.
 
     Rows with a hot key stay where they are: their part of right, fewer than HOT_SHARE rows, is broadcast. So no task
     gets more than 1 / HOT_SHARE of left by one key. Nulls in the key join nothing.
     """
+    more = [c for c in right.columns if c not in on and c != "n"]
     if total <= LEAST_HOT:
-        return left.join(right.drop("n"), on).select(*left.columns, *[c for c in right.columns if c not in on and c != "n"])
+        return left.join(right.drop("n"), on, how).select(*left.columns, *more)
     least = max(LEAST_HOT, total // HOT_SHARE)
-    more = [c for c in right.columns if c not in on and c != "n"]
     hot = F.broadcast(right.where(F.col("n") > least).select(*on, *more, F.lit(True).alias("__hot")))
     tried = left.join(hot, on, "left")
-    cold = tried.where("__hot is null").select(left.columns).join(right.where(F.col("n") <= least).select(*on, *more), on)
+    cold = tried.where("__hot is null").select(left.columns).join(right.where(F.col("n") <= least).select(*on, *more), on, how)
     return tried.where("__hot").select(*left.columns, *more).unionByName(cold.select(*left.columns, *more))
 
 
