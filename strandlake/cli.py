@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from strandlake.config import StatConfig
 from strandlake.operators import selection, taxonomy
 from strandlake.operators.compare import cmpstat, unmatched
-from strandlake.plans import bamstats as bam
-from strandlake.plans import release
 from strandlake.plans import refstats as ref
-from strandlake.plans import taxstats as tax
+from strandlake.plans import release
+from strandlake.session import Session
 from strandlake.sources import files, sinks
 
 
@@ -25,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("-b", "--bam", action="append", default=[])
     common.add_argument("--filelist")
     common.add_argument("-o", "--outbam")
+    common.add_argument("--onefile", action="store_true", help="join the parts of a BAM output to one file")
     common.add_argument("--outstat")
     common.add_argument("-t", "--threads", type=int, help="accepted; Spark sets the number of tasks")
     common.add_argument("--qsize", type=int, help="accepted; Spark sets the size of batches")
@@ -74,12 +74,9 @@ def _share(name: str, every: int, passed: int) -> None:
     _say(f"{every} {name}, {passed} passed filters ({passed / every if every else 0:f})")
 
 
-def _write(spark: SparkSession, df: DataFrame, paths: list[str], out: str, tags: list[str], more: list[str]) -> None:
-    kinds = {p.endswith(".bam") for p in paths}
-    if len(kinds) > 1:
-        raise SystemExit("SAM and BAM inputs are written separately")
-    write = sinks.write_bam if kinds == {True} else sinks.write_sam
-    write(df, out, files.header_lines(spark, paths[0]), tags, more)
+def _write(run: Session, df: DataFrame, out: str, tags: list[str], more: list[str], whole: bool) -> None:
+    for file, path in run.write(df, out, tags, more, whole):
+        _say(f"{file} written to {path}")
 
 
 def run(spark: SparkSession, argv: list[str]) -> None:
@@ -92,64 +89,81 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     paths = a.bam + (files.file_list(spark, a.filelist) if a.filelist else [])
     if not paths:
         raise SystemExit("no input file")
-    alns = files.read_alignments(spark, paths, raw=bool(a.outbam) and a.command != "bamstats")
-    if a.verbose:
-        _say(f"{a.command}: {len(paths)} files")
-    if a.command == "bamstats":
-        _emit(bam.bamstats(alns), a.outstat or a.outbam)
-        if a.printdists:
-            sinks.write_distributions(bam.read_length_distribution(alns), bam.ani_distribution(alns), a.printdists)
-        return
-    if a.command == "alnfilt":
-        kept = selection.alnfilt(alns, a.mode, a.minani, a.maxani, a.pct, a.strictbounds, a.seed)
-        n = selection.alnfilt_summary(alns.where(F.col("flag").bitwiseAND(4) == 0), kept).first()
-        for name, k in (("alignments", "alns"), ("queries", "queries"), ("references", "refs")):
-            _share(name, n[k], n[f"passed_{k}"])
-        if a.outbam:
-            _write(spark, kept, paths, a.outbam, [], [])
-        return
-    given = [a.acc2tax, a.names, a.nodes]
+    given = [getattr(a, k, None) for k in ("acc2tax", "names", "nodes")]
     if any(given) and not all(given):
         raise SystemExit("--acc2tax, --names and --nodes go together")
-    cfg = StatConfig(a.minreads, (1 if a.command == "taxstats" else 0) if a.minreflen is None else a.minreflen, a.minmani, a.minalnas, a.maxdust, a.ksize, a.rank)
-    reference = alns.where("tid >= 0").select("tid", "rname", "ref_len").distinct()
-    more: list[str] = []
-    if not all(given):
-        if a.command == "taxstats":
-            raise SystemExit("taxstats needs --acc2tax, --names and --nodes")
-        stats = ref.refstats(alns, cfg)
-        _emit(reference.select("tid", F.col("rname").alias("Id")).join(stats, "tid").drop("tid"), a.outstat)
+    if a.command == "taxstats" and not all(given):
+        raise SystemExit("taxstats needs --acc2tax, --names and --nodes")
+    with Session(spark, paths, raw=bool(a.outbam) and a.command != "bamstats") as one:
+        if a.verbose:
+            _say(f"{a.command}: {len(one.files)} files, {one.inputs.count} references")
+        COMMANDS[a.command](spark, one, a)
+
+
+def _bamstats(spark: SparkSession, one: Session, a: argparse.Namespace) -> None:
+    _emit(one.bamstats(), a.outstat or a.outbam)
+    if a.printdists:
+        one.write_distributions(a.printdists)
+
+
+def _alnfilt(spark: SparkSession, one: Session, a: argparse.Namespace) -> None:
+    kept = one.alnfilt(a.mode, a.minani, a.maxani, a.pct, a.strictbounds, a.seed)
+    n = selection.alnfilt_summary(one.alignments.where(F.col("flag").bitwiseAND(4) == 0), kept, "ref").first()
+    for name, k in (("alignments", "alns"), ("queries", "queries"), ("references", "refs")):
+        _share(name, n[k], n[f"passed_{k}"])
+    if a.outbam:
+        _write(one, kept, a.outbam, [], [], a.onefile)
+
+
+def _config(a: argparse.Namespace) -> StatConfig:
+    return StatConfig(a.minreads, (1 if a.command == "taxstats" else 0) if a.minreflen is None else a.minreflen, a.minmani, a.minalnas, a.maxdust, a.ksize, a.rank)
+
+
+def _taxonomy(spark: SparkSession, one: Session, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(first taxid of each accession, nodes, names); writes the accession tables asked for."""
+    acc2tax, nodes, names = files.load_taxonomy(spark, a.acc2tax, a.names, a.nodes)
+    if a.dump:
+        sinks.write_accessions(taxonomy.accession_table(acc2tax), a.dump)
+    if a.present:
+        sinks.write_accessions(taxonomy.present_accessions(one.inputs.references, acc2tax.select("accession", "taxid")), a.present)
+    return taxonomy.accessions(acc2tax, "ord"), nodes, names
+
+
+def _taxstats(spark: SparkSession, one: Session, a: argparse.Namespace) -> None:
+    stats = one.taxstats(*_taxonomy(spark, one, a), _config(a))
+    _emit(stats, a.outstat)
+    n, reads = one.totals(), one.read_totals()
+    _share("alignments", n["records"], n["passed_alns"])
+    _share("reads", reads["reads"], reads["passed_reads"])
+    _say(f"{n['groups']} taxa out of {n['passed_refs']} references")
+    release(stats)
+
+
+def _refstats(spark: SparkSession, one: Session, a: argparse.Namespace) -> None:
+    cfg, tags, more, alns = _config(a), [], [], one.alignments
+    if not all([a.acc2tax, a.names, a.nodes]):
+        stats = one.refstats(cfg)
+        _emit(one.named(stats), a.outstat)
     else:
-        acc2tax, nodes, names = files.load_taxonomy(spark, a.acc2tax, a.names, a.nodes)
-        if a.dump:
-            sinks.write_accessions(taxonomy.accession_table(acc2tax), a.dump)
-        if a.present:
-            sinks.write_accessions(taxonomy.present_accessions(reference, acc2tax.select("accession", "taxid")), a.present)
-        first = taxonomy.accessions(acc2tax, "ord")
-        if a.command == "taxstats":
-            stats = tax.taxstats(alns, reference, first, nodes, names, cfg)
-            _emit(stats, a.outstat)
-            n = tax.summary(alns, taxonomy.resolve(reference, first, nodes, cfg.rank), stats, cfg).first()
-            _share("alignments", n["alns"], n["passed_alns"])
-            _share("reads", n["reads"], n["passed_reads"])
-            _say(f"{n['passed_taxa']} taxa out of {n['passed_refs']} references")
-            release(stats)
-            return
-        stats = ref.refstats(alns, cfg)
-        _emit(ref.with_taxid(stats, reference, first), a.outstat)
-        absent, every = taxonomy.missing_references(reference, first).count(), reference.count()
+        first, nodes, _ = _taxonomy(spark, one, a)
+        stats = one.refstats(cfg)
+        _emit(one.named(stats, first), a.outstat)
+        absent, every = taxonomy.missing_references(one.inputs.references, first).count(), one.inputs.count
         _say(f"Warning: {absent} of {every} references ({absent / every if every else 0:f}) were not found in the accession table")
-        alns = taxonomy.tagged(alns, taxonomy.resolve(reference, first, nodes, cfg.rank))
-        more = [f"@CO\tstrandlake:tax-tags\tXR=rank_taxid\trank={cfg.rank}"]
-    sorted_ = any("SO:coordinate" in x for x in files.header_lines(spark, paths[0])[:1])
-    n = ref.summary(alns, stats, cfg, every_record=sorted_).first()
-    _share("alignments", n["alns"], n["passed_alns"])
+        tags, more = ["xt", "xr"], [f"@CO\tstrandlake:tax-tags\tXR=rank_taxid\trank={cfg.rank}"]
+        if a.outbam:
+            alns = taxonomy.tagged(alns, taxonomy.resolve(one.inputs.references, first, nodes, cfg.rank, "ref"), "ref")
+    n = one.totals()
+    _share("alignments", n["records"] if one.by_coordinate else n["alns"], n["passed_alns"])
     _share("reads", n["reads"], n["passed_reads"])
-    _share("references", reference.count(), n["passed_refs"])
+    _share("references", one.inputs.count, n["groups"])
     if a.outbam:
-        _write(spark, ref.filter_alignments(alns, stats, cfg), paths, a.outbam, ["xt", "xr"] if all(given) else [], more)
+        _write(one, ref.filter_alignments(alns, stats, cfg, "ref"), a.outbam, tags, more, a.onefile)
     release(stats)
 
 
+COMMANDS = {"bamstats": _bamstats, "alnfilt": _alnfilt, "taxstats": _taxstats, "refstats": _refstats}
+
+
 if __name__ == "__main__":
     run(SparkSession.builder.appName("strandlake").getOrCreate(), sys.argv[1:])

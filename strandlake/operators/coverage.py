@@ -88,7 +88,7 @@ def bin_histogram(segs: DataFrame, bins: DataFrame, keys: list[str]) -> DataFram
     upper = F.when(F.col("b") >= last, F.col("e")).otherwise(F.least("e", _edge(F.col("b") + 1, F.col("width"))))
     filled = each.withColumn("got", upper - F.greatest(F.col("p"), _edge(F.col("b"), F.col("width")))).groupBy(*keys, "b").agg(F.sum("got").alias("value")).where("value > 0")
     counts = filled.groupBy(*keys, "value").agg(F.count("*").alias("bins"))
-    some = filled.groupBy(*keys).agg(F.count("*").alias("some"))
+    some = counts.groupBy(*keys).agg(F.sum("bins").alias("some"))
     empty = bins.join(some, keys, "left").select(*keys, F.lit(0).cast("long").alias("value"), (F.col("n_bins") - F.coalesce("some", F.lit(0))).cast("long").alias("bins")).where("bins > 0")
     return counts.select(*keys, F.col("value").cast("long"), "bins").union(empty)
 

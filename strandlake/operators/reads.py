@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import ani, kmer_counts
@@ -39,12 +39,12 @@ def median_mode(reads: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def alignment_stats(df: DataFrame, keys: list[str]) -> DataFrame:
-    """num_alns and the identity, edit-distance and low-complexity figures of a group's alignments."""
+def alignment_stats(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """num_alns and the identity, edit-distance and low-complexity figures of a group's alignments; more: further aggregates."""
     d = df.withColumn("ani", ani(F.col("nm"), F.col("qlen")))
     sd = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
     dust = [F.avg("dust").alias("mdust"), sd("dust").alias("stdev_dust")] if "dust" in df.columns else []
-    plain = d.groupBy(*keys).agg(F.count("*").alias("num_alns"), F.avg("nm").alias("mean_alnnm"), F.avg("ani").alias("mean_alnani"), sd("ani").alias("stdev_alnani"), *dust)
+    plain = d.groupBy(*keys).agg(F.count("*").alias("num_alns"), F.avg("nm").alias("mean_alnnm"), F.avg("ani").alias("mean_alnani"), sd("ani").alias("stdev_alnani"), *dust, *more)
     return plain.join(median_identity(d, keys), keys, "left")
 
 

@@ -15,24 +15,29 @@ def scored(df: DataFrame, minani: float = 90.0, maxani: float = 100.0) -> DataFr
     return d.withColumn("inside", F.coalesce(F.col("score").between(minani, maxani), F.lit(False)))
 
 
-def alnfilt(df: DataFrame, mode: str = "ALLTOP", minani: float = 90.0, maxani: float = 100.0, pct: float = 0.9, strict: bool = False, seed: int | None = None) -> DataFrame:
+def alnfilt(df: DataFrame, mode: str = "ALLTOP", minani: float = 90.0, maxani: float = 100.0, pct: float = 0.9, strict: bool = False, seed: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """The alignments a read keeps: ALLTOP all best, RNDTOP one of the best, PCTTOP those from pct of the best, ALL.
 
-    strict drops a read that has any alignment out of bounds. RNDTOP picks by a hash of the row; a seed varies it.
-    One shuffle by read; unmapped records take no part.
+    strict drops a read that has any alignment out of bounds. RNDTOP takes the first of the best by ord, or with a seed the
+    one whose md5 of seed and ord is least: any of them with the same chance, and always the same one. by: further columns
+    that tell reads apart, such as file_no. One shuffle by read; unmapped records take no part.
     """
     if mode not in ("ALLTOP", "RNDTOP", "PCTTOP", "ALL"):
         raise ValueError(f"unknown mode {mode}")
     s = scored(df.where(F.col("flag").bitwiseAND(4) == 0), minani, maxani)
-    w = Window.partitionBy("qname")
+    w = Window.partitionBy(*by, "qname")
     if strict:
         s = s.withColumn("out", F.max(~F.col("inside")).over(w)).where(~F.col("out")).drop("out")
     s = s.where("inside and score > 0")
     if mode in ("ALLTOP", "PCTTOP"):
         s = s.withColumn("best", F.max("score").over(w)).where(F.col("score") >= F.col("best") * (pct if mode == "PCTTOP" else 1.0)).drop("best")
     elif mode == "RNDTOP":
-        pick = F.xxhash64("ord", F.lit(seed)) if seed is not None else F.col("ord")
-        s = s.withColumn("pick", F.row_number().over(w.orderBy(F.desc("score"), pick))).where("pick = 1").drop("pick")
+        kind = s.schema["ord"].dataType
+        parts = [F.col("ord").getField(n) for n in kind.names] if isinstance(kind, StructType) else [F.col("ord")]
+        drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])) if seed is not None else F.lit("")
+        # the best by score, then by draw, then by ord: one row a read by map-side aggregation
+        best = s.groupBy(*by, "qname").agg(F.min_by(F.struct(*s.columns), F.struct(-F.col("score"), drawn, "ord")).alias("one"))
+        s = best.select("one.*")
     return s.drop("inside")
 
 
@@ -64,7 +69,7 @@ def renumber(df: DataFrame, by: str = "tid") -> DataFrame:
     return ranged.withColumn("place", place).join(before, "range").select("tid", (F.col("before") + F.col("place")).cast("long").alias("new_tid"))
 
 
-def alnfilt_summary(df: DataFrame, kept: DataFrame) -> DataFrame:
+def alnfilt_summary(df: DataFrame, kept: DataFrame, key: str = "tid") -> DataFrame:
     """alns, queries and references, before and after."""
-    one = lambda d, p: d.agg(F.count("*").alias(f"{p}alns"), F.countDistinct("qname").alias(f"{p}queries"), F.countDistinct("tid").alias(f"{p}refs"))
+    one = lambda d, p: d.agg(F.count("*").alias(f"{p}alns"), F.countDistinct("qname").alias(f"{p}queries"), F.countDistinct(key).alias(f"{p}refs"))
     return one(df, "").join(one(kept, "passed_"))

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.schema import RANKS
-
-MOST_STEPS = 64
+from strandlake.shared import discard, durable
 
 
 def level(rank: Column) -> Column:
@@ -28,22 +27,31 @@ def nodes_with_levels(nodes: DataFrame) -> DataFrame:
 def climb(taxids: DataFrame, nodes: DataFrame, rank: str) -> DataFrame:
     """(taxid, rank_taxid) for the taxids that are nodes: the nearest node upwards whose level reaches the rank's.
 
-    A lineage without one gives the taxid itself; a parent that is no node counts as the root. Steps are joins of the
-    still moving rows, MOST_STEPS at most; the moving rows shrink to none in as many steps as the tree is deep.
+    A lineage without one gives the taxid itself; so does one that ends at a parent that is no node, or in a circle.
+    Ancestors are found by pointer doubling: a round joins the nodes that are not done to where these point to, so that
+    steps of one become steps of two, four and so on, and the rounds are as many as the logarithm of the tree's depth.
+    A node points to itself once it has arrived, at a node of the rank or at the end. Rounds are written, so none is
+    computed twice; there is no bound on the depth, and a circle ends because its steps lead nowhere new.
     """
     target = rank_level(rank)
     tree = nodes_with_levels(nodes)
-    up = tree.select(F.col("taxid").alias("at"), F.col("parent").alias("up"), F.col("level").alias("at_level"))
-    start = taxids.select("taxid").distinct().join(up, F.col("taxid") == F.col("at")).select("taxid", "at", "up", "at_level")
-    done, moving = [start.where(F.col("at_level") >= target).select("taxid", F.col("at").alias("rank_taxid"))], start.where(F.col("at_level") < target)
-    for _ in range(MOST_STEPS):
-        stepped = moving.select("taxid", F.col("at").alias("was"), F.col("up").alias("to")).join(up, F.col("to") == F.col("at"), "left")
-        ends = F.col("at").isNull() | (F.col("at") == F.col("up"))
-        done.append(stepped.where(ends | (F.col("at_level") >= target)).select("taxid", F.when(ends, F.col("taxid")).otherwise(F.col("at")).alias("rank_taxid")))
-        moving = stepped.where(~ends & (F.col("at_level") < target)).select("taxid", "at", "up", "at_level")
-        if moving.isEmpty():
-            break
-    return reduce(DataFrame.union, done)
+    known = tree.select("taxid", "parent", (F.col("level") >= target).alias("reached"))
+    over = known.select(F.col("taxid").alias("parent"), F.lit(True).alias("there"))
+    # to: where a node points; done: whether that is final; found: whether it is a node of the rank, which a root never is
+    start = known.join(over, "parent", "left")
+    root = F.col("parent") == F.col("taxid")
+    final = F.col("reached") | F.col("there").isNull() | root
+    ahead = durable(start.select("taxid", F.when(final, F.col("taxid")).otherwise(F.col("parent")).alias("to"), final.alias("done"), (F.col("reached") & ~root).alias("found")), "ancestors")
+    moving, span = ahead.where("not done").count(), 1
+    nodes_n = known.count() if moving else 0
+    while moving and span <= nodes_n:  # a path that never ends has gone round more nodes than there are
+        next_ = ahead.select(F.col("taxid").alias("to"), F.col("to").alias("then"), F.col("done").alias("then_done"), F.col("found").alias("then_found"))
+        step = ahead.where("not done").join(next_, "to").select("taxid", F.col("then").alias("to"), F.col("then_done").alias("done"), F.col("then_found").alias("found"))
+        made = durable(ahead.where("done").unionByName(step), "ancestors")
+        discard(ahead)
+        ahead, moving, span = made, made.where("not done").count(), span * 2
+    found = ahead.select("taxid", F.when(F.col("done") & F.col("found"), F.col("to")).otherwise(F.col("taxid")).alias("rank_taxid"))
+    return taxids.select("taxid").distinct().join(found, "taxid")
 
 
 def accessions(acc2tax: DataFrame, order: str | None = None) -> DataFrame:
@@ -66,14 +74,14 @@ def scientific_names(names: DataFrame) -> DataFrame:
     return names.groupBy("taxid").agg(F.min_by("name", "ord").alias("name"))
 
 
-def resolve(reference: DataFrame, acc2tax: DataFrame, nodes: DataFrame, rank: str) -> DataFrame:
-    """(tid, rname, ref_len, acc_taxid, rank_taxid); the taxids are null where they cannot be told.
+def resolve(reference: DataFrame, acc2tax: DataFrame, nodes: DataFrame, rank: str, key: str = "tid") -> DataFrame:
+    """(key, rname, ref_len, acc_taxid, rank_taxid); the taxids are null where they cannot be told.
 
     The lineage is resolved once for each reference, not for each alignment.
     """
-    named = reference.join(accessions(acc2tax), reference["rname"] == F.col("accession"), "left").select("tid", "rname", "ref_len", F.col("taxid").alias("acc_taxid"))
+    named = reference.join(accessions(acc2tax), reference["rname"] == F.col("accession"), "left").select(key, "rname", "ref_len", F.col("taxid").alias("acc_taxid"))
     lineage = climb(named.where("acc_taxid is not null").select(F.col("acc_taxid").alias("taxid")), nodes, rank)
-    return named.join(lineage.withColumnRenamed("taxid", "acc_taxid"), "acc_taxid", "left").select("tid", "rname", "ref_len", "acc_taxid", "rank_taxid")
+    return named.join(lineage.withColumnRenamed("taxid", "acc_taxid"), "acc_taxid", "left").select(key, "rname", "ref_len", "acc_taxid", "rank_taxid")
 
 
 def missing_references(reference: DataFrame, acc2tax: DataFrame) -> DataFrame:
@@ -81,11 +89,11 @@ def missing_references(reference: DataFrame, acc2tax: DataFrame) -> DataFrame:
 
 
 def present_accessions(reference: DataFrame, acc2tax: DataFrame) -> DataFrame:
-    """(accession, accession_version, taxid) of the references that the map knows."""
-    return reference.join(accessions(acc2tax), reference["rname"] == F.col("accession")).select("accession", F.col("accession").alias("accession_version"), "taxid")
+    """(accession, accession_version, taxid) of the references that the map knows, once each."""
+    return reference.select("rname").distinct().join(accessions(acc2tax), F.col("rname") == F.col("accession")).select("accession", F.col("accession").alias("accession_version"), "taxid")
 
 
-def tagged(df: DataFrame, resolved: DataFrame) -> DataFrame:
+def tagged(df: DataFrame, resolved: DataFrame, key: str = "tid") -> DataFrame:
     """Alignments with xt, the accession's taxid, and xr, its ancestor; 0 where unknown."""
-    tags = resolved.select("tid", F.coalesce("acc_taxid", F.lit(0)).alias("xt"), F.coalesce("rank_taxid", F.lit(0)).alias("xr"))
-    return df.drop("xt", "xr").join(tags, "tid", "left").fillna(0, ["xt", "xr"])
+    tags = resolved.select(key, F.coalesce("acc_taxid", F.lit(0)).alias("xt"), F.coalesce("rank_taxid", F.lit(0)).alias("xr"))
+    return df.drop("xt", "xr").join(tags, key, "left").fillna(0, ["xt", "xr"])

@@ -1,13 +1,15 @@
 """Plans that put the operators together.
 
-A plan that reads its filtered alignments several times keeps them (persist); release(result) frees them once the result
-is written.
+A plan keeps what it reads several times: its filtered alignments on the executors (persist), the first records of reads
+and the stretches of depth as tables in the shared folder. release(result) frees them once the result is written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from strandlake.shared import discard
+
 
 def holding(df: DataFrame, *kept: DataFrame) -> DataFrame:
     df.kept = kept
@@ -19,6 +21,9 @@ def held(df: DataFrame) -> tuple[DataFrame, ...]:
 
 
 def release(df: DataFrame) -> None:
-    """Frees what the plan of df keeps on the executors."""
+    """Frees what the plan of df keeps on the executors and in the shared folder."""
     for one in held(df):
-        one.unpersist()
+        if hasattr(one, "durable_path"):
+            discard(one)
+        else:
+            one.unpersist()

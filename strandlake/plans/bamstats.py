@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import ani
@@ -29,19 +27,16 @@ def bamstats(alns: DataFrame, key: str = "file") -> DataFrame:
     return out.withColumn("name", F.element_at(F.split(key, "/"), -1)).withColumnsRenamed({"median_readl": "mdreadl", "mode_readl": "moreadl"}).select(*BAMSTATS)
 
 
-def read_length_distribution(alns: DataFrame) -> DataFrame:
-    """(length, n) for 0 to 255, zeros included."""
-    hist = rd.length_histogram(rd.first_records(alns.where(mapped()), []), [])
+def read_length_distribution(alns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, length, n) for 0 to 255, zeros included."""
+    hist = rd.length_histogram(rd.first_records(alns.where(mapped()), list(by)), list(by))
     every = alns.sparkSession.range(rd.CLIP + 1).select(F.col("id").alias("length"))
-    return every.join(hist, "length", "left").select("length", F.coalesce("n", F.lit(0)).alias("n"))
+    if by:
+        every = hist.select(*by).distinct().withColumn("length", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rd.CLIP).cast("long"))))
+    return every.join(hist, [*by, "length"], "left").select(*by, "length", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def ani_distribution(alns: DataFrame) -> DataFrame:
-    """(ani, n): identities cut to a tenth of a percent."""
+def ani_distribution(alns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, ani, n): identities cut to a tenth of a percent."""
     a = F.floor(ani(F.col("nm"), F.col("qlen")) * 10) / 10
-    return alns.where(mapped()).select(a.alias("ani")).where("ani is not null").groupBy("ani").agg(F.count("*").alias("n"))
-
-
-def over_files(spark: SparkSession, paths: list[str], read) -> DataFrame:
-    """bamstats of every file of a list; read(spark, path) gives a file's alignments."""
-    return reduce(DataFrame.unionByName, (bamstats(read(spark, p)) for p in paths))
+    return alns.where(mapped()).select(*by, a.alias("ani")).where("ani is not null").groupBy(*by, "ani").agg(F.count("*").alias("n"))

@@ -11,50 +11,57 @@ from strandlake.operators import reads as rd
 from strandlake.operators.filters import alignment_filter
 from strandlake.operators.taxonomy import accessions
 from strandlake.plans import held, holding
+from strandlake.plans.counters import Counters
 from strandlake.schema import REFSTATS
+from strandlake.shared import durable
 
 
-def refstats(alns: DataFrame, cfg: StatConfig | None = None) -> DataFrame:
-    """One row by reference with cfg.minreads reads or more; alns has tid, ref_len and the alignment columns.
+def refstats(alns: DataFrame, cfg: StatConfig | None = None, key: str = "tid", seen: Counters | None = None) -> DataFrame:
+    """One row by reference with cfg.minreads reads or more; alns has key, ref_len and the alignment columns.
 
-    Each block below shuffles on tid, so that the final joins reuse that partitioning.
+    key numbers the references: tid within one file, ref over several, whose references are never put together.
+    Alignments are shuffled once, by reference and read, to the table of first records; depths and identities leave their
+    tasks as sums by place and by identity. The tables of reads and of stretches are written, and what follows reads those.
+    seen counts what passes on the way.
     """
-    cfg = cfg or StatConfig()
-    keys = ["tid"]
-    base = alignment_filter(alns, cfg).persist()  # several aggregations read it; release() frees it
-    first = rd.first_records(base, keys)
-    lengths = base.groupBy("tid").agg(F.first("ref_len").alias("ref_len"))
-    segs = cov.segments(base, keys)
-    bins = cov.bins_of(segs, lengths, keys)
-    out = rd.read_lengths(first, keys).where(F.col("num_reads") >= cfg.minreads)
-    for part in (rd.median_mode(first, keys), rd.alignment_stats(base, keys), lengths):
+    cfg, seen = cfg or StatConfig(), seen or Counters()
+    keys = [key]
+    base = seen.passed(alignment_filter(seen.records(alns), cfg).select(key, "qname", "ord", "ref_len", "pos", "end_pos", "qlen", "seq", "nm", "dust")).persist()
+    first = durable(rd.first_records(base, keys, seq=True), "reads")
+    segs = durable(cov.segments(base, keys), "stretches")
+    alone = rd.alignment_stats(base, keys, F.first("ref_len").alias("ref_len"))
+    bins = durable(cov.bins_of(segs, alone.select(key, "ref_len"), keys), "bins")
+    every = seen.groups(rd.read_lengths(first, keys))
+    out = every.where(F.col("num_reads") >= cfg.minreads)
+    for part in (rd.median_mode(first, keys), alone):
         out = out.join(part, keys)
-    for part in (cov.basic(segs, keys), cov.shape(cov.bin_histogram(segs, bins, keys), keys), rd.duplicity(rd.first_records(base, keys, seq=True), keys, cfg.ksize)):
+    for part in (cov.basic(segs, keys), cov.shape(cov.bin_histogram(segs, bins, keys), keys), rd.duplicity(first, keys, cfg.ksize)):
         out = out.join(part, keys, "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("covbases", "depthsum", "sumsq")} | {"duplicity": F.coalesce("duplicity", F.lit(0.0))}
     zero |= {c: F.coalesce(c, F.lit(0.0)) for c in ("entropy", "gini", "norm_entropy", "norm_gini")}
     out = out.withColumns(zero).withColumns(cov.figures(F.col("ref_len"))).withColumn("Length", F.col("ref_len"))
-    return holding(out.select("tid", *REFSTATS), base)
+    return holding(seen.kept(out.select(key, *REFSTATS), {"alns": "num_alns", "reads": "num_reads"}), base, first, segs, bins)
 
 
-def with_taxid(stats: DataFrame, reference: DataFrame, acc2tax: DataFrame) -> DataFrame:
-    """Adds Id, the reference's name, and taxID, 0 where the accession is unknown."""
-    names = reference.select("tid", F.col("rname").alias("Id")).join(accessions(acc2tax).withColumnRenamed("accession", "Id"), "Id", "left")
-    return holding(stats.join(names.select("tid", "Id", F.coalesce("taxid", F.lit(0)).alias("taxID")), "tid").select("Id", "taxID", *REFSTATS), *held(stats))
+def with_taxid(stats: DataFrame, reference: DataFrame, acc2tax: DataFrame, key: str = "tid", more: tuple[str, ...] = ()) -> DataFrame:
+    """Adds Id, the reference's name, and taxID, 0 where the accession is unknown; more: further columns of reference."""
+    names = reference.select(key, F.col("rname").alias("Id"), *more).join(accessions(acc2tax).withColumnRenamed("accession", "Id"), "Id", "left")
+    return holding(stats.join(names.select(key, "Id", *more, F.coalesce("taxid", F.lit(0)).alias("taxID")), key).select(*more, "Id", "taxID", *REFSTATS), *held(stats))
 
 
-def summary(alns: DataFrame, stats: DataFrame, cfg: StatConfig | None = None, every_record: bool = False) -> DataFrame:
+def summary(alns: DataFrame, stats: DataFrame, cfg: StatConfig | None = None, every_record: bool = False, key: str = "tid") -> DataFrame:
     """alns and reads that pass the row filters (reads summed over references), and the same of the surviving references.
 
-    every_record: alns counts all records instead, as for input sorted by coordinate.
+    every_record: alns counts all records instead, as for input sorted by coordinate. Where the statistics are made
+    anyway, Counters has these figures from the same pass.
     """
     base = alignment_filter(alns, cfg or StatConfig())
-    every = base.agg(F.count("*").alias("alns"), F.countDistinct("tid", "qname").alias("reads"))
+    every = base.agg(F.count("*").alias("alns"), F.countDistinct(key, "qname").alias("reads"))
     if every_record:
         every = every.drop("alns").join(alns.agg(F.count("*").alias("alns")))
     return every.join(stats.agg(F.coalesce(F.sum("num_alns"), F.lit(0)).alias("passed_alns"), F.coalesce(F.sum("num_reads"), F.lit(0)).alias("passed_reads"), F.count("*").alias("passed_refs")))
 
 
-def filter_alignments(alns: DataFrame, stats: DataFrame, cfg: StatConfig | None = None) -> DataFrame:
+def filter_alignments(alns: DataFrame, stats: DataFrame, cfg: StatConfig | None = None, key: str = "tid") -> DataFrame:
     """The alignments that pass the row filters and lie on a surviving reference."""
-    return alignment_filter(alns, cfg or StatConfig()).join(stats.select("tid"), "tid", "left_semi")
+    return alignment_filter(alns, cfg or StatConfig()).join(stats.select(key), key, "left_semi")

@@ -10,47 +10,66 @@ from strandlake.operators import coverage as cov
 from strandlake.operators import reads as rd
 from strandlake.operators.filters import alignment_filter
 from strandlake.operators.taxonomy import resolve
-from strandlake.plans import holding
+from strandlake.plans import held, holding
+from strandlake.plans.counters import Counters
 from strandlake.schema import TAXSTATS
+from strandlake.shared import durable
 
 
-def by_taxon(alns: DataFrame, names: DataFrame, cfg: StatConfig) -> DataFrame:
-    """alns has taxid; null taxids take no part. Coverage is summed over the references of a taxon."""
-    keys = ["taxid"]
-    base = alignment_filter(alns.where("taxid is not null"), StatConfig(minreflen=max(cfg.minreflen, 1), minalnas=cfg.minalnas, maxdust=cfg.maxdust)).persist()  # several aggregations read it; release() frees it
-    first = rd.first_records(base, keys)
-    refs = base.groupBy("taxid", "tid").agg(F.first("ref_len").alias("ref_len"))
-    refs = refs.groupBy("taxid").agg(F.count("*").alias("num_accessions"), F.sum("ref_len").alias("total_length"))
-    pooled = cov.basic(cov.segments(base, ["taxid", "tid"]), ["taxid", "tid"]).groupBy("taxid").agg(*[F.sum(c).alias(c) for c in ("covbases", "depthsum", "sumsq")])
+def by_taxon(alns: DataFrame, names: DataFrame, cfg: StatConfig, key: str = "tid", by: tuple[str, ...] = (), seen: Counters | None = None) -> DataFrame:
+    """alns has taxid; null taxids take no part. Coverage is summed over the references of a taxon.
+
+    key numbers the references; by: further integer columns, such as file_no, whose values are kept apart.
+    """
+    keys, seen = [*by, "taxid"], seen or Counters()
+    row = StatConfig(minreflen=max(cfg.minreflen, 1), minalnas=cfg.minalnas, maxdust=cfg.maxdust)
+    base = seen.passed(alignment_filter(alns.where("taxid is not null"), row).select(*dict.fromkeys([*keys, key, "qname", "ord", "ref_len", "pos", "end_pos", "qlen", "seq", "nm", "dust"]))).persist()
+    first = durable(rd.first_records(base, keys, seq=True), "reads")
+    pairs = [*keys, key]
+    refs = base.groupBy(*pairs).agg(F.first("ref_len").alias("ref_len"))
+    refs = refs.groupBy(*keys).agg(F.count("*").alias("num_accessions"), F.sum("ref_len").alias("total_length"))
+    pooled = cov.basic(cov.segments(base, pairs), pairs).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("covbases", "depthsum", "sumsq")])
     alone = rd.alignment_stats(base, keys).where(F.col("mean_alnani") >= cfg.minmani) if cfg.minmani > 0 else rd.alignment_stats(base, keys)
     out = rd.read_lengths(first, keys, 3).where(F.col("num_reads") >= cfg.minreads).join(alone, keys)
     for part in (rd.median_mode(first, keys), refs):
         out = out.join(part, keys)
-    for part in (pooled, rd.duplicity(rd.first_records(base, keys, seq=True), keys, cfg.ksize, rd.CLIP - cfg.ksize), names.select("taxid", "name")):
+    for part in (pooled, rd.duplicity(first, keys, cfg.ksize, rd.CLIP - cfg.ksize)):
         out = out.join(part, keys, "left")
+    out = out.join(names.select("taxid", "name"), "taxid", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("covbases", "depthsum", "sumsq")} | {"duplicity": F.coalesce("duplicity", F.lit(0.0))}
     length = F.col("total_length")
-    return holding(out.withColumns(zero).withColumns(cov.figures(length, F.col("covbases") / length)).select(*TAXSTATS), base)
+    out = out.withColumns(zero).withColumns(cov.figures(length, F.col("covbases") / length)).select(*by, *TAXSTATS)
+    return holding(seen.kept(out, {"refs": "num_accessions", "alns": "num_alns"}), base, first)
 
 
-def taxstats(alns: DataFrame, reference: DataFrame, acc2tax: DataFrame, nodes: DataFrame, names: DataFrame, cfg: StatConfig | None = None) -> DataFrame:
-    """One row by taxon at cfg.rank; alignments of references without a known taxon are left out."""
+def taxstats(alns: DataFrame, reference: DataFrame, acc2tax: DataFrame, nodes: DataFrame, names: DataFrame, cfg: StatConfig | None = None, key: str = "tid", by: tuple[str, ...] = (), seen: Counters | None = None) -> DataFrame:
+    """One row by taxon at cfg.rank (and by the columns by); alignments of references without a known taxon are left out."""
     cfg = cfg or StatConfig()
-    at = resolve(reference, acc2tax, nodes, cfg.rank).where("rank_taxid is not null").select("tid", F.col("rank_taxid").alias("taxid"))
-    return by_taxon(alns.join(at, "tid"), names, cfg)
+    at = resolve(reference, acc2tax, nodes, cfg.rank, key).where("rank_taxid is not null").select(key, F.col("rank_taxid").alias("taxid"))
+    seen = seen or Counters()
+    return by_taxon(seen.records(alns).join(at, key), names, cfg, key, by, seen)
 
 
-def taxstats_from_tags(alns: DataFrame, names: DataFrame, cfg: StatConfig | None = None) -> DataFrame:
+def taxstats_from_tags(alns: DataFrame, names: DataFrame, cfg: StatConfig | None = None, key: str = "tid", by: tuple[str, ...] = ()) -> DataFrame:
     """The same from alignments that already have their taxon in xr; null and absent xr are left out."""
-    return by_taxon(alns.withColumn("taxid", F.col("xr").cast("long")), names, cfg or StatConfig())
+    return by_taxon(alns.withColumn("taxid", F.col("xr").cast("long")), names, cfg or StatConfig(), key, by)
 
 
-def summary(alns: DataFrame, resolved: DataFrame, stats: DataFrame, cfg: StatConfig | None = None) -> DataFrame:
+def summary(alns: DataFrame, resolved: DataFrame, stats: DataFrame, cfg: StatConfig | None = None, key: str = "tid") -> DataFrame:
     """All records, distinct reads that pass, and reads, references and alignments of the surviving taxa."""
     cfg = cfg or StatConfig()
-    at = resolved.where("rank_taxid is not null").select("tid", F.col("rank_taxid").alias("taxid"))
-    base = alignment_filter(alns.join(at, "tid"), StatConfig(minreflen=max(cfg.minreflen, 1), minalnas=cfg.minalnas, maxdust=cfg.maxdust))
+    at = resolved.where("rank_taxid is not null").select(key, F.col("rank_taxid").alias("taxid"))
+    base = alignment_filter(alns.join(at, key), StatConfig(minreflen=max(cfg.minreflen, 1), minalnas=cfg.minalnas, maxdust=cfg.maxdust))
     total = alns.agg(F.count("*").alias("alns"))
     reads = base.agg(F.countDistinct("qname").alias("reads"))
     passed = base.join(stats.select("taxid"), "taxid", "left_semi").agg(F.countDistinct("qname").alias("passed_reads"), F.count("*").alias("passed_alns"))
     return total.join(reads).join(passed).join(stats.agg(F.coalesce(F.sum("num_accessions"), F.lit(0)).alias("passed_refs"), F.count("*").alias("passed_taxa")))
+
+
+def read_totals(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, reads, passed_reads): distinct reads that pass the row filters, and those of the surviving taxa, from the table
+    of first records that the plan of stats keeps; the alignments are not read again."""
+    reads = next(x for x in held(stats) if hasattr(x, "durable_path"))
+    kept = stats.select(*by, "taxid").withColumn("in", F.lit(True))
+    each = reads.select(*by, "taxid", "qname").join(kept, [*by, "taxid"], "left").groupBy(*by, "qname").agg(F.max("in").alias("in"))
+    return each.groupBy(*by).agg(F.count("*").alias("reads"), F.count("in").alias("passed_reads"))

@@ -12,8 +12,10 @@ from strandlake.functions.sequence import kmer_counts, with_dust
 from strandlake.operators import compare, coverage, reads, selection, taxonomy
 from strandlake.operators.filters import alignment_filter, mapped
 from strandlake.plans import bamstats as bam
+from strandlake.plans import held, holding
 from strandlake.plans import refstats as ref
 from strandlake.plans import taxstats as tax
+from strandlake.shared import durable
 from strandlake.sources import star
 
 VIEW = ["qname", "flag", "tid", "ref_len", "pos", "end_pos", "qlen", "nm", "as_score", "seq"]
@@ -24,14 +26,13 @@ _SQL: dict[str, str] = {}
 
 def r6(df: DataFrame) -> DataFrame:
     """Figures to six digits, ties decided on the product, as the SQL engine does."""
-    return df.select(*[(F.round(F.col(c) * 1e6) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return holding(df.select(*[(F.round(F.col(c) * 1e6) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]), *held(df))
 
 
-def query(sql: str | None):
+def query(sql: str, prelude: str | None = None):
     def register(f):
         _Q[f.__name__] = lambda spark, d: r6(f(spark, d))
-        if sql:
-            _SQL[f.__name__] = PRELUDE + sql
+        _SQL[f.__name__] = (prelude or PRELUDE) + sql
         return f
 
     return register
@@ -53,12 +54,19 @@ def _segs(s, d):
     return coverage.segments(_mapped(s, d), ["tid"])
 
 
-def _bins(s, d):
-    return coverage.bins_of(_segs(s, d), star.reference(s, d).select("tid", "ref_len"), ["tid"])
+def _bins(s, d, segs=None):
+    return coverage.bins_of(segs or durable(_segs(s, d), "stretches"), star.reference(s, d).select("tid", "ref_len"), ["tid"])
+
+
+def _histogram(s, d):
+    segs = durable(_segs(s, d), "stretches")
+    bins = durable(_bins(s, d, segs), "bins")
+    return holding(coverage.bin_histogram(segs, bins, ["tid"]), segs, bins)
 
 
 def _shape(s, d):
-    return coverage.shape(coverage.bin_histogram(_segs(s, d), _bins(s, d), ["tid"]), ["tid"])
+    hist = _histogram(s, d)
+    return holding(coverage.shape(hist, ["tid"]), *held(hist))
 
 
 def _stats_sql(group: str, taxon: bool, source: str, having: str, head: str) -> str:
@@ -223,7 +231,7 @@ def cov_quartiles(s, d):
 
 @query("select tid, value, bins from bh")
 def cov_bins(s, d):
-    return coverage.bin_histogram(_segs(s, d), _bins(s, d), ["tid"])
+    return _histogram(s, d)
 
 
 @query("select tid, round(width, 6) as width, n_bins from bi")
@@ -286,6 +294,18 @@ def refstats_tax(s, d):
     return ref.with_taxid(ref.refstats(star.alignments(s, d)), r, a)
 
 
+#: Two files over the same references: the second numbers them backwards.
+_FAR = "4294967296 + (select count(*) from part) - "
+_TWO_FILES = PRELUDE.replace("l_partkey as tid", f"case when l_orderkey % 2 = 0 then l_partkey else {_FAR}l_partkey end as tid").replace("reference as (select p_partkey as tid", f"reference as (select {_FAR}p_partkey as tid, concat('ACC', p_partkey) as rname, 40 * cast(p_size as bigint) as ref_len from part union all select p_partkey as tid")
+
+
+@query(_stats_sql("tid", False, "select * from flt", "true", "(tid >> 32)::int as file_no, (select rname from reference r where r.tid = fin.tid) as Id, len as Length,"), _TWO_FILES)
+def refstats_by_file(s, d):
+    alns, refs = star.two_files(s, d)
+    stats = ref.refstats(alns, key="ref")
+    return holding(refs.select("ref", "file_no", F.col("rname").alias("Id")).join(stats, "ref").drop("ref"), *held(stats))
+
+
 @query(f", src as ({_REF_STRICT_SRC}), g as (select tid, count(*) as a, count(distinct qname) as r from src group by tid) select (select count(*) from src) as alns, cast((select sum(r) from g) as bigint) as reads, cast(sum(a) as bigint) as passed_alns, cast(sum(r) as bigint) as passed_reads, count(*) as passed_refs from g where r >= 3")
 def refstats_summary(s, d):
     a = star.alignments(s, d)
@@ -330,7 +350,7 @@ def aln_tagged(s, d):
     return taxonomy.tagged(star.alignments(s, d), taxonomy.resolve(r, a, n, "genus")).select("qname", "tid", "pos", "xt", "xr")
 
 
-_TAX = lambda rank: _stats_sql("taxid", True, f"select flt.*, {rank} as taxid from flt join res using (tid) where {rank} is not null", "true", "taxid, (select name from taxname t where t.taxid = fin.taxid) as name, num_accessions, len as total_length,")
+_TAX = lambda rank, having="true": _stats_sql("taxid", True, f"select flt.*, {rank} as taxid from flt join res using (tid) where {rank} is not null", having, "taxid, (select name from taxname t where t.taxid = fin.taxid) as name, num_accessions, len as total_length,")
 
 
 @query(_TAX("genus"))
@@ -343,6 +363,12 @@ def taxstats_species(s, d):
     return tax.taxstats(star.alignments(s, d), *_taxonomy(s, d), StatConfig(rank="species"))
 
 
+@query(_TAX("species", "mean_alnani >= 95.7 and num_reads >= 5"))
+def taxstats_minmani(s, d):
+    """Species of reads that resemble them: least mean identity and least number of reads."""
+    return tax.taxstats(star.alignments(s, d), *_taxonomy(s, d), StatConfig(rank="species", minmani=95.7, minreads=5))
+
+
 @query(_TAX("genus"))
 def taxstats_from_tags(s, d):
     r, a, n, names = _taxonomy(s, d)
@@ -407,7 +433,11 @@ def alnfilt_rndtop(s, d):
     return _filt(s, d, mode="RNDTOP")
 
 
-@query(None)
+#: The two engines write a price of millions differently; prices stay below that.
+_DRAW = "md5(concat_ws(':', '7', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice))"
+
+
+@query(f", drawn as (select ord, {_DRAW} as draw from (select *, cast(row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) as bigint) as ord from lineitem join part on l_partkey = p_partkey)), pick as (select *, row_number() over (partition by qname order by score desc, draw, ord) as chosen from ins join drawn using (ord)) " + FILT.replace("from ins", "from pick") + "chosen = 1")
 def alnfilt_random(s, d):
     return _filt(s, d, mode="RNDTOP", seed=7)
 

@@ -1,29 +1,28 @@
-"""BAM files: a data source whose tasks read byte ranges of a file, and a writer.
+"""BAM files: a data source whose tasks read byte ranges of a file, and the blocks of a new one.
 
-Records and blocks follow the public SAM/BAM specification. A file is cut into ranges of SPLIT bytes; a task finds the
-first block of its range and the first record in it, and reads the records that begin in its blocks. Records are parsed
-many at a time and go to Spark as Arrow batches. A file that is gzip but not blocked is one range.
+Records and blocks follow the public SAM/BAM specification. A header is read once a file, by headers.open_inputs; what
+ranges need of it is where the records begin and the number of references. A file is cut into ranges of SPLIT bytes; a
+task finds the first block of its range and the first record in it, and reads the records that begin in its blocks.
+Records are parsed many at a time and go to Spark as Arrow batches. A file that is gzip but not blocked is one range.
 """
 
 from __future__ import annotations
 
 import gzip
-import os
-import shutil
+import json
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from strandlake.schema import ALIGNMENT
+from strandlake.schema import RECORD
+from strandlake.sources.store import open_input
 
 #: Compressed bytes of a range, and bytes of records parsed at a time.
 SPLIT = 64 << 20
@@ -39,10 +38,6 @@ TAG_KIND = {"c": "<i1", "C": "<u1", "s": "<i2", "S": "<u2", "i": "<i4", "I": "<u
 TAGS = {"nm": b"NM", "as_score": b"AS", "xt": b"XT", "xr": b"XR"}
 
 
-def local(path: str) -> str:
-    return path.removeprefix("file://")
-
-
 def block_size(head: bytes) -> int:
     """Bytes of the compressed block that begins with head, 0 if none does."""
     if len(head) < 18 or head[:4] != BLOCK_HEAD:
@@ -111,59 +106,79 @@ class Blocks:
                 return out
 
 
-@dataclass
-class Header:
-    """Header text, reference names and lengths, and where the first record begins: block and place in it."""
+@dataclass(frozen=True)
+class Place:
+    """What a task needs to read a file's records: its number among the inputs, size, number of references, and where the
+    first record begins (block and place in it)."""
 
-    text: str
-    names: list[str]
-    lengths: list[int]
+    path: str
+    number: int
+    size: int
+    references: int
     block: int
     place: int
     blocked: bool
 
 
-def read_header(path: str) -> Header:
-    with open(local(path), "rb") as f:
-        blocked = block_size(f.read(64)) > 0
-        if blocked:
-            source, starts = Blocks(f, 0, 1 << 62), []
-
-            def more() -> bytes:
-                at, before = source.at, source.read_
-                got = source.more()
-                starts.append((before, at))
-                return got
-        else:
-            stream = gzip.open(local(path), "rb")
-            more = lambda: stream.read(1 << 16)
-        data = bytearray()
+class HeaderReader:
+    """The header of a BAM file, read from its beginning in bounded memory: text line by line, then the references."""
 
-        def need(n: int) -> None:
-            while len(data) < n:
-                got = more()
-                if not got:
-                    raise ValueError(f"{path} ends within its header")
-                data.extend(got)
-
-        need(12)
-        if data[:4] != MAGIC:
+    def __init__(self, path: str, blocked: bool):
+        self.path, self.blocked, self.data, self.begin = path, blocked, bytearray(), 0
+        self.f = open_input(path)
+        self.source = Blocks(self.f, 0, 1 << 62) if blocked else None
+        self.stream = None if blocked else gzip.GzipFile(fileobj=self.f)
+        self.starts: list[tuple[int, int]] = []
+        if self.take(4) != MAGIC:
             raise ValueError(f"{path} is no BAM file")
-        size = struct.unpack_from("<i", data, 4)[0]
-        need(12 + size)
-        text, at = bytes(data[8 : 8 + size]).rstrip(b"\0").decode(), 12 + size
-        names, lengths = [], []
-        for _ in range(struct.unpack_from("<i", data, 8 + size)[0]):
-            need(at + 4)
-            n = struct.unpack_from("<i", data, at)[0]
-            need(at + 8 + n)
-            names.append(bytes(data[at + 4 : at + 3 + n]).decode())
-            lengths.append(struct.unpack_from("<i", data, at + 4 + n)[0])
-            at += 8 + n
-        if not blocked:
-            return Header(text, names, lengths, 0, at, False)
-        before, block = max((b, a) for b, a in starts if b <= at)
-        return Header(text, names, lengths, block, at - before, True)
+        self.text = struct.unpack("<i", self.take(4))[0]
+
+    def need(self, n: int) -> None:
+        while len(self.data) < n:
+            if self.source:
+                before, at = self.source.read_, self.source.at
+                got = self.source.more()
+                self.starts = [*(x for x in self.starts[-1:]), (before, self.source.at if not got else at)]
+            else:
+                got = self.stream.read(1 << 16)
+            if not got:
+                raise ValueError(f"{self.path} ends within its header")
+            self.data += got
+
+    def take(self, n: int) -> bytes:
+        self.need(n)
+        out = bytes(self.data[:n])
+        del self.data[:n]
+        self.begin += n
+        return out
+
+    def lines(self) -> Iterator[str]:
+        left, rest = self.text, b""
+        while left:
+            part = self.take(min(left, 1 << 20))
+            left -= len(part)
+            *whole, rest = (rest + part).split(b"\n")
+            yield from (x.decode(errors="replace") for x in whole if x)
+        rest = rest.rstrip(b"\0")
+        if rest:
+            yield rest.decode(errors="replace")
+
+    def references(self) -> Iterator[tuple[str, int]]:
+        """Names and lengths; to be read behind the lines."""
+        self.many = struct.unpack("<i", self.take(4))[0]
+        for _ in range(self.many):
+            n = struct.unpack("<i", self.take(4))[0]
+            raw = self.take(n + 4)
+            yield raw[: n - 1].decode(), struct.unpack_from("<i", raw, n)[0]
+
+    def first(self) -> tuple[int, int]:
+        """Block and place of the first record, behind the references."""
+        if not self.blocked:
+            return 0, self.begin
+        if not self.data:  # the next block with bytes holds it
+            return self.source.at, 0
+        before, block = max(x for x in self.starts if x[0] <= self.begin)
+        return block, self.begin - before
 
 
 def int32_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -238,8 +253,8 @@ def integer_tags(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> dict[str,
     return {k: pa.array(value[k].astype(np.int32), mask=~there[k]) for k in TAGS}
 
 
-def columns(data: np.ndarray, start: np.ndarray, size: np.ndarray, header: Header, path: str, ord_: int, raw: bool) -> pa.RecordBatch:
-    """Rows of ALIGNMENT from the records data[start:start + size]."""
+def columns(data: np.ndarray, start: np.ndarray, size: np.ndarray, path: str, number: int, ord_: int, raw: bool) -> pa.RecordBatch:
+    """Rows of RECORD from the records data[start:start + size]."""
     head = np.ascontiguousarray(data[start[:, None] + np.arange(32)])
     word = head.view("<i4")
     short = head.view("<u2")
@@ -259,17 +274,15 @@ def columns(data: np.ndarray, start: np.ndarray, size: np.ndarray, header: Heade
     seq = strings(BASES[np.where(inside & 1, pair & 15, pair >> 4)], offs)
     at = at + (l_seq + 1) // 2 + l_seq
     tags = integer_tags(data, at, start + size)
-    names, lengths = pa.array(header.names, pa.string()), pa.array(header.lengths, pa.int64())
-    known = pa.array(tid, mask=tid < 0)
     whole = pa.nulls(len(start), pa.binary())
     if raw:
         whole = pa.array([data[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)], pa.binary())
     out = {
-        "file": pa.array([path]).take(pa.array(np.zeros(len(start), np.int64))), "ord": pa.array(ord_ + np.arange(len(start))), "qname": qname, "flag": pa.array(flag), "tid": pa.array(tid.astype(np.int32)),
-        "rname": names.take(known), "ref_len": lengths.take(known), "pos": pa.array(pos), "end_pos": pa.array(pos + np.maximum(1, aligned)), "qlen": pa.array(l_seq.astype(np.int32)), "seq": seq, **tags,
+        "file": pa.array([path]).take(pa.array(np.zeros(len(start), np.int64))), "file_no": pa.array(np.full(len(start), number, np.int32)), "ord": pa.array(ord_ + np.arange(len(start))), "qname": qname, "flag": pa.array(flag),
+        "tid": pa.array(tid.astype(np.int32)), "ref": pa.array((number << 32) + tid, mask=tid < 0), "pos": pa.array(pos), "end_pos": pa.array(pos + np.maximum(1, aligned)), "qlen": pa.array(l_seq.astype(np.int32)), "seq": seq, **tags,
         "mate": pa.array(mate.astype(np.int32)), "raw": whole,
     }
-    return pa.RecordBatch.from_arrays([out[c.split()[0]] for c in ALIGNMENT.split(", ")], [c.split()[0] for c in ALIGNMENT.split(", ")])
+    return pa.RecordBatch.from_arrays([out[c.split()[0]] for c in RECORD.split(", ")], [c.split()[0] for c in RECORD.split(", ")])
 
 
 def offsets(data: bytes, at: int, own: int) -> tuple[np.ndarray, int]:
@@ -285,41 +298,38 @@ def offsets(data: bytes, at: int, own: int) -> tuple[np.ndarray, int]:
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, number: int, begin: int, end: int):
-        super().__init__((path, number))
-        self.path, self.number, self.begin, self.end = path, number, begin, end
+    def __init__(self, file: Place, number: int, begin: int, end: int):
+        super().__init__((file.path, number))
+        self.file, self.number, self.begin, self.end = file, number, begin, end
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], raw: bool, split: int):
-        self.paths, self.raw, self.split = paths, raw, split
+    def __init__(self, files: list[Place], raw: bool, split: int):
+        self.files, self.raw, self.split = files, raw, split
 
     def partitions(self) -> list[InputPartition]:
         out = []
-        for path in self.paths:
-            size = os.path.getsize(local(path))
-            with open(local(path), "rb") as f:
-                blocked = block_size(f.read(64)) > 0
-            ranges = range(0, size, self.split) if blocked else [0]
-            out += [Range(path, k, a, min(a + self.split, size) if blocked else size) for k, a in enumerate(ranges)]
+        for f in self.files:
+            ranges = range(0, f.size, self.split) if f.blocked else [0]
+            out += [Range(f, k, a, min(a + self.split, f.size) if f.blocked else f.size) for k, a in enumerate(ranges)]
         return out
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        header = read_header(partition.path)
+        file = partition.file
         ord_ = partition.number << 40
-        with open(local(partition.path), "rb") if header.blocked else gzip.open(local(partition.path), "rb") as f:
-            if header.blocked:
-                if header.block >= partition.end:
+        with open_input(file.path) as packed:
+            if file.blocked:
+                if file.block >= partition.end:
                     return
-                mine = partition.begin <= header.block
-                source = Blocks(f, header.block if mine else first_block(f, partition.begin, partition.end), partition.end)
+                mine = partition.begin <= file.block
+                source = Blocks(packed, file.block if mine else first_block(packed, partition.begin, partition.end), partition.end)
                 if source.at >= partition.end:
                     return
                 held = bytearray(source.more())
-                place = header.place
+                place = file.place
                 if not mine:
                     most = 1 << 18
-                    while (place := first_record(bytes(held), len(header.names), source.over)) < 0:
+                    while (place := first_record(bytes(held), file.references, source.over)) < 0:
                         if source.over:
                             return
                         most *= 2
@@ -327,9 +337,10 @@ class _Reader(DataSourceReader):
                             held += source.more()
                 more = source.more
             else:
-                f.seek(header.place)
+                stream = gzip.GzipFile(fileobj=packed)
+                stream.seek(file.place)
                 held, place, source = bytearray(), 0, None
-                more = lambda: f.read(1 << 16)
+                more = lambda: stream.read(1 << 16)
             over = False
             while True:
                 while not over and len(held) < PIECE and (source is None or source.at < source.end):
@@ -343,7 +354,7 @@ class _Reader(DataSourceReader):
                     array = np.frombuffer(data, np.uint8)
                     for k in range(0, len(at), 20_000):
                         part = at[k : k + 20_000]
-                        yield columns(array, part + 4, int32_at(array, part).astype(np.int64), header, partition.path, ord_, self.raw)
+                        yield columns(array, part + 4, int32_at(array, part).astype(np.int64), file.path, file.number, ord_, self.raw)
                         ord_ += len(part)
                 held, place = held[after:], 0
                 left = source.own - (source.read_ - len(held)) if source else len(held)
@@ -352,7 +363,7 @@ class _Reader(DataSourceReader):
                 got = more()  # the last record goes on in the next block
                 if not got:
                     if left > 0 and len(held):
-                        raise ValueError(f"{partition.path} ends within a record")
+                        raise ValueError(f"{file.path} ends within a record")
                     return
                 held += got
 
@@ -386,25 +397,35 @@ def block(data: bytes, level: int = 5) -> bytes:
     return BLOCK_HEAD + bytes(4) + b"\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-class Squeezer:
-    """Writes whole records into blocks; a record begins a new block where it doesn't fit."""
+class Blocked:
+    """Blocks of the bytes written to it; flush begins a new one."""
 
-    def __init__(self, f: BinaryIO):
-        self.f, self.held = f, bytearray()
+    def __init__(self) -> None:
+        self.held, self.blocks, self.size = bytearray(), [], 0
+
+    def _put(self, data: bytes) -> None:
+        self.blocks.append(block(data))
+        self.size += len(self.blocks[-1])
 
     def write(self, data: bytes) -> None:
-        if self.held and len(self.held) + len(data) > BLOCK_BYTES:
-            self.flush()
         self.held += data
-        while len(self.held) > BLOCK_BYTES:
-            self.f.write(block(bytes(self.held[:BLOCK_BYTES])))
-            del self.held[:BLOCK_BYTES]
+        at = 0
+        while len(self.held) - at >= BLOCK_BYTES:
+            self._put(bytes(self.held[at : at + BLOCK_BYTES]))
+            at += BLOCK_BYTES
+        del self.held[:at]
 
     def flush(self) -> None:
         if self.held:
-            self.f.write(block(bytes(self.held)))
+            self._put(bytes(self.held))
             self.held = bytearray()
 
+    def taken(self) -> bytes:
+        """The blocks so far, which are forgotten."""
+        out = b"".join(self.blocks)
+        self.blocks, self.size = [], 0
+        return out
+
 
 def header_bytes(text: str, references: list[tuple[str, int]]) -> bytes:
     raw = text.encode()
@@ -412,65 +433,20 @@ def header_bytes(text: str, references: list[tuple[str, int]]) -> bytes:
     return MAGIC + struct.pack("<i", len(raw)) + raw + struct.pack("<i", len(references)) + names
 
 
-@dataclass
-class Part(WriterCommitMessage):
-    number: int
-    path: str
-
-
-class _Writer(DataSourceArrowWriter):
-    """Tasks write their records as blocks beside the result; then the header and the parts become one file."""
-
-    def __init__(self, path: str, head: str):
-        self.path, self.head, self.run = local(path), local(head), uuid.uuid4().hex
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
-        number = TaskContext.get().partitionId()
-        path = f"{self.path}.{self.run}.{number}.{TaskContext.get().taskAttemptId()}"
-        with open(path, "wb") as f:
-            out = Squeezer(f)
-            for batch in iterator:
-                names = batch.schema.names
-                extra = [(name, code) for name, code in (("xt", "i"), ("xr", "i"), ("an", "f")) if name in names]
-                for row in batch.to_pylist():
-                    tags = {n.upper().encode(): n.upper().encode() + c.encode() + struct.pack("<" + c, row[n]) for n, c in extra if row[n] is not None}
-                    raw = patched(row["raw"], row["new_tid"], row["new_mate"], tags)
-                    out.write(struct.pack("<i", len(raw)) + raw)
-            out.flush()
-        return Part(number, path)
-
-    def commit(self, messages: list[Part | None]) -> None:
-        parts = sorted((m for m in messages if m is not None), key=lambda m: m.number)
-        with open(f"{self.path}.{self.run}", "wb") as f:
-            for path in [self.head, *(p.path for p in parts)]:
-                with open(path, "rb") as part:
-                    shutil.copyfileobj(part, f, 1 << 22)
-            f.write(END_OF_FILE)
-        os.replace(f"{self.path}.{self.run}", self.path)
-        for path in [self.head, *(p.path for p in parts)]:
-            os.remove(path)
-
-    def abort(self, messages: list[Part | None]) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
-
-
 class BamDataSource(DataSource):
-    """spark.read.format("bam").option("paths", "a.bam\\nb.bam").load(); option raw keeps each record's own bytes. Files must
-    be visible to the executors. Writing takes rows (raw, new_tid, new_mate and tags) and the option head, a file that holds
-    the header's blocks; see sinks.write_bam."""
+    """spark.read.format("bam").option("files", described(places)).load() gives RECORD; option raw keeps each record's own
+    bytes. Tasks open the files by pyarrow's file systems."""
 
     @classmethod
     def name(cls) -> str:
         return "bam"
 
     def schema(self) -> str:
-        return ALIGNMENT
+        return RECORD
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        paths = self.options.get("paths") or self.options.get("path", "")
-        return _Reader([p for p in paths.split("\n") if p], self.options.get("raw", "false") == "true", int(self.options.get("split", SPLIT)))
+        return _Reader([Place(**x) for x in json.loads(self.options["files"])], self.options.get("raw", "false") == "true", int(self.options.get("split", SPLIT)))
+
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], self.options["head"])
+def described(files: list[Place]) -> str:
+    return json.dumps([asdict(f) for f in files])

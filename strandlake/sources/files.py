@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.schema import ALIGNMENT
-from strandlake.sources.bam import BamDataSource, read_header
+from strandlake.sources.bam import SPLIT, BamDataSource, described
+from strandlake.sources.headers import InputFile, Inputs, open_inputs
+from strandlake.sources.store import open_lines
 
 
 def _reference_bases(cigar: Column) -> Column:
@@ -22,67 +26,76 @@ def _tag(name: str) -> Column:
     return F.when(value != "", value.cast("int"))
 
 
-def sam_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line_no, value): header lines; compressed files are read by their suffix."""
-    lines = spark.read.text(path).where(F.col("value").startswith("@"))
-    return lines.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
-
-
-def sam_references(spark: SparkSession, path: str) -> DataFrame:
-    """(file, tid, rname, ref_len) from the @SQ lines; tid counts a file's lines from 0."""
-    sq = sam_header(spark, path).where(F.col("value").startswith("@SQ"))
-    sq = sq.select("file", "line_no", F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("rname"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("long").alias("ref_len"))
-    return sq.withColumn("tid", F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1).select("file", "tid", "rname", "ref_len")
-
-
-def sort_order(spark: SparkSession, path: str) -> DataFrame:
-    """(file, so, go, ss) of the @HD lines."""
-    hd = sam_header(spark, path).where(F.col("value").startswith("@HD"))
-    part = lambda k: F.nullif(F.regexp_extract("value", rf"\t{k}:([^\t]+)", 1), F.lit("")).alias(k.lower())
-    return hd.select("file", part("SO"), part("GO"), part("SS"))
-
-
-def read_sam(spark: SparkSession, path: str | list[str], raw: bool = False) -> DataFrame:
-    """Alignments of one or more SAM files (path may be a pattern). Order within a file is that of the lines."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), "value").where(~F.col("value").startswith("@") & (F.col("value") != ""))
+def _packed_lines(spark: SparkSession, files: list[InputFile]) -> DataFrame:
+    """(file_no, ord, value) of text whose name doesn't tell whether it is gzip; one task a file."""
+    schema = pa.schema([("file_no", pa.int32()), ("ord", pa.int64()), ("value", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open_lines(path) as f:
+                    at = 0
+                    while lines := f.readlines(4 << 20):
+                        value = pa.array([x.rstrip(b"\r\n").decode(errors="replace") for x in lines])
+                        yield pa.RecordBatch.from_arrays([pa.array([number] * len(lines), pa.int32()), pa.array(range(at, at + len(lines)), pa.int64()), value], schema=schema)
+                        at += len(lines)
+
+    rows = spark.createDataFrame([(f.number, f.path) for f in files], "file_no int, path string").repartition(len(files), "file_no")
+    return rows.mapInArrow(run, "file_no int, ord long, value string")
+
+
+def _lines(inputs: Inputs, files: list[InputFile]) -> DataFrame:
+    """(file, file_no, ord, value) of text files; order within a file is that of the lines."""
+    spark = inputs.spark
+    plain, packed = [f for f in files if f.by_spark], [f for f in files if not f.by_spark]
+    parts = []
+    if plain:
+        text = spark.read.text([f.path for f in plain]).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("ord"), "value")
+        if len(plain) == 1:
+            text = text.withColumn("file_no", F.lit(plain[0].number))
+        else:
+            text = text.join(F.broadcast(spark.createDataFrame([(f.path, f.number) for f in plain], "path string, file_no int")), "path")
+        parts.append(text.select("file_no", "ord", "value"))
+    if packed:
+        parts.append(_packed_lines(spark, packed))
+    # a header line is null before it goes, so that no filter can be put before it that reads it as a record
+    record = F.when(~F.col("value").startswith("@") & (F.col("value") != ""), F.col("value"))
+    return reduce(DataFrame.union, parts).join(inputs.paths(), "file_no").select("file", "file_no", "ord", record.alias("value")).where(F.col("value").isNotNull())
+
+
+def read_sam(inputs: Inputs, files: list[InputFile], raw: bool = False) -> DataFrame:
+    """Alignments of SAM files."""
     f = F.split("value", "\t")
     get = lambda i: F.get(f, F.lit(i))
     seq = F.when(get(9) == "*", "").otherwise(get(9))
     pos = get(3).cast("long") - 1
     cigar = _reference_bases(get(5))
     rname = F.nullif(get(2), F.lit("*"))
-    out = lines.select(
-        "file", "ord", get(0).alias("qname"), get(1).cast("int").alias("flag"), rname.alias("rname"), pos.alias("pos"), (pos + F.greatest(cigar, F.lit(1))).alias("end_pos"),
+    out = _lines(inputs, files).select(
+        "file", "file_no", "ord", get(0).alias("qname"), get(1).cast("int").alias("flag"), rname.alias("rname"), pos.alias("pos"), (pos + F.greatest(cigar, F.lit(1))).alias("end_pos"),
         F.length(seq).cast("int").alias("qlen"), seq.alias("seq"), _tag("NM").alias("nm"), _tag("AS").alias("as_score"), _tag("XT").alias("xt"), _tag("XR").alias("xr"),
         F.when(get(6) == "=", rname).otherwise(F.nullif(get(6), F.lit("*"))).alias("mate_name"), (F.encode("value", "UTF-8") if raw else F.lit(None).cast("binary")).alias("raw"),
     )
-    refs = sam_references(spark, path)
-    mates = refs.select("file", F.col("rname").alias("mate_name"), F.col("tid").alias("mate"))
-    out = out.join(refs, ["file", "rname"], "left").join(mates, ["file", "mate_name"], "left")
-    out = out.withColumns({"tid": F.coalesce("tid", F.lit(-1)), "mate": F.coalesce("mate", F.lit(-1))})
-    return out.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in ALIGNMENT.split(", ")])
-
-
-def read_alignments(spark: SparkSession, path: str | list[str], raw: bool = False) -> DataFrame:
-    """SAM text or BAM files, by suffix; all files of a kind are one scan. raw keeps each record's own bytes."""
-    paths = [path] if isinstance(path, str) else list(path)
-    bams, rest = [p for p in paths if p.endswith(".bam")], [p for p in paths if not p.endswith(".bam")]
-    out = [read_sam(spark, rest, raw)] if rest else []
-    if bams:
-        spark.dataSource.register(BamDataSource)
-        out.append(spark.read.format("bam").option("paths", "\n".join(bams)).option("raw", str(raw).lower()).load())
-    return reduce(DataFrame.unionByName, out)
-
-
-def header_lines(spark: SparkSession, path: str) -> list[str]:
-    """The header of a SAM or BAM file; it is as large as its reference dictionary."""
-    if path.endswith(".bam"):
-        head = read_header(path)
-        lines = [x for x in head.text.split("\n") if x]
-        if not any(x.startswith("@SQ") for x in lines):
-            lines += [f"@SQ\tSN:{n}\tLN:{size}" for n, size in zip(head.names, head.lengths, strict=True)]
-        return lines
-    return [r["value"] for r in sam_header(spark, path).orderBy("line_no").collect()]
+    refs = inputs.names()
+    mates = refs.select("file_no", F.col("rname").alias("mate_name"), F.col("tid").alias("mate"))
+    out = out.join(refs, ["file_no", "rname"], "left").join(mates, ["file_no", "mate_name"], "left")
+    return out.withColumns({"tid": F.coalesce("tid", F.lit(-1)), "mate": F.coalesce("mate", F.lit(-1))})
+
+
+def read_bam(inputs: Inputs, files: list[InputFile], raw: bool = False, split: int = SPLIT) -> DataFrame:
+    """Alignments of BAM files, in ranges of split bytes; names and lengths of references come from the inputs' table."""
+    inputs.spark.dataSource.register(BamDataSource)
+    records = inputs.spark.read.format("bam").option("files", described([f.where for f in files])).option("raw", str(raw).lower()).option("split", split).load()
+    return records.join(inputs.names().select("ref", "rname", "ref_len"), "ref", "left")
+
+
+def read_alignments(spark: SparkSession, paths: str | list[str] | Inputs, raw: bool = False, split: int = SPLIT) -> DataFrame:
+    """SAM text or BAM files, told apart by what they hold; all files of a kind are one scan. raw keeps each record's own
+    bytes. Within a file tid counts its own references; ref tells references of all files apart."""
+    inputs = paths if isinstance(paths, Inputs) else open_inputs(spark, paths)
+    bams, rest = [f for f in inputs.files if f.is_bam], [f for f in inputs.files if not f.is_bam]
+    out = ([read_sam(inputs, rest, raw)] if rest else []) + ([read_bam(inputs, bams, raw, split)] if bams else [])
+    return reduce(DataFrame.union, (df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in ALIGNMENT.split(", ")]) for df in out))
 
 
 def file_list(spark: SparkSession, path: str) -> list[str]:

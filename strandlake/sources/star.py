@@ -38,6 +38,17 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("ord", "qname", "flag", "tid", "ref_len", "pos", (F.col("pos") + F.least(F.col("qlen"), F.col("ref_len") - F.col("pos"))).alias("end_pos"), "qlen", "nm", "as_score", F.substr("dna", F.lit(1), F.col("qlen").cast("int")).alias("seq"))
 
 
+def two_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(alignments, references) as of two files: odd reads are in the second, which numbers its references backwards."""
+    many = reference(spark, sf_dir).agg(F.count("*").alias("many"))
+    turned = lambda no, tid: F.when(no == 0, tid).otherwise(F.col("many") - tid)
+    ref = F.shiftleft(F.col("file_no").cast("long"), 32) + F.col("tid")
+    alns = alignments(spark, sf_dir).withColumn("file_no", (F.col("qname") % 2).cast("int")).join(many)
+    alns = alns.withColumn("tid", turned(F.col("file_no"), F.col("tid"))).drop("many").withColumn("ref", ref)
+    refs = reference(spark, sf_dir).join(many).withColumn("file_no", F.explode(F.array(F.lit(0), F.lit(1))))
+    return alns, refs.withColumn("tid", turned(F.col("file_no"), F.col("tid"))).drop("many").withColumn("ref", ref)
+
+
 def taxnode(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (_table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
     species = s.select((100000 + F.col("s_suppkey")).alias("taxid"), (1000 + F.col("s_nationkey").cast("long")).alias("parent"), F.lit("species").alias("rank"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +187,59 @@ def test_kmer_counts_against_sets(spark, monkeypatch):
     assert sequence.kmer_counts(df.limit(0), ["tid"], 4).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 8, 17, 21, 31])
+def test_kmer_codes_by_doubling(k):
+    """The same codes as base by base; first bases, most k-mers a row, other bases and short sequences."""
+    rng = random.Random(k)
+    seqs = [None, "", "A", "acgt"] + ["".join(rng.choice("ACGTacgtN" if i % 3 else "ACGT") for _ in range(rng.randrange(80))) for i in range(40)]
+    for longest, most in ((255, 1 << 30), (40, 7)):
+        want = []
+        for i, s in enumerate(seqs):
+            s = (s or "").upper()[:longest]
+            for j in range(min(most, max(0, len(s) - k + 1))):
+                w = s[j : j + k]
+                number = lambda x: int("".join(str("ACGT".index(c)) for c in x), 4)
+                want.append((i, -1 if "N" in w else min(number(w), number(w.translate(str.maketrans("ACGT", "TGCA"))[::-1]))))
+        row, code = kmer_codes(pa.array(seqs), k, longest, most)
+        assert list(zip(row.tolist(), code.tolist(), strict=True)) == want
+
+
+def test_kmers_of_a_large_lot(spark, monkeypatch):
+    """Lots of twenty times what a worker may hold are counted part by part, within that bound."""
+    monkeypatch.setattr(sequence, "COMBINED", 3000)
+    rng = random.Random(8)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(255)) for _ in range(1500)]
+    df = spark.createDataFrame([(i % 2, s) for i, s in enumerate(seqs)] + [(0, seqs[0])] * 40, "tid int, seq string")
+    total = sequence.kmer_total(df, 17, 255, 1 << 30)
+    lots = sequence.LOTS * 4
+    held = total // lots // 20
+    got = {r["tid"]: (r["distinct_kmers"], r["total_kmers"]) for r in sequence.kmer_counts(df, ["tid"], 17, held=held).collect()}
+    assert total == 1540 * 239 and got == {r["tid"]: (r["distinct_kmers"], r["total_kmers"]) for r in sequence.kmer_counts(df, ["tid"], 17).collect()}
+    codes = [kmer_codes(pa.array([s]), 17, 255, 1 << 30)[1].tolist() for s in seqs]
+    assert got == {t: (len({c for x in codes[t::2] for c in x}), n * 239) for t, n in ((0, 790), (1, 750))}
+    # the same pieces through the counter of a worker
+    held_rows = [([np.zeros(1, np.int64)], *kmer_codes(pa.array([s]), 17, 255, 1 << 30)) for s in seqs]
+    pieces = sorted((x for at in range(0, 1500, 12) for x in sequence.dealt_kmers(held_rows[at : at + 12], 17, 4, 20)), key=lambda x: x[:2])
+    counter, bound, seen = sequence.Counter(1, 17, 2 * (1500 * 239 // 80)), 2 * (1500 * 239 // 80), 0
+    for i, (lot, part, raw) in enumerate(pieces):
+        if i and pieces[i - 1][:2] != (lot, part):
+            seen += int(counter.taken()[1].sum())
+        counter.add(raw)
+    assert seen + int(counter.taken()[1].sum()) == len({x for _, _, c in held_rows for x in c.tolist()}) and counter.largest <= bound + 3000
+
+
+def test_deep_tree(spark):
+    """A chain of a thousand nodes, a circle, a parent that is no node, roots: in a number of rounds that grows with the logarithm."""
+    rows = [(i, i + 1, "clade") for i in range(1, 1000)] + [(1000, 2000, "genus"), (2000, 2000, "domain"), (3000, 3001, "clade"), (3001, 3002, "clade"), (3002, 3000, "clade"), (3003, 3000, "x"), (4000, 4999, "clade"), (4001, 4000, "species"), (5000, 2000, "clade")]
+    nodes = spark.createDataFrame(rows, "taxid long, parent long, rank string")
+    at = lambda rank: {r["taxid"]: r["rank_taxid"] for r in taxonomy.climb(nodes.select("taxid").union(nodes.select("taxid")), nodes, rank).collect()}
+    genus, every = at("genus"), {r[0] for r in rows}
+    assert genus == {t: 1000 if t <= 1000 else t for t in every}
+    assert at("domain") == {t: t for t in every} and at("species") == {t: t for t in every}  # a root is nobody's ancestor
+    missing = taxonomy.climb(spark.createDataFrame([(7777,), (None,), (3,)], "taxid long"), nodes, "genus").collect()
+    assert [tuple(r) for r in missing] == [(3, 1000)]
+
+
 @pytest.mark.parametrize("by", ["tid", "first"])
 def test_numbers_of_references(spark, monkeypatch, by):
     monkeypatch.setattr(selection, "RANGE", 4)
