@@ -73,7 +73,8 @@ def dust(seq: Column) -> Column:
 
     @F.arrow_udf("int")
     def rounded(column: pa.Array) -> pa.Array:
-        return pa.array(np.floor(dust_scores(column) + 0.5).astype(np.int32))
+        distinct = column.fill_null("").dictionary_encode()  # a read's alignments repeat its sequence
+        return pa.array(np.floor(dust_scores(distinct.dictionary) + 0.5).astype(np.int32)).take(distinct.indices)
 
     return rounded.asNondeterministic()(seq)
 

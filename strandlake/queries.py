@@ -275,12 +275,14 @@ _KM = _FR + ", ke as (select tid, substr(seq, i::int, 17) as k from (select tid,
 
 @query(_KM + "select tid, count(distinct k) as distinct_kmers, count(*) as total_kmers from kc group by tid")
 def seq_kmers(s, d):
-    return kmer_counts(_first(s, d), ["tid"], 17, 255)
+    first = durable(_first(s, d), "reads")
+    return holding(kmer_counts(first, ["tid"], 17, 255), first)
 
 
 @query(_KM + "select tid, round(count(distinct k) / count(*), 6) as duplicity from kc group by tid")
 def seq_duplicity(s, d):
-    return reads.duplicity(_first(s, d), ["tid"], 17)
+    first = durable(_first(s, d), "reads")
+    return holding(reads.duplicity(first, ["tid"], 17), first)
 
 
 @query(_REF)
