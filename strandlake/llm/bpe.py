@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: What a worker remembers of encoded pre-tokens, and of pieces between spaces: bytes of keys, ids and dictionary entries.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 48 << 20
 CACHE_KEY_CHARS = 48
 #: Bytes that an entry takes beside its characters and ids.
 ENTRY_BYTES = 200
@@ -110,34 +110,44 @@ def merge_word(word: bytes, first: list[int], merges: dict[int, tuple[int, int]]
     return [x for x in ids if x >= 0]
 
 
-def remember(cache, key: str, packed: bytes) -> None:
-    cache.held += ENTRY_BYTES + len(key) + len(packed)
-    if cache.held > CACHE_BYTES:
-        cache.clear()
-        cache.held = ENTRY_BYTES + len(key) + len(packed)
-    cache[key] = packed
+class _Recent(dict):
+    """Keys to packed ids, in two generations of CACHE_BYTES / 2 each: a full one becomes the older, which is forgotten.
+    What is asked for again passes to the younger, so that frequent keys stay."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def keep(self, key: str, packed: bytes) -> bytes:
+        if len(key) <= CACHE_KEY_CHARS:
+            self.held += ENTRY_BYTES + len(key) + len(packed)
+            if self.held > CACHE_BYTES // 2:
+                self.older = dict(self)
+                self.clear()
+                self.held = ENTRY_BYTES + len(key) + len(packed)
+            self[key] = packed
+        return packed
 
 
-class _Words(dict):
-    """Pre-token to its packed ids, computed on first use; emptied when it holds CACHE_BYTES."""
+class _Words(_Recent):
+    """Pre-token to its packed ids, computed on first use."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
-        self.vocab, self.held = vocab, 0
+        self.vocab = vocab
 
     def __missing__(self, word: str) -> bytes:
-        packed = array("I", merge_word(word.encode(), self.vocab.first, self.vocab.merges)).tobytes()
-        if len(word) <= CACHE_KEY_CHARS:
-            remember(self, word, packed)
-        return packed
+        packed = self.older.get(word)
+        return self.keep(word, array("I", merge_word(word.encode(), self.vocab.first, self.vocab.merges)).tobytes() if packed is None else packed)
 
 
 class _Irregular(Exception):
     """A piece of a line that borders on further white space."""
 
 
-class _Pieces(dict):
-    """What stands between two single spaces, with lead before it, to its packed ids; bounded.
+class _Pieces(_Recent):
+    """What stands between two single spaces, with lead before it, to its packed ids.
 
     A pre-token never crosses from a visible character over one space to another: the space belongs to what follows.
     So such pieces can be encoded, and remembered, each for itself.
@@ -145,15 +155,13 @@ class _Pieces(dict):
 
     def __init__(self, lead: str, split, words: _Words):
         super().__init__()
-        self.lead, self.split, self.words, self.held = lead, split, words, 0
+        self.lead, self.split, self.words = lead, split, words
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Irregular
-        packed = b"".join(map(self.words.__getitem__, self.split(self.lead + piece)))
-        if len(piece) <= CACHE_KEY_CHARS:
-            remember(self, piece, packed)
-        return packed
+        packed = self.older.get(piece)
+        return self.keep(piece, b"".join(map(self.words.__getitem__, self.split(self.lead + piece))) if packed is None else packed)
 
 
 @dataclass
