@@ -2,14 +2,14 @@
 
 1. Each text becomes its set of word shingles, and a signature of COORDS coordinates (least value of each of COORDS
    hash functions over the set). Texts with equal sets are one class from here on.
-2. Classes are posted under each (coordinate, value). Two sets of Jaccard similarity 0.8 agree in MATCHES coordinates
-   or more but for a chance of about 5e-6, so (prefix principle) they meet among the COORDS - MATCHES + 1 rarest
+2. Classes are posted under each (coordinate, value). Two sets at the threshold agree in a number of coordinates,
+   matches, or more but for a chance of MISSED, so (prefix principle) they meet among the COORDS - matches + 1 rarest
    postings of each: postings are ordered by how many classes they hold, and only that prefix is kept. Frequent values,
    and with them long lists, drop out; a class whose prefix holds no shared posting is skipped altogether.
 3. Lists with the same classes count once. Classes whose longest list is a large one meet there first, in blocks that
    share a few representatives of the list: that connects large groups without comparing block with block.
 4. Then all lists whose classes are not all connected are merged: within a task, block against block, collisions of the
-   whole signatures are counted (one byte a coordinate). Links that span the pairs with MATCHES collisions or more
+   whole signatures are counted (one byte a coordinate). Links that span the pairs with that many collisions
    join the classes to families, and each class goes once, with its full set (64 bits a shingle), to its family, where
    the pairs are confirmed. A task returns links that span what it found, never all pairs: a group of copies gives as
    many rows as it has members. Full sets are made only of the texts that go to a family, in the task that sends them.
@@ -20,6 +20,7 @@ A link is 100 * intersection >= threshold * union of the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,8 @@ from strandlake.llm.spark_io import discard, durable, join_counted
 WIDTH = 5
 THRESHOLD = 80
 COORDS = 48
-MATCHES = 26
+#: The chance that two sets at the threshold agree in fewer coordinates than are asked for.
+MISSED = 1.5e-5
 REPRESENTATIVES = 8
 BLOCK = 1024
 PLACE = ["key", "i", "j", "block"]
@@ -42,6 +44,14 @@ _A = splitmix(COORDS, 101) | U(1)
 _B = splitmix(COORDS, 202)
 
 
+def least_matches(threshold: int) -> int:
+    """Coordinates in which two sets at the threshold agree but for a chance of MISSED: 26 at 80."""
+    p, below, m = threshold / 100, 0.0, 0
+    while m < COORDS and (below := below + comb(COORDS, m) * p**m * (1 - p) ** (COORDS - m)) <= MISSED:
+        m += 1
+    return max(1, m)
+
+
 def signatures(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """(texts, COORDS) 32-bit minima; every text here has a shingle."""
     out = np.empty((len(offs) - 1, COORDS), np.uint32)
@@ -106,7 +116,7 @@ def with_sets(rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return docs.join(mine, "id").select("id", "text", "to").mapInArrow(run, schema)
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, matches: int) -> DataFrame:
     """(key, id, n_shingles, sig, held): each class under the rarest of its postings that others share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +130,11 @@ def postings(classes: DataFrame) -> DataFrame:
     shared = every.join(held, "key")
     # a class's postings are COORDS at most
     mine = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("p"))
-    prefix = F.size("p") - (MATCHES - 1)  # COORDS - MATCHES + 1 places, less the COORDS - size(p) taken by unshared values
+    prefix = F.size("p") - (matches - 1)  # COORDS - matches + 1 places, less the COORDS - size(p) taken by unshared values
     return mine.where(prefix > 0).select("id", F.explode(F.slice("p", 1, prefix)).alias("p")).select("id", "p.key", "p.held")
 
 
-def span_block(ids: np.ndarray, component: np.ndarray, sig: np.ndarray, sets: list[bytes], left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+def span_block(ids: np.ndarray, component: np.ndarray, sig: np.ndarray, sets: list[bytes], left: np.ndarray, right: np.ndarray, threshold: int, matches: int) -> list[tuple[int, int]]:
     """Links that span what the pairs left x right of a block connect."""
     n = np.array([len(x) // 8 for x in sets])
     offs = np.concatenate([[0], np.cumsum(n)])
@@ -139,7 +149,7 @@ def span_block(ids: np.ndarray, component: np.ndarray, sig: np.ndarray, sets: li
         y = right[lo:hi]
         y = y[label[y] != label[x]]
         if len(y):
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= MATCHES]
+            y = y[(sig[y] == sig[x]).sum(axis=1) >= matches]
         if not len(y):
             continue
         flag[dense[offs[x] : offs[x + 1]]] = True
@@ -173,8 +183,8 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def colliding(rows: DataFrame) -> DataFrame:
-    """(a, b) from rows (key, i, j, block, id, short): links that span the pairs with MATCHES collisions or more.
+def colliding(rows: DataFrame, matches: int) -> DataFrame:
+    """(a, b) from rows (key, i, j, block, id, short): links that span the pairs with that many collisions or more.
 
     short has a byte of each coordinate. A block gives fewer links than it has rows.
     """
@@ -187,7 +197,7 @@ def colliding(rows: DataFrame) -> DataFrame:
             right = np.flatnonzero(block == g["j"].iloc[0])
             for x in np.flatnonzero(block == g["i"].iloc[0]).tolist():
                 y = right[label[right] != label[x]]
-                y = y[(sig[y] == sig[x]).sum(axis=1) >= MATCHES]
+                y = y[(sig[y] == sig[x]).sum(axis=1) >= matches]
                 old, one = np.unique(label[y], return_index=True)
                 if len(old):
                     found.append((np.full(len(one), ids[x]), ids[y[one]]))
@@ -209,7 +219,7 @@ def spanning_links(rows: DataFrame, threshold: int) -> DataFrame:
         # block -1: the list's representatives, which every block meets
         left, right = (np.arange(len(g)), np.arange(len(g))) if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
         sig = np.frombuffer(b"".join(g["short"]), np.uint8).reshape(-1, COORDS)
-        got = span_block(g["id"].to_numpy(), g["component"].to_numpy(), sig, g["shingles"].tolist(), left, right, threshold)
+        got = span_block(g["id"].to_numpy(), g["component"].to_numpy(), sig, g["shingles"].tolist(), left, right, threshold, least_matches(threshold))
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +260,7 @@ def near_links(posted: DataFrame, classes: DataFrame, docs: DataFrame, width: in
     placed = member.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     torn = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     rows = placed.join(torn, "key", "left_semi").select("key", "id", "blocks", block.alias("block"))
-    met = durable(colliding(_against_blocks(rows).join(short_signatures(classes), "id")), "met")
+    met = durable(colliding(_against_blocks(rows).join(short_signatures(classes), "id"), least_matches(threshold)), "met")
     family = durable(components(met, "a", "b"), "families").select(F.col("node").alias("id"), F.col("component").alias("key"))
     size = family.groupBy("key").agg(F.count("*").alias("n")).select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = _against_blocks(join_counted(family, size, ["key"], family.count()).select("key", "id", "blocks", block.alias("block")))
@@ -279,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sets: one class, whose representative is the least id
     classes = durable(worded.groupBy(*digest).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min_by("sig", "id").alias("sig")), "classes")
     single = classes.select(F.col("rep").alias("id"), "n_shingles", "sig")
-    posted = durable(postings(single.where("n_shingles > 3")), "postings")  # smaller sets can be linked to equal sets only
+    posted = durable(postings(single.where(100 * F.col("n_shingles") >= threshold * (F.col("n_shingles") + 1)), least_matches(threshold)), "postings")  # a smaller set is linked to equal ones only
     found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id is not null")
     found = found.join(posted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     comp = durable(components(near_links(posted, single, found, width, threshold), "a", "b"), "components")
