@@ -26,6 +26,16 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op2_bpe_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a tokenizer's tokens."""
+    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    history = token_rollup.bpe_history(table(tuned(spark), sf_dir, "documents"))
+    for name, changes in [*history, *history]:
+        rollup.commit(name, changes)
+    rollup.compact()
+    return rollup.totals()
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(table(tuned(spark), sf_dir, "pages"))
 
@@ -43,7 +53,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row by document that repeats an earlier passage: its spans, and the text without them."""
     docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
     spans = substring_dedup.durable(substring_dedup.repeated_spans(docs), "spans")
-    found = substring_dedup.cut(docs, spans, how="inner").join(spans, "doc_id")
+    found = substring_dedup.cut(docs, spans, how="inner", keep="spans")
     words = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["n_words"])
     return found.select("doc_id", F.size("spans").alias("n_spans"), words.alias("removed_words"), "spans", "text")
 

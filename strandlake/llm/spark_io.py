@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.shared import discard, durable, shared_dir  # noqa: F401
+
 #: Bytes and rows of one Arrow batch handed to a Python worker; a text longer than that is a batch of its own.
 ARROW_BYTES = 4 << 20
 ARROW_ROWS = 2000
@@ -32,39 +31,6 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.
-
-    Where that is unset, a session of one machine (tests) gets a temporary folder; a cluster gets an error, because its
-    executors would each write to a disk of their own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.durable_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that durable() wrote and that nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.durable_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 #: A join key with more than 1 / HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 #: Rows of one key that a task may have in any case.

@@ -7,13 +7,14 @@ Only words of the text itself count, so equal texts have equal cuts. Cuts thus d
 insertion they fall as before within a few words, and chunks have RADIUS + 1 words at least, but for those at either
 end of a text. Runs without a minimum (one word over and over) are cut every LONGEST words.
 
-Chunks are compared by a 96-bit digest of their words. The first occurrence by (document id, place) stays. Adjoining
-repeated chunks form a span; spans of MIN_WORDS words or more are removed, shorter ones are chance and stay.
+Chunks are compared by a 96-bit digest of their words. The first occurrence by (document id, digest of the text, place)
+stays. Adjoining repeated chunks form a span; spans of MIN_WORDS words or more are removed, shorter ones are chance and
+stay. Spans belong to a row: its id and a 64-bit digest of its text.
 
 Defined cases: null and empty texts have no chunks and stay as they are; a text that is one repetition becomes empty;
-repeated rows of one id count as one row's chunks each at the same place, so neither loses anything to the other; a null
-id sorts before all others; extra columns of any name pass unchanged; texts of any length are cut whole; an empty table
-gives an empty one.
+rows that repeat an id with another text are documents of their own, and so are several texts without id; equal rows are
+one row's chunks each at the same place, so neither loses anything to the other; a null id sorts before all others; extra
+columns of any name pass unchanged; texts of any length are cut whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.bytesets import Spans, U, mix, texts, word_hashes, words
@@ -63,8 +64,13 @@ def chunk_starts(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.repeat(at, pieces) + LONGEST * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
 
 
+def row_digest(text: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(text)
+
+
 def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d1, d2, id, at, n): digest, document, first word and number of words of each chunk."""
+    """(d1, d2, id, row, at, n): digest, row (its id and the digest of its text), first word and number of words of each chunk."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,42 +83,47 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 d = mix(_WORDS.hashes(h, start, end) + (end - start).astype(U))
                 d2 = mix(_WORDS.hashes(mix(h), start, end))
                 doc = np.searchsorted(w.offs, start, "right") - 1
-                ids = batch.column(0)[t.first : t.first + t.n].take(pa.array(doc))
+                ids, row = (batch.column(c)[t.first : t.first + t.n].take(pa.array(doc)) for c in (0, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d.view(np.int64)), pa.array((d2 >> U(32)).astype(np.uint32).view(np.int32)), ids, pa.array((start - w.offs[doc]).astype(np.int32)), pa.array((end - start).astype(np.int32))],
-                    ["d1", "d2", "id", "at", "n"],
+                    [pa.array(d.view(np.int64)), pa.array((d2 >> U(32)).astype(np.uint32).view(np.int32)), ids, row, pa.array((start - w.offs[doc]).astype(np.int32)), pa.array((end - start).astype(np.int32))],
+                    ["d1", "d2", "id", "row", "at", "n"],
                 )
 
-    return docs.where(docs[text_col].isNotNull()).select(docs[id_col], docs[text_col]).mapInArrow(run, f"d1 long, d2 int, id {kind}, at int, n int")
+    return docs.where(docs[text_col].isNotNull()).select(docs[id_col], docs[text_col], row_digest(docs[text_col])).mapInArrow(run, f"d1 long, d2 int, id {kind}, row long, at int, n int")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, spans): for each document with repeats its spans (start_word, n_words, first_id), in order.
+    """(id, row, spans): for each row with repeats its spans (start_word, n_words, first_id), in order; row as row_digest.
 
     Chunks are counted after map-side aggregation, so a digest that a third of the corpus holds is a few rows by then;
     the marks of such digests are joined back by broadcast, the others by a shuffle. Nothing is gathered beyond one document.
     """
     every = durable(chunks(docs, id_col, text_col), "chunks")
-    first = every.groupBy("d1", "d2").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.struct("id", "at")).alias("last"), F.count("*").alias("copies")).where("first != last")
+    first = every.groupBy("d1", "d2").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.max(F.struct("id", "row", "at")).alias("last"), F.count("*").alias("copies")).where("not first <=> last")
     first = first.select("d1", "d2", "first", F.col("copies").alias("n"))
-    marked = join_counted(every.withColumnRenamed("n", "words"), first, ["d1", "d2"], every.count()).where("struct(id, at) != first")
-    marked = marked.select("id", "at", F.col("words").alias("n"), F.col("first.id").alias("first_id")).distinct()
-    order = Window.partitionBy("id").orderBy("at")
+    marked = join_counted(every.withColumnRenamed("n", "words"), first, ["d1", "d2"], every.count()).where("not struct(id, row, at) <=> first")
+    marked = marked.select("id", "row", "at", F.col("words").alias("n"), F.col("first.id").alias("first_id")).distinct()
+    order = Window.partitionBy("id", "row").orderBy("at")
     run = F.sum(F.when(F.lag(F.col("at") + F.col("n")).over(order) == F.col("at"), 0).otherwise(1)).over(order)
-    spans = marked.withColumn("run", run).groupBy("id", "run").agg(F.min("at").alias("start_word"), F.sum("n").cast("int").alias("n_words"), F.min("first_id").alias("first_id"))
-    return spans.where(F.col("n_words") >= min_words).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words", "first_id"))).alias("spans")).withColumnRenamed("id", id_col)
+    spans = marked.withColumn("run", run).groupBy("id", "row", "run").agg(F.min("at").alias("start_word"), F.sum("n").cast("int").alias("n_words"), F.min("first_id").alias("first_id"))
+    return spans.where(F.col("n_words") >= min_words).groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words", "first_id"))).alias("spans")).withColumnRenamed("id", id_col)
 
 
-def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left") -> DataFrame:
+def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left", keep: str | None = None) -> DataFrame:
     """The documents with their spans removed from the text; with how='inner' only those that have any.
 
-    A span goes from its first word to the beginning of the word after it. Further columns of docs pass unchanged.
+    A span goes from its first word to the beginning of the word after it. Further columns of docs pass unchanged; the
+    spans come behind them in a column named keep, if one is named.
     """
-    names, own = docs.columns, uuid.uuid4().hex  # no column of docs is named like ours
-    marks = spans.select(F.col(id_col).alias(f"id_{own}"), F.col("spans.start_word").alias(f"from_{own}"), F.col("spans.n_words").alias(f"n_{own}"))
-    joined = docs.join(marks, docs[id_col].eqNullSafe(F.col(f"id_{own}")), how).drop(f"id_{own}")
+    own = uuid.uuid4().hex  # no column of docs is named like ours
+    marks = spans.select(F.col(id_col).alias(f"id_{own}"), F.col("row").alias(f"row_{own}"), *([F.col("spans").alias(f"spans_{own}")] if keep else []), F.col("spans.start_word").alias(f"from_{own}"), F.col("spans.n_words").alias(f"n_{own}"))
+    mine = docs[id_col].eqNullSafe(F.col(f"id_{own}")) & (row_digest(docs[text_col]) == F.col(f"row_{own}"))
+    joined = docs.join(marks, mine, how).drop(f"id_{own}", f"row_{own}")
+    if keep:
+        joined = joined.withColumnRenamed(f"spans_{own}", keep).select(*docs.columns, keep, f"from_{own}", f"n_{own}")
+    names = joined.columns[:-2]
     place = names.index(text_col)
-    kinds = docs.schema
+    kinds = joined.select(names).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,7 +3,9 @@
 A batch of changes is rolled up to one row by group (sum of signed documents and tokens), written under a name of its
 own, and committed by one row in the log. Totals are the sum over committed batches. A batch id that is in the log is
 not applied again, and a write that never reached the log is not read, so a batch may be sent any number of times.
-compact() adds the committed batches up under one log entry that covers them; their ids stay known.
+compact() adds the committed batches up under one log entry that covers them; their ids stay known. Compactions may run
+at once: each lists the batches that it covers, and where two cover the same batch only one of them counts, so that every
+batch counts once. A batch that two writers log at once counts once, too.
 
 Changes are rows (op, source, lang, tokenizer, n_tokens, old_tokens): 'insert' adds a document, 'delete' takes one
 away, 'revise' replaces old_tokens by n_tokens. Tokenizer names a tokenizer's version: bpe_changes() counts by a
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.bpe import encode_documents
-from strandlake.llm.spark_io import durable, join_counted
+from strandlake.llm.spark_io import durable, join_counted, shared_dir
 
 GROUP = ["source", "lang", "tokenizer"]
 DELTAS = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
@@ -52,9 +54,24 @@ class TokenRollup:
                 return None
             raise
 
+    def _batches(self, log: DataFrame) -> DataFrame:
+        """(batch_id, folder) of the batches, one folder each."""
+        return log.where("covers is null").groupBy("batch_id").agg(F.min("folder").alias("folder"))
+
+    def _compactions(self, log: DataFrame) -> DataFrame:
+        """(batch_id, folder, covers) of the compactions that count: those that for each batch they cover are the largest
+        that does, by the number of batches and then by name. No two of them cover the same batch."""
+        every = log.where("covers is not null")
+        one = every.join(every.groupBy("batch_id").agg(F.min("folder").alias("folder"), F.countDistinct("covers").alias("size")), ["batch_id", "folder"]).distinct()
+        best = one.groupBy("covers").agg(F.max_by("batch_id", F.struct("size", "batch_id")).alias("best"))
+        lost = one.join(best, "covers").where("batch_id != best").select("batch_id")
+        return one.join(lost, "batch_id", "left_anti").select("batch_id", "folder", "covers")
+
     def _active(self, log: DataFrame) -> DataFrame:
-        """(batch_id, folder) of the entries that no other covers."""
-        return log.select("batch_id", "folder").distinct().join(log.select(F.col("covers").alias("batch_id")).distinct(), "batch_id", "left_anti")
+        """(batch_id, folder) of the entries that make up the totals."""
+        compactions = self._compactions(log)
+        left = self._batches(log).join(compactions.select(F.col("covers").alias("batch_id")), "batch_id", "left_anti")
+        return left.unionByName(compactions.select("batch_id", "folder").distinct())
 
     def _deltas(self, log: DataFrame) -> DataFrame:
         """Rows of the active entries; what never reached the log is read over."""
@@ -86,13 +103,16 @@ class TokenRollup:
         entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/{name}")
 
     def compact(self) -> None:
-        """Adds up what is committed so far under one entry; batches that are committed meanwhile stay beside it."""
+        """Adds up what is committed so far under one entry; batches that are committed meanwhile stay beside it. The entry
+        is named after what it covers, so that two compactions of the same batches are one."""
         log = self._log()
         if log is None:
             return
         log = durable(log, "log")  # one state of it for sums and covers
         rows = self._deltas(log).groupBy(*GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-        self._write(f"compaction {uuid.uuid4().hex}", rows, self._active(log).select(F.col("batch_id").alias("covers")))
+        covered = self._batches(log).select(F.col("batch_id").alias("covers"))
+        n, x, y = covered.agg(F.count("*"), F.bit_xor(F.xxhash64("covers")), F.bit_xor(F.xxhash64("covers", F.lit(1)))).first()
+        self._write(f"compaction {n} {x} {y}", rows, covered)
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over the committed batches."""
@@ -107,6 +127,22 @@ def bpe_changes(docs: DataFrame, op: str, path: str | None = None, version: str
     return counted.select(F.lit(op).alias("op"), "g.source", "g.lang", F.lit(version).alias("tokenizer"), "n_tokens", F.lit(0).alias("old_tokens"))
 
 
+def bpe_history(docs: DataFrame, path: str | None = None, version: str = "byte_bpe_50k/1") -> list[tuple[str, DataFrame]]:
+    """The same of a tokenizer's counts: all documents; exact copies (of a smaller id) deleted; documents in which a line
+    comes again counted without its repeats. A text is encoded once, and once more without the lines that come again."""
+    group = F.struct("doc_id", "source", "lang").alias("g")
+    counted = encode_documents(docs.select(group, "text"), id_col="g", path=path)
+    base = durable(counted.select("g.*", "n_tokens", F.unhex("ids_sha256").alias("digest")), "counts")
+    first = base.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    placed = durable(join_counted(base, first, ["digest"], base.count()), "placed")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    once = docs.where(F.size(lines) != F.size(F.array_distinct(lines))).select(group, F.array_join(F.array_distinct(lines), "\n").alias("text"))
+    once = durable(encode_documents(once, id_col="g", path=path).select("g.doc_id", F.col("n_tokens").alias("once")).groupBy("doc_id").agg(F.min("once").alias("once")), "once")
+    again = placed.where("doc_id = first").dropDuplicates(["doc_id"]).join(once, "doc_id")
+    changes = lambda df, op, n, old: df.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer"), F.col(n).alias("n_tokens"), old.alias("old_tokens"))
+    return [("bpe", changes(base, "insert", "n_tokens", F.lit(0))), ("bpe copies", changes(placed.where("doc_id != first"), "delete", "n_tokens", F.lit(0))), ("bpe lines", changes(again, "revise", "once", F.col("n_tokens")))]
+
+
 def corpus_history(docs: DataFrame) -> list[tuple[str, DataFrame]]:
     """Batches of a corpus's life: counted by words; counted by terms too; exact copies deleted; lines that come again
     in a document no longer counted as words. Each text is read once; the batches work on its counts and digest."""

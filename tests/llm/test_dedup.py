@@ -237,3 +237,44 @@ def test_passages_against_brute_force(spark):
     for i, t in out:
         assert (t or "").lower().split() == want.get(i, []) and (t is None) == (i == 40)
     assert substring_dedup.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_passages_of_repeated_and_missing_ids(spark):
+    """Rows of one id with different texts, and several texts without id, lose nothing of their own."""
+    rng = random.Random(31)
+    own = [sentence(rng, 200) for _ in range(8)]
+    twice = f"{own[0]} {own[1]} {own[0]}"  # repeats itself
+    rows = [(None, twice), (None, own[2]), (5, f"{own[3]} {own[4]}"), (5, own[5]), (5, own[5]), (6, f"{own[4]} {own[6]}"), (6, own[7]), (5, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, row int")
+    out = substring_dedup.deduplicate(docs)
+    assert out.columns == docs.columns
+    texts = [r["text"] for r in out.collect()]
+    for k in (2, 3, 5, 7):
+        assert own[k] in " ".join(x or "" for x in texts)
+    assert texts.count(own[2]) == 1 and texts.count(own[5]) == 2 and texts.count(own[7]) == 1 and texts.count(None) == 2 and texts.count("") == 1
+    every = " ".join(x or "" for x in texts)
+    for k in (0, 1, 4, 6):  # the words of each stay once at least
+        assert all(w in every.split() for w in own[k].split())
+    spans = {r["doc_id"]: r["spans"] for r in substring_dedup.repeated_spans(docs).collect()}
+    assert set(spans) == {None, 6} and sum(s["n_words"] for s in spans[None]) > 170 and sum(s["n_words"] for s in spans[6]) > 170
+    assert sum(len((x or "").split()) for x in texts) == sum(len((t or "").split()) for _, t in rows) - sum(s["n_words"] for x in spans.values() for s in x)
+
+
+@pytest.mark.parametrize("threshold", [60, 80, 90])
+def test_minhash_thresholds(spark, threshold):
+    """All links are found at other thresholds too, of sets of any size down to the least that can be linked."""
+    rng = random.Random(threshold)
+    sets, texts = [], []
+    for size in (1, 2, 3, 4, 5, 9, 10, 12, 40, 60):
+        for _ in range(3):
+            base = rng.sample(range(10**6), size)
+            for lost in range(0, size // 2 + 1, max(1, size // 12)):
+                texts.append(" ".join(f"w{x}" for x in [*base[lost:], *rng.sample(range(10**6, 2 * 10**6), lost if lost % 2 else 0)]))
+            texts.append(" ".join(f"w{x}" for x in [*base, 7]))
+    for t in texts:
+        w = t.split()
+        sets.append(set(w))
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash_join.near_duplicates(docs, width=1, threshold=threshold).collect()}
+    assert got == union(range(len(sets)), links) and len(links) > 10

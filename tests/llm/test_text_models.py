@@ -316,6 +316,58 @@ def test_rollup_compaction(spark, tmp_path):
     assert {tuple(x) for x in r.totals().collect()} == {("s", "en", "v1", 5, 56)} and r.committed("b0")
 
 
+def test_compactions_at_once(spark, tmp_path):
+    """From one state of the log, or from overlapping ones, every batch counts once."""
+    changes = lambda *n: spark.createDataFrame([("insert", "a", "en", "w/1", x, 0) for x in n], "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
+    total = lambda r: [tuple(x)[3:] for x in r.totals().collect()]
+    one, two, three = (token_rollup.TokenRollup(spark, f"file://{tmp_path}/r") for _ in range(3))
+    one.commit("x", changes(3))
+    one.commit("y", changes(4, 5))
+    early = token_rollup.durable(one._log(), "state")
+    one.commit("z", changes(10))
+    late = token_rollup.durable(one._log(), "state")
+    assert total(one) == [(4, 22)]
+    two._log, three._log = lambda: early, lambda: late
+    for r in (two, two, three, two):  # the same compaction again, a larger one, and the first once more
+        r.compact()
+        assert total(one) == [(4, 22)]
+    assert not one.commit("y", changes(4, 5)) and one.commit("w", changes(1)) and total(one) == [(5, 23)]
+    one.compact()
+    assert total(one) == [(5, 23)] and one._active(one._log()).count() == 1
+    again = token_rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    again.committed = lambda batch_id: False  # another writer of a batch that is there
+    again.commit("v", changes(2))
+    again.spark.createDataFrame([("v", "data/elsewhere", None)], "batch_id string, folder string, covers string").write.parquet(f"file://{tmp_path}/r/log/other")
+    assert total(one) == [(6, 25)]
+
+
+def test_rollup_of_a_corpus_by_tokenizer(spark):
+    """Against the library: copies out, repeated lines not counted."""
+    from tokenizers import Tokenizer
+
+    from strandlake.llm.bpe import default_path
+
+    docs = spark.createDataFrame([(1, "one two\none two\nthree", "a", "en"), (2, "one two\none two\nthree", "a", "en"), (3, "four", None, "en"), (4, None, None, None), (5, "", "a", "en"), (6, "x\nx", "a", "en")], "doc_id long, text string, source string, lang string")
+    rollup = token_rollup.TokenRollup(spark, f"{token_rollup.shared_dir(spark)}/rollup-{token_rollup.uuid.uuid4().hex}")
+    for name, changes in 2 * token_rollup.bpe_history(docs):
+        rollup.commit(name, changes)
+    n = lambda t: len(Tokenizer.from_file(default_path()).encode(t, add_special_tokens=False).ids)
+    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()}
+    assert got == {("a", "en"): (2, n("one two\nthree") + n("x")), (None, "en"): (1, n("four")), (None, None): (1, 0)}
+    whole = {tuple(r)[:3]: tuple(r)[3:] for r in queries.op2_bpe_rollup(spark, "/root/testdata/sf0.001").collect()}
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    want, seen, count = {}, set(), Tokenizer.from_file(default_path())
+    for r in table:
+        text = r["text"] or ""
+        group = want.setdefault((r["source"], r["lang"], "byte_bpe_50k/1"), [0, 0])
+        if text in seen:
+            continue
+        seen.add(text)
+        group[0] += 1
+        group[1] += len(count.encode("\n".join(dict.fromkeys(text.split("\n"))), add_special_tokens=False).ids)
+    assert whole == {k: tuple(v) for k, v in want.items()}
+
+
 def test_rollup_of_bpe_tokens(spark, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
