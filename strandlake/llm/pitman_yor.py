@@ -19,9 +19,12 @@ seatings.
 
 On Spark: each occurrence goes, once, to a group of about GROUP occurrences that holds a share of the last words of
 contexts: whole subtrees of restaurants, as packed arrays, written as a bucketed table, so that both rounds read it
-without a shuffle. A last word with more occurrences than half a group is split by the dish. Round one seats each group's
-customers; tables are then summed over groups by dish, customers and tables by context for the split words, and go back
-to the groups that asked. The restaurant without context depends on a dish by its customers only, so its seating is
+without a shuffle. A last word with more occurrences than half a group is split by the dish, and a pair of such a word
+and a dish with as many is split further by the word before it, and if all three have as many, by occurrence: customers
+of one part share no table with those of another, and parts know of each other by their sums. Round one seats each group's customers; tables are then summed over
+groups by dish, customers and tables by context for the split words, and go back to the groups that asked. The sums of
+the HOT most frequent words are packed arrays that tasks add up and that are broadcast, for they go to nearly all groups;
+the sums of the others are rows. The restaurant without context depends on a dish by its customers only, so its seating is
 sampled from the histogram of customers. Round two seats again, with the others' sums, and scores all occurrences,
 training or not. No part of the counts is dropped: what is gathered grows with the texts.
 
@@ -56,6 +59,8 @@ SLICE = 4 << 20
 #: Bytes of text looked at for the words whose numbers stand for them in the packed arrays, and how many those are.
 LOOK = 48 << 20
 HOT = 1 << 19
+#: Words of one packed array of sums.
+CHUNK = 1 << 13
 #: Customers up to which all Stirling numbers are tabulated, and tables up to which they are known at all.
 EXACT = 256
 WINDOW = 1024
@@ -273,7 +278,8 @@ class Subtrees:
         self.context = second[context], first[context]
         self.c2 = np.bincount(self.of, train, len(triple)).astype(np.int64)
         self.people2, self.more_people2, self.more_tables2 = np.bincount(self.room, self.c2, len(context)), 0, 0
-        self.more_people1, self.more_tables1 = 0, 0
+        self.more_people1, self.more_tables1, self.more_c1, self.more_t1 = 0, 0, 0, 0
+        self.more_c2, self.more_t2 = 0, 0
         self.t2 = np.minimum(self.c2, 1)
         self._count()
         self.t1 = np.minimum(self.c1, 1)
@@ -291,9 +297,9 @@ class Subtrees:
     def probabilities(self, root: np.ndarray, levels) -> tuple[np.ndarray, np.ndarray]:
         """Predictive probability of each pair and each triple; root: of each word."""
         people, tables = self.rooms1()
-        p1 = predictive(self.c1, self.t1, people[self.first], tables[self.first], root[self.dish], *levels[1])
+        p1 = predictive(self.c1 + self.more_c1, self.t1 + self.more_t1, people[self.first], tables[self.first], root[self.dish], *levels[1])
         people, tables = self.rooms2()
-        return p1, predictive(self.c2, self.t2, people[self.room], tables[self.room], p1[self.parent], *levels[2])
+        return p1, predictive(self.c2 + self.more_c2, self.t2 + self.more_t2, people[self.room], tables[self.room], p1[self.parent], *levels[2])
 
     def sweep(self, root: np.ndarray, levels, rng: np.random.Generator) -> None:
         """All customers of the longer contexts, then of the shorter."""
@@ -315,6 +321,12 @@ class Subtrees:
         second, first = self.context
         return mix(self.hashes ^ _FAR[1]), mix(mix(self.hashes[second] ^ _FAR[2]) + self.hashes[first])
 
+    def pair_keys(self) -> np.ndarray:
+        return pair_key(self.hashes[self.first], self.hashes[self.dish])
+
+    def triple_keys(self) -> np.ndarray:
+        return triple_key(self.hashes[self.context[0]][self.room], self.pair_keys()[self.parent])
+
     def seating(self) -> list[tuple[int, int, int, int, int]]:
         """(level, kind, a, b, n), as sample_level takes them."""
         out = []
@@ -325,6 +337,14 @@ class Subtrees:
         return out
 
 
+def pair_key(first: np.ndarray, dish: np.ndarray) -> np.ndarray:
+    return mix(mix(first ^ _FAR[0]) + dish)
+
+
+def triple_key(second: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    return mix(mix(second ^ _FAR[2]) + pair)
+
+
 def lines(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of texts, ends included, and their offsets by text."""
     w = words(t)
@@ -347,6 +367,34 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def count_runs(docs: DataFrame, split: np.ndarray) -> DataFrame:
+    """(h, n): the keys of pairs of neighbours whose first word is in split, and of those with the word before them, with
+    their occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in texts(batch.column(0), SLICE):
+                line, offs = lines(t)
+                one, two = before(line, offs, END)
+                at = np.flatnonzero(np.isin(one, split))
+                pair = pair_key(one[at], line[at])
+                h, n = np.unique(np.append(pair, triple_key(two[at], pair)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def before(line: np.ndarray, offs: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each token of the texts and the one before that; a text begins after two ends."""
+    n = np.diff(offs)
+    one = np.append(end, line[:-1])[: len(line)].astype(line.dtype)
+    two = np.append(np.array([end, end], line.dtype), line[:-2])[: len(line)]
+    one[offs[:-1]] = end
+    two[offs[:-1][n > 1] + 1] = end
+    two[offs[:-1]] = end
+    return one, two
+
+
 def pack(arrays: list[np.ndarray]) -> bytes:
     """Unsigned numbers of several arrays, each in the least width that holds it, compressed together."""
     parts, head = [], [len(arrays)]
@@ -369,13 +417,51 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def dealt(docs: DataFrame, kind: str, groups: int, hot: np.ndarray, split: np.ndarray, shares: np.ndarray) -> DataFrame:
+def frequent_sums(table: DataFrame, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and customers of the many frequent words, by rank, from the groups' packed arrays (key: the array's number).
+
+    Tasks add up what they read, then few tasks what those found; the driver gets two numbers a frequent word.
+    """
+
+    def added(parts: Iterator[list[np.ndarray]]) -> np.ndarray:
+        out = np.zeros((2, CHUNK), np.int64)
+        for rank, x, y in parts:
+            at = np.cumsum(rank.astype(np.int64))
+            out[0, at] += x.astype(np.int64)
+            out[1, at] += y.astype(np.int64)
+        return out
+
+    def repacked(sums: np.ndarray) -> bytes:
+        at = np.flatnonzero(sums.any(axis=0))
+        return pack([np.diff(at, prepend=0), *sums[:, at]])
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held[key] = held.get(key, 0) + added([unpack(raw.as_py())])
+        part = TaskContext.get().partitionId() % 64
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([part] * len(held), pa.int32()), pa.array([repacked(x) for x in held.values()], pa.binary())], ["key", "part", "data"])
+
+    def together(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        return pa.table({"key": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([repacked(added(unpack(x.as_py()) for x in group["data"]))], pa.binary())})
+
+    first = table.where("kind = 6").select("key", "data").mapInArrow(here, "key long, part int, data binary")
+    out = np.zeros((2, -(-max(1, many) // CHUNK) * CHUNK), np.int64)
+    for row in first.groupBy("key", "part").applyInArrow(together, "key long, data binary").groupBy("key").applyInArrow(together, "key long, data binary").collect():
+        out[:, row["key"] * CHUNK : (row["key"] + 1) * CHUNK] = added([unpack(bytes(row["data"]))])
+    return out[0, :many], out[1, :many]
+
+
+def dealt(docs: DataFrame, kind: str, groups: int, hot: np.ndarray, split: np.ndarray, shares: np.ndarray, pairs: np.ndarray, parts: np.ndarray) -> DataFrame:
     """(bucket, base, ids, data) from (id, text, train): the occurrences of a slice of texts by group, packed, and, with a
-    bucket below 0, the slice's ids with their numbers of tokens. hot: hashes by rank, split: sorted hashes."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot, split, shares))
+    bucket below 0, the slice's ids with their numbers of tokens. hot: hashes by rank, split and pairs: sorted hashes of
+    words and keys of pairs that are dealt to as many shares and parts."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, split, shares, pairs, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_, split_, shares_ = shared.value
+        hot_, split_, shares_, pairs_, parts_ = shared.value
         rank = np.argsort(hot_)
         known = hot_[rank]
         base = TaskContext.get().partitionId() << 33
@@ -394,10 +480,7 @@ def dealt(docs: DataFrame, kind: str, groups: int, hot: np.ndarray, split: np.nd
                 new[by_rank] = np.arange(len(names), dtype=np.int32)
                 names, code, number, few = names[by_rank], code[by_rank], new[number], int(is_hot.sum())
                 many, end = len(names), int(np.flatnonzero(names == END)[0])
-                one = np.concatenate([[end], number[:-1]]).astype(np.int32)
-                two = np.concatenate([[end, end], number[:-2]])[: len(line)].astype(np.int32)
-                two[offs[:-1][n > 1] + 1] = end
-                two[offs[:-1]] = end
+                one, two = before(number, offs, end)
                 mark = (2 * np.arange(t.n) + train[t.first : t.first + t.n]).astype(np.int32)
                 bucket = (mix(names) % U(groups)).astype(np.int64)[one]
                 if len(split_):
@@ -405,6 +488,17 @@ def dealt(docs: DataFrame, kind: str, groups: int, hot: np.ndarray, split: np.nd
                     wide = np.where(split_[at] == names, shares_[at], U(1))[one]
                     some = np.flatnonzero(wide > 1)
                     share = mix(line[some] ^ _FAR[3]) % wide[some]
+                    if len(pairs_):
+                        key = pair_key(names[one[some]], line[some])
+                        at = np.minimum(np.searchsorted(pairs_, key), len(pairs_) - 1)
+                        deep = np.flatnonzero(pairs_[at] == key)
+                        second = names[two[some[deep]]]
+                        part = U(1) + mix(second ^ _FAR[2]) % parts_[at[deep]]
+                        key = triple_key(second, key[deep])
+                        at = np.minimum(np.searchsorted(pairs_, key), len(pairs_) - 1)
+                        deeper = np.flatnonzero(pairs_[at] == key)
+                        part[deeper] += parts_.max() * (U(1) + mix(U(base) + some[deep[deeper]].astype(U) * _FAR[1]) % parts_[at[deeper]])
+                        share[deep] += shares_.max() * part
                     bucket[some] = (mix(names[one[some]] + share * _FAR[0]) % U(groups)).astype(np.int64)
                 order = np.argsort((bucket * many + one) * many + two)
                 bucket = bucket[order]
@@ -499,14 +593,20 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     wide = np.flatnonzero(n > GROUP / 2)
     wide = wide[np.argsort(hashes[wide])]
     split, shares = hashes[wide], (1 + n[wide] // (GROUP / 2)).astype(U)
-    shared = spark.sparkContext.broadcast((hot, split))
+    pairs, pair_parts = np.zeros(0, U), np.zeros(0, U)
+    if len(split):
+        often = count_runs(look, split).where(F.col("n") / share > GROUP / 2).toPandas()  # a few for each group
+        pairs, pair_parts = often["h"].to_numpy(np.int64).view(U), (1 + often["n"].to_numpy(np.int64) / share // (GROUP / 2)).astype(U)
+        order = np.argsort(pairs)
+        pairs, pair_parts = pairs[order], pair_parts[order]
+    shared = spark.sparkContext.broadcast((hot, split, pairs))
 
     def seat(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         bucket, none = key[0].as_py(), lambda m, k: pa.nulls(m, k)
         if bucket < 0:  # ids of slices go through
             many = len(group)
             return pa.table({"bucket": group["bucket"], "kind": pa.array(np.full(many, 3, np.int32)), "key": group["base"], "x": none(many, pa.int64()), "y": none(many, pa.int64()), "ids": group["ids"], "data": group["data"]})
-        hot_, split_ = shared.value
+        hot_, split_, pairs_ = shared.value
         held = Group.of(group["data"].to_pylist(), group["base"].to_numpy(), hot_)
         hashes, tree = held.hashes, held.tree()
         rng = np.random.default_rng([7, key[0].as_py()])
@@ -515,58 +615,73 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         here = np.unique(tree.dish)
         tables = np.bincount(tree.dish, tree.t1, len(hashes))[here].astype(np.int64)
         times = np.bincount(tree.dish[tree.parent], tree.c2, len(hashes))[here].astype(np.int64)
-        keys, x, y, kinds = [hashes[here]], [tables], [times], [np.zeros(len(here), np.int32)]
+        few = int(np.searchsorted(here, len(held.frequent)))  # of the frequent words, packed by rank
+        ranks, blobs = held.frequent[here[:few]], []
+        edge = np.searchsorted(ranks, np.arange(0, len(hot_) + CHUNK, CHUNK)).tolist()
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if a < b:
+                blobs.append((int(ranks[a]) // CHUNK, pack([np.diff(ranks[a:b] % CHUNK, prepend=0), tables[a:b], times[a:b]])))
+        keys, x, y, kinds = [hashes[here[few:]]], [tables[few:]], [times[few:]], [np.zeros(len(here) - few, np.int32)]
         short, long = tree.context_keys()
         for k, own, (people, seats) in ((short, np.isin(hashes, split_), tree.rooms1()), (long, np.isin(hashes[tree.context[1]], split_), tree.rooms2())):
             at = np.flatnonzero(own)
             for column, value in zip((keys, x, y, kinds), (k[at], people[at].astype(np.int64), seats[at].astype(np.int64), np.ones(len(at), np.int32)), strict=True):
                 column.append(value)
+        if len(pairs_):
+            for key, c, tables_ in ((tree.pair_keys(), tree.c1, tree.t1), (tree.triple_keys(), tree.c2, tree.t2)):
+                at = np.flatnonzero(np.isin(key, pairs_))
+                for column, value in zip((keys, x, y, kinds), (key[at], c[at], tables_[at].astype(np.int64), np.full(len(at), 5, np.int32)), strict=True):
+                    column.append(value)
         seen = np.array(tree.seating(), np.int64).reshape(-1, 5)
-        keys += [((seen[:, 0] * 3 + seen[:, 1]) << 48 | seen[:, 2] << 10 | seen[:, 3]).view(U), np.zeros(1, U)]
-        x += [seen[:, 4], np.zeros(1, np.int64)]
-        y.append(np.zeros(len(seen) + 1, np.int64))
-        kinds.append(np.append(np.full(len(seen), 2, np.int32), np.int32(4)))
+        keys += [((seen[:, 0] * 3 + seen[:, 1]) << 48 | seen[:, 2] << 10 | seen[:, 3]).view(U), np.array([k for k, _ in blobs], U), np.zeros(1, U)]
+        x += [seen[:, 4], np.zeros(len(blobs) + 1, np.int64)]
+        y.append(np.zeros(len(seen) + len(blobs) + 1, np.int64))
+        kinds.append(np.concatenate([np.full(len(seen), 2, np.int32), np.full(len(blobs), 6, np.int32), np.full(1, 4, np.int32)]))
         many = sum(map(len, keys))
-        data = pa.concat_arrays([none(many - 1, pa.binary()), pa.array([held.packed()], pa.binary())])
+        data = pa.concat_arrays([none(many - 1 - len(blobs), pa.binary()), pa.array([*(b for _, b in blobs), held.packed()], pa.binary())])
         return pa.table({"bucket": pa.array(np.full(many, bucket, np.int32)), "kind": np.concatenate(kinds), "key": np.concatenate(keys).view(np.int64), "x": np.concatenate(x), "y": np.concatenate(y), "ids": none(many, group.schema.field("ids").type), "data": data})
 
     # groups are written as a bucketed table: round two reads them without a shuffle
     name, path = f"occurrences_{uuid.uuid4().hex}", f"{shared_dir(spark)}/occurrences-{uuid.uuid4().hex}"
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seated = dealt(base, kind, groups, hot, split, shares).groupBy("bucket").applyInArrow(seat, f"bucket int, kind int, key long, x long, y long, ids array<{kind}>, data binary")
+    seated = dealt(base, kind, groups, hot, split, shares, pairs, pair_parts).groupBy("bucket").applyInArrow(seat, f"bucket int, kind int, key long, x long, y long, ids array<{kind}>, data binary")
     seated.write.option("path", path).bucketBy(files, "bucket").sortBy("bucket").saveAsTable(name)
     table = spark.table(name)
     table.durable_path = path
     # sums over groups come by one shuffle of a key's rows, of which there are no more than groups
-    seats = table.where("kind < 2").select("bucket", "kind", "key", "x", "y")
+    seats = table.where("kind in (0, 1, 5)").select("bucket", "kind", "key", "x", "y")
     of_key = Window.partitionBy("kind", "key")
     added = [F.sum(c).over(of_key).alias(f"all_{c}") for c in ("x", "y")]
     sums = durable(seats.select("*", *added, F.count("*").over(of_key).alias("many"), F.row_number().over(of_key.orderBy("bucket")).alias("nth")), "sums")
     words_ = sums.where("kind = 0 and nth = 1")
+    often_x, often_y = frequent_sums(table, len(hot))
     total, types = (int(x or 0) for x in words_.agg(F.sum("all_y"), F.count_if(F.col("all_y") > 0)).first())
+    total, types = total + int(often_y.sum()), types + int(np.count_nonzero(often_y))
     hist = words_.where("all_x > 0").groupBy(F.col("all_x").alias("x")).agg(F.count("*").alias("n")).toPandas()
+    rare_x, rare_n = hist["x"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
+    sizes, of_size = np.unique(often_x[often_x > 0], return_counts=True)
     seating = table.where("kind = 2").groupBy("key").agg(F.sum("x").alias("x")).collect()
     rng = np.random.default_rng(8)
-    root = Root(hist["x"].to_numpy(np.int64), hist["n"].to_numpy(np.int64), types, rng)
+    root = Root(np.append(rare_x, sizes), np.append(rare_n, of_size), types, rng)
     levels = [(root.discount, root.strength)]
     seen = [(r["key"] >> 48, r["key"] >> 10 & (1 << 38) - 1, r["key"] & 1023, r["x"]) for r in seating]
     for level in (1, 2):
         levels.append(sample_level([(k - 3 * level, a, b, n) for k, a, b, n in seen if k // 3 == level], *START[level], rng))
 
     others = lambda c: F.when(F.col("kind") == 0, F.col(f"all_{c}")).otherwise(F.col(f"all_{c}") - F.col(c))
-    # a word of one group only needs no answer: the group knows its customers
+    # a rare word of one group only needs no answer: the group knows its customers
     answers = sums.where("many > 1").select("bucket", "kind", "key", others("x"), others("y")).toDF("b", "word", "k", "x_", "y_")
-    final = spark.sparkContext.broadcast((root, levels))
+    final = spark.sparkContext.broadcast((root, levels, often_x, often_y))
 
     def rate(key: tuple[pa.Scalar, ...], group: pa.Table, told: pa.Table) -> pa.Table:
-        (hot_, _), (root_, levels_) = shared.value, final.value
+        (hot_, _, pairs_), (root_, levels_, often_x_, often_y_) = shared.value, final.value
         held = Group.unpacked(group["data"][0].as_py(), hot_)
         hashes, tree = held.hashes, held.tree()
         held.second = held.first = held.dish = np.zeros(0, np.int64)
         word, k, x, y = (told[n].to_numpy() for n in ("word", "k", "x_", "y_"))
 
-        def value(keys: np.ndarray, of_words: bool, column: np.ndarray) -> np.ndarray:
-            some = (word == 0) == of_words
+        def value(keys: np.ndarray, kind: int, column: np.ndarray) -> np.ndarray:
+            some = word == kind
             have = k[some].view(U)
             order = np.argsort(have)
             out = np.zeros(len(keys), column.dtype)
@@ -576,10 +691,15 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
             return out
 
         own = np.bincount(tree.dish, tree.t1, len(hashes)).astype(np.int64), np.bincount(tree.dish[tree.parent], tree.c2, len(hashes)).astype(np.int64)
-        told_ = value(hashes, True, np.ones(len(k), np.int64)) > 0
-        p0, count = root_.probability(np.where(told_, value(hashes, True, x), own[0])), np.where(told_, value(hashes, True, y), own[1])
+        few, rare = len(held.frequent), hashes[len(held.frequent) :]
+        told_ = value(rare, 0, np.ones(len(k), np.int64)) > 0
+        p0 = root_.probability(np.append(often_x_[held.frequent], np.where(told_, value(rare, 0, x), own[0][few:])))
+        count = np.append(often_y_[held.frequent], np.where(told_, value(rare, 0, y), own[1][few:]))
         short, long = tree.context_keys()
-        tree.more_people1, tree.more_tables1, tree.more_people2, tree.more_tables2 = value(short, False, x), value(short, False, y), value(long, False, x), value(long, False, y)
+        tree.more_people1, tree.more_tables1, tree.more_people2, tree.more_tables2 = value(short, 1, x), value(short, 1, y), value(long, 1, x), value(long, 1, y)
+        if len(pairs_):
+            one_, two_ = tree.pair_keys(), tree.triple_keys()
+            tree.more_c1, tree.more_t1, tree.more_c2, tree.more_t2 = value(one_, 5, x), value(one_, 5, y), value(two_, 5, x), value(two_, 5, y)
         rng_ = np.random.default_rng([9, key[0].as_py()])
         p = np.zeros(len(tree.parent))
         for sweep in range(SWEEPS + SAMPLES):

@@ -279,7 +279,23 @@ def test_language_model_groups(spark, monkeypatch):
     key = lambda df: sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), r["score"]) for r in df.collect())
     whole = key(pitman_yor.score(docs, docs["train"]))
     monkeypatch.setattr(pitman_yor, "GROUP", 700)
+    monkeypatch.setattr(pitman_yor, "CHUNK", 4)
+    largest = []
+    of = pitman_yor.dealt
+
+    def watched(*a):
+        out = of(*a)
+        n = lambda x: len(pitman_yor.unpack(bytes(x))[4])
+        sizes = {}
+        for r in out.where("bucket >= 0").collect():
+            sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + n(r["data"])
+        largest.append((max(sizes.values(), default=0), len(a[6])))
+        return out
+
+    monkeypatch.setattr(pitman_yor, "dealt", watched)
     parts = key(pitman_yor.score(docs, docs["train"]))
+    # 2,400 times "the river" and as many times "river the" are dealt to several groups
+    assert largest[0][1] >= 2 and largest[0][0] < 3000
     assert len(whole) == len(rows) and [x[:5] for x in whole] == [x[:5] for x in parts]
     assert sum(x[5] for x in parts) == pytest.approx(sum(x[5] for x in whole), rel=0.03)
     assert pitman_yor.score(docs.limit(0), docs["train"]).count() == 0
