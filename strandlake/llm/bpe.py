@@ -21,8 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: What a worker remembers of encoded pre-tokens, and of pieces between spaces: bytes of keys, ids and dictionary entries.
-CACHE_BYTES = 48 << 20
+#: What a worker remembers of encoded pre-tokens, and as much again of pieces between spaces and of those at the beginning
+#: of lines: bytes of keys, ids and dictionary entries.
+CACHE_BYTES = 128 << 20
 CACHE_KEY_CHARS = 48
 #: Bytes that an entry takes beside its characters and ids.
 ENTRY_BYTES = 200
@@ -139,7 +140,10 @@ class _Words(_Recent):
 
     def __missing__(self, word: str) -> bytes:
         packed = self.older.get(word)
-        return self.keep(word, array("I", merge_word(word.encode(), self.vocab.first, self.vocab.merges)).tobytes() if packed is None else packed)
+        return self.keep(word, self.merged(word) if packed is None else packed)
+
+    def merged(self, word: str) -> bytes:
+        return array("I", merge_word(word.encode(), self.vocab.first, self.vocab.merges)).tobytes()
 
 
 class _Irregular(Exception):
@@ -161,7 +165,13 @@ class _Pieces(_Recent):
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Irregular
         packed = self.older.get(piece)
-        return self.keep(piece, b"".join(map(self.words.__getitem__, self.split(self.lead + piece))) if packed is None else packed)
+        if packed is None:
+            words = self.split(self.lead + piece)
+            if len(words) == 1 and len(piece) <= CACHE_KEY_CHARS:  # remembered here, so not among the words too
+                packed = self.words.get(words[0]) or self.words.merged(words[0])
+            else:
+                packed = b"".join(map(self.words.__getitem__, words))
+        return self.keep(piece, packed)
 
 
 @dataclass
