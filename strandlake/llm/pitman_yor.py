@@ -24,7 +24,7 @@ and a dish with as many is split further by the word before it, and if all three
 of one part share no table with those of another, and parts know of each other by their sums. Round one seats each group's customers; tables are then summed over
 groups by dish, customers and tables by context for the split words, and go back to the groups that asked. The sums of
 the HOT most frequent words are packed arrays that tasks add up and that are broadcast, for they go to nearly all groups;
-the sums of the others are rows. The restaurant without context depends on a dish by its customers only, so its seating is
+those of the others go, packed, to ranges of hashes, where they are added up and sent back to groups that share a word. The restaurant without context depends on a dish by its customers only, so its seating is
 sampled from the histogram of customers. Round two seats again, with the others' sums, and scores all occurrences,
 training or not. No part of the counts is dropped: what is gathered grows with the texts.
 
@@ -61,6 +61,8 @@ LOOK = 48 << 20
 HOT = 1 << 19
 #: Words of one packed array of sums.
 CHUNK = 1 << 13
+#: Groups whose rarer words come to one range of hashes.
+RANGE_GROUPS = 16
 #: Customers up to which all Stirling numbers are tabulated, and tables up to which they are known at all.
 EXACT = 256
 WINDOW = 1024
@@ -417,6 +419,37 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash; ranges are in the order of hashes."""
+    return ((h >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+
+
+def range_sums(table: DataFrame) -> DataFrame:
+    """(bucket, key, x, y, data) of the rarer words, range by range: to each group the places (in its words of the range),
+    tables and customers of those that other groups have too, packed; and with bucket -1 the range's histogram: y words of
+    x tables, its customers (x = 0) and how many words have any (x = -1)."""
+
+    def together(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        parts = [unpack(x.as_py()) for x in group["data"]]
+        at = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+        words_, to = np.unique(np.concatenate([np.cumsum(p[0], dtype=U) for p in parts]), return_inverse=True)
+        x, y = (np.bincount(to, np.concatenate([p[k] for p in parts]), len(words_)).astype(np.int64) for k in (1, 2))
+        shared, data = np.bincount(to) > 1, []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            place = np.flatnonzero(shared[to[a:b]])
+            word = to[a:b][place]
+            data.append(pack([np.diff(place, prepend=0), x[word], y[word]]))
+        sizes, n = np.unique(x[x > 0], return_counts=True)
+        told = np.concatenate([sizes, [0, -1]]), np.concatenate([n, [y.sum(), np.count_nonzero(y)]])
+        many = len(sizes) + 2
+        return pa.table({
+            "bucket": pa.chunked_array([group["bucket"].combine_chunks().cast(pa.int32()), pa.array(np.full(many, -1, np.int32))]), "key": pa.array(np.full(len(parts) + many, key[0].as_py())),
+            "x": pa.array(np.append(np.zeros(len(parts), np.int64), told[0])), "y": pa.array(np.append(np.zeros(len(parts), np.int64), told[1].astype(np.int64))), "data": pa.array([*data, *[None] * many], pa.binary()),
+        })
+
+    return table.where("kind = 7").select("bucket", "key", "data").groupBy("key").applyInArrow(together, "bucket int, key long, x long, y long, data binary")
+
+
 def frequent_sums(table: DataFrame, many: int) -> tuple[np.ndarray, np.ndarray]:
     """Tables and customers of the many frequent words, by rank, from the groups' packed arrays (key: the array's number).
 
@@ -600,6 +633,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         order = np.argsort(pairs)
         pairs, pair_parts = pairs[order], pair_parts[order]
     shared = spark.sparkContext.broadcast((hot, split, pairs))
+    ranges = -(-groups // RANGE_GROUPS)
 
     def seat(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         bucket, none = key[0].as_py(), lambda m, k: pa.nulls(m, k)
@@ -621,7 +655,12 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if a < b:
                 blobs.append((int(ranks[a]) // CHUNK, pack([np.diff(ranks[a:b] % CHUNK, prepend=0), tables[a:b], times[a:b]])))
-        keys, x, y, kinds = [hashes[here[few:]]], [tables[few:]], [times[few:]], [np.zeros(len(here) - few, np.int32)]
+        frequent, rare = len(blobs), hashes[here[few:]]
+        edge = np.searchsorted(range_of(rare, ranges), np.arange(ranges + 1))
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            a, b = edge[k : k + 2].tolist()
+            blobs.append((k, pack([np.diff(rare[a:b], prepend=U(0)), tables[few + a : few + b], times[few + a : few + b]])))
+        keys, x, y, kinds = [], [], [], []
         short, long = tree.context_keys()
         for k, own, (people, seats) in ((short, np.isin(hashes, split_), tree.rooms1()), (long, np.isin(hashes[tree.context[1]], split_), tree.rooms2())):
             at = np.flatnonzero(own)
@@ -636,7 +675,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         keys += [((seen[:, 0] * 3 + seen[:, 1]) << 48 | seen[:, 2] << 10 | seen[:, 3]).view(U), np.array([k for k, _ in blobs], U), np.zeros(1, U)]
         x += [seen[:, 4], np.zeros(len(blobs) + 1, np.int64)]
         y.append(np.zeros(len(seen) + len(blobs) + 1, np.int64))
-        kinds.append(np.concatenate([np.full(len(seen), 2, np.int32), np.full(len(blobs), 6, np.int32), np.full(1, 4, np.int32)]))
+        kinds.append(np.concatenate([np.full(len(seen), 2, np.int32), np.full(frequent, 6, np.int32), np.full(len(blobs) - frequent, 7, np.int32), np.full(1, 4, np.int32)]))
         many = sum(map(len, keys))
         data = pa.concat_arrays([none(many - 1 - len(blobs), pa.binary()), pa.array([*(b for _, b in blobs), held.packed()], pa.binary())])
         return pa.table({"bucket": pa.array(np.full(many, bucket, np.int32)), "kind": np.concatenate(kinds), "key": np.concatenate(keys).view(np.int64), "x": np.concatenate(x), "y": np.concatenate(y), "ids": none(many, group.schema.field("ids").type), "data": data})
@@ -649,16 +688,16 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     table = spark.table(name)
     table.durable_path = path
     # sums over groups come by one shuffle of a key's rows, of which there are no more than groups
-    seats = table.where("kind in (0, 1, 5)").select("bucket", "kind", "key", "x", "y")
+    seats = table.where("kind in (1, 5)").select("bucket", "kind", "key", "x", "y")
     of_key = Window.partitionBy("kind", "key")
     added = [F.sum(c).over(of_key).alias(f"all_{c}") for c in ("x", "y")]
-    sums = durable(seats.select("*", *added, F.count("*").over(of_key).alias("many"), F.row_number().over(of_key.orderBy("bucket")).alias("nth")), "sums")
-    words_ = sums.where("kind = 0 and nth = 1")
+    sums = seats.select("*", *added, F.count("*").over(of_key).alias("many"))
     often_x, often_y = frequent_sums(table, len(hot))
-    total, types = (int(x or 0) for x in words_.agg(F.sum("all_y"), F.count_if(F.col("all_y") > 0)).first())
-    total, types = total + int(often_y.sum()), types + int(np.count_nonzero(often_y))
-    hist = words_.where("all_x > 0").groupBy(F.col("all_x").alias("x")).agg(F.count("*").alias("n")).toPandas()
+    rarer = durable(range_sums(table), "ranges")
+    hist = rarer.where("bucket = -1").groupBy("x").agg(F.sum("y").alias("n")).toPandas()  # a row for each number of tables
     rare_x, rare_n = hist["x"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
+    total, types = int(often_y.sum() + rare_n[rare_x == 0].sum()), int(np.count_nonzero(often_y) + rare_n[rare_x == -1].sum())
+    rare_x, rare_n = rare_x[rare_x > 0], rare_n[rare_x > 0]
     sizes, of_size = np.unique(often_x[often_x > 0], return_counts=True)
     seating = table.where("kind = 2").groupBy("key").agg(F.sum("x").alias("x")).collect()
     rng = np.random.default_rng(8)
@@ -668,9 +707,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     for level in (1, 2):
         levels.append(sample_level([(k - 3 * level, a, b, n) for k, a, b, n in seen if k // 3 == level], *START[level], rng))
 
-    others = lambda c: F.when(F.col("kind") == 0, F.col(f"all_{c}")).otherwise(F.col(f"all_{c}") - F.col(c))
-    # a rare word of one group only needs no answer: the group knows its customers
-    answers = sums.where("many > 1").select("bucket", "kind", "key", others("x"), others("y")).toDF("b", "word", "k", "x_", "y_")
+    answers = sums.where("many > 1").select("bucket", "kind", "key", F.col("all_x") - F.col("x"), F.col("all_y") - F.col("y"), F.lit(None).cast("binary")).union(rarer.where("bucket >= 0").select("bucket", F.lit(7), "key", "x", "y", "data")).toDF("b", "word", "k", "x_", "y_", "packed")
     final = spark.sparkContext.broadcast((root, levels, often_x, often_y))
 
     def rate(key: tuple[pa.Scalar, ...], group: pa.Table, told: pa.Table) -> pa.Table:
@@ -691,10 +728,16 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
             return out
 
         own = np.bincount(tree.dish, tree.t1, len(hashes)).astype(np.int64), np.bincount(tree.dish[tree.parent], tree.c2, len(hashes)).astype(np.int64)
-        few, rare = len(held.frequent), hashes[len(held.frequent) :]
-        told_ = value(rare, 0, np.ones(len(k), np.int64)) > 0
-        p0 = root_.probability(np.append(often_x_[held.frequent], np.where(told_, value(rare, 0, x), own[0][few:])))
-        count = np.append(often_y_[held.frequent], np.where(told_, value(rare, 0, y), own[1][few:]))
+        few = len(held.frequent)
+        own[0][:few], own[1][:few] = often_x_[held.frequent], often_y_[held.frequent]
+        rare = np.unique(tree.dish)
+        rare = rare[rare >= few]  # in the order in which round one sent them
+        edge = np.searchsorted(range_of(hashes[rare], ranges), np.arange(ranges + 1))
+        for at in np.flatnonzero(word == 7).tolist():  # of words of this group only it knows all
+            place, all_x, all_y = unpack(told["packed"][at].as_py())
+            number = rare[edge[k[at]] + np.cumsum(place, dtype=np.int64)]
+            own[0][number], own[1][number] = all_x, all_y
+        p0, count = root_.probability(own[0]), own[1]
         short, long = tree.context_keys()
         tree.more_people1, tree.more_tables1, tree.more_people2, tree.more_tables2 = value(short, 1, x), value(short, 1, y), value(long, 1, x), value(long, 1, y)
         if len(pairs_):
@@ -716,7 +759,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
     parts = durable(table.where("kind = 4").groupBy("bucket").cogroup(answers.groupBy("b")).applyInArrow(rate, "base long, sums binary"), "parts")
     about = durable(table.where("kind = 3").select(F.col("key").alias("base"), "ids", "data"), "about")
-    discard(sums, table)
+    discard(rarer, table)
     spark.sql(f"drop table {name}")
     floor = math.log10(total + types + 1)
 

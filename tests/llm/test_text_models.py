@@ -274,12 +274,13 @@ def test_packed_arrays_come_back():
 def test_language_model_groups(spark, monkeypatch):
     """Many small groups, with split words: the same counts, nearly the same scores. Repeated rows, clashing columns, no rows, no training."""
     rng = random.Random(7)
-    rows = [(i % 150, " ".join(rng.choice(["the", "the", "of", "stone", "river", "hill"]) for _ in range(rng.randrange(60))), i % 5 > 0, 1.0, 2) for i in range(200)] + [(900, "the river " * 3000, True, 0.0, 0)]
+    rows = [(i % 150, " ".join(rng.choice(["the", "the", "of", "stone", "river", "hill", f"rare{i // 8}"]) for _ in range(rng.randrange(60))), i % 5 > 0, 1.0, 2) for i in range(200)] + [(900, "the river " * 3000, True, 0.0, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean, score double, bucket int")
     key = lambda df: sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), r["score"]) for r in df.collect())
     whole = key(pitman_yor.score(docs, docs["train"]))
     monkeypatch.setattr(pitman_yor, "GROUP", 700)
-    monkeypatch.setattr(pitman_yor, "CHUNK", 4)
+    for name, value in (("CHUNK", 2), ("HOT", 3), ("RANGE_GROUPS", 2)):  # half of the words are not frequent
+        monkeypatch.setattr(pitman_yor, name, value)
     largest = []
     of = pitman_yor.dealt
 
