@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandlake.schema import ALIGNMENT
 from strandlake.sources.bam import SPLIT, BamDataSource, described
 from strandlake.sources.headers import InputFile, Inputs, open_inputs
-from strandlake.sources.store import open_lines
+from strandlake.sources.store import as_spark_says, open_lines
 
 
 def _reference_bases(cigar: Column) -> Column:
@@ -54,7 +54,7 @@ def _lines(inputs: Inputs, files: list[InputFile]) -> DataFrame:
         if len(plain) == 1:
             text = text.withColumn("file_no", F.lit(plain[0].number))
         else:
-            text = text.join(F.broadcast(spark.createDataFrame([(f.path, f.number) for f in plain], "path string, file_no int")), "path")
+            text = text.join(F.broadcast(spark.createDataFrame([(as_spark_says(spark, f.path), f.number) for f in plain], "path string, file_no int")), "path")
         parts.append(text.select("file_no", "ord", "value"))
     if packed:
         parts.append(_packed_lines(spark, packed))

@@ -142,8 +142,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_spark(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
     """The same rows of text files that only Spark can open; @ lines anywhere in a file count as header."""
-    numbers = F.broadcast(spark.createDataFrame(files, "file_no int, path string"))
-    lines = spark.read.text([p for _, p in files]).where(F.col("value").startswith("@")).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("at"), "value").join(numbers, "path")
+    numbers = F.broadcast(spark.createDataFrame([(n, p, store.as_spark_says(spark, p)) for n, p in files], "file_no int, path string, said string"))
+    lines = spark.read.text([p for _, p in files]).where(F.col("value").startswith("@")).select(F.input_file_name().alias("said"), F.monotonically_increasing_id().alias("at"), "value").join(numbers, "said")
     sq = lines.where(F.col("value").startswith("@SQ"))
     sq = sq.select("file_no", "value", (F.row_number().over(Window.partitionBy("file_no").orderBy("at")) - 1).alias("n"))
     own = sq.select("file_no", F.lit("line").alias("kind"), "n", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("size"), F.col("value").alias("line"))

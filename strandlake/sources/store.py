@@ -6,6 +6,7 @@ import gzip
 import io
 import zlib
 from typing import BinaryIO
+from urllib.parse import quote
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -19,7 +20,7 @@ PACKED = (".bz2", ".zst", ".zstd", ".lz4", ".snappy", ".xz", ".deflate")
 
 
 def expand(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The files of the paths in their order, as URIs: patterns and folders become the files in them by name."""
+    """The files of the paths in their order, with their scheme: patterns and folders become the files in them by name."""
     out = []
     for path in paths:
         system, at = hadoop_path(spark, path)
@@ -28,15 +29,29 @@ def expand(spark: SparkSession, paths: list[str]) -> list[str]:
             raise FileNotFoundError(path)
         for one in found:
             inside = [x for x in system.listStatus(one.getPath()) if x.isFile()] if one.isDirectory() else [one]
-            names = [system.makeQualified(x.getPath()).toUri().toString() for x in inside if x.getPath().getName()[0] not in "._"]
-            out += [n.replace("file:/", "file:///", 1) if n.startswith("file:/") and not n.startswith("file:///") else n for n in sorted(names)]
+            out += sorted(_slashes(system.makeQualified(x.getPath()).toString()) for x in inside if x.getPath().getName()[0] not in "._")
     return out
 
 
+def _slashes(path: str) -> str:
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
+
+
+def as_spark_says(spark: SparkSession, path: str) -> str:
+    """The path as input_file_name() spells it, with its special characters escaped."""
+    return _slashes(hadoop_path(spark, path)[1].toUri().toString())
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("file://") or "://" not in path:
+        return fs.LocalFileSystem(), path.removeprefix("file://")
+    return fs.FileSystem.from_uri(quote(path, safe="/:@"))
+
+
 def readable(path: str) -> bool:
     """Whether tasks can open the path by themselves; other stores are read by Spark alone."""
     try:
-        fs.FileSystem.from_uri(path)
+        _opened(path)
     except (ValueError, NotImplementedError, ImportError, OSError):
         return False
     return True
@@ -44,7 +59,7 @@ def readable(path: str) -> bool:
 
 def open_input(path: str) -> BinaryIO:
     """The file, seekable, read ahead."""
-    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, at = _opened(path)
     return io.BufferedReader(system.open_input_file(at), AHEAD)
 
 

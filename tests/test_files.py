@@ -128,7 +128,7 @@ def test_files_told_by_content(spark, inputs, long_bam):
     (inputs / "mis").mkdir()
     (inputs / "mis" / "a.sam").write_bytes(open(path, "rb").read())
     (inputs / "mis" / "b.sam").write_bytes(gzip.compress((inputs / "x.sam").read_bytes()))
-    (inputs / "mis" / "c.bam").write_bytes((inputs / "x.sam").read_bytes())
+    (inputs / "mis" / "c +%20é.bam").write_bytes((inputs / "x.sam").read_bytes())
     (inputs / "mis" / "d.gz").write_bytes((inputs / "x.sam").read_bytes())
     (inputs / "mis" / "e.sam.gz").write_bytes(gzip.compress((inputs / "x.sam").read_bytes()))
     (inputs / "mis" / "f").write_bytes((inputs / "x.bam").read_bytes())
@@ -147,8 +147,8 @@ def test_files_told_by_content(spark, inputs, long_bam):
 
 def test_text_that_only_spark_opens(spark, inputs, monkeypatch):
     monkeypatch.setattr(store, "readable", lambda path: False)
-    (inputs / "y.sam").write_text("\n".join(SAM[2:]) + "\n")
-    one = headers.open_inputs(spark, [str(inputs / "x.sam"), str(inputs / "y.sam")])
+    (inputs / "y z.sam").write_text("\n".join(SAM[2:]) + "\n")
+    one = headers.open_inputs(spark, [str(inputs / "x.sam"), str(inputs / "y z.sam")])
     assert [(f.kind, f.references, f.order) for f in one.files] == [("text", 2, {"SO": "queryname"}), ("text", 1, {})]
     rows = files.read_alignments(spark, one).orderBy("file_no", "ord").collect()
     assert [(r["file_no"], r["qname"], r["tid"], r["ref"], r["ref_len"]) for r in rows] == [(0, "r1", 0, 0, 200), (0, "r2", -1, None, None), (0, "r1", 1, 1, 90), (1, "r1", -1, None, None), (1, "r2", -1, None, None), (1, "r1", 0, 1 << 32, 90)]
