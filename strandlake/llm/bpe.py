@@ -112,18 +112,18 @@ def merge_word(word: bytes, first: list[int], merges: dict[int, tuple[int, int]]
 
 
 class _Recent(dict):
-    """Keys to packed ids, in two generations of CACHE_BYTES / 2 each: a full one becomes the older, which is forgotten.
+    """Keys to packed ids, in two generations of half of most bytes each: a full one becomes the older, which is forgotten.
     What is asked for again passes to the younger, so that frequent keys stay."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
         super().__init__()
         self.older: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.most = 0, most
 
     def keep(self, key: str, packed: bytes) -> bytes:
         if len(key) <= CACHE_KEY_CHARS:
             self.held += ENTRY_BYTES + len(key) + len(packed)
-            if self.held > CACHE_BYTES // 2:
+            if self.held > self.most // 2:
                 self.older = dict(self)
                 self.clear()
                 self.held = ENTRY_BYTES + len(key) + len(packed)
@@ -134,8 +134,8 @@ class _Recent(dict):
 class _Words(_Recent):
     """Pre-token to its packed ids, computed on first use."""
 
-    def __init__(self, vocab: Vocabulary):
-        super().__init__()
+    def __init__(self, vocab: Vocabulary, most: int):
+        super().__init__(most)
         self.vocab = vocab
 
     def __missing__(self, word: str) -> bytes:
@@ -158,7 +158,7 @@ class _Pieces(_Recent):
     """
 
     def __init__(self, lead: str, split, words: _Words):
-        super().__init__()
+        super().__init__(words.most)
         self.lead, self.split, self.words = lead, split, words
 
     def __missing__(self, piece: str) -> bytes:
@@ -179,10 +179,11 @@ class Codec:
     """Encodes to packed little-endian unsigned 32-bit ids, and decodes them."""
 
     vocab: Vocabulary
+    cache_bytes: int = CACHE_BYTES
     words: _Words = field(init=False)
 
     def __post_init__(self):
-        self.words = _Words(self.vocab)
+        self.words = _Words(self.vocab, self.cache_bytes)
         self.split = regex.compile(self.vocab.pattern).findall
         self.heads, self.pieces = _Pieces("", self.split, self.words), _Pieces(" ", self.split, self.words)
         self.newline = self.words["\n"]
@@ -217,20 +218,23 @@ class Codec:
         return raw.decode("utf-8", "replace").encode()
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, int], Codec] = {}
 
 
-def _codec(source: str, vocab: Vocabulary) -> Codec:
+def _codec(source: str, vocab: Vocabulary, cache_bytes: int) -> Codec:
     """The worker's codec for a vocabulary file; it and its remembered words serve the worker's later tasks too."""
-    if source not in _codecs:
+    if (source, cache_bytes) not in _codecs:
         _codecs.clear()
-        _codecs[source] = Codec(vocab)
-    return _codecs[source]
+        _codecs[source, cache_bytes] = Codec(vocab, cache_bytes)
+    return _codecs[source, cache_bytes]
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False, with_text: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256, and on request ids (binary) and decoded text.
 
+    A null text is empty; repeated rows give equal rows, and so do ties, for the encoding depends on the text alone; texts
+    of any length are encoded whole. cache_bytes: what a worker may remember of pre-tokens, and as much again of pieces
+    and of beginnings of lines; it keeps them as long as it lives.
     Every row is worked on where it is read; there is no shuffle. The vocabulary is broadcast: its size is that of a
     tokenizer file and does not depend on the documents.
     """
@@ -240,7 +244,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(source, vocab.value)
+        codec = _codec(source, vocab.value, cache_bytes)
         for batch in batches:
             out = {"n": [], "ids": [], "sha": [], "back": [], "text": []}
             for text in batch.column(1):
