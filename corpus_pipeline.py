@@ -45,8 +45,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its ids (little-endian unsigned 32-bit numbers), how many, and digests of the ids and of the decoded
-    text. A null text is empty."""
-    return encode_documents(docs, with_ids=True)
+    text. A null text is empty. Workers that served the stages before remember less here than in a run of its own."""
+    return encode_documents(docs, with_ids=True, cache_bytes=24 << 20)
 
 
 STAGES = [("language_id", language), ("minhash_near_dedup", near_dedup), ("substring_dedup", repeated_passages), ("decontamination", decontaminate), ("bpe", encode)]
