@@ -53,7 +53,7 @@ from strandlake.llm.bytesets import Texts, U, mix, splitmix, texts, word_hashes,
 from strandlake.llm.spark_io import discard, durable, shared_dir
 
 #: Occurrences in a group, about; a task holds one group at a time.
-GROUP = 600_000
+GROUP = 450_000
 #: Bytes of text that are packed together.
 SLICE = 4 << 20
 #: Bytes of text looked at for the words whose numbers stand for them in the packed arrays, and how many those are.
