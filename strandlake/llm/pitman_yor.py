@@ -28,6 +28,10 @@ those of the others go, packed, to ranges of hashes, where they are added up and
 sampled from the histogram of customers. Round two seats again, with the others' sums, and scores all occurrences,
 training or not. No part of the counts is dropped: what is gathered grows with the texts.
 
+Of a text's tokens that are frequent words the counts are summed up where the texts are dealt: a pass before has counted
+these words in all training texts. So a group sends back, for each text it knows something of, one sum of log10 (in units
+of SCORE_UNITS, so to within 5e-7) and the counts of the rarer words only, packed for BLOCK slices of texts together.
+
 Before that a look at LOOK bytes of text tells which words are frequent; how occurrences are packed and dealt follows
 from it, and nothing else. Words are told apart by 64-bit hashes. Null texts are empty: they consist of one end. Repeated rows count and are scored
 as often as they occur; extra columns are ignored; an empty table gives an empty result. Without training texts every
@@ -49,8 +53,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.bytesets import Texts, U, mix, splitmix, texts, word_hashes, words
-from strandlake.llm.spark_io import discard, durable, shared_dir
+from strandlake.llm.bytesets import SLICE_BYTES, Texts, U, mix, splitmix, texts, word_hashes, words
+from strandlake.llm.spark_io import discard, durable, give_back, shared_dir, sweep
 
 #: Occurrences in a group, about; a task holds one group at a time.
 GROUP = 450_000
@@ -63,6 +67,9 @@ HOT = 1 << 19
 CHUNK = 1 << 13
 #: Groups whose rarer words come to one range of hashes.
 RANGE_GROUPS = 16
+#: Slices whose texts' sums come together in one packed array of a group, and the units of their sums of log10.
+BLOCK = 4
+SCORE_UNITS = 1 << 20
 #: Customers up to which all Stirling numbers are tabulated, and tables up to which they are known at all.
 EXACT = 256
 WINDOW = 1024
@@ -164,7 +171,7 @@ def draw(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount:
     beyond: list[np.ndarray] = []
     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(size)], strict=True):
         weights = numbers.row(int(size[a]))
-        step = max(1, (1 << 20) // len(weights))
+        step = max(1, (1 << 18) // len(weights))
         for i in range(a, b, step):
             at = many[i : min(i + step, b)]
             line = np.log(strength + discount * (others[at, None] + np.arange(len(weights)))) + np.log(base[at, None])
@@ -348,12 +355,19 @@ def triple_key(second: np.ndarray, pair: np.ndarray) -> np.ndarray:
 
 
 def lines(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of texts, ends included, and their offsets by text."""
-    w = words(t)
-    n = np.diff(w.offs) + 1
+    """Hashes of the tokens of texts, ends included, and their offsets by text; hashed by runs of about SLICE_BYTES."""
+    found, n, i = [], [], 0
+    while i < t.n:
+        j = max(i + 1, int(np.searchsorted(t.offs, t.offs[i] + SLICE_BYTES, "right")) - 1)
+        run = Texts(i, t.data[t.offs[i] : t.offs[j]], t.offs[i : j + 1] - t.offs[i])
+        w = words(run)
+        found.append(word_hashes(run, w))
+        n.append(np.diff(w.offs) + 1)
+        i = j
+    n, found = np.concatenate(n), np.concatenate(found)
     offs = np.concatenate([[0], np.cumsum(n)])
     line = np.full(offs[-1], END, U)
-    line[np.arange(len(w.start)) + np.repeat(np.arange(t.n), n - 1)] = word_hashes(t, w)
+    line[np.arange(len(found)) + np.repeat(np.arange(t.n), n - 1)] = found
     return line, offs
 
 
@@ -450,52 +464,87 @@ def range_sums(table: DataFrame) -> DataFrame:
     return table.where("kind = 7").select("bucket", "key", "data").groupBy("key").applyInArrow(together, "bucket int, key long, x long, y long, data binary")
 
 
-def frequent_sums(table: DataFrame, many: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables and customers of the many frequent words, by rank, from the groups' packed arrays (key: the array's number).
+def chunks(rank: np.ndarray, values: np.ndarray, many: int, size: int) -> list[tuple[int, bytes]]:
+    """Numbers of some of the many frequent words, by rank, as packed arrays of size ranks with the arrays' numbers."""
+    edge = np.searchsorted(rank, np.arange(0, many + size, size)).tolist()
+    return [(int(rank[a]) // size, pack([np.diff(rank[a:b] % size, prepend=0), values[a:b]])) for a, b in zip(edge[:-1], edge[1:], strict=True) if a < b]
 
-    Tasks add up what they read, then few tasks what those found; the driver gets two numbers a frequent word.
-    """
 
-    def added(parts: Iterator[list[np.ndarray]]) -> np.ndarray:
-        out = np.zeros((2, CHUNK), np.int64)
-        for rank, x, y in parts:
-            at = np.cumsum(rank.astype(np.int64))
-            out[0, at] += x.astype(np.int64)
-            out[1, at] += y.astype(np.int64)
-        return out
+def frequent_counts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(key, part, data): the occurrences of the frequent words in a task's texts, as chunks() packs them."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.argsort(shared.value)
+        known, out = shared.value[rank], np.zeros(len(rank), np.int64)
+        for batch in batches if len(known) else ():
+            for t in texts(batch.column(0), SLICE):
+                names, n = np.unique(lines(t)[0], return_counts=True)
+                at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+                is_hot = known[at] == names
+                out[rank[at[is_hot]]] += n[is_hot]
+        some = np.flatnonzero(out)
+        if len(some):
+            key, data = zip(*chunks(some, out[some], len(out), CHUNK), strict=True)
+            part = TaskContext.get().partitionId() % 64
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([part] * len(key), pa.int32()), pa.array(data, pa.binary())], ["key", "part", "data"])
+
+    return docs.select("text").mapInArrow(run, "key long, part int, data binary")
+
+
+def _added(parts: Iterator[list[np.ndarray]], size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for rank, x in parts:
+        out[np.cumsum(rank.astype(np.int64))] += x.astype(np.int64)
+    return out
+
+
+def _repacked(sums: np.ndarray) -> bytes:
+    at = np.flatnonzero(sums)
+    return pack([np.diff(at, prepend=0), sums[at]])
+
 
-    def repacked(sums: np.ndarray) -> bytes:
-        at = np.flatnonzero(sums.any(axis=0))
-        return pack([np.diff(at, prepend=0), *sums[:, at]])
+def sums_here(table: DataFrame) -> DataFrame:
+    """(key, part, data): a task's sums of (key, data), as chunks() packs them."""
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held[key] = held.get(key, 0) + added([unpack(raw.as_py())])
+                held[key] = held.get(key, 0) + _added([unpack(raw.as_py())], CHUNK)
         part = TaskContext.get().partitionId() % 64
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([part] * len(held), pa.int32()), pa.array([repacked(x) for x in held.values()], pa.binary())], ["key", "part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([part] * len(held), pa.int32()), pa.array([_repacked(x) for x in held.values()], pa.binary())], ["key", "part", "data"])
+
+    return table.select("key", "data").mapInArrow(here, "key long, part int, data binary")
+
+
+def frequent_sums(first: DataFrame, many: int) -> np.ndarray:
+    """Sums for the many frequent words, by rank, of what tasks have found, (key, part, data).
+
+    Few tasks add it up; the driver gets a number a frequent word.
+    """
 
     def together(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        return pa.table({"key": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([repacked(added(unpack(x.as_py()) for x in group["data"]))], pa.binary())})
+        return pa.table({"key": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([_repacked(_added((unpack(x.as_py()) for x in group["data"]), CHUNK))], pa.binary())})
 
-    first = table.where("kind = 6").select("key", "data").mapInArrow(here, "key long, part int, data binary")
-    out = np.zeros((2, -(-max(1, many) // CHUNK) * CHUNK), np.int64)
+    out = np.zeros(-(-max(1, many) // CHUNK) * CHUNK, np.int64)
     for row in first.groupBy("key", "part").applyInArrow(together, "key long, data binary").groupBy("key").applyInArrow(together, "key long, data binary").collect():
-        out[:, row["key"] * CHUNK : (row["key"] + 1) * CHUNK] = added([unpack(bytes(row["data"]))])
-    return out[0, :many], out[1, :many]
+        out[row["key"] * CHUNK : (row["key"] + 1) * CHUNK] = _added([unpack(bytes(row["data"]))], CHUNK)
+    return out[:many]
 
 
-def dealt(docs: DataFrame, kind: str, groups: int, hot: np.ndarray, split: np.ndarray, shares: np.ndarray, pairs: np.ndarray, parts: np.ndarray) -> DataFrame:
+def dealt(docs: DataFrame, kind: str, groups: int, hot: np.ndarray, split: np.ndarray, shares: np.ndarray, pairs: np.ndarray, parts: np.ndarray, times: np.ndarray) -> DataFrame:
     """(bucket, base, ids, data) from (id, text, train): the occurrences of a slice of texts by group, packed, and, with a
-    bucket below 0, the slice's ids with their numbers of tokens. hot: hashes by rank, split and pairs: sorted hashes of
-    words and keys of pairs that are dealt to as many shares and parts."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot, split, shares, pairs, parts))
+    bucket below 0, the slice's ids with their numbers of tokens and what the frequent ones of these bring: how many have
+    training occurrences, and the sum of log10(c + 1). hot: hashes by rank, times: their training occurrences, split and
+    pairs: sorted hashes of words and keys of pairs that are dealt to as many shares and parts."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, split, shares, pairs, parts, times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_, split_, shares_, pairs_, parts_ = shared.value
+        hot_, split_, shares_, pairs_, parts_, times_ = shared.value
         rank = np.argsort(hot_)
+        times_ = np.append(times_, 0)  # of the others only their groups will know
         known = hot_[rank]
         base = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -513,6 +562,8 @@ def dealt(docs: DataFrame, kind: str, groups: int, hot: np.ndarray, split: np.nd
                 new[by_rank] = np.arange(len(names), dtype=np.int32)
                 names, code, number, few = names[by_rank], code[by_rank], new[number], int(is_hot.sum())
                 many, end = len(names), int(np.flatnonzero(names == END)[0])
+                told = times_[code]
+                known_n, logs = (np.add.reduceat(x[number], offs[:-1]) for x in ((told > 0).astype(np.int64), np.log10(told + 1.0)))
                 one, two = before(number, offs, end)
                 mark = (2 * np.arange(t.n) + train[t.first : t.first + t.n]).astype(np.int32)
                 bucket = (mix(names) % U(groups)).astype(np.int64)[one]
@@ -550,7 +601,7 @@ def dealt(docs: DataFrame, kind: str, groups: int, hot: np.ndarray, split: np.nd
                 of_docs = pa.ListArray.from_arrays(pa.array([0, t.n], pa.int32()), ids)
                 none = pa.ListArray.from_arrays(pa.array(np.zeros(len(rows) + 1), pa.int32()), ids[:0])
                 buckets = pa.array(np.append(bucket[cuts], -1 - base % groups).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([buckets, pa.array(np.full(len(rows) + 1, base)), pa.concat_arrays([none, of_docs]), pa.array([*rows, pack([n])], pa.binary())], ["bucket", "base", "ids", "data"])
+                yield pa.RecordBatch.from_arrays([buckets, pa.array(np.full(len(rows) + 1, base)), pa.concat_arrays([none, of_docs]), pa.array([*rows, pack([n, known_n, logs.view(U)])], pa.binary())], ["bucket", "base", "ids", "data"])
                 base += 1
 
     return docs.select("id", "text", "train").mapInArrow(run, f"bucket int, base long, ids array<{kind}>, data binary")
@@ -634,8 +685,15 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         pairs, pair_parts = pairs[order], pair_parts[order]
     shared = spark.sparkContext.broadcast((hot, split, pairs))
     ranges = -(-groups // RANGE_GROUPS)
+    often_y = frequent_sums(frequent_counts(base.where("train"), hot), len(hot))
 
     def seat(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        try:
+            return seat_group(key, group)
+        finally:
+            give_back()
+
+    def seat_group(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         bucket, none = key[0].as_py(), lambda m, k: pa.nulls(m, k)
         if bucket < 0:  # ids of slices go through
             many = len(group)
@@ -650,11 +708,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         tables = np.bincount(tree.dish, tree.t1, len(hashes))[here].astype(np.int64)
         times = np.bincount(tree.dish[tree.parent], tree.c2, len(hashes))[here].astype(np.int64)
         few = int(np.searchsorted(here, len(held.frequent)))  # of the frequent words, packed by rank
-        ranks, blobs = held.frequent[here[:few]], []
-        edge = np.searchsorted(ranks, np.arange(0, len(hot_) + CHUNK, CHUNK)).tolist()
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if a < b:
-                blobs.append((int(ranks[a]) // CHUNK, pack([np.diff(ranks[a:b] % CHUNK, prepend=0), tables[a:b], times[a:b]])))
+        blobs = chunks(held.frequent[here[:few]], tables[:few], len(hot_), CHUNK)
         frequent, rare = len(blobs), hashes[here[few:]]
         edge = np.searchsorted(range_of(rare, ranges), np.arange(ranges + 1))
         for k in np.flatnonzero(np.diff(edge)).tolist():
@@ -683,8 +737,9 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     # groups are written as a bucketed table: round two reads them without a shuffle
     name, path = f"occurrences_{uuid.uuid4().hex}", f"{shared_dir(spark)}/occurrences-{uuid.uuid4().hex}"
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seated = dealt(base, kind, groups, hot, split, shares, pairs, pair_parts).groupBy("bucket").applyInArrow(seat, f"bucket int, kind int, key long, x long, y long, ids array<{kind}>, data binary")
+    seated = dealt(base, kind, groups, hot, split, shares, pairs, pair_parts, often_y).groupBy("bucket").applyInArrow(seat, f"bucket int, kind int, key long, x long, y long, ids array<{kind}>, data binary")
     seated.write.option("path", path).bucketBy(files, "bucket").sortBy("bucket").saveAsTable(name)
+    sweep(spark)
     table = spark.table(name)
     table.durable_path = path
     # sums over groups come by one shuffle of a key's rows, of which there are no more than groups
@@ -692,7 +747,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     of_key = Window.partitionBy("kind", "key")
     added = [F.sum(c).over(of_key).alias(f"all_{c}") for c in ("x", "y")]
     sums = seats.select("*", *added, F.count("*").over(of_key).alias("many"))
-    often_x, often_y = frequent_sums(table, len(hot))
+    often_x = frequent_sums(sums_here(table.where("kind = 6")), len(hot))
     rarer = durable(range_sums(table), "ranges")
     hist = rarer.where("bucket = -1").groupBy("x").agg(F.sum("y").alias("n")).toPandas()  # a row for each number of tables
     rare_x, rare_n = hist["x"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
@@ -708,10 +763,16 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
         levels.append(sample_level([(k - 3 * level, a, b, n) for k, a, b, n in seen if k // 3 == level], *START[level], rng))
 
     answers = sums.where("many > 1").select("bucket", "kind", "key", F.col("all_x") - F.col("x"), F.col("all_y") - F.col("y"), F.lit(None).cast("binary")).union(rarer.where("bucket >= 0").select("bucket", F.lit(7), "key", "x", "y", "data")).toDF("b", "word", "k", "x_", "y_", "packed")
-    final = spark.sparkContext.broadcast((root, levels, often_x, often_y))
+    final = spark.sparkContext.broadcast((root, levels, often_x))
 
     def rate(key: tuple[pa.Scalar, ...], group: pa.Table, told: pa.Table) -> pa.Table:
-        (hot_, _, pairs_), (root_, levels_, often_x_, often_y_) = shared.value, final.value
+        try:
+            return rate_group(key, group, told)
+        finally:
+            give_back()
+
+    def rate_group(key: tuple[pa.Scalar, ...], group: pa.Table, told: pa.Table) -> pa.Table:
+        (hot_, _, pairs_), (root_, levels_, often_x_) = shared.value, final.value
         held = Group.unpacked(group["data"][0].as_py(), hot_)
         hashes, tree = held.hashes, held.tree()
         held.second = held.first = held.dish = np.zeros(0, np.int64)
@@ -729,7 +790,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
         own = np.bincount(tree.dish, tree.t1, len(hashes)).astype(np.int64), np.bincount(tree.dish[tree.parent], tree.c2, len(hashes)).astype(np.int64)
         few = len(held.frequent)
-        own[0][:few], own[1][:few] = often_x_[held.frequent], often_y_[held.frequent]
+        own[0][:few] = often_x_[held.frequent]
         rare = np.unique(tree.dish)
         rare = rare[rare >= few]  # in the order in which round one sent them
         edge = np.searchsorted(range_of(hashes[rare], ranges), np.arange(ranges + 1))
@@ -737,7 +798,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
             place, all_x, all_y = unpack(told["packed"][at].as_py())
             number = rare[edge[k[at]] + np.cumsum(place, dtype=np.int64)]
             own[0][number], own[1][number] = all_x, all_y
-        p0, count = root_.probability(own[0]), own[1]
+        p0 = root_.probability(own[0])
         short, long = tree.context_keys()
         tree.more_people1, tree.more_tables1, tree.more_people2, tree.more_tables2 = value(short, 1, x), value(short, 1, y), value(long, 1, x), value(long, 1, y)
         if len(pairs_):
@@ -749,28 +810,50 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
             tree.sweep(p0, levels_, rng_)
             if sweep >= SWEEPS:
                 p += tree.probabilities(p0, levels_)[1]
-        lp = np.log10(p / SAMPLES)[tree.of]
-        count = count[tree.dish[tree.parent]][tree.of]
-        docs_, to = np.unique(held.slice.astype(np.int64) << 32 | held.mark >> 1, return_inverse=True)
-        of = [docs_ & 0xFFFFFFFF, *(np.bincount(to, v, len(docs_)) for v in ((count > 0).astype(float), np.log10(count + 1.0), lp))]
-        cut = np.searchsorted(docs_ >> 32, np.arange(len(held.bases) + 1)).tolist()
-        out = [np.concatenate([v[a:b].astype(float) for v in of]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"base": held.bases, "sums": pa.array(out, pa.binary())})
-
-    parts = durable(table.where("kind = 4").groupBy("bucket").cogroup(answers.groupBy("b")).applyInArrow(rate, "base long, sums binary"), "parts")
+        # a row for each block of slices: of its texts the sums of log10, and the counts of their rarer words
+        by_base = np.argsort(held.bases)
+        bases, to = held.bases[by_base], np.empty(len(by_base), np.int64)
+        to[by_base] = np.arange(len(by_base))
+        docs_, to = np.unique(to[held.slice] << 32 | held.mark >> 1, return_inverse=True)
+        sums_ = np.bincount(to, np.maximum(-np.log10(p / SAMPLES), 0)[tree.of], len(docs_))
+        sums_ = np.round(sums_ * SCORE_UNITS).astype(np.int64)
+        dish = tree.dish[tree.parent][tree.of]
+        rare = np.flatnonzero(dish >= few)
+        rare = rare[np.argsort(to[rare], kind="stable")]
+        to, times = to[rare], own[1][dish[rare]]
+        of_slice, doc = docs_ >> 32, docs_ & 0xFFFFFFFF
+        block = bases[of_slice] // BLOCK
+        cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        ends = np.append(cuts[1:], len(block))
+        out = []
+        for a, b, i, j in zip(cuts.tolist(), ends.tolist(), np.searchsorted(to, cuts).tolist(), np.searchsorted(to, ends).tolist(), strict=True):
+            width = doc[a:b].max(keepdims=True) + 1
+            out.append(pack([width, np.diff(bases[of_slice[a:b]] % BLOCK * width + doc[a:b], prepend=0), sums_[a:b], np.diff(to[i:j] - a, prepend=0), times[i:j]]))
+        return pa.table({"block": block[cuts], "sums": pa.array(out, pa.binary())})
+
+    parts = durable(table.where("kind = 4").groupBy("bucket").cogroup(answers.groupBy("b")).applyInArrow(rate, "block long, sums binary"), "parts")
     about = durable(table.where("kind = 3").select(F.col("key").alias("base"), "ids", "data"), "about")
     discard(rarer, table)
     spark.sql(f"drop table {name}")
     floor = math.log10(total + types + 1)
 
     def add(key: tuple[pa.Scalar, ...], of_docs: pa.Table, found: pa.Table) -> pa.Table:
-        n = unpack(of_docs["data"][0].as_py())[0].astype(np.int64)
-        sums_ = np.zeros((3, len(n)))
-        for raw in found["sums"].to_pylist():
-            x = np.frombuffer(raw).reshape(4, -1)
-            sums_[:, x[0].astype(np.int64)] += x[1:]
-        ids = of_docs["ids"].combine_chunks().flatten()
-        return pa.table({id_col: ids, "n_tokens": n, "n_known": sums_[0].round().astype(np.int64), "train_tokens": np.full(len(n), total), "base_score": sums_[1] - n * floor, "score": sums_[2]})
+        slices = of_docs["base"].to_numpy() % BLOCK
+        n, known, logs = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in of_docs["data"]), strict=True))
+        n, known, logs = n.astype(np.int64), known.astype(np.int64), logs.astype(U).view(float)
+        ids = of_docs["ids"].combine_chunks()
+        at, many = np.zeros(BLOCK, np.int64), np.diff(ids.offsets.to_numpy())
+        at[slices] = np.cumsum(many) - many
+        sums_ = np.zeros(len(n), np.int64)
+        for raw in found["sums"]:
+            width, place, x, rare, times = unpack(raw.as_py())
+            place = np.cumsum(place, dtype=np.int64)
+            place = at[place // int(width[0])] + place % int(width[0])
+            sums_[place] += x.astype(np.int64)
+            rare = place[np.cumsum(rare, dtype=np.int64)]
+            np.add.at(known, rare, (times > 0).astype(np.int64))
+            np.add.at(logs, rare, np.log10(times + 1.0))
+        return pa.table({id_col: ids.flatten(), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total), "base_score": logs - n * floor, "score": -sums_ / SCORE_UNITS})
 
     schema = f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return about.groupBy("base").cogroup(parts.groupBy("base")).applyInArrow(add, schema)
+    return about.withColumn("block", F.expr(f"base div {BLOCK}")).groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(add, schema)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.shared import discard, durable, shared_dir  # noqa: F401
+from strandlake.shared import discard, durable, shared_dir, sweep  # noqa: F401
 
 #: Bytes and rows of one Arrow batch handed to a Python worker; a text longer than that is a batch of its own.
 ARROW_BYTES = 4 << 20
@@ -31,6 +35,13 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the machine: Spark keeps workers, and they would keep all that they once had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: A join key with more than 1 / HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 #: Rows of one key that a task may have in any case.

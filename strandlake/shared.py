@@ -39,6 +39,12 @@ def hadoop_path(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of queries that are over: its cleaner waits until the driver's JVM collects what
+    refers to them, which may be long after the disk was wanted."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that durable() wrote and that nothing reads any more."""
     for df in tables:

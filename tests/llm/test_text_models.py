@@ -304,6 +304,33 @@ def test_language_model_groups(spark, monkeypatch):
     assert all(r["train_tokens"] == r["n_known"] == 0 and r["score"] == pytest.approx(0) and r["base_score"] == pytest.approx(0) for r in none)
 
 
+def test_language_model_sends_back_little(spark, monkeypatch):
+    """Texts whose words lie in many groups: what groups send back takes a few bytes a token, and the sums are right."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(60)), i % 5 > 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(4, "doc_id")
+    for name, value in (("GROUP", 700), ("HOT", 400), ("CHUNK", 64), ("SLICE", 4000)):
+        monkeypatch.setattr(pitman_yor, name, value)
+    sizes, of = {}, pitman_yor.durable
+
+    def watched(df, label):
+        out = of(df, label)
+        if label == "parts":
+            sizes.update(out.selectExpr("sum(length(sums)) as size", "count(*) as n").first().asDict())
+        return out
+
+    monkeypatch.setattr(pitman_yor, "durable", watched)
+    got = {r["doc_id"]: r for r in pitman_yor.score(docs, docs["train"]).collect()}
+    tokens = {i: [*t.split(), None] for i, t, _ in rows}
+    c = collections.Counter(x for i, _, train in rows if train for x in tokens[i])
+    n, v = sum(c.values()), len(c)
+    assert v > 500 and len(got) == len(rows)
+    for i, ts in tokens.items():
+        assert got[i]["n_known"] == sum(c[x] > 0 for x in ts) and got[i]["train_tokens"] == n
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in ts), rel=1e-12) and got[i]["score"] < 0
+    assert sizes["n"] > 20 and sizes["size"] < 6 * sum(map(len, tokens.values()))
+
+
 def test_rollup(spark, tmp_path):
     r = token_rollup.TokenRollup(spark, f"file://{tmp_path}/r")
     change = lambda *rows: spark.createDataFrame(list(rows), "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
