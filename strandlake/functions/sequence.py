@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 64
+#: Sequences that are scored at once.
+SCORED = 2048
 _BASE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate("ACGT"):
     _BASE[ord(_c)] = _BASE[ord(_c.lower())] = _i
@@ -40,28 +42,39 @@ def dust_scores(column: pa.Array) -> np.ndarray:
     With m triplets: 200 * pairs of equal triplets / (m (m - 1)) for m up to 64, else the most pairs in a 64-triplet
     window that ends at triplet 64 or later, over 64 * 63. 0 with fewer than two triplets.
     """
-    base, n = _padded(column)
-    m = np.maximum(n - 2, 0)
+    out = np.zeros(len(column))
+    for at in range(0, len(column), SCORED):
+        base, n = _padded(column.slice(at, SCORED))
+        out[at : at + SCORED] = _dust(base, np.maximum(n - 2, 0))
+    return out
+
+
+def _dust(base: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The window moves along all sequences at once; counts are those of its triplets, pairs follows from them."""
     out = np.zeros(len(m))
     if base.shape[1] < 4:
         return out
-    word = base[:, :-2].astype(np.int16) * 16 + base[:, 1:-1] * 4 + base[:, 2:]
-    width = word.shape[1]
-    word[np.arange(width) >= m[:, None]] = -1
-    delta = np.zeros((len(m), width + WINDOW + 1), np.int16)
-    for lag in range(1, min(WINDOW, width)):
-        same = (word[:, lag:] == word[:, :-lag]) & (word[:, lag:] >= 0)
-        delta[:, lag:width] += same
-        delta[:, WINDOW : WINDOW + width - lag] -= same
-    pairs = np.cumsum(delta[:, :width], axis=1, dtype=np.int32)
-    short = (m > 1) & (m <= WINDOW)
-    at = np.flatnonzero(short)
-    out[at] = 200.0 * pairs[at, m[at] - 1] / (m[at] * (m[at] - 1.0))
-    at = np.flatnonzero(m > WINDOW)
-    if len(at):
-        late = pairs[at]
-        late[(np.arange(width) < WINDOW) | (np.arange(width) >= m[at, None])] = 0
-        out[at] = 200.0 * late.max(axis=1) / (WINDOW * (WINDOW - 1.0))
+    order = np.argsort(-m, kind="stable")  # longest first: those that still go on are the first ones
+    base, m = np.ascontiguousarray(base[order].T), m[order]
+    word = base[:-2] * 16 + base[1:-1] * 4 + base[2:]
+    going = np.searchsorted(-m, -np.arange(len(word)), "left")  # sequences with more than so many triplets
+    counts = np.zeros((len(m), WINDOW), np.int16).ravel()
+    pairs, late, row = np.zeros(len(m), np.int32), np.zeros(len(m), np.int32), np.arange(len(m)) * WINDOW
+    for at in range(len(word)):
+        n = going[at]
+        if at >= WINDOW:
+            old = row[:n] + word[at - WINDOW, :n]
+            left = counts[old] - 1
+            counts[old] = left
+            pairs[:n] -= left
+        new = row[:n] + word[at, :n]
+        had = counts[new]
+        pairs[:n] += had
+        counts[new] = had + 1
+        if at >= WINDOW:
+            np.maximum(late[:n], pairs[:n], out=late[:n])
+    score = np.where(m > WINDOW, 200.0 * late / (WINDOW * (WINDOW - 1.0)), 200.0 * pairs / np.maximum(m * (m - 1.0), 1.0))
+    out[order] = np.where(m > 1, score, 0.0)
     return out
 
 

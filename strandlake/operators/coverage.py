@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.shared import durable
+
 #: Bases in a stripe. A long reference is swept stripe by stripe, so that no task holds more than one.
 STRIPE = 1 << 22
 
@@ -31,6 +37,59 @@ def segments(df: DataFrame, keys: list[str], stripe: int = STRIPE) -> DataFrame:
     return out.where((F.col("depth") > 0) & (F.col("length") > 0))
 
 
+#: Alignments whose ends a task combines at a time.
+COMBINED = 500_000
+
+
+def _combined(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p, d) of integer keys: events() combined within tasks only, so that the shuffle after it can be chosen."""
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            n, own = len(rows), rows.select(keys)
+            ends = pa.concat_tables([own, own]).append_column("p", pa.chunked_array([*rows.column("pos").chunks, *rows.column("end_pos").chunks])).append_column("d", pa.array(np.repeat(np.array([1, -1]), n)))
+            yield from ends.group_by([*keys, "p"]).aggregate([("d", "sum")]).rename_columns([*keys, "p", "d"]).to_batches(max_chunksize=20_000)
+
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= COMBINED:
+                yield from sent()
+                held, size = [], 0
+        if size:
+            yield from sent()
+
+    ends = df.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("end_pos").cast("long").alias("end_pos"))
+    return ends.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "p long", "d long"]))
+
+
+def swept(df: DataFrame, keys: list[str], stripe: int = STRIPE) -> tuple[DataFrame, DataFrame]:
+    """What segments() gives, from a table that is written, and that table. keys are integers.
+
+    Ends are shuffled once, by group and stripe. Of groups that end within a stripe, which are most, the table has the
+    depths; what stands before a stripe, and where the next begins, is joined to the others only.
+    """
+    ev = _combined(df, keys).withColumn("stripe", F.floor(F.col("p") / stripe)).repartition(*keys, "stripe").groupBy(*keys, "stripe", "p").agg(F.sum("d").alias("d"))
+    inside = Window.partitionBy(*keys, "stripe").orderBy("p")
+    run = ev.withColumn("run", F.sum("d").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lead_p", F.lead("p").over(inside))
+    table = durable(run.select(*keys, "stripe", "p", "run", "lead_p"), "stretches", packed=True)
+    by_stripe = Window.partitionBy(*keys).orderBy("stripe")
+    # a stripe whose last depth is 0 hands nothing on: the stretch up to the next one has no depth
+    totals = table.groupBy(*keys, "stripe").agg(F.max(F.when(F.col("lead_p").isNull(), F.col("run"))).alias("sum_d"), F.min("p").alias("first_p")).where((F.col("sum_d") != 0) | (F.col("stripe") > 0))
+    totals = totals.withColumn("before", F.coalesce(F.sum("sum_d").over(by_stripe.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("next_p", F.lead("first_p").over(by_stripe))
+    fixed = durable(totals.where("before != 0 or sum_d != 0").select(*keys, "stripe", "before", "next_p"), "stripes")
+    n = fixed.count()
+    both = table.withColumns({"before": F.lit(0).cast("long"), "next_p": F.lit(None).cast("long")})
+    if n:
+        both = table.join(F.broadcast(fixed) if n <= 100_000 else fixed, [*keys, "stripe"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    out = both.select(*keys, "p", (F.coalesce("lead_p", "next_p") - F.col("p")).alias("length"), (F.col("run") + F.col("before")).alias("depth"))
+    return out.where((F.col("depth") > 0) & (F.col("length") > 0)), table
+
+
 def basic(segs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, covbases, depthsum, sumsq)."""
     length, depth = F.col("length"), F.col("depth")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import ani, kmer_counts
+from strandlake.functions.sequence import ani
 
 CLIP = 255
 
@@ -54,6 +54,6 @@ def median_identity(df: DataFrame, keys: list[str]) -> DataFrame:
     return few.groupBy(*keys).agg(F.percentile("ani", F.lit(0.5), F.col("n")).alias("median_alnani"))
 
 
-def duplicity(reads: DataFrame, keys: list[str], k: int, most: int = 1 << 30) -> DataFrame:
+def duplicity(kmers: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, duplicity): distinct canonical k-mers over all; groups without a k-mer are absent (their figure is 0)."""
-    return kmer_counts(reads, keys, k, CLIP, most).select(*keys, (F.col("distinct_kmers") / F.col("total_kmers")).alias("duplicity"))
+    return kmers.select(*keys, (F.col("distinct_kmers") / F.col("total_kmers")).alias("duplicity"))

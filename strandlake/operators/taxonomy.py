@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.schema import RANKS
-from strandlake.shared import discard, durable
+from strandlake.shared import discard, durable, few
 
 
 def level(rank: Column) -> Column:
@@ -96,4 +96,4 @@ def present_accessions(reference: DataFrame, acc2tax: DataFrame) -> DataFrame:
 def tagged(df: DataFrame, resolved: DataFrame, key: str = "tid") -> DataFrame:
     """Alignments with xt, the accession's taxid, and xr, its ancestor; 0 where unknown."""
     tags = resolved.select(key, F.coalesce("acc_taxid", F.lit(0)).alias("xt"), F.coalesce("rank_taxid", F.lit(0)).alias("xr"))
-    return df.drop("xt", "xr").join(tags, key, "left").fillna(0, ["xt", "xr"])
+    return df.drop("xt", "xr").join(few(tags), key, "left").fillna(0, ["xt", "xr"])

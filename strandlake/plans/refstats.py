@@ -7,40 +7,51 @@ from pyspark.sql import functions as F
 
 from strandlake.config import StatConfig
 from strandlake.operators import coverage as cov
+from strandlake.operators import kmers as km
 from strandlake.operators import reads as rd
-from strandlake.operators.filters import alignment_filter
+from strandlake.operators.filters import alignment_filter, plain_filter
 from strandlake.operators.taxonomy import accessions
-from strandlake.plans import held, holding
+from strandlake.plans import compact, held, holding, part
 from strandlake.plans.counters import Counters
 from strandlake.schema import REFSTATS
-from strandlake.shared import durable
+from strandlake.shared import discard, sweep
 
 
 def refstats(alns: DataFrame, cfg: StatConfig | None = None, key: str = "tid", seen: Counters | None = None) -> DataFrame:
     """One row by reference with cfg.minreads reads or more; alns has key, ref_len and the alignment columns.
 
     key numbers the references: tid within one file, ref over several, whose references are never put together.
-    Alignments are shuffled once, by reference and read, to the table of first records; depths and identities leave their
-    tasks as sums by place and by identity. The tables of reads and of stretches are written, and what follows reads those.
-    seen counts what passes on the way.
+    alns is read twice: for a table of alignments without names and sequences, and for the first records of reads, which
+    cross the shuffle once. Depths and identities leave their tasks as sums by place and by identity. Each part of the
+    result is written before the next one begins, so that shuffle files and tables that are done with leave the disk; what
+    is returned is a table.
     """
     cfg, seen = cfg or StatConfig(), seen or Counters()
-    keys = [key]
-    base = seen.passed(alignment_filter(seen.records(alns), cfg).select(key, "qname", "ord", "ref_len", "pos", "end_pos", "qlen", "seq", "nm", "dust")).persist()
-    first = durable(rd.first_records(base, keys, seq=True), "reads")
-    segs = durable(cov.segments(base, keys), "stretches")
-    alone = rd.alignment_stats(base, keys, F.first("ref_len").alias("ref_len"))
-    bins = durable(cov.bins_of(segs, alone.select(key, "ref_len"), keys), "bins")
-    every = seen.groups(rd.read_lengths(first, keys))
-    out = every.where(F.col("num_reads") >= cfg.minreads)
-    for part in (rd.median_mode(first, keys), alone):
-        out = out.join(part, keys)
-    for part in (cov.basic(segs, keys), cov.shape(cov.bin_histogram(segs, bins, keys), keys), rd.duplicity(first, keys, cfg.ksize)):
-        out = out.join(part, keys, "left")
+    keys, bounds, spark = [key], (cfg.ksize, rd.CLIP, 1 << 30), alns.sparkSession
+    base = compact(seen.passed(alignment_filter(seen.records(alns), cfg)), keys, bounds)
+    alone = part(rd.alignment_stats(base, keys, F.first("ref_len").alias("ref_len"), *km.sizes(F.col("kmers"))), "alone")
+    segs, table = cov.swept(base, keys)
+    discard(base)
+    basic = part(cov.basic(segs, keys), "depths")
+    bins = part(cov.bins_of(segs, alone.select(key, "ref_len"), keys), "bins")
+    hist = part(cov.bin_histogram(segs, bins, keys), "histogram")
+    discard(table)
+    shape = part(cov.shape(hist, keys), "shape")
+    first = km.read_table(plain_filter(alns, cfg), keys, *bounds, alone.select(key, "kmers", "rows"))
+    sweep(spark)
+    lengths = part(seen.groups(rd.read_lengths(first, keys)), "lengths")
+    middle, repeats = part(rd.median_mode(first, keys), "middle"), part(rd.duplicity(km.counts(first, keys, *bounds), keys), "duplicity")
+    out = lengths.where(F.col("num_reads") >= cfg.minreads)
+    for one in (middle, alone):
+        out = out.join(one, keys)
+    for one in (basic, shape, repeats):
+        out = out.join(one, keys, "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("covbases", "depthsum", "sumsq")} | {"duplicity": F.coalesce("duplicity", F.lit(0.0))}
     zero |= {c: F.coalesce(c, F.lit(0.0)) for c in ("entropy", "gini", "norm_entropy", "norm_gini")}
     out = out.withColumns(zero).withColumns(cov.figures(F.col("ref_len"))).withColumn("Length", F.col("ref_len"))
-    return holding(seen.kept(out.select(key, *REFSTATS), {"alns": "num_alns", "reads": "num_reads"}), base, first, segs, bins)
+    out = part(seen.kept(out.select(key, *REFSTATS), {"alns": "num_alns", "reads": "num_reads"}), "refstats")
+    discard(first, alone, basic, bins, hist, shape, lengths, middle, repeats)
+    return holding(out, out)
 
 
 def with_taxid(stats: DataFrame, reference: DataFrame, acc2tax: DataFrame, key: str = "tid", more: tuple[str, ...] = ()) -> DataFrame:

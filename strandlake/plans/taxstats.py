@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from strandlake.config import StatConfig
 from strandlake.operators import coverage as cov
+from strandlake.operators import kmers as km
 from strandlake.operators import reads as rd
-from strandlake.operators.filters import alignment_filter
+from strandlake.operators.filters import alignment_filter, plain_filter
 from strandlake.operators.taxonomy import resolve
-from strandlake.plans import held, holding
+from strandlake.plans import compact, held, holding, part
 from strandlake.plans.counters import Counters
 from strandlake.schema import TAXSTATS
-from strandlake.shared import durable
+from strandlake.shared import discard, few, sweep
 
 
 def by_taxon(alns: DataFrame, names: DataFrame, cfg: StatConfig, key: str = "tid", by: tuple[str, ...] = (), seen: Counters | None = None) -> DataFrame:
@@ -22,24 +23,34 @@ def by_taxon(alns: DataFrame, names: DataFrame, cfg: StatConfig, key: str = "tid
     key numbers the references; by: further integer columns, such as file_no, whose values are kept apart.
     """
     keys, seen = [*by, "taxid"], seen or Counters()
-    row = StatConfig(minreflen=max(cfg.minreflen, 1), minalnas=cfg.minalnas, maxdust=cfg.maxdust)
-    base = seen.passed(alignment_filter(alns.where("taxid is not null"), row).select(*dict.fromkeys([*keys, key, "qname", "ord", "ref_len", "pos", "end_pos", "qlen", "seq", "nm", "dust"]))).persist()
-    first = durable(rd.first_records(base, keys, seq=True), "reads")
-    pairs = [*keys, key]
+    row, spark, bounds = _rows(cfg), alns.sparkSession, (cfg.ksize, rd.CLIP, rd.CLIP - cfg.ksize)
+    known, pairs = alns.where("taxid is not null"), [*keys, key]
+    base = compact(seen.passed(alignment_filter(known, row)), pairs, bounds)
+    alone = part(rd.alignment_stats(base, keys, *km.sizes(F.col("kmers"))), "alone")
     refs = base.groupBy(*pairs).agg(F.first("ref_len").alias("ref_len"))
-    refs = refs.groupBy(*keys).agg(F.count("*").alias("num_accessions"), F.sum("ref_len").alias("total_length"))
-    pooled = cov.basic(cov.segments(base, pairs), pairs).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("covbases", "depthsum", "sumsq")])
-    alone = rd.alignment_stats(base, keys).where(F.col("mean_alnani") >= cfg.minmani) if cfg.minmani > 0 else rd.alignment_stats(base, keys)
-    out = rd.read_lengths(first, keys, 3).where(F.col("num_reads") >= cfg.minreads).join(alone, keys)
-    for part in (rd.median_mode(first, keys), refs):
-        out = out.join(part, keys)
-    for part in (pooled, rd.duplicity(first, keys, cfg.ksize, rd.CLIP - cfg.ksize)):
-        out = out.join(part, keys, "left")
+    refs = part(refs.groupBy(*keys).agg(F.count("*").alias("num_accessions"), F.sum("ref_len").alias("total_length")), "references")
+    segs, table = cov.swept(base, pairs)
+    discard(base)
+    pooled = part(cov.basic(segs, pairs).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("covbases", "depthsum", "sumsq")]), "depths")
+    discard(table)
+    first = km.read_table(plain_filter(known, row), keys, *bounds, alone.select(*keys, "kmers", "rows"))
+    sweep(spark)
+    middle, repeats = part(rd.median_mode(first, keys), "middle"), part(rd.duplicity(km.counts(first, keys, *bounds), keys), "duplicity")
+    out = rd.read_lengths(first, keys, 3).where(F.col("num_reads") >= cfg.minreads).join(alone.where(F.col("mean_alnani") >= cfg.minmani) if cfg.minmani > 0 else alone, keys)
+    for one in (middle, refs):
+        out = out.join(one, keys)
+    for one in (pooled, repeats):
+        out = out.join(one, keys, "left")
     out = out.join(names.select("taxid", "name"), "taxid", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("covbases", "depthsum", "sumsq")} | {"duplicity": F.coalesce("duplicity", F.lit(0.0))}
     length = F.col("total_length")
     out = out.withColumns(zero).withColumns(cov.figures(length, F.col("covbases") / length)).select(*by, *TAXSTATS)
-    return holding(seen.kept(out, {"refs": "num_accessions", "alns": "num_alns"}), base, first)
+    return holding(seen.kept(out, {"refs": "num_accessions", "alns": "num_alns"}), first, alone, refs, pooled, middle, repeats)
+
+
+def _rows(cfg: StatConfig) -> StatConfig:
+    """What cfg asks of single alignments."""
+    return StatConfig(minreflen=max(cfg.minreflen, 1), minalnas=cfg.minalnas, maxdust=cfg.maxdust)
 
 
 def taxstats(alns: DataFrame, reference: DataFrame, acc2tax: DataFrame, nodes: DataFrame, names: DataFrame, cfg: StatConfig | None = None, key: str = "tid", by: tuple[str, ...] = (), seen: Counters | None = None) -> DataFrame:
@@ -47,7 +58,7 @@ def taxstats(alns: DataFrame, reference: DataFrame, acc2tax: DataFrame, nodes: D
     cfg = cfg or StatConfig()
     at = resolve(reference, acc2tax, nodes, cfg.rank, key).where("rank_taxid is not null").select(key, F.col("rank_taxid").alias("taxid"))
     seen = seen or Counters()
-    return by_taxon(seen.records(alns).join(at, key), names, cfg, key, by, seen)
+    return by_taxon(seen.records(alns).join(few(at), key), names, cfg, key, by, seen)
 
 
 def taxstats_from_tags(alns: DataFrame, names: DataFrame, cfg: StatConfig | None = None, key: str = "tid", by: tuple[str, ...] = ()) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.config import StatConfig
-from strandlake.functions.sequence import kmer_counts, with_dust
-from strandlake.operators import compare, coverage, reads, selection, taxonomy
+from strandlake.functions.sequence import with_dust
+from strandlake.operators import compare, coverage, kmers, reads, selection, taxonomy
 from strandlake.operators.filters import alignment_filter, mapped
 from strandlake.plans import bamstats as bam
 from strandlake.plans import held, holding
@@ -273,16 +273,22 @@ def seq_dust(s, d):
 _KM = _FR + ", ke as (select tid, substr(seq, i::int, 17) as k from (select tid, seq, unnest(range(1, least(length(seq), 255) - 15)) as i from fr)), kc as (select tid, case when regexp_matches(k, '[^ACGT]') then 'N' else least(k, reverse(translate(k, 'ACGT', 'TGCA'))) end as k from ke)"
 
 
+def _kmers(s, d):
+    a, bounds = _mapped(s, d), (17, 255, 1 << 30)
+    sized = durable(a.groupBy("tid").agg(*kmers.sizes(kmers.per_read(*bounds))), "sizes")
+    table = kmers.read_table(a, ["tid"], *bounds, sized)
+    return holding(kmers.counts(table, ["tid"], *bounds), table, sized)
+
+
 @query(_KM + "select tid, count(distinct k) as distinct_kmers, count(*) as total_kmers from kc group by tid")
 def seq_kmers(s, d):
-    first = durable(_first(s, d), "reads")
-    return holding(kmer_counts(first, ["tid"], 17, 255), first)
+    return _kmers(s, d)
 
 
 @query(_KM + "select tid, round(count(distinct k) / count(*), 6) as duplicity from kc group by tid")
 def seq_duplicity(s, d):
-    first = durable(_first(s, d), "reads")
-    return holding(reads.duplicity(first, ["tid"], 17), first)
+    found = _kmers(s, d)
+    return holding(reads.duplicity(found, ["tid"]), *held(found))
 
 
 @query(_REF)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,16 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and a lost executor costs no recomputation."""
+def durable(df: DataFrame, label: str, packed: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, and a lost executor costs no recomputation.
+    packed: compressed more, for large tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", "zstd") if packed else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path
     return out
 
 
+#: Rows of a few numbers that are broadcast, about 50 bytes each; more are joined by a shuffle.
+FEW = 2_000_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, written if it was not, and marked for broadcast if it has few rows."""
+    df = df if hasattr(df, "durable_path") else durable(df, "few")
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of the JVM: any store that Spark reads."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

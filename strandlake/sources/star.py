@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The longest read of the view: a read is the first qlen bases of its document's whole text.
 LONGEST = 300
+#: References and reads' sequences that are broadcast (about 40 and 300 bytes each); more are joined by shuffles.
+FEW_REFERENCES, FEW_SEQUENCES = 2_000_000, 50_000
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz.", "acgtacgtacgtacgtacgtacgtacn"
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
@@ -15,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _few(df: DataFrame, n: int, most: int) -> DataFrame:
+    return F.broadcast(df) if n <= most else df
+
+
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("tid"), F.concat(F.lit("ACC"), F.col("p_partkey").cast("string")).alias("rname"), (F.lit(40).cast("long") * F.col("p_size")).alias("ref_len"))
@@ -27,14 +33,15 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     dna = docs.select("doc_id", F.upper(F.translate(F.substring(plain, 1, LONGEST), LETTERS, BASES)).alias("dna"))
     ref_len = F.lit(40).cast("long") * F.col("p_size")
     nm = F.round(F.col("l_discount") * 100).cast("long")
-    line = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    line = _table(spark, sf_dir, "lineitem").join(_few(part, part.count(), FEW_REFERENCES), F.col("l_partkey") == F.col("p_partkey"))
     base = line.select(
         F.struct(*ORDER).alias("ord"), F.col("l_orderkey").alias("qname"), F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 53 == 0, 4).otherwise(0).alias("flag"), F.col("l_partkey").alias("tid"), ref_len.alias("ref_len"),
         ((F.col("l_orderkey") * 7919 + F.col("l_suppkey") * 613 + F.col("l_linenumber") * 31) % ref_len).alias("pos"), (30 + (F.col("l_orderkey") * 13) % 271).alias("qlen"), nm.alias("nm"),
         F.when(F.col("l_linenumber") == 7, None).otherwise(F.round(F.col("l_tax") * 100).cast("long") - nm).alias("as_score"),
     )
-    many = docs.agg(F.count("*").alias("many"))
-    placed = base.join(many).withColumn("doc_id", F.col("qname") % F.col("many")).join(dna, "doc_id")
+    many = docs.count()
+    placed = base.withColumn("doc_id", F.col("qname") % many).join(_few(dna, many, FEW_SEQUENCES), "doc_id")
     return placed.select("ord", "qname", "flag", "tid", "ref_len", "pos", (F.col("pos") + F.least(F.col("qlen"), F.col("ref_len") - F.col("pos"))).alias("end_pos"), "qlen", "nm", "as_score", F.substr("dna", F.lit(1), F.col("qlen").cast("int")).alias("seq"))
 
 
