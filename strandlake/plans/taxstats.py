@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.config import StatConfig
+from strandlake.functions.sequence import ani
 from strandlake.operators import coverage as cov
 from strandlake.operators import kmers as km
 from strandlake.operators import reads as rd
@@ -66,15 +67,24 @@ def taxstats_from_tags(alns: DataFrame, names: DataFrame, cfg: StatConfig | None
     return by_taxon(alns.withColumn("taxid", F.col("xr").cast("long")), names, cfg or StatConfig(), key, by)
 
 
-def summary(alns: DataFrame, resolved: DataFrame, stats: DataFrame, cfg: StatConfig | None = None, key: str = "tid") -> DataFrame:
-    """All records, distinct reads that pass, and reads, references and alignments of the surviving taxa."""
+def summary(alns: DataFrame, resolved: DataFrame, cfg: StatConfig | None = None, key: str = "tid") -> DataFrame:
+    """All records, distinct reads that pass, and reads, references and alignments of the taxa that survive the group filters.
+
+    Alignments are counted by taxon and read, and by taxon and reference: no other figure of a taxon is made.
+    """
     cfg = cfg or StatConfig()
     at = resolved.where("rank_taxid is not null").select(key, F.col("rank_taxid").alias("taxid"))
-    base = alignment_filter(alns.join(at, key), StatConfig(minreflen=max(cfg.minreflen, 1), minalnas=cfg.minalnas, maxdust=cfg.maxdust))
-    total = alns.agg(F.count("*").alias("alns"))
-    reads = base.agg(F.countDistinct("qname").alias("reads"))
-    passed = base.join(stats.select("taxid"), "taxid", "left_semi").agg(F.countDistinct("qname").alias("passed_reads"), F.count("*").alias("passed_alns"))
-    return total.join(reads).join(passed).join(stats.agg(F.coalesce(F.sum("num_accessions"), F.lit(0)).alias("passed_refs"), F.count("*").alias("passed_taxa")))
+    base = plain_filter(alns.join(few(at), key), _rows(cfg))
+    ident = ani(F.col("nm"), F.col("qlen"))
+    reads = part(base.groupBy("taxid", "qname").agg(F.count("*").alias("n"), F.sum(ident).alias("ani"), F.count(ident).alias("anis")), "reads", packed=True)
+    kept = reads.groupBy("taxid").agg(F.count("*").alias("num_reads"), F.sum("n").alias("num_alns"), (F.sum("ani") / F.nullif(F.sum("anis"), F.lit(0))).alias("mani")).where(F.col("num_reads") >= cfg.minreads)
+    kept = part((kept.where(F.col("mani") >= cfg.minmani) if cfg.minmani > 0 else kept).select("taxid", "num_alns"), "taxa")
+    refs = base.select("taxid", key).distinct().join(kept, "taxid", "left_semi").agg(F.count("*").alias("passed_refs"))
+    in_ = kept.select("taxid", F.lit(1).alias("in"))
+    each = reads.select("taxid", "qname").join(few(in_), "taxid", "left").groupBy("qname").agg(F.max("in").alias("in"))
+    out = alns.agg(F.count("*").alias("alns")).join(each.agg(F.count("*").alias("reads"), F.count("in").alias("passed_reads")))
+    out = out.join(kept.agg(F.coalesce(F.sum("num_alns"), F.lit(0)).alias("passed_alns"))).join(refs).join(kept.agg(F.count("*").alias("passed_taxa")))
+    return holding(out.select("alns", "reads", "passed_reads", "passed_alns", "passed_refs", "passed_taxa"), reads, kept)
 
 
 def read_totals(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

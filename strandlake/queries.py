@@ -386,9 +386,8 @@ def taxstats_from_tags(s, d):
 
 @query(", src as (select flt.*, genus as taxid from flt join res using (tid) where genus is not null), t as (select taxid, count(distinct qname) as r, count(distinct tid) as refs from src group by taxid), k as (select * from t where r >= 600) select (select count(*) from aln) as alns, (select count(distinct qname) from src) as reads, (select count(distinct qname) from src join k using (taxid)) as passed_reads, (select count(*) from src join k using (taxid)) as passed_alns, cast((select sum(refs) from k) as bigint) as passed_refs, (select count(*) from k) as passed_taxa")
 def taxstats_summary(s, d):
-    r, a, n, names = _taxonomy(s, d)
-    cfg = StatConfig(minreads=600)
-    return tax.summary(star.alignments(s, d), taxonomy.resolve(r, a, n, "genus"), tax.taxstats(star.alignments(s, d), r, a, n, names, cfg), cfg)
+    r, a, n, _ = _taxonomy(s, d)
+    return tax.summary(star.alignments(s, d), taxonomy.resolve(r, a, n, "genus"), StatConfig(minreads=600))
 
 
 _BAM = ", fr as (select * from (select *, row_number() over (partition by qname order by ord) as rn from mapd) where rn = 1), rk as (select least(qlen, 255) as l, row_number() over (order by least(qlen, 255)) as k, count(*) over () as n from fr)"

@@ -8,7 +8,7 @@ import pytest
 from strandlake.functions.sequence import kmer_codes
 from strandlake.operators import coverage as cov
 from strandlake.operators import kmers
-from strandlake.plans import held
+from strandlake.plans import held, taxstats
 from strandlake.plans.refstats import refstats
 from strandlake.shared import hadoop_path, shared_dir
 from tests.test_micro import alns
@@ -85,3 +85,13 @@ def test_tables_of_refstats_go(spark):
     stats = refstats(df)
     assert [x.rsplit("-", 1)[0] for x in there() - before if not x.startswith(("stripes", "heads", "sequences"))] == ["refstats"] and len(held(stats)) == 1
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0 or not held(stats)[0].is_cached
+
+
+def test_taxon_totals(spark):
+    """The totals need counts of reads only."""
+    df = alns(spark, [{"qname": "a", "tid": 0}, {"qname": "a", "tid": 1}, {"qname": "b", "tid": 0}, {"qname": "c", "tid": 2}, {"qname": "d", "tid": 9}, {"qname": "e", "flag": 4}])
+    at = spark.createDataFrame([(0, 5), (1, 5), (2, 6), (9, None)], "tid int, rank_taxid long")
+    from strandlake.config import StatConfig
+
+    got = taxstats.summary(df, at, StatConfig(minreads=2)).first().asDict()
+    assert got == {"alns": 6, "reads": 3, "passed_reads": 2, "passed_alns": 3, "passed_refs": 2, "passed_taxa": 1}
